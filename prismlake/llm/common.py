@@ -5,9 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +16,8 @@ from prismlake.shipping import ship
 
 #: A word, as Spark and DuckDB write it. bytes.split() parts at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Stands for a null source where a key is needed.
-NO_SOURCE = "\x00"
+#: Stands for null where a key is needed.
+NO_KEY = "~"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +80,9 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def host(df: DataFrame) -> Column:
-    return F.coalesce(df["source"], F.lit(NO_SOURCE))
+def key_of(column: str) -> Column:
+    """A key that is never null, in the order of the column's code points, null last."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(NO_KEY))
 
 
 def size_bins(rows: int, a_bin: int = 20_000, least: int = 16) -> int:
@@ -88,6 +90,20 @@ def size_bins(rows: int, a_bin: int = 20_000, least: int = 16) -> int:
     return max(least, -(-rows // a_bin))
 
 
+def with_computed(df: DataFrame, compute: Callable[[pa.RecordBatch], list[pa.Array]], added: str, drop: Sequence[str] = ()) -> DataFrame:
+    """df without the columns `drop`, and with those of the schema `added`, which `compute` makes from each Arrow batch."""
+    stays = [c for c in df.columns if c not in drop]
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in stays), added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = compute(batch)
+            names = [*stays, *(x.split()[0] for x in added.split(", "))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in stays), *made], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
 def running(df: DataFrame, keys: Sequence[str], bin_col: str, order: Sequence[Column], value: Column, out: str) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows before each one, for equal `keys`, ordered by `bin_col` and then `order`.
 
@@ -96,7 +112,7 @@ def running(df: DataFrame, keys: Sequence[str], bin_col: str, order: Sequence[Co
     that the caller doesn't tell apart.
     """
     names = [f"_{k}_key" for k in keys]
-    df = df.withColumns({n: F.coalesce(F.col(k).cast("string"), F.lit(NO_SOURCE)) for n, k in zip(names, keys, strict=True)} | {"_value": value})
+    df = df.withColumns({n: key_of(k) for n, k in zip(names, keys, strict=True)} | {"_value": value})
     sums = df.groupBy(*names, bin_col).agg(F.sum("_value").alias("_sum"))
     before = Window.partitionBy(*names).orderBy(bin_col).rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")

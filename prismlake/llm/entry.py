@@ -6,8 +6,10 @@ import importlib
 
 #: Query, its module, and the name of its SQL there.
 _QUERIES = [
+    ("op2_pareto_mix", "mixing", "OP2_SQL"),
     ("op4_quality_rules", "quality_rules", None),
     ("op7_line_dedup", "line_dedup", "OP7_SQL"),
+    ("op8_secret_scan", "secrets", "OP8_SQL"),
 ]
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismlake.llm.common import documents, host, kept, small
+from prismlake.llm.common import documents, kept, key_of, small
 
 #: A line is dropped if more than this share of the host's pages has it, on at least so many pages.
 RATIO, PAGES = 0.08, 8
@@ -30,9 +30,9 @@ def _hash(line: Column) -> Column:
 
 def boilerplate(docs: DataFrame, ratio: float = RATIO, pages: int = PAGES) -> DataFrame:
     """(host, frequent: array<long>): at most (lines of a mean page / ratio) hashes for a host."""
-    lines = docs.select(host(docs).alias("host"), F.explode(F.array_distinct(F.transform(F.split("text", "\n"), _hash))).alias("line")).where("line IS NOT NULL")
+    lines = docs.select(key_of("source").alias("host"), F.explode(F.array_distinct(F.transform(F.split("text", "\n"), _hash))).alias("line")).where("line IS NOT NULL")
     counted = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= pages)
-    totals = docs.groupBy(host(docs).alias("host")).agg(F.count("*").alias("total"))
+    totals = docs.groupBy(key_of("source").alias("host")).agg(F.count("*").alias("total"))
     return counted.join(totals, "host").where(F.col("n") > ratio * F.col("total")).groupBy("host").agg(F.collect_list("line").alias("frequent"))
 
 
@@ -44,7 +44,7 @@ def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, pages: int = PAGES)
     """
     docs = docs.drop("n_lines", "n_dropped", "_host", "_frequent", "_lines", "_stay")
     lists = small(kept(boilerplate(docs, ratio, pages), "site-lines"), HOSTS)
-    joined = docs.withColumn("_host", host(docs)).join(lists.select(F.col("host").alias("_host"), F.col("frequent").alias("_frequent")), "_host", "left")
+    joined = docs.withColumn("_host", key_of("source")).join(lists.select(F.col("host").alias("_host"), F.col("frequent").alias("_frequent")), "_host", "left")
     touched = F.col("_frequent").isNotNull()
     out = joined.withColumn("_lines", F.split("text", "\n"))
     out = out.withColumn("_stay", F.when(touched, F.filter("_lines", lambda x: ~F.coalesce(F.array_contains(F.col("_frequent"), _hash(x)), F.lit(False)))).otherwise(F.col("_lines")))
