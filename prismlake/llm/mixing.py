@@ -50,7 +50,8 @@ def targets(sized: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     held, used = (F.coalesce(F.sum(x).over(fill.rowsBetween(*BEFORE)), F.lit(0)) for x in ("source_size", "weight"))
     at = by.withColumn("weight", weight).withColumn("level", (total - most * held).cast("double") / (rest - used).cast("double"))
     at = at.withColumn("full", F.col("level") * F.col("weight") >= most * F.col("source_size"))
-    final = F.min(F.when(~F.col("full"), F.col("level"))).over(Window.partitionBy())
+    # the first that isn't full has the level of all that aren't
+    final = F.min(F.when(~F.col("full"), F.struct(F.col("source_size") / F.col("weight"), F.col("s"), F.col("level")))).over(Window.partitionBy())["level"]
     return at.select("s", "source_size", F.when(F.col("full"), (most * F.col("source_size")).cast("double")).otherwise(final * F.col("weight")).alias("target"))
 
 
@@ -116,7 +117,7 @@ f AS (
 ),
 t AS (
     SELECT source, source_size, CASE WHEN lvl * weight >= {MOST} * source_size THEN ({MOST} * source_size)::DOUBLE
-        ELSE (SELECT min(lvl) FROM f WHERE lvl * weight < {MOST} * source_size) * weight END AS target FROM f
+        ELSE (SELECT lvl FROM f WHERE lvl * weight < {MOST} * source_size ORDER BY source_size / weight, source NULLS LAST LIMIT 1) * weight END AS target FROM f
 ),
 g AS (SELECT doc_id, source, size, 16 + length(bin(size)) AS g FROM d),
 l AS (SELECT source, g, sum(size)::BIGINT AS s FROM g WHERE size > 0 GROUP BY ALL),
