@@ -10,6 +10,7 @@ _QUERIES = [
     ("op4_quality_rules", "quality_rules", None),
     ("op7_line_dedup", "line_dedup", "OP7_SQL"),
     ("op8_secret_scan", "secrets", "OP8_SQL"),
+    ("op9_pack", "packing", None),
 ]
 
 
