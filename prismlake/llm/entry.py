@@ -11,6 +11,7 @@ _QUERIES = [
     ("op7_line_dedup", "line_dedup", "OP7_SQL"),
     ("op8_secret_scan", "secrets", "OP8_SQL"),
     ("op9_pack", "packing", None),
+    ("op10_media_columns", "media", None),
 ]
 
 
