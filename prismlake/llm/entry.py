@@ -8,6 +8,7 @@ import importlib
 _QUERIES = [
     ("op2_pareto_mix", "mixing", "OP2_SQL"),
     ("op4_quality_rules", "quality_rules", None),
+    ("op6_simhash_groups", "simhash", None),
     ("op7_line_dedup", "line_dedup", "OP7_SQL"),
     ("op8_secret_scan", "secrets", "OP8_SQL"),
     ("op9_pack", "packing", None),
