@@ -6,6 +6,7 @@ import importlib
 
 #: Query, its module, and the name of its SQL there.
 _QUERIES = [
+    ("op1_quality_classifier", "classifier", None),
     ("op2_pareto_mix", "mixing", "OP2_SQL"),
     ("op4_quality_rules", "quality_rules", None),
     ("op6_simhash_groups", "simhash", None),
