@@ -22,10 +22,11 @@ def texts():
 def test_ids_are_those_of_the_tokenizer():
     plain = Tokenizer.from_file(str(public_tokenizers.path(packing.VOCABULARY)))
     encoder = packing.Encoder(str(public_tokenizers.path(packing.VOCABULARY)))
-    all_ = [t or "" for t in texts()]
-    for _ in range(2):
-        for text, ids in zip(all_, encoder(all_), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text[:80])
+    rng = random.Random(9)
+    spaces = " \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u2003\u2028\u3000\u200b\ufeff\u180e"
+    odd = ["".join(chr(rng.choice([rng.randrange(0xD800), rng.randrange(0xE000, 0x30000), rng.randrange(128)])) if rng.random() < 0.7 else rng.choice(spaces) for _ in range(60)) for _ in range(1500)]
+    for text in [*(t or "" for t in texts()), *odd, "a<|endoftext|>b", "<|end"]:
+        assert np.frombuffer(encoder(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text[:80])
 
 
 def test_patterns_hold_the_histogram():
