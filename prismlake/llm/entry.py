@@ -8,6 +8,7 @@ import importlib
 _QUERIES = [
     ("op1_quality_classifier", "classifier", None),
     ("op2_pareto_mix", "mixing", "OP2_SQL"),
+    ("op3_balanced_shards", "sharding", None),
     ("op4_quality_rules", "quality_rules", None),
     ("op6_simhash_groups", "simhash", None),
     ("op7_line_dedup", "line_dedup", "OP7_SQL"),

@@ -1,13 +1,13 @@
 """SimHash near-dedup by meet-in-the-middle ball hashing.
 
 Two fingerprints within the radius have a variant in common that is within half the radius of both. So fingerprints emit
-their variants, and those that meet at a variant are linked through it: no pair within a group is ever made, as all that
+their variants, and those that meet at a variant are linked through it: no pairs within a large group are ever made, as all that
 stand within 2 bits of one variant are within 4 of each other.
 
 All 2,081 variants of 64 bits within 2 are emitted only where it can matter. Before, the same is done with either half of
 the bits: of two fingerprints within 4, one half is within 2, and so meets at one of 33 variants of 32 bits within 1. A
-variant at which none meets links nothing; where two distinct fingerprints meet they are compared; where more meet, they
-emit all their variants.
+variant at which none meets links nothing; where a few distinct fingerprints meet they are compared; where more meet, each
+emits all its variants.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismlake.llm.common import documents, kept, small, with_computed
+from prismlake.llm.common import documents, kept, size_bins, small, with_computed
 from prismlake.llm.graph import components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -45,6 +45,8 @@ def fingerprint(text: str | None) -> int:
 
 #: Fingerprints link at so many differing bits or fewer.
 RADIUS = 4
+#: Distinct fingerprints that are compared with each other at most, where they meet at a half's variant.
+COMPARED = 16
 #: Variants of halves at which many meet, and keys of documents that go, that are sent to all executors at most.
 KEYS = 1_000_000
 
@@ -76,13 +78,21 @@ def links(distinct: DataFrame) -> DataFrame:
     """(a, b) from distinct fingerprints (fp): edges that connect exactly those within RADIUS, through others if need be."""
     if RADIUS != 4:
         raise ValueError("halves and variants are laid out for a radius of 4")
-    keyed = distinct.select("fp", F.explode(_half_keys(F.col("fp"))).alias("key"))
+    n = distinct.count()
+    spread = distinct.repartition(size_bins(n, 5_000, 1), "fp")  # a row becomes 66
+    keyed = spread.select("fp", F.explode(_half_keys(F.col("fp"))).alias("key"))
     met = kept(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "half-keys")
-    twos = met.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)).select("a", "b")
-    dense = kept(keyed.join(small(met.where("n > 2").select("key"), KEYS), "key").select("fp").distinct(), "dense")
+    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= RADIUS
+    twos = met.where((F.col("n") == 2) & near(F.col("a"), F.col("b"))).select("a", "b")
+    held = kept(keyed.join(small(met.where("n > 2").select("key", "n"), KEYS), "key").select("key", "n", "fp"), "met")
+    few = held.where(F.col("n") <= COMPARED).groupBy("key").agg(F.collect_set("fp").alias("fps"))
+    pairs = F.flatten(F.transform("fps", lambda a: F.transform(F.filter("fps", lambda b: (a < b) & near(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    compared = few.select(F.inline(pairs))
+    dense = kept(held.where(F.col("n") > COMPARED).select("fp").distinct(), "dense")
+    dense = dense.repartition(size_bins(dense.count(), 200, 1), "fp")  # a row becomes 2,081
     at = Window.partitionBy("variant")
     stars = dense.select("fp", F.explode(_ball(F.col("fp"))).alias("variant")).select(F.min("fp").over(at).alias("a"), F.col("fp").alias("b")).where("a < b")
-    return twos.union(stars).distinct()
+    return twos.union(compared).union(stars).distinct()
 
 
 def groups(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
 import xxhash
 from prismlake.llm import graph, simhash
 
@@ -45,7 +46,9 @@ def test_fingerprints_agree_with_brute_force():
         assert simhash.fingerprint(text) == brute_fingerprint(text)
 
 
-def test_links_connect_exactly_what_is_near(spark):
+@pytest.mark.parametrize("compared", [2, 16])
+def test_links_connect_exactly_what_is_near(spark, monkeypatch, compared):
+    monkeypatch.setattr(simhash, "COMPARED", compared)
     rng = random.Random(7)
     fps = set()
     for _ in range(12):
