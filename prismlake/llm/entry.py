@@ -10,6 +10,7 @@ _QUERIES = [
     ("op2_pareto_mix", "mixing", "OP2_SQL"),
     ("op3_balanced_shards", "sharding", None),
     ("op4_quality_rules", "quality_rules", None),
+    ("op5_suffix_dedup", "suffix_dedup", None),
     ("op6_simhash_groups", "simhash", None),
     ("op7_line_dedup", "line_dedup", "OP7_SQL"),
     ("op8_secret_scan", "secrets", "OP8_SQL"),
