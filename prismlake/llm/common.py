@@ -92,6 +92,7 @@ def size_bins(rows: int, a_bin: int = 20_000, least: int = 16) -> int:
 
 def with_computed(df: DataFrame, compute: Callable[[pa.RecordBatch], list[pa.Array]], added: str, drop: Sequence[str] = ()) -> DataFrame:
     """df without the columns `drop`, and with those of the schema `added`, which `compute` makes from each Arrow batch."""
+    ship(df.sparkSession)
     stays = [c for c in df.columns if c not in drop]
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in stays), added])
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+import corpus_pipeline
+
 #: Query, its module, and the name of its SQL there.
 _QUERIES = [
     ("op1_quality_classifier", "classifier", None),
@@ -24,8 +26,9 @@ def _module(name: str):
 
 
 def queries():
-    return {name: getattr(_module(module), name) for name, module, _ in _QUERIES}
+    return {name: getattr(_module(module), name) for name, module, _ in _QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return {name: getattr(_module(module), sql) for name, module, sql in _QUERIES if sql}
+    found = {name: getattr(_module(module), sql) for name, module, sql in _QUERIES if sql}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
