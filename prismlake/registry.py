@@ -2,14 +2,47 @@
 
 from __future__ import annotations
 
+import importlib
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
 
+_MODULES = [
+    "prismlake.operators.similarity", "prismlake.operators.grouping", "prismlake.operators.ranking", "prismlake.operators.people", "prismlake.operators.matching",
+    "prismlake.operators.batches", "prismlake.operators.frames", "prismlake.operators.sync", "prismlake.operators.report", "prismlake.functions.scalars",
+    "prismlake.sources.catalogue", "prismlake.sources.local", "prismlake.plans.actions", "prismlake.streaming.polling",
+]
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
 
-def queries():
-    return {}
 
+def query(name: str, sql: str | None = None):
+    """Registers a function of the session and the tables' folder, with the SQL that has the same result, if there is any."""
 
-def oracle_sql():
-    return {}
+    def add(function):
+        _queries[name] = function
+        if sql:
+            _sql[name] = sql
+        return function
+
+    return add
+
+
+def _load() -> None:
+    for module in _MODULES:
+        importlib.import_module(module)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _load()
+    return _queries["best_of_groups"](spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_sql)
