@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The file types that count as images and as videos.
-IMAGE_TYPES = [".jpg", ".jpeg", ".png", ".heic", ".heif", ".gif", ".bmp", ".tiff", ".tif", ".webp"]
-VIDEO_TYPES = [".mp4", ".mov", ".avi", ".mkv", ".webm", ".m4v", ".3gp", ".wmv", ".flv", ".mpeg", ".mpg", ".mts"]
+IMAGE_TYPES = [".jpg", ".jpeg", ".png", ".heic", ".cr2", ".nef", ".arw", ".dng", ".gif", ".webp"]
+VIDEO_TYPES = [".mp4", ".mov", ".avi", ".mkv", ".webm", ".m4v", ".wmv", ".flv", ".mpg", ".mpeg", ".3gp", ".mts"]
 
 
 def hamming(a: Sequence[Column], b: Sequence[Column]) -> Column:
