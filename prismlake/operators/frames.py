@@ -1 +1,127 @@
-"""."""
+"""Which frames of a video are looked at."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.udtf import UserDefinedTableFunction
+
+from prismlake import fixtures
+from prismlake.fixtures import with_views
+from prismlake.functions.media import video_distance
+from prismlake.registry import query
+from prismlake.shipping import ship
+
+
+def steps(count: Column, step: Column, most: int) -> Column:
+    """0, step, 2 step … below count, `most` of them at most."""
+    return F.when(count > 0, F.slice(F.sequence(F.lit(0).cast("long"), count - 1, F.greatest(step, F.lit(1)).cast("long")), 1, most)).otherwise(F.array().cast("array<long>"))
+
+
+def interval_frames(count: Column, fps: Column, seconds: float = 5.0, most: int = 20) -> Column:
+    step = (fps * seconds).cast("long")
+    return steps(count, F.when(step > 0, step).otherwise(1), most)
+
+
+def stride(count: Column) -> Column:
+    """So that about 500 frames are sampled."""
+    return F.greatest(F.lit(1), F.floor(count / 500)).cast("long")
+
+
+def scene_changes(frames: DataFrame, threshold: float = 30.0, most: int = 20, least: int = 3) -> DataFrame:
+    """(video_id, position) of sampled frames (video_id, position, histogram) that differ from the last one kept.
+
+    What is kept depends on what was kept before, so each video is walked in order; a video has about 500 frames. With
+    fewer than `least` changes, every fifth of the video's sampled frames is taken instead.
+    """
+
+    def walk(video: pd.DataFrame) -> pd.DataFrame:
+        kept, last = [], None
+        for position, histogram in video.sort_values("position")[["position", "histogram"]].itertuples(index=False):
+            far = last is None or sum((a - b) ** 2 / a for a, b in zip(last, histogram, strict=True) if a) > threshold
+            if far:
+                kept.append(position)
+                last = histogram
+                if len(kept) >= most and len(kept) > 1:
+                    break
+        if len(kept) < least:
+            kept = sorted(video["position"])[::5][:most]
+        return pd.DataFrame({"video_id": video["video_id"].iloc[0], "position": kept})
+
+    ship(frames.sparkSession)
+    return frames.groupBy("video_id").applyInPandas(walk, "video_id long, position long")
+
+
+class KeyFrames:
+    """Table function: positions of a video's frames by strategy, 'fixed_interval' or 'iframe'."""
+
+    def eval(self, count: int, fps: float, strategy: str):
+        seconds = {"fixed_interval": 5.0, "iframe": 1.0}[strategy]
+        step = int(fps * seconds) or 1
+        for i, position in enumerate(range(0, count, max(1, step))):
+            if i >= 20:
+                break
+            yield strategy, position
+
+
+def key_frames(spark) -> UserDefinedTableFunction:
+    return F.udtf(KeyFrames, returnType="strategy string, position bigint")
+
+
+_PROBE = "probe AS (SELECT p_partkey AS video_id, p_size * 97 - 90 AS frames, CASE WHEN p_partkey % 9 = 0 THEN 0.0 ELSE p_partkey % 50 + 0.5 END::DOUBLE AS fps FROM part)"
+
+
+def _probe(spark, d) -> DataFrame:
+    k = F.col("p_partkey")
+    return fixtures.table(spark, d, "part").select(k.alias("video_id"), (F.col("p_size") * 97 - 90).cast("long").alias("frames"), F.when(k % 9 == 0, 0.0).otherwise((k % 50 + 0.5).cast("double")).alias("fps"))
+
+
+@query("video_duration", f"WITH {_PROBE} SELECT video_id, CASE WHEN fps > 0 THEN round(frames / fps, 6) ELSE 0 END AS seconds FROM probe")
+def video_duration(spark, d):
+    return _probe(spark, d).select("video_id", F.when(F.col("fps") > 0, F.round(F.col("frames") / F.col("fps"), 6)).otherwise(0.0).alias("seconds"))
+
+
+@query("frame_positions", f"""WITH {_PROBE}, s AS (SELECT video_id, 'fixed_interval' AS strategy, frames, greatest(1, floor(fps * 5)::BIGINT) AS step FROM probe
+        UNION ALL SELECT video_id, 'iframe', frames, greatest(1, floor(fps)::BIGINT) FROM probe)
+    SELECT video_id, strategy, unnest(range(0, frames::BIGINT, step)[1:20]) AS position FROM s""")
+def frame_positions(spark, d):
+    probe = _probe(spark, d)
+    fixed = probe.select("video_id", F.lit("fixed_interval").alias("strategy"), F.explode(interval_frames(F.col("frames"), F.col("fps"))).alias("position"))
+    each = probe.select("video_id", F.lit("iframe").alias("strategy"), F.explode(interval_frames(F.col("frames"), F.col("fps"), 1.0)).alias("position"))
+    return fixed.union(each)
+
+
+@query("frame_stride", f"WITH {_PROBE} SELECT video_id, greatest(1, frames // 500)::BIGINT AS stride FROM probe")
+def frame_stride(spark, d):
+    return _probe(spark, d).select("video_id", stride(F.col("frames")).alias("stride"))
+
+
+@query("key_frames_udtf", f"WITH {_PROBE} SELECT 'fixed_interval' AS strategy, unnest(range(0, frames::BIGINT, greatest(1, floor(fps * 5)::BIGINT))[1:20]) AS position FROM probe WHERE video_id = 7")
+def key_frames_udtf(spark, d):
+    ship(spark)
+    row = _probe(spark, d).where("video_id = 7").first()
+    return key_frames(spark)(F.lit(row["frames"]), F.lit(row["fps"]), F.lit("fixed_interval"))
+
+
+@query("scene_changes")
+def scene_changes_query(spark, d):
+    histogram = F.transform(F.slice("embedding", 1, 8), lambda x: (F.abs(x) * 100).cast("double"))
+    frames = fixtures.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 25).cast("long").alias("video_id"), (F.col("vec_id") % 25).alias("position"), histogram.alias("histogram"))
+    return scene_changes(frames, threshold=400.0)
+
+
+@query("video_hash", with_views("video") + "SELECT ord, len(frames) AS n_frames, frames[len(frames) // 2 + 1] AS middle, thumb FROM video")
+def video_hash(spark, d):
+    n = F.size("frames")
+    return fixtures.video(spark, d).select("ord", n.cast("long").alias("n_frames"), F.element_at("frames", (F.floor(n / 2) + 1).cast("int")).alias("middle"), "thumb")
+
+
+@query("video_distance", with_views("video") + """, p AS (SELECT a.ord AS i, b.ord AS j, a.frames AS fa, b.frames AS fb, a.thumb AS ta, b.thumb AS tb, a.duration AS da, b.duration AS db FROM video a JOIN video b ON b.ord = a.ord + 1 OR b.ord = a.ord - 1),
+    m AS (SELECT *, list_avg(list_transform(fa, lambda x: list_min(list_transform(fb, lambda y: bit_count(xor(x, y)))))) AS f FROM p)
+    SELECT i, j, round(least(64, f * 0.6 + coalesce(bit_count(xor(ta, tb))::DOUBLE, f) * 0.3 + CASE WHEN da > 0 AND db > 0 THEN (1 - least(da, db) / greatest(da, db)) * 10 ELSE 0 END * 0.1), 6) AS distance FROM m""")
+def video_distance_query(spark, d):
+    v = fixtures.video(spark, d)
+    sides = [{c: F.col(f"{s}.{c}") for c in ("frames", "thumb", "duration")} for s in "ab"]
+    next_to = v.withColumn("near", F.explode(F.array(F.col("ord") - 1, F.col("ord") + 1)))
+    return next_to.alias("a").join(v.alias("b"), F.col("a.near") == F.col("b.ord")).select(F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), F.round(video_distance(*sides), 6).alias("distance"))

@@ -1 +1,110 @@
-"""."""
+"""Two-way state: what has changed on either side since the last snapshot, and who wins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from prismlake import fixtures
+from prismlake.fixtures import with_views
+from prismlake.registry import query
+
+FIELDS = ["is_favorite", "is_archived"]
+
+
+def changes(local: DataFrame, remote: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """A row for each asset and field that has changed: old, local_new and remote_new (null: no change), and whether they differ.
+
+    A new value that is null is no change. Assets that are missing on a side are left out.
+    """
+    sides = local.alias("l").join(remote.alias("r"), "asset_id").join(snapshot.alias("s"), "asset_id")
+    values = [F.struct(F.lit(f).alias("field"), *(F.col(f"{s}.{f}").alias(n) for s, n in (("s", "old"), ("l", "mine"), ("r", "theirs")))) for f in FIELDS]
+    long = sides.select("asset_id", F.inline(F.array(*values)))
+    new = lambda c: F.when(~F.col(c).eqNullSafe(F.col("old")), F.col(c))
+    found = long.select("asset_id", "field", "old", new("mine").alias("local_new"), new("theirs").alias("remote_new"))
+    found = found.where("local_new IS NOT NULL OR remote_new IS NOT NULL")
+    return found.withColumn("conflict", F.coalesce(F.col("local_new") != F.col("remote_new"), F.lit(False)))
+
+
+def resolve(changed: DataFrame, strategy: str) -> DataFrame:
+    """(asset_id, field, action, value): 'pull' sets the local value, 'push' the remote one, 'queue' waits for a decision.
+
+    An asset with a conflict in any field is decided as a whole, by 'remote_wins', 'local_wins' or 'manual'.
+    """
+    clash = changed.groupBy("asset_id").agg(F.max("conflict").alias("clash"))
+    rows = changed.join(clash, "asset_id")
+    pull = F.col("remote_new").isNotNull() & (~F.col("clash") | F.lit(strategy == "remote_wins"))
+    push = F.col("local_new").isNotNull() & (~F.col("clash") | F.lit(strategy == "local_wins"))
+    acts = F.array(F.when(pull, F.struct(F.lit("pull").alias("action"), F.col("remote_new").alias("value"))), F.when(push, F.struct(F.lit("push").alias("action"), F.col("local_new").alias("value"))))
+    done = rows.select("asset_id", "field", F.inline(F.filter(acts, lambda x: x.isNotNull())))
+    if strategy != "manual":
+        return done
+    return done.union(rows.where("clash AND conflict").select("asset_id", "field", F.lit("queue").alias("action"), F.lit(None).cast("boolean").alias("value")))
+
+
+def new_snapshot(remote: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """The remote state where there is one, else the old snapshot."""
+    joined = snapshot.alias("s").join(remote.withColumn("_there", F.lit(True)).alias("r"), "asset_id", "full")
+    return joined.select("asset_id", *(F.when(F.col("_there"), F.col(f"r.{f}")).otherwise(F.col(f"s.{f}")).alias(f) for f in FIELDS))
+
+
+_CHANGES = " UNION ALL ".join(
+    f"SELECT asset_id, '{f}' AS field, s.{f} AS old, CASE WHEN l.{f} IS DISTINCT FROM s.{f} THEN l.{f} END AS local_new, CASE WHEN r.{f} IS DISTINCT FROM s.{f} THEN r.{f} END AS remote_new "
+    "FROM sync_local l JOIN sync_remote r USING (asset_id) JOIN sync_snapshot s USING (asset_id)" for f in FIELDS
+)
+_VIEWS = with_views("sync_local", "sync_remote", "sync_snapshot")
+_CHANGED = f"{_VIEWS}, c AS (SELECT *, coalesce(local_new <> remote_new, false) AS conflict FROM ({_CHANGES}) WHERE local_new IS NOT NULL OR remote_new IS NOT NULL)"
+
+
+def _changed(spark, d) -> DataFrame:
+    return changes(fixtures.sync_local(spark, d), fixtures.sync_remote(spark, d), fixtures.sync_snapshot(spark, d))
+
+
+@query("sync_changes", _CHANGED + " SELECT * FROM c")
+def sync_changes(spark, d):
+    return _changed(spark, d)
+
+
+def _resolve_query(strategy: str, name: str):
+    pull = "remote_new IS NOT NULL AND " + ("true" if strategy == "remote_wins" else "NOT clash")
+    push = "local_new IS NOT NULL AND " + ("true" if strategy == "local_wins" else "NOT clash")
+    queue = " UNION ALL SELECT asset_id, field, 'queue', NULL FROM w WHERE clash AND conflict" if strategy == "manual" else ""
+    sql = f"{_CHANGED}, w AS (SELECT *, bool_or(conflict) OVER (PARTITION BY asset_id) AS clash FROM c) SELECT asset_id, field, 'pull' AS action, remote_new AS value FROM w WHERE {pull} UNION ALL SELECT asset_id, field, 'push', local_new FROM w WHERE {push}{queue}"
+    query(name, sql)(lambda spark, d: resolve(_changed(spark, d), strategy))
+
+
+for _strategy, _name in (("remote_wins", "sync_resolve_remote"), ("local_wins", "sync_resolve_local"), ("manual", "sync_resolve_manual")):
+    _resolve_query(_strategy, _name)
+
+
+@query("sync_snapshot", _VIEWS + ", r AS (SELECT *, true AS there FROM sync_remote) SELECT asset_id, CASE WHEN there THEN r.is_favorite ELSE s.is_favorite END AS is_favorite, CASE WHEN there THEN r.is_archived ELSE s.is_archived END AS is_archived FROM sync_snapshot s FULL JOIN r USING (asset_id)")
+def sync_snapshot_query(spark, d):
+    return new_snapshot(fixtures.sync_remote(spark, d), fixtures.sync_snapshot(spark, d))
+
+
+@query("conflict_queue", _CHANGED + " SELECT asset_id, count(*) AS n_fields, min(field) AS first_field FROM c WHERE conflict AND asset_id % 10 <> 0 GROUP BY asset_id")
+def conflict_queue(spark, d):
+    """Conflicts that wait, without those that have been settled."""
+    waiting = _changed(spark, d).where("conflict")
+    settled = fixtures.table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("asset_id"))
+    return waiting.join(settled, "asset_id", "left_anti").groupBy("asset_id").agg(F.count("*").alias("n_fields"), F.min("field").alias("first_field"))
+
+
+@query("hash_delta", with_views("media") + "SELECT ord, hash_hi, hash_lo FROM media WHERE ord NOT IN (SELECT event_id FROM events WHERE event_id % 2 = 0)")
+def hash_delta(spark, d):
+    """Rows whose features aren't in the cache yet."""
+    cached = fixtures.table(spark, d, "events").where("event_id % 2 = 0").select(F.col("event_id").alias("ord"))
+    return fixtures.media(spark, d).join(cached, "ord", "left_anti").select("ord", "hash_hi", "hash_lo")
+
+
+@query("resume_remaining", with_views("media") + "SELECT ord // 6 + 1 AS group_index, count(*) AS n FROM media WHERE (ord // 6 + 1) NOT IN (SELECT DISTINCT n_nationkey FROM nation) GROUP BY 1")
+def resume_remaining(spark, d):
+    done = fixtures.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("group_index"))
+    groups = fixtures.media(spark, d).groupBy((F.floor(F.col("ord") / 6) + 1).cast("long").alias("group_index")).agg(F.count("*").alias("n"))
+    return groups.join(done, "group_index", "left_anti")
+
+
+@query("progress", with_views("media") + "SELECT count(*) AS discovered, count(*) FILTER (ord % 3 <> 0) AS hashed, round(100.0::DOUBLE * count(*) FILTER (ord % 3 <> 0) / count(*), 4) AS percent, max(taken_us) AS newest_us FROM media")
+def progress(spark, d):
+    hashed = F.count_if(F.col("ord") % 3 != 0)
+    return fixtures.media(spark, d).agg(F.count("*").alias("discovered"), hashed.alias("hashed"), F.round(100.0 * hashed / F.count("*"), 4).alias("percent"), F.max("taken_us").alias("newest_us"))
