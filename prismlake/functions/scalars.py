@@ -1 +1,111 @@
-"""."""
+"""Queries of single functions over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from prismlake import fixtures
+from prismlake.fixtures import with_views
+from prismlake.functions.media import cosine_distance, dot, eye_aspect_ratio, hamming, l2, media_type
+from prismlake.registry import query
+
+
+@query("hamming", with_views("media") + "SELECT a.ord, bit_count(xor(a.hash_hi, b.hash_hi))::BIGINT + bit_count(xor(a.hash_lo, b.hash_lo))::BIGINT AS bits FROM media a JOIN media b ON b.ord = a.ord + 1")
+def hamming_query(spark, d):
+    m = fixtures.media(spark, d)
+    a, b = m.alias("a"), m.withColumn("ord", F.col("ord") - 1).alias("b")
+    return a.join(b, F.col("a.ord") == F.col("b.ord")).select("a.ord", hamming([F.col("a.hash_hi"), F.col("a.hash_lo")], [F.col("b.hash_hi"), F.col("b.hash_lo")]).alias("bits"))
+
+
+@query("hash_hex", with_views("media") + "SELECT ord, printf('%08x%08x', hash_hi, hash_lo) AS hash FROM media")
+def hash_hex(spark, d):
+    word = lambda c: F.lpad(F.lower(F.hex(c)), 8, "0")
+    return fixtures.media(spark, d).select("ord", F.concat(word("hash_hi"), word("hash_lo")).alias("hash"))
+
+
+@query("capture_time", with_views("exif") + """SELECT asset_id, epoch_us(coalesce(try_strptime(dt1, '%Y:%m:%d %H:%M:%S'), try_strptime(dt2, '%Y:%m:%d %H:%M:%S'), try_strptime(modified, '%Y-%m-%dT%H:%M:%S'))) AS taken_us FROM exif""")
+def capture_time(spark, d):
+    parse = lambda c, form: F.try_to_timestamp(c, F.lit(form)).cast("timestamp_ntz")
+    first = F.coalesce(parse("dt1", "yyyy:MM:dd HH:mm:ss"), parse("dt2", "yyyy:MM:dd HH:mm:ss"), parse("modified", "yyyy-MM-dd'T'HH:mm:ss"))
+    return fixtures.exif(spark, d).select("asset_id", fixtures.micros(first).alias("taken_us"))
+
+
+_POINTS = "list_transform(range(0, 6), lambda i: {'x': embedding[2 * i + 1]::DOUBLE, 'y': embedding[2 * i + 2]::DOUBLE})"
+_FAR = lambda i, j: f"sqrt(pow(p[{i + 1}].x - p[{j + 1}].x, 2) + pow(p[{i + 1}].y - p[{j + 1}].y, 2))"
+
+
+@query("eye_aspect_ratio", f"WITH e AS (SELECT vec_id, CASE WHEN vec_id % 9 = 0 THEN {_POINTS}[1:5] ELSE {_POINTS} END AS p FROM embeddings) SELECT vec_id, round(CASE WHEN len(p) < 6 OR {_FAR(0, 3)} = 0 THEN 1 ELSE ({_FAR(1, 5)} + {_FAR(2, 4)}) / (2 * {_FAR(0, 3)}) END, 6) AS ear FROM e")
+def eye_aspect_ratio_query(spark, d):
+    points = F.array(*(F.struct(F.col("embedding")[2 * i].cast("double").alias("x"), F.col("embedding")[2 * i + 1].cast("double").alias("y")) for i in range(6)))
+    some = F.when(F.col("vec_id") % 9 == 0, F.slice(points, 1, 5)).otherwise(points)
+    return fixtures.table(spark, d, "embeddings").select("vec_id", some.alias("p")).select("vec_id", F.round(F.when(F.size("p") < 6, 1.0).otherwise(eye_aspect_ratio(F.col("p"))), 6).alias("ear"))
+
+
+_PAIR = "FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
+
+
+@query("face_l2", f"SELECT a.vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2)))), 6) AS distance {_PAIR}")
+def face_l2(spark, d):
+    return _next_to(spark, d).select("a.vec_id", F.round(l2(F.col("a.embedding"), F.col("b.embedding")), 6).alias("distance"))
+
+
+_DOT = lambda x, y: f"list_sum(list_transform(range(1, 65), lambda i: {x}.embedding[i]::DOUBLE * {y}.embedding[i]::DOUBLE))"
+
+
+@query("face_cosine", f"SELECT a.vec_id, round(1 - {_DOT('a', 'b')} / (sqrt({_DOT('a', 'a')}) * sqrt({_DOT('b', 'b')}) + 1e-10), 6) AS distance {_PAIR}")
+def face_cosine(spark, d):
+    return _next_to(spark, d).select("a.vec_id", F.round(cosine_distance(F.col("a.embedding"), F.col("b.embedding")), 6).alias("distance"))
+
+
+def _next_to(spark, d):
+    e = fixtures.table(spark, d, "embeddings").select("vec_id", "embedding")
+    return e.alias("a").join(e.withColumn("vec_id", F.col("vec_id") - 1).alias("b"), F.col("a.vec_id") == F.col("b.vec_id"))
+
+
+@query("vector_topk", "WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 7) SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * v[i]::DOUBLE)), 5) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 20")
+def vector_topk(spark, d):
+    """The rows nearest to a query vector: a page of a ranked search."""
+    e = fixtures.table(spark, d, "embeddings")
+    wanted = F.array(*(F.lit(float(x)) for x in e.where("vec_id = 7").first()["embedding"]))
+    return e.select("vec_id", F.round(dot(F.col("embedding"), wanted), 5).alias("score")).orderBy(F.col("score").desc(), "vec_id").limit(20)
+
+
+@query("eye_contour", """WITH b AS (SELECT l_orderkey, l_linenumber, floor(l_extendedprice / 10)::BIGINT AS cx, (l_quantity * 4)::BIGINT AS cy, greatest(5, floor(l_extendedprice / 100 / 8)::BIGINT) AS r FROM lineitem)
+    SELECT l_orderkey, l_linenumber, cx - r AS x0, cx + r AS x3, cy - r // 2 AS y_up, cy + r // 2 AS y_down, round((r // 2) / r::DOUBLE, 6) AS ear FROM b""")
+def eye_contour(spark, d):
+    """Six points around an eye's centre; such an eye has the ratio of its half to its whole radius, and is never closed."""
+    cx, cy = F.floor(F.col("l_extendedprice") / 10).cast("long"), (F.col("l_quantity") * 4).cast("long")
+    r = F.greatest(F.lit(5), F.floor(F.col("l_extendedprice") / 100 / 8)).cast("long")
+    rows = fixtures.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", cx.alias("cx"), cy.alias("cy"), r.alias("r"))
+    half = F.floor(F.col("r") / 2)
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y = F.col("cx"), F.col("cy")
+    ring = F.array(point(x - F.col("r"), y), point(x - half, y - half), point(x + half, y - half), point(x + F.col("r"), y), point(x + half, y + half), point(x - half, y + half))
+    return rows.select("l_orderkey", "l_linenumber", (x - F.col("r")).alias("x0"), (x + F.col("r")).alias("x3"), (y - half).alias("y_up"), (y + half).alias("y_down"), F.round(eye_aspect_ratio(ring), 6).alias("ear"))
+
+
+@query("landmark_box", """SELECT vec_id, greatest(0, least(639, floor(list_min(embedding[1:8]) * 640)))::BIGINT AS lft, greatest(0, least(639, floor(list_max(embedding[1:8]) * 640)))::BIGINT AS rgt FROM embeddings""")
+def landmark_box(spark, d):
+    edge = lambda f: F.greatest(F.lit(0), F.least(F.lit(639), F.floor(f(F.slice("embedding", 1, 8)) * 640))).cast("long")
+    return fixtures.table(spark, d, "embeddings").select("vec_id", edge(F.array_min).alias("lft"), edge(F.array_max).alias("rgt"))
+
+
+@query("quality_formula", "SELECT event_id, round(0.4::DOUBLE * greatest(0, least(1, (value / 100 - 0.2) / 1.5)) + 0.6::DOUBLE * greatest(0, least(1, (value / 50 - 0.2) / 1.0)), 6) AS quality FROM events")
+def quality_formula(spark, d):
+    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    m, s = F.col("value") / 100, F.col("value") / 50
+    return fixtures.table(spark, d, "events").select("event_id", F.round(0.4 * clip((m - 0.2) / 1.5) + 0.6 * clip((s - 0.2) / 1.0), 6).alias("quality"))
+
+
+@query("cache_key", "SELECT page_id, md5(url) AS cache_key FROM pages")
+def cache_key(spark, d):
+    return fixtures.table(spark, d, "pages").select("page_id", F.md5("url").alias("cache_key"))
+
+
+@query("media_type_by_ext", """WITH f AS (SELECT doc_id, 'x/' || doc_id || ([ '.JPG', '.mov', '.txt', '', '.webp', '.MTS', '.tar.gz'])[doc_id % 7 + 1] AS path FROM documents)
+    SELECT doc_id, CASE WHEN e IN ('.mp4', '.mov', '.avi', '.mkv', '.webm', '.m4v', '.wmv', '.flv', '.mpg', '.mpeg', '.3gp', '.mts') THEN 'VIDEO'
+        WHEN e IN ('.jpg', '.jpeg', '.png', '.heic', '.cr2', '.nef', '.arw', '.dng', '.gif', '.webp') THEN 'IMAGE' END AS media_type FROM (SELECT doc_id, lower(regexp_extract(path, '(\\.[^./\\\\]+)$', 1)) AS e FROM f)""")
+def media_type_by_ext(spark, d):
+    ends = F.array(*map(F.lit, (".JPG", ".mov", ".txt", "", ".webp", ".MTS", ".tar.gz")))
+    path = F.concat(F.lit("x/"), "doc_id", F.element_at(ends, (F.col("doc_id") % 7 + 1).cast("int")))
+    return fixtures.table(spark, d, "documents").select("doc_id", media_type(path).alias("media_type"))
