@@ -1 +1,124 @@
-"""."""
+"""What a run would do to albums, tags, flags and files, as tables; a dry run is to look at one."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from prismlake import fixtures
+from prismlake.fixtures import with_views
+from prismlake.operators.ranking import REPORT, report_rows
+from prismlake.registry import query
+
+TAGS = "organized"
+
+
+def tag_plan(photos: DataFrame, modifications: list[str], prefix: str = TAGS) -> DataFrame:
+    """(tag, asset_id): the group's tag and its person's on all, best and changes on the best, non-best on the rest."""
+    tag = lambda text, rows: rows.select(F.concat(F.lit(f"{prefix}/"), text).alias("tag"), "asset_id")
+    best = photos.where("is_best")
+    parts = [
+        tag(F.format_string("group-%04d", "group_index"), photos), tag(F.lit("best"), best), tag(F.lit("non-best"), photos.where("NOT is_best")),
+        tag(F.concat(F.lit("person-"), "person"), photos.where("person IS NOT NULL")), *(tag(F.lit(f"modified/{m}"), best) for m in modifications),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def album_plan(photos: DataFrame) -> DataFrame:
+    """(album, asset_id): an album for each group, named by its person and number."""
+    name = F.concat_ws("-", F.lit("Organized"), "person", F.format_string("%04d", "group_index"))
+    return photos.select(name.alias("album"), "asset_id")
+
+
+def flag_plan(photos: DataFrame) -> DataFrame:
+    """(asset_id, favorite, archived): the best is a favourite, the others are archived; null leaves a flag as it is."""
+    return photos.select("asset_id", F.when(F.col("is_best"), True).alias("favorite"), F.when(~F.col("is_best"), True).alias("archived"))
+
+
+def destinations(photos: DataFrame) -> DataFrame:
+    """(group_index, ordinal, target): file names in a group's folder; the second of a name gets _1, the third _2.
+
+    A name that a file has of itself, such as a_1.jpg, is not looked for among those given.
+    """
+    again = F.row_number().over(Window.partitionBy("group_index", "filename").orderBy("ordinal")) - 1
+    stem, end = F.regexp_replace("filename", r"(\.[^.]*)$", ""), F.regexp_extract("filename", r"(\.[^.]*)$", 1)
+    target = F.when(again > 0, F.concat(stem, F.lit("_"), again, end)).otherwise(F.col("filename"))
+    return photos.withColumn("target", F.concat(F.when(F.col("is_best"), "best_").otherwise(""), target)).select("group_index", "ordinal", "target")
+
+
+def with_prefix(names: DataFrame, prefix: str) -> DataFrame:
+    return names.where(F.startswith("name", F.lit(prefix)))
+
+
+def missing_tags(plan: DataFrame, tags: DataFrame) -> DataFrame:
+    """Tags of a plan that are to be made first."""
+    return plan.select(F.col("tag").alias("name")).distinct().join(tags.select("name"), "name", "left_anti")
+
+
+def cleanup_plan(photos: DataFrame, tags: DataFrame, albums: DataFrame, prefix: str) -> DataFrame:
+    """(step, action, target): what undoes a run, in order."""
+    row = lambda step, action, rows, key: rows.select(F.lit(step).alias("step"), F.lit(action).alias("action"), F.col(key).alias("target"))
+    parts = [row(1, "unfavorite", photos.where("is_best"), "asset_id"), row(2, "unarchive", photos.where("NOT is_best"), "asset_id"), row(3, "delete_tag", with_prefix(tags, prefix), "name"), row(4, "delete_album", with_prefix(albums, prefix), "name")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def keyworded(rows: DataFrame, keywords: Column, prefix: str) -> DataFrame:
+    return rows.where(F.exists(keywords, lambda k: F.startswith(k, F.lit(prefix))))
+
+
+_VIEWS = with_views("media") + f", {REPORT}"
+
+
+@query("tag_plan", _VIEWS + f""" SELECT '{TAGS}/group-' || printf('%04d', group_index) AS tag, asset_id FROM report UNION ALL SELECT '{TAGS}/best', asset_id FROM report WHERE is_best
+    UNION ALL SELECT '{TAGS}/non-best', asset_id FROM report WHERE NOT is_best UNION ALL SELECT '{TAGS}/person-' || person, asset_id FROM report WHERE person IS NOT NULL
+    UNION ALL SELECT '{TAGS}/modified/hdr', asset_id FROM report WHERE is_best""")
+def tag_plan_query(spark, d):
+    return tag_plan(report_rows(spark, d), ["hdr"])
+
+
+@query("album_plan", _VIEWS + " SELECT concat_ws('-', 'Organized', person, printf('%04d', group_index)) AS album, asset_id FROM report")
+def album_plan_query(spark, d):
+    return album_plan(report_rows(spark, d))
+
+
+@query("favorite_archive_plan", _VIEWS + " SELECT asset_id, CASE WHEN is_best THEN true END AS favorite, CASE WHEN NOT is_best THEN true END AS archived FROM report")
+def favorite_archive_plan(spark, d):
+    return flag_plan(report_rows(spark, d))
+
+
+@query("dest_filenames", _VIEWS + """, f AS (SELECT group_index, ordinal, is_best, 'IMG_' || (ordinal % 2) || '.jpg' AS filename FROM report), r AS (SELECT *, row_number() OVER (PARTITION BY group_index, filename ORDER BY ordinal) - 1 AS k FROM f)
+    SELECT group_index, ordinal, CASE WHEN is_best THEN 'best_' ELSE '' END || CASE WHEN k > 0 THEN regexp_replace(filename, '\\.[^.]*$', '') || '_' || k || '.jpg' ELSE filename END AS target FROM r""")
+def dest_filenames(spark, d):
+    return destinations(report_rows(spark, d).withColumn("filename", F.concat(F.lit("IMG_"), F.col("ordinal") % 2, F.lit(".jpg"))))
+
+
+@query("tags_by_prefix", "SELECT n_name AS name FROM nation WHERE starts_with(n_name, 'I')")
+def tags_by_prefix(spark, d):
+    return with_prefix(fixtures.table(spark, d, "nation").select(F.col("n_name").alias("name")), "I")
+
+
+@query("missing_tags", _VIEWS + f" SELECT DISTINCT '{TAGS}/group-' || printf('%04d', group_index) AS name FROM report WHERE group_index % 2 = 0")
+def missing_tags_query(spark, d):
+    plan = tag_plan(report_rows(spark, d), []).where(F.contains("tag", F.lit("/group-")))
+    there = report_rows(spark, d).where("group_index % 2 <> 0").select(F.format_string(f"{TAGS}/group-%04d", "group_index").alias("name")).distinct()
+    return missing_tags(plan, there)
+
+
+@query("albums_by_prefix", "SELECT count(*) AS matched, count(*) FILTER (c_acctbal > 0) AS deleted FROM customer WHERE starts_with(c_mktsegment, 'MA')")
+def albums_by_prefix(spark, d):
+    albums = fixtures.table(spark, d, "customer").withColumn("name", F.col("c_mktsegment"))
+    return with_prefix(albums, "MA").agg(F.count("*").alias("matched"), F.count_if(F.col("c_acctbal") > 0).alias("deleted"))
+
+
+@query("cleanup_plan", _VIEWS + """ SELECT 1 AS step, 'unfavorite' AS action, asset_id AS target FROM report WHERE is_best UNION ALL SELECT 2, 'unarchive', asset_id FROM report WHERE NOT is_best
+    UNION ALL SELECT 3, 'delete_tag', n_name FROM nation WHERE starts_with(n_name, 'I') UNION ALL SELECT 4, 'delete_album', r_name FROM region WHERE starts_with(r_name, 'I')""")
+def cleanup_plan_query(spark, d):
+    name = lambda t, c: fixtures.table(spark, d, t).select(F.col(c).alias("name"))
+    return cleanup_plan(report_rows(spark, d), name("nation", "n_name"), name("region", "r_name"), "I")
+
+
+@query("keyword_prefix_count", "SELECT count(*) AS n FROM part WHERE starts_with(p_brand, 'Brand#1') OR starts_with(p_type, 'Brand#1')")
+def keyword_prefix_count(spark, d):
+    return keyworded(fixtures.table(spark, d, "part"), F.array("p_brand", "p_type"), "Brand#1").agg(F.count("*").alias("n"))

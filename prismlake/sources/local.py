@@ -1 +1,45 @@
-"""."""
+"""Files of a folder, and JSON documents of reports and states."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prismlake.functions.media import extension, media_type
+from prismlake.registry import query
+
+
+def scan(spark: SparkSession, root: str, types: list[str] | None = None, kind: str | None = None, folder: str = "", limit: int | None = None) -> DataFrame:
+    """(photo_id, filename, filesize, modified_us, media_type) of a folder's files; ids are paths below it. Bytes are not read.
+
+    None as limit is all; otherwise the first in order of id.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root.rstrip('/')}/{folder}".rstrip("/"))
+    place = F.split_part("path", F.lit(root.rstrip("/").split("://")[-1] + "/"), F.lit(-1))
+    found = files.select(place.alias("photo_id"), F.substring_index("path", "/", -1).alias("filename"), F.col("length").alias("filesize"), F.unix_micros("modificationTime").alias("modified_us"), media_type(F.col("path")).alias("media_type"))
+    found = found.where(extension(F.col("filename")).isin(types)) if types else found.where("media_type IS NOT NULL")
+    found = found.where(F.col("media_type") == kind) if kind else found
+    return found.orderBy("photo_id").limit(limit) if limit is not None else found
+
+
+def contents(spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:
+    """(photo_id, content) for the ids wanted."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    place = F.split_part("path", F.lit(root.rstrip("/").split("://")[-1] + "/"), F.lit(-1))
+    return files.select(place.alias("photo_id"), "content").join(ids, "photo_id", "left_semi")
+
+
+STATE = "version int, processed_hashes map<string,string>, completed_groups array<bigint>, discovered bigint, hashed bigint, last_sync string"
+
+
+def state(spark: SparkSession, path: str) -> DataFrame:
+    """A state document with fields of older versions filled in."""
+    found = spark.read.schema(STATE).option("multiLine", True).json(path)
+    empty = {"version": F.lit(1), "processed_hashes": F.create_map().cast("map<string,string>"), "completed_groups": F.array().cast("array<bigint>"), "discovered": F.lit(0), "hashed": F.lit(0)}
+    return found.withColumns({c: F.coalesce(c, v) for c, v in empty.items()})
+
+
+@query("scan_local")
+def scan_local(spark, d):
+    """The input's own files."""
+    return scan(spark, d, types=[".parquet"]).select("photo_id", "filename", "filesize", "media_type")

@@ -1 +1,71 @@
-"""."""
+"""Polling as a stream: each micro-batch of changed assets is grouped on its own; the checkpoint is the cursor."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from prismlake import fixtures
+from prismlake.config import GroupingConfig
+from prismlake.operators.similarity import greedy_groups, similar_pairs
+from prismlake.registry import query
+from prismlake.storage import kept, new_path
+
+
+def grouped_batch(media: DataFrame, batch_id: int, config: GroupingConfig) -> DataFrame:
+    """Groups among a batch's own assets; earlier ones are not looked at."""
+    found = greedy_groups(similar_pairs(kept(media, "batch"), config), config.least)
+    return found.withColumn("batch_id", F.lit(batch_id).cast("long"))
+
+
+def poll(stream: DataFrame, out: str, checkpoint: str, config: GroupingConfig, every: str | None = None, also: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Groups a stream of assets batch by batch into out/batch_id=…; the cursor moves when a batch's groups are written.
+
+    A batch that fails is tried again, and overwrites what it has written. `every` polls on; without it what is there now
+    is taken and the query ends. `also` sees each batch as well, such as to reconcile the state of its assets.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        grouped_batch(batch, batch_id, config).drop("batch_id").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        if also:
+            also(batch, batch_id)
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def landed(spark: SparkSession, media: DataFrame, files: int) -> tuple[str, DataFrame]:
+    """Assets written as so many files in order, and the stream that reads them one by one."""
+    path = new_path(spark, "landing")
+    media.repartitionByRange(files, "ord").write.parquet(path)
+    return path, spark.readStream.schema(media.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("stream_batches")
+def stream_batches(spark, d):
+    _, stream = landed(spark, fixtures.media(spark, d), 3)
+    out = new_path(spark, "stream-groups")
+    running = poll(stream, out, new_path(spark, "cursor"), GroupingConfig(threshold=22, window_s=0, min_size=2))
+    running.awaitTermination()
+    return spark.read.parquet(out).groupBy("batch_id").agg(F.count("*").alias("members"), F.count_distinct("leader").alias("groups"))
+
+
+@query("stream_from_latest")
+def stream_from_latest(spark, d):
+    """The first cycle records where it stands and takes nothing; the second takes what has come since."""
+    path, stream = landed(spark, fixtures.media(spark, d).where("ord < 100"), 1)
+    out, cursor, seen = new_path(spark, "stream-latest"), new_path(spark, "cursor"), []
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        seen.append(batch_id)
+        if batch_id:
+            batch.select("ord", F.lit(batch_id).alias("batch_id")).write.mode("overwrite").parquet(f"{out}/part={batch_id}")
+
+    start = lambda: stream.writeStream.foreachBatch(each).option("checkpointLocation", cursor).trigger(availableNow=True).start().awaitTermination()
+    start()
+    fixtures.media(spark, d).where("ord BETWEEN 100 AND 149").coalesce(1).write.mode("append").parquet(path)
+    start()
+    return spark.read.parquet(out).select("ord", "batch_id")
