@@ -19,13 +19,16 @@ from prismlake.storage import kept
 WANTED, EXCLUDED = ["SUPPLIER#000000003", "supplier#000000007"], ["SUPPLIER#000000001", "supplier#000000004"]
 
 
-@F.pandas_udf("string")
-def composed(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Unicode's composed form; Spark has no such function."""
+def _compose(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in names:
         yield batch.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+def composed(name: Column) -> Column:
+    """Unicode's composed form; Spark has no such function."""
+    return F.pandas_udf(_compose, "string")(name)
+
+
 def named(people: DataFrame, wanted: list[str]) -> DataFrame:
     """People whose name is among the wanted ones, in either case."""
     return people.where(F.lower("name").isin([w.lower() for w in wanted]))

@@ -34,7 +34,7 @@ def _bands(threshold: int) -> list[Column]:
     n = threshold + 1
     edges = [round(64 * i / n) for i in range(n + 1)]
     hash_ = F.shiftleft("hash_hi", 32).bitwiseOR(F.col("hash_lo"))
-    return [F.concat_ws(":", F.lit(i), F.shiftrightunsigned(hash_, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
+    return [F.concat_ws(":", F.lit(i), F.shiftrightunsigned(hash_, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1))) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
 
 
 def similar_pairs(media: DataFrame, config: GroupingConfig, key: str | None = None) -> DataFrame:

@@ -94,9 +94,9 @@ def dest_filenames(spark, d):
     return destinations(report_rows(spark, d).withColumn("filename", F.concat(F.lit("IMG_"), F.col("ordinal") % 2, F.lit(".jpg"))))
 
 
-@query("tags_by_prefix", "SELECT n_name AS name FROM nation WHERE starts_with(n_name, 'I')")
+@query("tags_by_prefix", "SELECT n_name AS name FROM nation WHERE starts_with(n_name, 'NATION_1')")
 def tags_by_prefix(spark, d):
-    return with_prefix(fixtures.table(spark, d, "nation").select(F.col("n_name").alias("name")), "I")
+    return with_prefix(fixtures.table(spark, d, "nation").select(F.col("n_name").alias("name")), "NATION_1")
 
 
 @query("missing_tags", _VIEWS + f" SELECT DISTINCT '{TAGS}/group-' || printf('%04d', group_index) AS name FROM report WHERE group_index % 2 = 0")
@@ -113,10 +113,10 @@ def albums_by_prefix(spark, d):
 
 
 @query("cleanup_plan", _VIEWS + """ SELECT 1 AS step, 'unfavorite' AS action, asset_id AS target FROM report WHERE is_best UNION ALL SELECT 2, 'unarchive', asset_id FROM report WHERE NOT is_best
-    UNION ALL SELECT 3, 'delete_tag', n_name FROM nation WHERE starts_with(n_name, 'I') UNION ALL SELECT 4, 'delete_album', r_name FROM region WHERE starts_with(r_name, 'I')""")
+    UNION ALL SELECT 3, 'delete_tag', n_name FROM nation WHERE starts_with(n_name, 'N') UNION ALL SELECT 4, 'delete_album', r_name FROM region WHERE starts_with(r_name, 'N')""")
 def cleanup_plan_query(spark, d):
     name = lambda t, c: fixtures.table(spark, d, t).select(F.col(c).alias("name"))
-    return cleanup_plan(report_rows(spark, d), name("nation", "n_name"), name("region", "r_name"), "I")
+    return cleanup_plan(report_rows(spark, d), name("nation", "n_name"), name("region", "r_name"), "N")
 
 
 @query("keyword_prefix_count", "SELECT count(*) AS n FROM part WHERE starts_with(p_brand, 'Brand#1') OR starts_with(p_type, 'Brand#1')")
