@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from prismlake import fixtures
 from prismlake.fixtures import with_views
+from prismlake.functions.backends import quality
 from prismlake.functions.media import cosine_distance, dot, eye_aspect_ratio, hamming, l2, media_type
 from prismlake.registry import query
 
@@ -92,9 +93,7 @@ def landmark_box(spark, d):
 
 @query("quality_formula", "SELECT event_id, round(0.4::DOUBLE * greatest(0, least(1, (value / 100 - 0.2) / 1.5)) + 0.6::DOUBLE * greatest(0, least(1, (value / 50 - 0.2) / 1.0)), 6) AS quality FROM events")
 def quality_formula(spark, d):
-    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    m, s = F.col("value") / 100, F.col("value") / 50
-    return fixtures.table(spark, d, "events").select("event_id", F.round(0.4 * clip((m - 0.2) / 1.5) + 0.6 * clip((s - 0.2) / 1.0), 6).alias("quality"))
+    return fixtures.table(spark, d, "events").select("event_id", F.round(quality(F.col("value") / 100, F.col("value") / 50), 6).alias("quality"))
 
 
 @query("cache_key", "SELECT page_id, md5(url) AS cache_key FROM pages")

@@ -72,6 +72,11 @@ def report_groups(members: DataFrame) -> DataFrame:
     return members.groupBy("group_index").agg(F.count("*").alias("photo_count"), best, F.array_sort(F.collect_list(photo)).alias("photos"))
 
 
+def write_report(groups: DataFrame, path: str, settings: dict[str, str]) -> None:
+    """One JSON document for each group, with the run's settings; written once, for all groups."""
+    groups.withColumn("settings", F.create_map(*(F.lit(x) for pair in settings.items() for x in pair))).write.mode("overwrite").json(path)
+
+
 _P = "p AS (SELECT group_index, ordinal, asset_id, is_best FROM report)"
 
 

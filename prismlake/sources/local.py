@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismlake.config import GroupingConfig
 from prismlake.functions.media import extension, media_type
 from prismlake.registry import query
 
@@ -39,6 +44,16 @@ def state(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumns({c: F.coalesce(c, v) for c, v in empty.items()})
 
 
+def fingerprint(source: str, path: str, config: GroupingConfig) -> str:
+    """What a run's checkpoint belongs to: all that its result depends on. A run resumes only one of the same fingerprint."""
+    return hashlib.sha256(json.dumps([source, path, asdict(config)], sort_keys=True).encode()).hexdigest()
+
+
+def write_state(df: DataFrame, path: str) -> None:
+    """The document in one file; Spark's committer puts it in place when it is whole."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
 @query("scan_local")
 def scan_local(spark, d):
     """The input's own files."""

@@ -123,3 +123,55 @@ def test_local_scan(spark, tmp_path):
     assert [bytes(r.content) for r in local.contents(spark, str(tmp_path), ids).collect()] == [b"x" * 8]
     (tmp_path / "state.json").write_text('{"processed_hashes": {"a": "ff"}}')
     assert local.state(spark, str(tmp_path / "state.json")).first()[:3] == (1, {"a": "ff"}, [])
+
+
+def test_backends_that_fail_or_are_missing_leave_nulls(spark):
+    from prismlake.functions import backends
+
+    @backends.register
+    class Bytes(backends.FaceBackend):
+        name = "bytes"
+
+        def load(self, content):
+            if not content:
+                raise ValueError("no image")
+            return content
+
+        def detect(self, image):
+            return [{"top": 0, "right": len(image), "bottom": 1, "left": 0}]
+
+        def encode(self, image):
+            return [[float(image[0])]]
+
+    @backends.register
+    class Missing(Bytes):
+        name = "missing"
+        needs = ("a_module_that_is_not_there",)
+
+    images = spark.createDataFrame([("a", b"xyz"), ("b", b"")], "photo_id string, content binary")
+    assert backends.choose("missing") is None and backends.choose("auto", ("missing", "bytes")) is Bytes
+    found = {r.photo_id: r for r in backends.with_faces(images, Bytes).collect()}
+    assert found["a"].faces[0].right == 3 and found["a"].encodings == [[120.0]] and found["b"].faces is None
+    assert backends.with_faces(images, None).where("faces IS NULL").count() == 2
+    del backends.BACKENDS["bytes"], backends.BACKENDS["missing"]
+
+
+def test_difference_hash(spark):
+    from prismlake.functions.backends import difference_hash
+
+    row = [list(range(9)) * 8, list(range(8, -1, -1)) * 8, [0, 1] + [0] * 70]
+    df = spark.createDataFrame([(r,) for r in row], "p array<int>")
+    assert [r[0] % (1 << 64) for r in df.select(difference_hash(F.col("p"))).collect()] == [(1 << 64) - 1, 0, 1 << 63]
+
+
+def test_fingerprints_and_documents(spark, tmp_path):
+    from prismlake.config import GroupingConfig
+
+    config = GroupingConfig()
+    assert local.fingerprint("local", "/a", config) != local.fingerprint("local", "/a", GroupingConfig(window_s=10)) and config.least == 3
+    groups = report.report_groups(spark.createDataFrame([(1, 1, "p1", "a.jpg", 0.5), (1, 2, "p2", "b.jpg", 0.9)], "group_index long, ordinal long, photo_id string, filename string, score double"))
+    report.write_report(groups, str(tmp_path / "report"), {"threshold": "5"})
+    found = spark.read.json(str(tmp_path / "report")).first()
+    assert found.best_photo.photo_id == "p2" and found.photo_count == 2 and found.settings.threshold == "5"
+    local.write_state(spark.createDataFrame([({"a": "ff"},)], "processed_hashes map<string,string>"), str(tmp_path / "state"))
+    assert local.state(spark, str(tmp_path / "state")).first().processed_hashes == {"a": "ff"}
