@@ -28,8 +28,9 @@ from prismlake.llm.common import documents, kept, size_bins, small, with_compute
 LENGTH, TRIGGER, WIDTH = 200, 16, 150
 #: Bytes after a trigger that all of its strings have.
 CORE = LENGTH - WIDTH + 1
-#: Triggers and spans that are sent to all executors at most, and triggers of one core that are sorted in one task.
-SENT, SORTED = 2_000_000, 50_000
+#: Triggers of one core that are sorted in one task; for more, their strings are counted by hash. And crowded cores that
+#: are sent to all executors at most.
+SORTED, SENT = 50_000, 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 
@@ -223,9 +224,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     parsed = with_computed(texts.select("uid", "text"), _parsed, "place array<bigint>, core array<bigint>, whole array<bigint>", drop=["text"])
     zipped = F.explode(F.arrays_zip("place", "core", "whole")).alias("x")
     parse = kept(parsed.select("uid", zipped).select("uid", "x.place", "x.core", "x.whole"), "parse")
-    again = parse.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    # written on its own, so that the join can split a core that very many triggers have
+    again = kept(parse.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores-twice")
     cand = kept(parse.join(again, "core"), "repeated-cores")
-    whole = cand.groupBy("whole").agg(F.count("*").alias("n")).where("n > 1").select("whole", F.lit(True).alias("all"))
+    whole = kept(cand.groupBy("whole").agg(F.count("*").alias("n")).where("n > 1").select("whole", F.lit(True).alias("all")), "whole-twice")
     split = kept(cand.join(whole, "whole", "left").select("uid", "place", "core", "all"), "repeats")
     t = F.shiftright("place", 16)
     low, high = t - F.shiftright("place", 8).bitwiseAND(F.lit(255)), t - F.col("place").bitwiseAND(F.lit(255))
@@ -237,7 +239,6 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     left = kept(alone.union(one.join(alone.select("core").distinct(), "core", "left_semi").select("uid", "place", "core")), "open")
     n_left = left.count()
     wanted = kept(left.groupBy("uid").agg(F.collect_set("place").alias("places")), "open-triggers")
-    wanted = F.broadcast(wanted) if n_left <= SENT else wanted
     shown = with_computed(texts.join(wanted, "uid").select("uid", "text", "places"), _contexts, "x array<struct<place:bigint,before:binary,after:binary>>", drop=["text", "places"])
     shown = shown.select("uid", F.inline("x"))
     core_of = F.xxhash64(F.substring("after", 1, CORE))
@@ -271,7 +272,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop("removed", "kept_bytes", "_uid", "_spans")
     found = repeated_spans(docs)
-    found = (F.broadcast(found) if found.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= SENT else found).select(F.col("uid").alias("_uid"), F.col("spans").alias("_spans"))
+    found = found.select(F.col("uid").alias("_uid"), F.col("spans").alias("_spans"))
     joined = docs.join(found, uid() == F.col("_uid"), "left").drop("_uid")
 
     def cut(batch: pa.RecordBatch) -> list[pa.Array]:
