@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismlake.shipping import ship
+from prismlake.storage import Kept, kept, new_path, small
+
+__all__ = ["NO_KEY", "WORD", "Kept", "documents", "kept", "key_of", "new_path", "running", "size_bins", "small", "with_computed"]
 
 #: A word, as Spark and DuckDB write it. bytes.split() parts at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,62 +23,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a temporary one only where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-
-
-@cache
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="prismlake-")
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_folder(spark).rstrip('/')}/prismlake-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _clear() -> None:
-    for spark, path in _written:
-        try:
-            if spark.sparkContext._jsc is not None:
-                delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended before us
-            pass
-
-
-class Kept:
-    """A table written once to the shared folder, so that a lost executor loses none of it and no step runs twice."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark, self.path = df.sparkSession, new_path(df.sparkSession, name)
-        df.write.option("compression", "zstd").parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        delete(self.spark, self.path)
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    return Kept(df, name).df
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for broadcast if it has no more than so many rows; else as it is, for a shuffled join. df should be kept."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def key_of(column: str) -> Column:
     """A key that is never null, in the order of the column's code points, null last."""
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(NO_KEY))
