@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismlake import fixtures
 from prismlake.config import GroupingConfig
 from prismlake.fixtures import with_views
 from prismlake.functions.media import hamming, video_distance
+from prismlake.ordering import numbered
 from prismlake.registry import query
 from prismlake.shipping import ship
 from prismlake.storage import Kept, kept, small
@@ -53,8 +54,6 @@ def similar_pairs(media: DataFrame, config: GroupingConfig, key: str | None = No
     if config.threshold <= BANDED:
         banded = own.withColumn("band", F.explode(F.array(*_bands(config.threshold))))
         return banded.alias("a").join(banded.alias("b"), (F.col("a.band") == F.col("b.band")) & before & near).select(*out).distinct()
-    if key:
-        return own.alias("a").join(own.alias("b"), same_key & before & near).select(*out)
     if not config.window_s:
         return own.alias("a").join(own.alias("b"), before & near).select(*out)
     dated, undated = own.where("taken_us IS NOT NULL").withColumn("bucket", F.floor(F.col("taken_us") / (config.window_s * MICROS))), own.where("taken_us IS NULL")
@@ -82,7 +81,7 @@ def leaders(edges: DataFrame) -> DataFrame:
     edges are walked in one task; many are settled round by round, each row as soon as all nearer to the front are.
     """
     edges = kept(edges.select("i", "j"), "edges")
-    if edges.limit(WALKED + 1).count() <= WALKED:
+    if edges.count() <= WALKED:
         ship(edges.sparkSession)
         return edges.coalesce(1).mapInArrow(_walk, "node bigint, leader bigint")
     nodes = edges.select(F.col("i").alias("node")).union(edges.select(F.col("j").alias("node"))).distinct()
@@ -118,13 +117,12 @@ def greedy_groups(pairs: DataFrame, least: int) -> DataFrame:
 
     Members of groups that are too small are spent all the same.
     """
-    from pyspark.sql import Window
-
-    members = leaders(pairs)
-    sized = members.withColumn("size", F.count("*").over(Window.partitionBy("leader"))).where(F.col("size") >= max(least, 2))
-    index = sized.select("leader").distinct().withColumn("group_index", F.row_number().over(Window.orderBy("leader")).cast("long"))
+    members = kept(leaders(pairs), "members")
+    sizes = kept(members.groupBy("leader").agg(F.count("*").alias("size")).where(F.col("size") >= max(least, 2)), "sizes")
+    index = numbered(sizes, "leader", "group_index", sizes.count())
+    sized = members.join(index, "leader")
     ordinal = F.row_number().over(Window.partitionBy("leader").orderBy("node")).cast("long")
-    return sized.join(index, "leader").select("group_index", "leader", F.col("node").alias("ord"), ordinal.alias("ordinal"), "size")
+    return sized.select("group_index", "leader", F.col("node").alias("ord"), ordinal.alias("ordinal"), "size")
 
 
 def leader_sql(nodes: str, adjacent: str, least: int = 3, group: str = "") -> str:

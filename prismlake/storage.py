@@ -63,4 +63,4 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df, marked for broadcast if it has no more than so many rows; else as it is, for a shuffled join. df should be kept."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
