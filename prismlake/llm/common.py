@@ -1,13 +1,13 @@
-"""What the training-data operators share: inputs, shared storage, and sums over an order too long for one task."""
+"""What the training-data operators share: inputs, and columns computed in Python."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from prismlake.ordering import NO_KEY, key_of, running, size_bins
 from prismlake.shipping import ship
 from prismlake.storage import Kept, kept, new_path, small
 
@@ -15,24 +15,12 @@ __all__ = ["NO_KEY", "WORD", "Kept", "documents", "kept", "key_of", "new_path",
 
 #: A word, as Spark and DuckDB write it. bytes.split() parts at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Stands for null where a key is needed.
-NO_KEY = "~"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def key_of(column: str) -> Column:
-    """A key that is never null, in the order of the column's code points, null last."""
-    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(NO_KEY))
-
-
-def size_bins(rows: int, a_bin: int = 20_000, least: int = 16) -> int:
-    """So many bins that each holds about a_bin rows."""
-    return max(least, -(-rows // a_bin))
-
-
 def with_computed(df: DataFrame, compute: Callable[[pa.RecordBatch], list[pa.Array]], added: str, drop: Sequence[str] = ()) -> DataFrame:
     """df without the columns `drop`, and with those of the schema `added`, which `compute` makes from each Arrow batch."""
     ship(df.sparkSession)
@@ -46,21 +34,3 @@ def with_computed(df: DataFrame, compute: Callable[[pa.RecordBatch], list[pa.Arr
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in stays), *made], names=names)
 
     return df.mapInArrow(run, schema)
-
-
-def running(df: DataFrame, keys: Sequence[str], bin_col: str, order: Sequence[Column], value: Column, out: str) -> DataFrame:
-    """Adds `out`: the sum of `value` over the rows before each one, for equal `keys`, ordered by `bin_col` and then `order`.
-
-    Only the sums of the bins are ordered in one place; the rows are ordered bin by bin, so a key that holds most rows
-    still spreads over as many tasks as it has bins. Null keys form a group of their own. Ties in `order` must be rows
-    that the caller doesn't tell apart.
-    """
-    names = [f"_{k}_key" for k in keys]
-    df = df.withColumns({n: key_of(k) for n, k in zip(names, keys, strict=True)} | {"_value": value})
-    sums = df.groupBy(*names, bin_col).agg(F.sum("_value").alias("_sum"))
-    before = Window.partitionBy(*names).orderBy(bin_col).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*names, bin_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    own = df.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    joined = own.join(starts, [*names, bin_col])
-    return joined.withColumn(out, F.col("_start") + F.col("_inside")).drop(*names, "_value", "_inside", "_start")
