@@ -227,15 +227,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     # written on its own, so that the join can split a core that very many triggers have
     again = kept(parse.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores-twice")
     cand = kept(parse.join(again, "core"), "repeated-cores")
-    whole = kept(cand.groupBy("whole").agg(F.count("*").alias("n")).where("n > 1").select("whole", F.lit(True).alias("all")), "whole-twice")
-    split = kept(cand.join(whole, "whole", "left").select("uid", "place", "core", "all"), "repeats")
+    shown = F.min(F.struct("uid", "place", "core")).alias("shown")
+    whole = kept(cand.groupBy("whole").agg(F.count("*").alias("n"), shown).where("n > 1").select("whole", "shown"), "whole-twice")
+    split = kept(cand.join(whole.select("whole", F.lit(True).alias("all")), "whole", "left").select("uid", "place", "core", "all"), "repeats")
     t = F.shiftright("place", 16)
     low, high = t - F.shiftright("place", 8).bitwiseAND(F.lit(255)), t - F.col("place").bitwiseAND(F.lit(255))
     sure = split.where("all").select("uid", low.alias("span_start"), (high + LENGTH).alias("span_end"))
 
     # an open trigger may have strings of one that repeats as a whole; of these one of each kind is shown as well
     alone = split.where("all IS NULL").select("uid", "place", "core")
-    one = cand.join(whole, "whole").groupBy("whole", "core").agg(F.min(F.struct("uid", "place")).alias("x")).select("x.uid", "x.place", "core")
+    one = whole.select("shown.*")
     left = kept(alone.union(one.join(alone.select("core").distinct(), "core", "left_semi").select("uid", "place", "core")), "open")
     n_left = left.count()
     wanted = kept(left.groupBy("uid").agg(F.collect_set("place").alias("places")), "open-triggers")
