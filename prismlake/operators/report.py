@@ -38,16 +38,15 @@ def split_group(photos: DataFrame, group: int, moved: Column) -> DataFrame:
     If the source loses its best, its first photo is it. A group from which all or none would move stays as it is.
     """
     goes = (F.col("group_index") == group) & moved
-    every, own = Window.partitionBy(), Window.partitionBy("group_index")
-    marked = photos.withColumn("_goes", goes)
-    totals = marked.agg(F.max("group_index").alias("_last"), F.count_if(F.col("_goes")).alias("_n"), F.count_if((F.col("group_index") == group) & ~F.col("_goes")).alias("_left"))
-    sound = (F.col("_n") > 0) & (F.col("_left") > 0)
-    placed = marked.join(F.broadcast(totals)).withColumn("group_index", F.when(F.col("_goes") & sound, F.col("_last") + 1).otherwise(F.col("group_index")))  # one row of totals
+    marked, own = photos.withColumn("_goes", goes), Window.partitionBy("group_index")
+    last, n, left = marked.agg(F.max("group_index"), F.count_if(F.col("_goes")), F.count_if((F.col("group_index") == group) & ~F.col("_goes"))).first()
+    if not n or not left:
+        return photos
+    placed = marked.withColumn("group_index", F.when(F.col("_goes"), F.lit(last + 1).cast("long")).otherwise(F.col("group_index")))
     at = own.orderBy("ordinal")
     first = F.row_number().over(at) == 1
     has_best = F.max(F.col("is_best") & ~F.col("_goes")).over(own)
-    new = F.col("_goes") & sound
-    best = F.when(new, first).when((F.col("group_index") == group) & sound & ~has_best, first).otherwise(F.col("is_best"))
+    best = F.when(F.col("_goes") | ((F.col("group_index") == group) & ~has_best), first).otherwise(F.col("is_best"))
     return placed.select("group_index", F.row_number().over(at).cast("long").alias("ordinal"), "asset_id", best.alias("is_best"))
 
 
