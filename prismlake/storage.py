@@ -64,3 +64,19 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df, marked for broadcast if it has no more than so many rows; else as it is, for a shuffled join. df should be kept."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+class Scratch:
+    """Keeps tables for the length of a `with` block; what the block returns must not be read from them."""
+
+    def __enter__(self) -> Scratch:
+        self.tables: list[Kept] = []
+        return self
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(Kept(df, name))
+        return self.tables[-1].df
+
+    def __exit__(self, *_) -> None:
+        for table in self.tables:
+            table.drop()
