@@ -25,11 +25,6 @@ def _mix(*parts: Column | str | int) -> Column:
     return F.xxhash64(*(F.lit(p) if isinstance(p, int) else p for p in parts)).bitwiseAND(F.lit((1 << 63) - 1))
 
 
-def _quota(rows: int, shards: int) -> Column:
-    """Rows of a shard: counts that differ by one at most."""
-    return F.lit(rows // shards) + (F.col("shard") < rows % shards).cast("long")
-
-
 def _first(moves: DataFrame, lane: str, limit: dict[int, int], bins: int) -> DataFrame:
     """Of moves (lane, group, n, gain) so much of n as the lane's limit lets in, larger gains first."""
     level = F.lit(64) - F.length(F.bin(F.greatest("gain", F.lit(0))))
@@ -106,13 +101,15 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     taken = F.array_min(F.filter("runs", lambda r: r["end"] > F.col("number")))["shard"]
     placed = kept(numbered.join(runs, "group", "left").select("doc_id", "size", "text_crc32", "group", "_bin", taken.alias("shard")), "placed")
 
-    load = placed.where("shard IS NOT NULL").groupBy("shard").agg(F.count("*").alias("load"))
-    every = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
-    gaps = every.join(load, "shard", "left").select("shard", (_quota(rows, shards) - F.coalesce("load", F.lit(0))).alias("gap"))
-    ends = gaps.withColumn("end", F.sum("gap").over(Window.orderBy("shard"))).where("gap > 0")
-    ends = F.broadcast(kept(ends.agg(F.sort_array(F.collect_list(F.struct("end", F.col("shard").alias("to")))).alias("ends")), "gaps"))  # one row
+    gap = {s: rows // shards + (s < rows % shards) for s in range(shards)}
+    for r in placed.where("shard IS NOT NULL").groupBy("shard").agg(F.count("*").alias("n")).collect():  # a row for each shard
+        gap[r["shard"]] -= r["n"]
+    ends = [(sum(gap[x] for x in range(s + 1)), s) for s in range(shards) if gap[s]]
     free = running(placed.where("shard IS NULL").withColumn("all", F.lit(0)), ["all"], "_bin", [F.col("doc_id"), F.col("group")], F.lit(1), "number")
-    filled = free.join(ends).withColumn("shard", F.array_min(F.filter("ends", lambda e: e["end"] > F.col("number")))["to"])
+    to = F.lit(None).cast("int")
+    for end, s in reversed(ends):
+        to = F.when(F.col("number") < end, s).otherwise(to)
+    filled = free.withColumn("shard", to)
     columns = ["doc_id", "size", "text_crc32", "group", "_bin", "shard"]
     done = kept(placed.where("shard IS NOT NULL").select(columns).union(filled.select(columns)), "filled")
     slotted = running(done, ["shard"], "_bin", [F.col("doc_id"), F.col("group")], F.lit(1), "slot")
