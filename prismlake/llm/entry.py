@@ -11,7 +11,7 @@ _QUERIES = [
     ("op1_quality_classifier", "classifier", None),
     ("op2_pareto_mix", "mixing", "OP2_SQL"),
     ("op3_balanced_shards", "sharding", None),
-    ("op4_quality_rules", "quality_rules", None),
+    ("op4_quality_rules", "quality_rules", "OP4_SQL"),
     ("op5_suffix_dedup", "suffix_dedup", None),
     ("op6_simhash_groups", "simhash", None),
     ("op7_line_dedup", "line_dedup", "OP7_SQL"),
