@@ -66,10 +66,16 @@ def similar_pairs(media: DataFrame, config: GroupingConfig, key: str | None = No
 
 
 def similar_videos(video: DataFrame, threshold: float) -> DataFrame:
-    """(i, j, distance) for i < j within the threshold from i to j."""
+    """(i, j, distance) for i < j within the threshold from i to j.
+
+    Thumbnails alone, where both have one, rule most pairs out before any frame is looked at. No pair is left out by keys,
+    as the distance has no bound for any of its parts, so this is for libraries of videos, not of frames.
+    """
     side = lambda s: {c: F.col(f"{s}.{c}") for c in ("frames", "thumb", "duration")}
     distance = video_distance(side("a"), side("b"))
-    pairs = video.alias("a").join(video.alias("b"), F.col("a.ord") < F.col("b.ord")).select(F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), distance.alias("distance"))
+    thumbs = F.bit_count(F.col("a.thumb").bitwiseXOR(F.col("b.thumb"))) * 0.3
+    possible = F.coalesce(thumbs <= threshold, F.lit(True)) | (F.size("a.frames") < 1) | (F.size("b.frames") < 1)
+    pairs = video.alias("a").join(video.alias("b"), (F.col("a.ord") < F.col("b.ord")) & possible).select(F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), distance.alias("distance"))
     return pairs.where(F.col("distance") <= threshold)
 
 
