@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prismlake.ordering import NO_KEY, key_of, running, size_bins
 from prismlake.shipping import ship
-from prismlake.storage import Kept, kept, new_path, small
+from prismlake.storage import Kept, Scratch, kept, new_path, small
 
-__all__ = ["NO_KEY", "WORD", "Kept", "documents", "kept", "key_of", "new_path", "running", "size_bins", "small", "with_computed"]
+__all__ = ["NO_KEY", "WORD", "Kept", "Scratch", "documents", "kept", "key_of", "new_path", "running", "size_bins", "small", "with_computed"]
 
 #: A word, as Spark and DuckDB write it. bytes.split() parts at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that a worker turns into Python objects at once.
+AT_ONCE = 1_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,9 +30,10 @@ def with_computed(df: DataFrame, compute: Callable[[pa.RecordBatch], list[pa.Arr
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in stays), added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = compute(batch)
-            names = [*stays, *(x.split()[0] for x in added.split(", "))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in stays), *made], names=names)
+        names = [*stays, *(x.split()[0] for x in added.split(", "))]
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(at, AT_ONCE)
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in stays), *compute(batch)], names=names)
 
     return df.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismlake.llm.common import documents, kept, size_bins, small, with_computed
+from prismlake.llm.common import Scratch, documents, kept, size_bins, small, with_computed
 
 #: Bytes of a string that is removed if it repeats, bytes that a trigger's hash is made of, and places of which one triggers.
 LENGTH, TRIGGER, WIDTH = 200, 16, 150
@@ -220,38 +220,39 @@ def uid():
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(uid, spans: array<struct<s, e>>): byte spans of repeated strings, which may overlap, for texts that have any."""
-    texts = docs.select("doc_id", "text").withColumn("uid", uid())
-    parsed = with_computed(texts.select("uid", "text"), _parsed, "place array<bigint>, core array<bigint>, whole array<bigint>", drop=["text"])
-    zipped = F.explode(F.arrays_zip("place", "core", "whole")).alias("x")
-    parse = kept(parsed.select("uid", zipped).select("uid", "x.place", "x.core", "x.whole"), "parse")
-    # written on its own, so that the join can split a core that very many triggers have
-    again = kept(parse.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores-twice")
-    cand = kept(parse.join(again, "core"), "repeated-cores")
-    shown = F.min(F.struct("uid", "place", "core")).alias("shown")
-    whole = kept(cand.groupBy("whole").agg(F.count("*").alias("n"), shown).where("n > 1").select("whole", "shown"), "whole-twice")
-    split = kept(cand.join(whole.select("whole", F.lit(True).alias("all")), "whole", "left").select("uid", "place", "core", "all"), "repeats")
-    t = F.shiftright("place", 16)
-    low, high = t - F.shiftright("place", 8).bitwiseAND(F.lit(255)), t - F.col("place").bitwiseAND(F.lit(255))
-    sure = split.where("all").select("uid", low.alias("span_start"), (high + LENGTH).alias("span_end"))
-
-    # an open trigger may have strings of one that repeats as a whole; of these one of each kind is shown as well
-    alone = split.where("all IS NULL").select("uid", "place", "core")
-    one = whole.select("shown.*")
-    left = kept(alone.union(one.join(alone.select("core").distinct(), "core", "left_semi").select("uid", "place", "core")), "open")
-    n_left = left.count()
-    wanted = kept(left.groupBy("uid").agg(F.collect_set("place").alias("places")), "open-triggers")
-    shown = with_computed(texts.join(wanted, "uid").select("uid", "text", "places"), _contexts, "x array<struct<place:bigint,before:binary,after:binary>>", drop=["text", "places"])
-    shown = shown.select("uid", F.inline("x"))
-    core_of = F.xxhash64(F.substring("after", 1, CORE))
-    contexts = kept(shown.withColumn("core", core_of), "contexts")
-    crowded = small(kept(contexts.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > SORTED).select("core"), "crowded"), SENT)
-    few = contexts.join(crowded, "core", "left_anti").repartition(size_bins(n_left, 5_000, 1), "core").sortWithinPartitions("core")
-    ordered = few.select("core", "uid", "place", "before", "after").mapInArrow(_sorted_groups, _SPANS)
-    strings = with_computed(contexts.join(crowded, "core").select("uid", "place", "before", "after"), _strings, "x array<struct<string:bigint,at:bigint>>", drop=["place", "before", "after"]).select("uid", F.inline("x"))
-    twice = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    counted = strings.join(twice, "string").select("uid", F.col("at").alias("span_start"), (F.col("at") + LENGTH).alias("span_end"))
-    spans = sure.union(ordered).union(counted)
-    return kept(spans.groupBy("uid").agg(F.collect_set(F.struct(F.col("span_start").alias("s"), F.col("span_end").alias("e"))).alias("spans")), "spans")
+    with Scratch() as keep:
+        texts = docs.select("doc_id", "text").withColumn("uid", uid())
+        parsed = with_computed(texts.select("uid", "text"), _parsed, "place array<bigint>, core array<bigint>, whole array<bigint>", drop=["text"])
+        zipped = F.explode(F.arrays_zip("place", "core", "whole")).alias("x")
+        parse = keep(parsed.select("uid", zipped).select("uid", "x.place", "x.core", "x.whole"), "parse")
+        # written on its own, so that the join can split a core that very many triggers have
+        again = keep(parse.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores-twice")
+        cand = keep(parse.join(again, "core"), "repeated-cores")
+        shown = F.min(F.struct("uid", "place", "core")).alias("shown")
+        whole = keep(cand.groupBy("whole").agg(F.count("*").alias("n"), shown).where("n > 1").select("whole", "shown"), "whole-twice")
+        split = keep(cand.join(whole.select("whole", F.lit(True).alias("all")), "whole", "left").select("uid", "place", "core", "all"), "repeats")
+        t = F.shiftright("place", 16)
+        low, high = t - F.shiftright("place", 8).bitwiseAND(F.lit(255)), t - F.col("place").bitwiseAND(F.lit(255))
+        sure = split.where("all").select("uid", low.alias("span_start"), (high + LENGTH).alias("span_end"))
+
+        # an open trigger may have strings of one that repeats as a whole; of these one of each kind is shown as well
+        alone = split.where("all IS NULL").select("uid", "place", "core")
+        one = whole.select("shown.*")
+        left = keep(alone.union(one.join(alone.select("core").distinct(), "core", "left_semi").select("uid", "place", "core")), "open")
+        n_left = left.count()
+        wanted = keep(left.groupBy("uid").agg(F.collect_set("place").alias("places")), "open-triggers")
+        shown = with_computed(texts.join(wanted, "uid").select("uid", "text", "places"), _contexts, "x array<struct<place:bigint,before:binary,after:binary>>", drop=["text", "places"])
+        shown = shown.select("uid", F.inline("x"))
+        core_of = F.xxhash64(F.substring("after", 1, CORE))
+        contexts = keep(shown.withColumn("core", core_of), "contexts")
+        crowded = small(keep(contexts.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > SORTED).select("core"), "crowded"), SENT)
+        few = contexts.join(crowded, "core", "left_anti").repartition(size_bins(n_left, 5_000, 1), "core").sortWithinPartitions("core")
+        ordered = few.select("core", "uid", "place", "before", "after").mapInArrow(_sorted_groups, _SPANS)
+        strings = with_computed(contexts.join(crowded, "core").select("uid", "place", "before", "after"), _strings, "x array<struct<string:bigint,at:bigint>>", drop=["place", "before", "after"]).select("uid", F.inline("x"))
+        twice = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
+        counted = strings.join(twice, "string").select("uid", F.col("at").alias("span_start"), (F.col("at") + LENGTH).alias("span_end"))
+        spans = sure.union(ordered).union(counted)
+        return kept(spans.groupBy("uid").agg(F.collect_set(F.struct(F.col("span_start").alias("s"), F.col("span_end").alias("e"))).alias("spans")), "spans")
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
