@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismlake.llm.common import documents, kept, size_bins, small, with_computed
+from prismlake.llm.common import Scratch, documents, kept, size_bins, small, with_computed
 from prismlake.llm.graph import components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -88,20 +88,20 @@ def _compared(batch: pa.RecordBatch) -> list[pa.Array]:
     return [pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))]
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b) from distinct fingerprints (fp): edges between members of the same components as those that link within RADIUS."""
+def links(distinct: DataFrame, keep=kept) -> DataFrame:
+    """(a, b) from distinct fingerprints (fp), made of tables that `keep` writes: edges between members of the same components as those that link within RADIUS."""
     if RADIUS != 4:
         raise ValueError("halves and variants are laid out for a radius of 4")
     n = distinct.count()
     spread = distinct.repartition(size_bins(n, 5_000, 1), "fp")  # a row becomes 66
     keyed = spread.select("fp", F.explode(_half_keys(F.col("fp"))).alias("key"))
-    met = kept(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "half-keys")
+    met = keep(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "half-keys")
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= RADIUS
     twos = met.where((F.col("n") == 2) & near(F.col("a"), F.col("b"))).select("a", "b")
-    held = kept(keyed.join(small(met.where("n > 2").select("key", "n"), KEYS), "key").select("key", "n", "fp"), "met")
+    held = keep(keyed.join(small(met.where("n > 2").select("key", "n"), KEYS), "key").select("key", "n", "fp"), "met")
     few = held.where(F.col("n") <= COMPARED).groupBy("key").agg(F.collect_set("fp").alias("fps"))
     compared = with_computed(few, _compared, "links array<struct<a:bigint,b:bigint>>", drop=["key", "fps"]).select(F.inline("links"))
-    dense = kept(held.where(F.col("n") > COMPARED).select("fp").distinct(), "dense")
+    dense = keep(held.where(F.col("n") > COMPARED).select("fp").distinct(), "dense")
     dense = dense.repartition(size_bins(dense.count(), 200, 1), "fp")  # a row becomes 2,081
     at = Window.partitionBy("variant")
     stars = dense.select("fp", F.explode(_ball(F.col("fp"))).alias("variant")).select(F.min("fp").over(at).alias("a"), F.col("fp").alias("b")).where("a < b")
@@ -116,7 +116,8 @@ def groups(docs: DataFrame) -> DataFrame:
     """
     found = fingerprints(docs)
     distinct = kept(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    labels = components(links(distinct.select("fp")))
+    with Scratch() as keep:
+        labels = components(links(distinct.select("fp"), keep))
     named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     first = named.groupBy("label").agg(F.min("first").alias("component_id"))
     return found.join(named.select("fp", "label").join(first, "label").drop("label"), "fp")
