@@ -27,13 +27,13 @@ VOCABULARY = "byte_bpe_50k.json"
 TOKENS, END = 2048, 1
 
 
-def _ranks(path: str) -> dict[bytes, int]:
-    """The vocabulary file's tokens as bytes; their ids are the ranks of their merges."""
+def _ranks(path: str) -> tuple[dict[bytes, int], list[str]]:
+    """The vocabulary file's tokens as bytes, whose ids are the ranks of their merges; and its special tokens' strings."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     vocabulary = json.loads(Path(path).read_text(encoding="utf-8"))
-    special = {t["content"] for t in vocabulary["added_tokens"]}
-    return {bytes(byte_of[c] for c in token): i for token, i in vocabulary["model"]["vocab"].items() if token not in special}
+    special = [t["content"] for t in vocabulary["added_tokens"]]
+    return {bytes(byte_of[c] for c in token): i for token, i in vocabulary["model"]["vocab"].items() if token not in special}, special
 
 
 class Encoder:
@@ -44,12 +44,13 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.fast = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
+        ranks, self.special = _ranks(path)
+        self.path, self.tokenizer = path, None
+        self.fast = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
+            self.tokenizer = self.tokenizer or Tokenizer.from_file(self.path)
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.fast.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
 
