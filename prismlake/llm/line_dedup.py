@@ -28,23 +28,23 @@ def _hash(line: Column) -> Column:
     return F.when(found != "", F.xxhash64(found))
 
 
-def boilerplate(docs: DataFrame, ratio: float = RATIO, pages: int = PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, ratio: float = RATIO, pages: int = PAGES, site: str = "source") -> DataFrame:
     """(host, frequent: array<long>): at most (lines of a mean page / ratio) hashes for a host."""
-    lines = docs.select(key_of("source").alias("host"), F.explode(F.array_distinct(F.transform(F.split("text", "\n"), _hash))).alias("line")).where("line IS NOT NULL")
+    lines = docs.select(key_of(site).alias("host"), F.explode(F.array_distinct(F.transform(F.split("text", "\n"), _hash))).alias("line")).where("line IS NOT NULL")
     counted = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= pages)
-    totals = docs.groupBy(key_of("source").alias("host")).agg(F.count("*").alias("total"))
+    totals = docs.groupBy(key_of(site).alias("host")).agg(F.count("*").alias("total"))
     return counted.join(totals, "host").where(F.col("n") > ratio * F.col("total")).groupBy("host").agg(F.collect_list("line").alias("frequent"))
 
 
-def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, pages: int = PAGES) -> DataFrame:
-    """docs with `text` freed of its host's boilerplate lines, and n_lines and n_dropped added.
+def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, pages: int = PAGES, site: str = "source") -> DataFrame:
+    """docs, whose column `site` names their host, with `text` freed of its host's boilerplate lines, and n_lines and n_dropped added.
 
     A null text stays null and has no lines; a null source is a host of its own; a repeated row is a page each time.
     Lines without a word are neither counted nor dropped. Other columns pass through; n_lines and n_dropped are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped", "_host", "_frequent", "_lines", "_stay")
-    lists = small(kept(boilerplate(docs, ratio, pages), "site-lines"), HOSTS)
-    joined = docs.withColumn("_host", key_of("source")).join(lists.select(F.col("host").alias("_host"), F.col("frequent").alias("_frequent")), "_host", "left")
+    lists = small(kept(boilerplate(docs, ratio, pages, site), "site-lines"), HOSTS)
+    joined = docs.withColumn("_host", key_of(site)).join(lists.select(F.col("host").alias("_host"), F.col("frequent").alias("_frequent")), "_host", "left")
     touched = F.col("_frequent").isNotNull()
     out = joined.withColumn("_lines", F.split("text", "\n"))
     out = out.withColumn("_stay", F.when(touched, F.filter("_lines", lambda x: ~F.coalesce(F.array_contains(F.col("_frequent"), _hash(x)), F.lit(False)))).otherwise(F.col("_lines")))

@@ -63,3 +63,12 @@ def test_line_dedup_drops_what_a_site_repeats(spark):
     assert all(by[50 + i].n_dropped == 0 and by[50 + i].text.startswith("Home") for i in range(5))
     assert by[90].text is None and by[90].n_lines == 0 and by[91].text == "" and by[92].text == " \n\n"
     assert line_dedup.drop_boilerplate(docs.where("false")).count() == 0
+
+
+def test_pages_are_grouped_by_the_host_of_their_url(spark):
+    rows = [(i, f"http://{'ab'[i % 2]}.org/x/{i}", f"menu\n{body(i)}" if i % 2 else body(i)) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, text string").selectExpr("*", "parse_url(url, 'HOST') AS host")
+    found = line_dedup.drop_boilerplate(pages, site="host").collect()
+    assert all(r.text == body(r.page_id) and r.n_dropped == r.page_id % 2 for r in found)
+    ruled = quality_rules.apply_rules(pages, least=5, site="host").collect()
+    assert all(r.removed_words == r.page_id % 2 and r.kept for r in ruled)
