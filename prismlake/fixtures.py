@@ -58,6 +58,7 @@ SQL = {
             CASE WHEN min(vec_id) % 4 = 0 THEN 0::DOUBLE ELSE (min(vec_id) % 60 + 1)::DOUBLE END AS duration
         FROM embeddings GROUP BY vec_id // 5""",
     "person_asset": "SELECT DISTINCT l_suppkey AS person_id, l_orderkey AS asset_id FROM lineitem WHERE l_orderkey % 4 = 0",
+    "person_asset_all": "SELECT DISTINCT l_suppkey AS person_id, l_orderkey AS asset_id FROM lineitem",
     "people": "SELECT s_suppkey AS person_id, CASE WHEN s_suppkey % 10 = 9 THEN '' ELSE s_name END AS name, s_suppkey % 3 = 0 AS is_favorite, s_suppkey % 8 = 0 AS hidden FROM supplier",
     "faces": """
         SELECT l_orderkey AS asset_id, l_orderkey // 32 AS group_index, (l_quantity * 2)::BIGINT AS top, (l_quantity * 2)::BIGINT + l_linenumber * 7 AS bottom,
@@ -95,6 +96,10 @@ def person_asset(spark, d):
     return table(spark, d, "lineitem").where("l_orderkey % 4 = 0").select(F.col("l_suppkey").alias("person_id"), F.col("l_orderkey").alias("asset_id")).distinct()
 
 
+def person_asset_all(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("person_id"), F.col("l_orderkey").alias("asset_id")).distinct()
+
+
 def people(spark, d):
     k = F.col("s_suppkey")
     return table(spark, d, "supplier").select(k.alias("person_id"), F.when(k % 10 == 9, "").otherwise(F.col("s_name")).alias("name"), (k % 3 == 0).alias("is_favorite"), (k % 8 == 0).alias("hidden"))

@@ -101,6 +101,25 @@ def groups_by_combo(spark, d):
     return groups_by_key(fixtures.media(spark, d).join(labelled, "ord"), "label", LOOSE)
 
 
+_SETS_ALL = _SETS.replace("person_asset", "person_asset_all")
+
+
+@query(
+    "groups_by_combo_all",
+    with_views("media", "people", "person_asset_all").replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", {_SETS_ALL}, cl AS (SELECT label, asset_id FROM labelled JOIN sets USING (names)),
+    cm AS (SELECT label, m.* REPLACE (asset_id AS ord) FROM cl JOIN media m ON m.ord = asset_id % (SELECT count(*) FROM media)), {_keyed_sql('cm', 'label', LOOSE)}""",
+)
+def groups_by_combo_all(spark, d):
+    """Every asset of every combination, each with the features of a media row; groups_by_combo takes the first 100 media only."""
+    favourites = fixtures.people(spark, d).where("is_favorite AND name <> ''")
+    sets = people_sets(fixtures.person_asset_all(spark, d), favourites, 2, combination_cap())
+    n = fixtures.table(spark, d, "embeddings").count()
+    labelled = sets.select(combination_label(F.col("names")).alias("label"), "asset_id", (F.col("asset_id") % n).alias("ord"))
+    rows = fixtures.media(spark, d).join(labelled, "ord")
+    return groups_by_key(rows.withColumn("ord", F.col("asset_id")).drop("asset_id"), "label", LOOSE)
+
+
 @query(
     "server_dups",
     """WITH g AS (SELECT md5(text) AS duplicate_id, doc_id, doc_id % 5 <> 0 AS image FROM documents),
