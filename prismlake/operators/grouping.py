@@ -104,6 +104,14 @@ def groups_by_combo(spark, d):
 _SETS_ALL = _SETS.replace("person_asset", "person_asset_all")
 
 
+@query("people_combos_all", with_views("people", "person_asset_all") + f", {_SETS_ALL} SELECT label, n FROM labelled")
+def people_combos_all(spark, d):
+    """Over all of lineitem; people_combos takes every fourth order only."""
+    favourites = fixtures.people(spark, d).where("is_favorite AND name <> ''")
+    sets = people_sets(fixtures.person_asset_all(spark, d), favourites, 2, combination_cap())
+    return sets.groupBy("names").agg(F.count("*").alias("n")).select(combination_label(F.col("names")).alias("label"), "n")
+
+
 @query(
     "groups_by_combo_all",
     with_views("media", "people", "person_asset_all").replace("WITH ", "WITH RECURSIVE ", 1)

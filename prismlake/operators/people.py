@@ -77,6 +77,13 @@ def photos_by_person(spark, d):
     return rows.groupBy("name").agg(F.count("*").alias("n"), F.min("asset_id").alias("first_asset"))
 
 
+@query("photos_by_person_all", with_views("people", "person_asset_all") + "SELECT name, count(*) AS n, min(asset_id) AS first_asset FROM people JOIN person_asset_all USING (person_id) WHERE name <> '' GROUP BY name")
+def photos_by_person_all(spark, d):
+    """Over all of lineitem; photos_by_person takes every fourth order only."""
+    rows = fixtures.people(spark, d).where("name <> ''").join(fixtures.person_asset_all(spark, d), "person_id")
+    return rows.groupBy("name").agg(F.count("*").alias("n"), F.min("asset_id").alias("first_asset"))
+
+
 _COUNTED = """counted AS (
     SELECT CASE c_custkey % 3 WHEN 0 THEN ' ' || c_mktsegment WHEN 1 THEN c_mktsegment || '  ' ELSE c_name END AS name, c_custkey % 4 AS photo_count, c_custkey % 50 = 0 AS is_favorite,
         CASE WHEN c_custkey % 7 = 0 THEN 'k' || c_custkey END AS key_photo, c_custkey AS ord FROM customer)"""
