@@ -55,8 +55,12 @@ def stream_batches(spark, d):
 
 @query("stream_from_latest")
 def stream_from_latest(spark, d):
-    """The first cycle records where it stands and takes nothing; the second takes what has come since."""
-    path, stream = landed(spark, fixtures.media(spark, d).where("ord < 100"), 1)
+    """The first cycle records where it stands and takes nothing; the second takes what has come since: the upper half of the ids."""
+    media = fixtures.media(spark, d)
+    cut = fixtures.table(spark, d, "embeddings").agg(F.min("vec_id") + F.floor((F.max("vec_id") - F.min("vec_id")) / 2)).first()[0]
+    path = new_path(spark, "landing")
+    media.where(F.col("ord") < cut).write.parquet(path)
+    stream = spark.readStream.schema(media.schema).parquet(path)
     out, cursor, seen = new_path(spark, "stream-latest"), new_path(spark, "cursor"), []
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -66,6 +70,6 @@ def stream_from_latest(spark, d):
 
     start = lambda: stream.writeStream.foreachBatch(each).option("checkpointLocation", cursor).trigger(availableNow=True).start().awaitTermination()
     start()
-    fixtures.media(spark, d).where("ord BETWEEN 100 AND 149").coalesce(1).write.mode("append").parquet(path)
+    media.where(F.col("ord") >= cut).write.mode("append").parquet(path)
     start()
     return spark.read.parquet(out).select("ord", "batch_id")

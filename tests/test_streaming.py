@@ -57,3 +57,11 @@ def test_polled_assets_are_reconciled_with_their_batch(spark, tmp_path):
 
     polling.poll(spark.readStream.schema(SCHEMA).parquet(path), out, cursor, CONFIG, also=reconcile).awaitTermination()
     assert done == [(1, "is_favorite", "push")]
+
+
+def test_all_that_came_since_the_first_cycle_is_taken(spark):
+    folder = "/root/testdata/sf0.001"
+    ids = [r.vec_id for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id").collect()]
+    cut = min(ids) + (max(ids) - min(ids)) // 2
+    found = [tuple(r) for r in polling.stream_from_latest(spark, folder).collect()]
+    assert sorted(found) == [(i, 1) for i in sorted(ids) if i >= cut]
