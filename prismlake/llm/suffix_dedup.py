@@ -1,14 +1,13 @@
-"""Removal of repeated byte strings by prefix-free parsing.
+"""Removal of repeated byte strings by hashes of strings around minimiser triggers, in place of prefix-free parsing.
 
-A rolling hash picks triggers: of any run of WIDTH places the one with the least hash of its next bytes. Triggers cut texts
-into phrases, and depend on nothing but the bytes around them, so equal strings are cut alike wherever they stand. A string
-of LENGTH bytes belongs to the trigger of its first WIDTH places: before it stands the end of a phrase, after it the parse
-goes on. Suffixes of phrases are sorted, the parse's continuations are sorted, and the ranks of both together put all
-strings at these triggers in the order of the corpus; strings that agree in LENGTH bytes are neighbours there.
+A rolling hash picks triggers: of any run of WIDTH places the one with the least hash of its next bytes. Triggers depend on
+nothing but the bytes around them, so equal strings have them alike wherever they stand. A string of LENGTH bytes belongs to
+the trigger of its first WIDTH places. There is no dictionary of phrases, no parse as phrase ids and no suffix array of either.
 
-The corpus is parsed once. What can't repeat is left out by hashes before anything is sorted: a trigger whose next CORE
-bytes stand nowhere else has no repeated string. And what repeats as a whole, all strings of a trigger together, is known
-from one hash. Only triggers at the ends of repeats are left to sort, at most a few for each end of a repeated passage.
+What can't repeat is left out by hashes before anything is sorted: a trigger whose next CORE bytes stand nowhere else has no
+repeated string. And what repeats as a whole, all strings of a trigger together, is known from one hash. Only triggers at
+the ends of repeats are left, at most a few for each end of a repeated passage: of those that share a core the raw bytes
+before (reversed) and after them are sorted within one task's batch, and strings of equal bytes are neighbours there.
 """
 
 from __future__ import annotations
@@ -151,7 +150,7 @@ def _order(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeats_in_order(places: np.ndarray, before: list[bytes], after: list[bytes]) -> list[list[tuple[int, int]]]:
-    """For each trigger the spans of its strings that another trigger has as well, in the order of phrase ends and parse."""
+    """For each trigger the spans of its strings that another trigger has as well, in the order of the bytes before and after it."""
     n = len(places)
     at = _unpacked(places)
     end_rank, end_common = _order([x[::-1] for x in before], WIDTH)
