@@ -82,11 +82,12 @@ def feature(payload: bytes) -> str:
     share = counts[counts > 0] / len(samples)
     mean = float(counts @ np.arange(256)) / len(samples)
     deviation = (float(counts @ np.square(np.arange(256) - mean)) / len(samples)) ** 0.5
-    at = (np.arange(73) * len(samples)) // 73
+    at = (np.arange(72) * len(samples)) // 72
     sums = np.concatenate([[0], np.cumsum(samples, dtype=np.int64)])
     edges = np.append(at, len(samples))
     block = (sums[edges[1:]] - sums[edges[:-1]]) / np.maximum(1, np.diff(edges))
-    bits = np.packbits(block[1:65] > block[:64]).tobytes().hex()
+    rows = block.reshape(8, 9)
+    bits = np.packbits(rows[:, 1:] > rows[:, :-1]).tobytes().hex()
     return f"{mean:.4f},{deviation:.4f},{max(0.0, -float(share @ np.log2(share))):.4f},{bits}"
 
 

@@ -60,3 +60,12 @@ def test_a_member_is_tried_again_by_its_offset(tmp_path):
     damaged[45] ^= 1
     with pytest.raises(ValueError):
         media.from_png(bytes(damaged))
+
+
+def test_every_part_of_a_payload_moves_the_gradient_hash():
+    plain = bytes([100]) * 7200
+    bits = lambda payload: media.feature(payload).rsplit(",", 1)[1]
+    assert bits(plain) == "0" * 16
+    hashes = [bits(plain[: 100 * k] + b"\xc8" * 100 + plain[100 * (k + 1) :]) for k in range(1, 72)]
+    assert all(h != "0" * 16 for k, h in enumerate(hashes, 1) if k % 9)
+    assert bits(plain[:7100] + b"\xc8" * 100) == f"{1:016x}"
