@@ -21,9 +21,8 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without the lines that their hosts have too often."""
-    judged = quality_rules.apply_rules(docs.select(COLUMNS)).where("kept")
-    return _documents(judged.withColumn("text", F.col("clean_text")))
+    """Documents that pass the rules, with all their lines; what their hosts have too often is left to the next stage."""
+    return _documents(quality_rules.apply_rules(docs.select(COLUMNS)).where("kept"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -119,3 +119,12 @@ def test_stages_keep_the_columns_of_documents_and_pass_empty_tables(spark, tmp_p
         out = stage(spark, empty, str(tmp_path))
         assert out.columns == corpus_pipeline.COLUMNS and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, empty, str(tmp_path)).count() == 0
+
+
+def test_lines_of_a_large_host_are_left_to_line_dedup(spark, tmp_path):
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(i, f"Home | About\n{body(i)}" if i % 2 else body(i), "en", "a", 0) for i in range(400)]
+    ruled = corpus_pipeline.quality(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).localCheckpoint()
+    assert sorted((r.doc_id, r.text) for r in ruled.collect()) == [r[:2] for r in rows]
+    found = corpus_pipeline.lines(spark, ruled, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in found) == [(i, body(i), len(body(i))) for i in range(400)]
