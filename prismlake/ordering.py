@@ -1,4 +1,4 @@
-"""Sums and numbers over an order that is too long for one task."""
+"""Sums and numbers over an order that is too long for one task, joins on keys that hold most rows, and repeated rows."""
 
 from __future__ import annotations
 
@@ -7,13 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismlake.storage import Kept
+
 #: Stands for null where a key is needed.
 NO_KEY = "~"
+#: A key with more than this share of a table's rows is dealt over several tasks where the table is joined, if it has so many rows at least.
+SHARE, LEAST = 2_000, 500
+#: Copies that one task makes of a row.
+COPIES = 10_000
 
 
-def key_of(column: str) -> Column:
+def key_of(column: str | Column) -> Column:
     """A key that is never null, in the order of the column's code points, null last."""
-    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(NO_KEY))
+    value = F.col(f"`{column}`") if isinstance(column, str) else column
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(NO_KEY))
 
 
 def size_bins(rows: int, a_bin: int = 20_000, least: int = 16) -> int:
@@ -21,12 +28,23 @@ def size_bins(rows: int, a_bin: int = 20_000, least: int = 16) -> int:
     return max(least, -(-rows // a_bin))
 
 
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names of working columns like the wanted ones, none of which a column of df has, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def running(df: DataFrame, keys: Sequence[str], bin_col: str, order: Sequence[Column], value: Column, out: str) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows before each one, for equal `keys`, ordered by `bin_col` and then `order`.
 
     Only the sums of the bins are ordered in one place; the rows are ordered bin by bin, so a key that holds most rows
     still spreads over as many tasks as it has bins. Null keys form a group of their own. Ties in `order` must be rows
-    that the caller doesn't tell apart.
+    that the caller doesn't tell apart; where there may be many, they should come as one row with a value.
     """
     names = [f"_{k}_key" for k in keys]
     df = df.withColumns({n: key_of(k) for n, k in zip(names, keys, strict=True)} | {"_value": value})
@@ -45,3 +63,51 @@ def numbered(df: DataFrame, column: str, out: str, rows: int) -> DataFrame:
     width = max(1, -(-((ends[1] or 0) - (ends[0] or 0) + 1) // size_bins(rows)))
     binned = df.withColumn("_bin", F.floor((F.col(column) - (ends[0] or 0)) / width))
     return running(binned, [], "_bin", [F.col(column)], F.lit(1), "_before").withColumn(out, F.col("_before") + 1).drop("_bin", "_before")
+
+
+def in_order(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], rows: int) -> DataFrame:
+    """Adds for each entry of `sums` the sum of its value over all rows before, in an order of any columns; rows: about how many there are.
+
+    Rows are dealt by ranges of the order and written, so that each keeps its place; then only sums of ranges are ordered in one
+    place. Ties may stand in any order.
+    """
+    values = {f"_value_{c}": v for c, v in sums.items()}
+    dealt = Kept(df.withColumns(values).repartitionByRange(size_bins(rows, least=1), *order).withColumn("_range", F.spark_partition_id()), "ranges").df
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("_range").agg(*(F.sum(f"_value_{c}").alias(f"_sum_{c}") for c in sums))
+    starts = ranges.select("_range", *(F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_start_{c}") for c in sums))
+    own = dealt.withColumns({f"_inside_{c}": F.coalesce(F.sum(f"_value_{c}").over(inside), F.lit(0)) for c in sums})
+    joined = own.join(F.broadcast(starts), "_range")  # a row for each range
+    return joined.withColumns({c: F.col(f"_start_{c}") + F.col(f"_inside_{c}") for c in sums}).select(*df.columns, *sums)
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, by: Sequence[str], rows: int, how: str = "inner") -> DataFrame:
+    """many joined with `one`, which has one row for a key, on `key`; how: inner, left or left_semi. rows: about how many `many` has.
+
+    Where a key holds more than a share of the rows, its rows are dealt by a hash of the columns `by`, and its row of `one` is
+    copied as often. Keys above the share are fewer than SHARE, so their list is sent to all. many should be kept, as it is read twice.
+    """
+    salt, salts, hot = fresh(many, "_salt", "_salts", "_hot")
+    limit = max(LEAST, rows // SHARE)
+    held = many.groupBy(F.col(f"`{key}`").alias(hot)).agg(F.count("*").alias(salts)).where(F.col(salts) > limit)
+    held = F.broadcast(held.select(hot, F.ceil(F.col(salts) / limit).cast("int").alias(salts)))  # fewer than SHARE rows
+    deal = F.coalesce(F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in by)), F.col(salts)), F.lit(0)).cast("int")
+    dealt = many.join(held, F.col(f"`{key}`") == F.col(hot), "left").withColumn(salt, deal).drop(hot, salts)
+    copied = one.join(held, F.col(f"`{key}`") == F.col(hot), "left")
+    copied = copied.withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(salts), F.lit(1)) - 1))).drop(hot, salts)
+    return dealt.join(copied, [key, salt], how).drop(salt)
+
+
+def copies(df: DataFrame, n: str, number: str, rows: int) -> DataFrame:
+    """Each row of df n times, numbered from 0 in `number`; rows: about how many come out. n is a long and not null.
+
+    Rows with very many copies are dealt over tasks first, so that no task makes all of them.
+    """
+    at = fresh(df, "_at")[0]
+    first = F.lit(0).cast("long")
+    few = df.where(F.col(n).between(1, COPIES)).withColumn(number, F.explode(F.sequence(first, F.col(n) - 1)))
+    many = df.where(F.col(n) > COPIES).withColumn(at, F.explode(F.sequence(first, F.col(n) - 1, F.lit(COPIES).cast("long"))))
+    many = many.repartition(size_bins(rows, 10 * COPIES, 1), at)
+    many = many.withColumn(number, F.explode(F.sequence(F.col(at), F.least(F.col(at) + COPIES, F.col(n)) - 1))).drop(at)
+    return few.union(many.select(*few.columns))

@@ -7,13 +7,26 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Bytes of a table that is sent to all executors at most.
+SENT = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a temporary one only where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
+
+    Only a local session may do without, and then has a temporary folder. A cluster's executors would each write to a
+    folder of their own, and later reads would miss rows without a word; so that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder()
 
 
 @cache
@@ -35,6 +48,13 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this session has written so far, for sessions that live long; results that are still to be read from it are lost."""
+    for owner, path in [x for x in _written if x[0] is spark]:
+        delete(owner, path)
+        _written.remove((owner, path))
+
+
 @atexit.register
 def _clear() -> None:
     for spark, path in _written:
@@ -55,15 +75,31 @@ class Kept:
 
     def drop(self) -> None:
         delete(self.spark, self.path)
+        _written.remove((self.spark, self.path))
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     return Kept(df, name).df
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for broadcast if it has no more than so many rows; else as it is, for a shuffled join. df should be kept."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _width(column: Column, kind: T.DataType) -> Column:
+    """About the bytes of a value in memory."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.octet_length(column)
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType | T.BinaryType | T.ArrayType | T.StructType):
+            return F.aggregate(column, F.lit(0).cast("long"), lambda n, x: n + 16 + F.coalesce(_width(x, kind.elementType), F.lit(0)))
+        return F.size(column) * 8
+    if isinstance(kind, T.StructType):
+        return sum((F.coalesce(_width(column[f.name], f.dataType), F.lit(0)) for f in kind), F.lit(16))
+    return F.lit(8)
+
+
+def small(df: DataFrame, rows: int, sent: int = SENT) -> DataFrame:
+    """df, marked for broadcast if it has no more than so many rows and bytes; else as it is, for a shuffled join. df should be kept."""
+    width = sum((F.coalesce(_width(F.col(f"`{f.name}`"), f.dataType), F.lit(0)) for f in df.schema), F.lit(16)).cast("long")
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= sent else df
 
 
 class Scratch:

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 
-from prismlake.ordering import key_of, numbered, running, size_bins
+import pytest
+from prismlake import ordering, storage
+from prismlake.ordering import copies, fresh, in_order, key_of, numbered, running, size_bins, spread_join
 from prismlake.storage import Kept, Scratch, small
 from pyspark.sql import functions as F
 
@@ -51,3 +53,56 @@ def test_scratch_tables_go_with_their_block(spark):
         path = keep.tables[0].path.removeprefix("file://")
         assert os.path.exists(path)
     assert not os.path.exists(path)
+
+
+def test_bytes_bound_what_is_sent_as_well(spark):
+    df = Kept(spark.createDataFrame([(1, "x" * 100, [1, 2, 3])], "a long, b string, c array<long>"), "wide").df
+    plan = lambda df: df._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan(small(df, 5, 200)) and "broadcast" not in plan(small(df, 5, 100))
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://somewhere:7077"})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_folder(Session())
+    Session.sparkContext.master = "local[2]"
+    assert storage.shared_folder(Session()).startswith("file://")
+
+
+def test_sums_in_any_order(spark):
+    rng = random.Random(9)
+    rows = [(f"s{rng.randrange(10**9)}", i, rng.randrange(7)) for i in range(500)]
+    df = spark.createDataFrame(rows, "s string, i long, v long")
+    found = {r.i: (r.n, r.held) for r in in_order(df, [F.col("s")], {"n": F.lit(1), "held": F.col("v")}, 100_000).collect()}
+    held = 0
+    for n, (_, i, v) in enumerate(sorted(rows)):
+        assert found[i] == (n, held)
+        held += v
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_hot_keys_are_dealt_and_joined_whole(spark, monkeypatch, how):
+    monkeypatch.setattr(ordering, "LEAST", 10)
+    many = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(600)] + [(1000, None)], "i long, k string")
+    one = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 600, 6)], "k string, v long")
+    got, want = (sorted(map(str, x.select(sorted(x.columns)).collect())) for x in (spread_join(many, one, "k", ["i"], 600, how), many.join(one, "k", how)))
+    assert got == want
+
+
+def test_copies_are_numbered_and_many_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "COPIES", 7)
+    df = spark.createDataFrame([("a", 1), ("b", 7), ("c", 100), ("d", 0)], "k string, n long")
+    found = copies(df, "n", "at", 5_000)
+    assert sorted((r.k, r.at) for r in found.collect()) == sorted((k, i) for k, n in (("a", 1), ("b", 7), ("c", 100)) for i in range(n))
+    assert len({r.p for r in found.where("k = 'c'").select(F.spark_partition_id().alias("p")).collect()}) > 3
+
+
+def test_working_names_are_new(spark):
+    assert fresh(spark.range(1).selectExpr("id AS _A", "id AS _a_"), "_a", "_b", "_b") == ["_a__", "_b", "_b_"]
