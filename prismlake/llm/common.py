@@ -7,11 +7,11 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from prismlake.ordering import NO_KEY, key_of, running, size_bins
+from prismlake.ordering import NO_KEY, copies, fresh, in_order, key_of, running, size_bins, spread_join
 from prismlake.shipping import ship
 from prismlake.storage import Kept, Scratch, kept, new_path, small
 
-__all__ = ["NO_KEY", "WORD", "Kept", "Scratch", "documents", "kept", "key_of", "new_path", "running", "size_bins", "small", "with_computed"]
+__all__ = ["NO_KEY", "WORD", "Kept", "Scratch", "copies", "documents", "fresh", "in_order", "kept", "key_of", "new_path", "running", "size_bins", "small", "spread_join", "with_computed"]
 
 #: A word, as Spark and DuckDB write it. bytes.split() parts at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"

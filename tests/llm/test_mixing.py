@@ -1,10 +1,14 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import pytest
+from prismlake import ordering
 from prismlake.llm import mixing
 
+from tests.oracle import compare
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -53,4 +57,29 @@ def test_longer_documents_are_wanted_more_often_and_repeated_rows_agree(spark):
     found = mixing.mix(spark.createDataFrame(rows, SCHEMA)).where("source = 'a'").collect()
     rate = lambda n: sum(r.taken_copies for r in found if r.size == n) / sum(r.size == n for r in found)
     assert rate(300) > rate(3) > 0
-    assert len({r.taken_copies for r in found if r.doc_id == 5}) == 1
+    assert sum(r.doc_id == 5 for r in found) == 4
+
+
+@pytest.mark.parametrize("rows", [
+    [(None, f"{'w ' * 49}x{i}", "en", "abc"[i % 3], 0) for i in range(3000)],
+    [(7, "w " * 50, "en", "abc"[i % 3], 0) for i in range(3000)],
+    [(7 if i % 3 else i, "w " * 50 if i % 3 else f"{'w ' * 49}x{i}", "en" if i % 5 else None, "ab"[i % 2], 0) for i in range(3000)],
+])
+def test_null_and_repeated_ids_meet_the_targets_within_half_a_document(spark, monkeypatch, rows):
+    monkeypatch.setattr(ordering, "COPIES", 100)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = mixing.mix(docs).collect()
+    assert Counter((r.doc_id, r.text, r.lang, r.source) for r in found) == Counter(r[:4] for r in rows)
+    taken = defaultdict(int)
+    for r in found:
+        assert 0 <= r.taken_copies <= 3
+        taken[r.source, r.target] += r.size * r.taken_copies
+    assert all(abs(n - target) <= 25 for (_, target), n in taken.items()), taken
+    again = mixing.mix(docs.repartition(5)).collect()
+    assert Counter(map(str, again)) == Counter(map(str, found))
+
+
+def test_sql_agrees_where_ids_are_null_or_repeated(spark, tmp_path):
+    rows = [(None if i % 4 else i % 8, " ".join(["w"] * (i % 7)), "en", [None, "a", "b", ""][i % 5 % 4], 0) for i in range(500)] + [(1, None, "en", "a", 0)] * 3
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert compare(spark, mixing.op2_pareto_mix, mixing.OP2_SQL, str(tmp_path)) == len(rows)

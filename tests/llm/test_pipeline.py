@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -31,6 +32,13 @@ def without(text, source, gone):
     return text if text is None or len(stays) == text.count("\n") + 1 else "\n".join(stays)
 
 
+def draw(i, text):
+    """The random number of the first row of id i and this text."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    key = md5(":".join(["mix", f"={i}", md5("=" + text), md5(json.dumps({"lang": "en", "n_chars": len(text)}, separators=(",", ":")))]))
+    return (int(md5(f"{key}:0")[:13], 16) + 0.5) / 2**52
+
+
 def brute_mix(rows):
     words = lambda t: len((t or "").encode().split())
     sizes = defaultdict(int)
@@ -57,7 +65,7 @@ def brute_mix(rows):
             c = copies[16 + n.bit_length()]
             out += [(i, text, source)] * int(c)
             if c > int(c):
-                u = (int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                u = draw(i, text)
                 q = (u / (1 - u)) / ((c - int(c)) / (1 - (c - int(c))))
                 ranked.append((q / (1 + q), i, text, n))
         held = 0
@@ -124,7 +132,7 @@ def test_stages_keep_the_columns_of_documents_and_pass_empty_tables(spark, tmp_p
 def test_lines_of_a_large_host_are_left_to_line_dedup(spark, tmp_path):
     body = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
     rows = [(i, f"Home | About\n{body(i)}" if i % 2 else body(i), "en", "a", 0) for i in range(400)]
-    ruled = corpus_pipeline.quality(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).localCheckpoint()
+    ruled = corpus_pipeline.quality(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path))
     assert sorted((r.doc_id, r.text) for r in ruled.collect()) == [r[:2] for r in rows]
     found = corpus_pipeline.lines(spark, ruled, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.text, r.n_chars) for r in found) == [(i, body(i), len(body(i))) for i in range(400)]
