@@ -85,14 +85,15 @@ def in_order(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], ro
 def spread_join(many: DataFrame, one: DataFrame, key: str, by: Sequence[str], rows: int, how: str = "inner") -> DataFrame:
     """many joined with `one`, which has one row for a key, on `key`; how: inner, left or left_semi. rows: about how many `many` has.
 
-    Where a key holds more than a share of the rows, its rows are dealt by a hash of the columns `by`, and its row of `one` is
-    copied as often. Keys above the share are fewer than SHARE, so their list is sent to all. many should be kept, as it is read twice.
+    Where a key holds more than a share of the rows, its rows are dealt by a hash of the columns `by` (none: by their place in
+    the table, for rows that may be equal), and its row of `one` is copied as often. Keys above the share are fewer than SHARE, so their list is sent to all. many should be kept, as it is read twice.
     """
     salt, salts, hot = fresh(many, "_salt", "_salts", "_hot")
     limit = max(LEAST, rows // SHARE)
     held = many.groupBy(F.col(f"`{key}`").alias(hot)).agg(F.count("*").alias(salts)).where(F.col(salts) > limit)
     held = F.broadcast(held.select(hot, F.ceil(F.col(salts) / limit).cast("int").alias(salts)))  # fewer than SHARE rows
-    deal = F.coalesce(F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in by)), F.col(salts)), F.lit(0)).cast("int")
+    at = F.xxhash64(*(F.col(f"`{c}`") for c in by)) if by else F.monotonically_increasing_id()
+    deal = F.coalesce(F.pmod(at, F.col(salts)), F.lit(0)).cast("int")
     dealt = many.join(held, F.col(f"`{key}`") == F.col(hot), "left").withColumn(salt, deal).drop(hot, salts)
     copied = one.join(held, F.col(f"`{key}`") == F.col(hot), "left")
     copied = copied.withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(salts), F.lit(1)) - 1))).drop(hot, salts)
