@@ -6,10 +6,10 @@ what many owners share is a copied example, what belongs to few looks like a liv
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismlake.llm.common import documents, kept
+from prismlake.llm.common import documents, kept, key_of, spread_join
 
 #: Kind, pattern, group that holds the secret, least length of that group; in the order in which spans at one place sort.
 #: The first three are the base kinds. `vendor` holds published key formats whose prefix names the issuer.
@@ -22,44 +22,54 @@ KINDS = [
 #: A secret that so many owners have is a copied example.
 OWNERS = 3
 
-_NONE = "array<struct<kind:string,start:long,end:long,secret:string>>"
+_PARTS = "array<struct<rank:int,turn:int,gap:long,length:long,secret:string>>"
 
 
-def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Leftmost non-overlapping matches in code points: the texts between them are split off, and lengths added up."""
+def _matches(text: Column, rank: int, pattern: str, group: int, least: int) -> Column:
+    """Leftmost non-overlapping matches, in turn: the code points since the match before, their own, and the secret's md5 (null: too short)."""
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_NONE).alias("spans"))
 
-    def step(state: Column, part: Column) -> Column:
-        begin = state["at"] + F.length(part["before"])
-        end = begin + F.length(part["found"])
+    def one(part: Column, turn: Column) -> Column:
         secret = F.regexp_extract(part["found"], pattern, group) if group else part["found"]
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), F.md5(secret).alias("secret"))
-        spans = F.when(F.length(secret) >= least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(F.coalesce(end, begin).alias("at"), spans.alias("spans"))
+        known = F.when(F.length(secret) >= least, F.md5(secret))
+        return F.struct(F.lit(rank).alias("rank"), turn.alias("turn"), F.length(part["before"]).cast("long").alias("gap"), F.length(part["found"]).cast("long").alias("length"), known.alias("secret"))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda s: s["spans"])).otherwise(F.array().cast(_NONE))
+    return F.when(text.rlike(pattern), F.filter(F.transform(parts, one), lambda p: p["length"].isNotNull())).otherwise(F.array().cast(_PARTS))
 
 
 def find(docs: DataFrame, repository: str = "doc_id", owner: str = "source", owners: int = OWNERS) -> DataFrame:
-    """repository, owner, text_key, spans (kind, start, end, secret's md5, n_owners, n_repositories, live), a row for each of docs.
+    """repository, owner, text_key, spans (start, rank, kind, end, secret's md5, n_owners, n_repositories, live), a row for each of docs.
 
-    Null text: as empty. A null owner or repository counts as one of its own. A repeated row has the same repository and
-    owner and so adds nothing to a count. Very long texts are scanned whole; no match is left out.
+    Null text: as empty; a text without a secret has null spans. A null owner or repository counts as one of its own. A
+    repeated row has the same repository and owner and so adds nothing to a count. Very long texts are scanned whole; no match
+    is left out, and a text's matches cost in proportion to their number: each is a row, and its place is a running sum of
+    lengths. A secret that very many documents hold is joined in parts. An empty table gives an empty one. Other columns
+    are neither read nor returned, whatever their names.
     """
     text = F.coalesce("text", F.lit(""))
-    found = F.concat(*(_spans(F.col("text"), *kind) for kind in KINDS))
-    table = kept(docs.select(F.col(repository).alias("repository"), F.col(owner).alias("owner"), text.alias("text")).select("repository", "owner", F.xxhash64("text").alias("text_key"), found.alias("spans")), "secrets")
-    pairs = table.where(F.size("spans") > 0).select("repository", "owner", F.explode(F.array_distinct(F.transform("spans", lambda s: s["secret"]))).alias("secret"))
+    found = F.concat(*(_matches(F.col("text"), rank, *kind[1:]) for rank, kind in enumerate(KINDS, 1)))
+    read = docs.select(F.col(repository).alias("repository"), F.col(owner).alias("owner"), text.alias("text"))
+    keyed = read.select("repository", "owner", F.xxhash64("text").alias("text_key"), found.alias("parts"))
+    table = kept(keyed.withColumn("doc", F.concat_ws(":", F.hex("text_key"), key_of("repository"))), "secrets")
+    some = table.where(F.size("parts") > 0)
+    secrets = F.array_distinct(F.transform(F.filter("parts", lambda p: p["secret"].isNotNull()), lambda p: p["secret"]))
+    pairs = some.select("repository", "owner", F.explode(secrets).alias("secret"))
     by_owner = pairs.groupBy("secret", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("secret", "owner").agg(F.count("*").alias("n"))
     counts = by_owner.groupBy("secret").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
-    singles = table.where(F.size("spans") > 0).select("repository", "text_key", "spans").dropDuplicates(["repository", "text_key"])
-    span = F.struct("s.start", F.col("rank"), "s.kind", "s.end", "s.secret", "n_owners", "n_repositories", (F.col("n_owners") < owners).alias("live"))
-    rank = F.array_position(F.array(*(F.lit(k[0]) for k in KINDS)), F.col("s.kind"))
-    marked = singles.select("repository", "text_key", F.explode("spans").alias("s")).withColumn("rank", rank).withColumn("secret", F.col("s.secret")).join(counts, "secret")
-    by_doc = marked.groupBy("repository", "text_key").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    sides = table.select("repository", "owner", "text_key"), by_doc.select(F.col("repository").alias("_r"), F.col("text_key").alias("_k"), "spans")
-    return sides[0].join(sides[1], sides[0]["repository"].eqNullSafe(F.col("_r")) & (F.col("text_key") == F.col("_k")), "left").drop("_r", "_k")
+
+    before = Window.partitionBy("doc", "rank").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("gap") + F.col("length")).over(before), F.lit(0)) + F.col("gap")
+    placed = some.select("doc", "parts").dropDuplicates(["doc"]).select("doc", F.inline("parts")).withColumn("start", start)
+    spans = kept(placed.where("secret IS NOT NULL").select("doc", "rank", "start", (F.col("start") + F.col("length")).alias("end"), "secret"), "secret-spans")
+    marked = spread_join(spans, counts, "secret", ["doc", "start"], spans.count())
+    kind = F.element_at(F.array(*(F.lit(k[0]) for k in KINDS)), F.col("rank")).alias("kind")
+    span = F.struct("start", "rank", kind, "end", "secret", "n_owners", "n_repositories", (F.col("n_owners") < owners).alias("live"))
+    by_doc = marked.groupBy("doc").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    # rows of equal repository and text share their spans
+    full = spread_join(some.select("repository", "owner", "text_key", "doc"), by_doc, "doc", [], some.count(), "left")
+    columns = ["repository", "owner", "text_key", "spans"]
+    none = table.where(F.size("parts") == 0).withColumn("spans", F.lit(None).cast(full.schema["spans"].dataType))
+    return full.select(columns).union(none.select(columns))
 
 
 def _is(kind: str):

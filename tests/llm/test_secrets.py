@@ -3,7 +3,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
+from prismlake import ordering
 from prismlake.llm import secrets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -40,3 +42,20 @@ def test_widely_copied_secrets_are_examples(spark):
     assert all(len(found[i]) == 1 and not found[i][0].live and found[i][0].n_owners == 4 and found[i][0].n_repositories == 20 for i in range(20))
     assert all(found[50 + i][0].live and found[50 + i][0].kind == "vendor" for i in range(3))
     assert secrets.find(spark.createDataFrame(rows, SCHEMA).where("false")).count() == 0
+
+
+def test_a_text_with_very_many_matches_is_scanned_in_proportion(spark):
+    text = " ".join(f"token=abcdefgh{i} é" for i in range(100_000))
+    began = time.perf_counter()
+    spans = secrets.find(spark.createDataFrame([(1, text, "en", "s", 0)], SCHEMA)).first().spans
+    assert time.perf_counter() - began < 120
+    assert [f"assign:{s.start}:{s.end}" for s in spans] == brute(text)
+
+
+def test_a_hot_secret_and_hot_repeated_rows_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "LEAST", 20)
+    rows = [(i, f"password=changeme123 n{i}", "en", f"s{i % 4}", 0) for i in range(300)] + [(None, "secret=abcdefgh1", "en", None, 0)] * 300 + [(None, None, None, None, None), (None, "", "en", "s", 0)]
+    found = secrets.find(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(found) == 602 and sum(r.spans is None for r in found) == 2
+    by = {(r.repository, len(r.spans), r.spans[0].n_owners, r.spans[0].n_repositories) for r in found if r.spans}
+    assert by == {(i, 1, 4, 300) for i in range(300)} | {(None, 1, 1, 1)}
