@@ -103,11 +103,13 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, by: Sequence[str], ro
 def copies(df: DataFrame, n: str, number: str, rows: int) -> DataFrame:
     """Each row of df n times, numbered from 0 in `number`; rows: about how many come out. n is a long and not null.
 
-    Rows with very many copies are dealt over tasks first, so that no task makes all of them.
+    Rows with very many copies are dealt over tasks first, so that no task makes all of them. df should be kept, as it is read twice.
     """
     at = fresh(df, "_at")[0]
     first = F.lit(0).cast("long")
     few = df.where(F.col(n).between(1, COPIES)).withColumn(number, F.explode(F.sequence(first, F.col(n) - 1)))
+    if rows <= COPIES or df.where(F.col(n) > COPIES).limit(1).count() == 0:
+        return few
     many = df.where(F.col(n) > COPIES).withColumn(at, F.explode(F.sequence(first, F.col(n) - 1, F.lit(COPIES).cast("long"))))
     many = many.repartition(size_bins(rows, 10 * COPIES, 1), at)
     many = many.withColumn(number, F.explode(F.sequence(F.col(at), F.least(F.col(at) + COPIES, F.col(n)) - 1))).drop(at)
