@@ -177,22 +177,25 @@ def _features(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
-    """From the labelled documents that aren't held out, `sample` of them at most; the driver holds no more than their features.
+    """From the labelled ids that aren't held out, `sample` of them at most; the driver holds a row of features for each, and no more.
 
-    A document labelled twice counts with its smaller label; null ids and null labels are left out.
+    An id labelled twice counts with its smaller label, one that several documents have with the least of their features;
+    null ids and null labels are left out. Without labels, or without documents, all texts score alike.
     """
     usable = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).cast("double").alias("_label"))
     some = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most `sample` ids
     compute = lambda batch: [pa.array([*_features(batch)], pa.list_(pa.float64()))]
-    rows = with_computed(joined, compute, "x array<double>", drop=["text"]).toArrow().sort_by([("doc_id", "ascending")])
-    x = np.array(rows["x"].to_pylist(), float).reshape(-1, len(FEATURES))
-    order = np.lexsort([*x.T[::-1], rows["doc_id"].to_numpy()])
-    return fit(x[order], rows["_label"].to_numpy()[order])
+    each = with_computed(joined, compute, "x array<double>", drop=["text"]).groupBy("doc_id").agg(F.min("x").alias("x"), F.min("_label").alias("label"))
+    rows = each.toArrow().sort_by([("doc_id", "ascending")])  # a row for an id
+    return fit(np.array(rows["x"].to_pylist(), float).reshape(-1, len(FEATURES)), rows["label"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with `score` added, from their texts alone; null and empty texts, repeated rows and very long ones have one too."""
+    """docs with `score` added, from their texts alone; null and empty texts, repeated rows and very long ones have one too.
+
+    A column named score is replaced; any other passes through. An empty table gives an empty one.
+    """
     return with_computed(docs.drop("score"), lambda batch: [pa.array(model.scores(_features(batch)))], "score double")
 
 

@@ -54,3 +54,15 @@ def test_held_out_accuracy_of_the_query(spark, tmp_path):
     test = [r.predicted == truth[r.doc_id] for r in found if r.held_out and r.doc_id in truth]
     assert sum(test) / len(test) > 0.95
     assert sorted(map(str, found)) == sorted(map(str, classifier.op1_quality_classifier(spark, str(tmp_path)).collect()))
+
+
+def test_the_sample_bounds_the_rows_that_are_fitted(spark, monkeypatch):
+    rows = [(5, f"text {i} " * 3, "en", "s", 0) for i in range(6000)] + [(i, "some words", "en", "s", 0) for i in range(100, 160)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in [5, *range(100, 160)]], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(classifier, "fit", lambda x, y: seen.append((x.shape, len(y))))
+    classifier.train(docs, labels, sample=20)
+    classifier.train(docs, labels)
+    classifier.train(docs.where("false"), labels)
+    assert seen[0] == ((20, len(classifier.FEATURES)), 20) and seen[1][1] <= 61 and seen[2][1] == 0
