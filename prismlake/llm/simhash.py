@@ -1,13 +1,13 @@
 """SimHash near-dedup by meet-in-the-middle ball hashing.
 
-Two fingerprints within the radius have a variant in common that is within half the radius of both. So fingerprints emit
-their variants, and those that meet at a variant are linked through it: no pairs within a large group are ever made, as all that
-stand within 2 bits of one variant are within 4 of each other.
-
-All 2,081 variants of 64 bits within 2 are emitted only where it can matter. Before, the same is done with either half of
-the bits: of two fingerprints within 4, one half is within 2, and so meets at one of 33 variants of 32 bits within 1. A
-variant at which none meets links nothing; where a few distinct fingerprints meet they are compared; where more meet, each
-emits all its variants.
+Two fingerprints within the radius have a variant in common that is within half the radius of both. So every fingerprint emits
+all its variants within half the radius, variants are shuffled, and those that meet at one are linked through it and verified.
+No pairs within a large group are ever made: all that stand within 2 bits of one variant are within 4 of each other, so a
+link to the least of them says as much; and no more than 2,081 distinct fingerprints can meet at a variant.
+
+Fingerprints of which it is known that none of their variants can meet another's emit none. For that the same is done first
+with either half of the bits: of two fingerprints within 4, one half is within 2, and so meets at one of 33 variants of 32 bits
+within 1. Who meets none there, or one alone that is farther off, has no neighbour.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismlake.llm.common import Scratch, documents, kept, size_bins, small, with_computed
+from prismlake.llm.common import Scratch, documents, fresh, kept, key_of, size_bins, small, spread_join, with_computed
 from prismlake.llm.graph import components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -45,9 +45,6 @@ def fingerprint(text: str | None) -> int:
 
 #: Fingerprints link at so many differing bits or fewer.
 RADIUS = 4
-#: Distinct fingerprints that are compared with each other at most, where they meet at a half's variant. With so many a
-#: comparison of each with all costs about what it costs to emit all 2,081 variants of each.
-COMPARED = 512
 #: Variants of halves at which many meet, and keys of documents that go, that are sent to all executors at most.
 KEYS = 1_000_000
 
@@ -75,72 +72,73 @@ def _ball(fp: Column) -> Column:
     return F.concat(F.array(fp), F.flatten(pairs))
 
 
-def _compared(batch: pa.RecordBatch) -> list[pa.Array]:
-    """Links that connect what is near in each group, one less than its members at most."""
-    out = []
-    for fps in batch["fps"].to_pylist():
-        found = np.array(fps, np.int64)
-        near = np.bitwise_count((found[:, None] ^ found[None, :]).view(np.uint64)) <= RADIUS
-        label = np.arange(len(found))
-        while (least := np.where(near, label[None, :], len(found)).min(axis=1)).tolist() != label.tolist():
-            label = least
-        out.append([{"a": int(found[i]), "b": int(found[j])} for i, j in zip(label.tolist(), range(len(found)), strict=True) if i != j])
-    return [pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))]
+def candidates(distinct: DataFrame, n: int, keep=kept) -> DataFrame:
+    """Of n distinct fingerprints (fp) those that may have a neighbour: that meet one at a half's variant, and aren't ruled out by being two alone that are far apart."""
+    keyed = distinct.repartition(size_bins(n, 5_000, 1), "fp").select("fp", F.explode(_half_keys(F.col("fp"))).alias("key"))  # a row becomes 66
+    met = keep(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "half-keys")
+    twos = met.where((F.col("n") == 2) & near(F.col("a"), F.col("b"))).select(F.explode(F.array("a", "b")).alias("fp"))
+    more = keyed.join(small(met.where("n > 2").select("key"), KEYS), "key", "left_semi").select("fp")
+    return keep(twos.union(more).distinct(), "candidates")
+
+
+def near(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= RADIUS
 
 
 def links(distinct: DataFrame, keep=kept) -> DataFrame:
-    """(a, b) from distinct fingerprints (fp), made of tables that `keep` writes: edges between members of the same components as those that link within RADIUS."""
+    """(a, b) from distinct fingerprints (fp), made of tables that `keep` writes: edges that join what is linked by RADIUS bits or fewer.
+
+    Each variant at which several meet links all of them to the least; so edges and links have the same components.
+    """
     if RADIUS != 4:
         raise ValueError("halves and variants are laid out for a radius of 4")
-    n = distinct.count()
-    spread = distinct.repartition(size_bins(n, 5_000, 1), "fp")  # a row becomes 66
-    keyed = spread.select("fp", F.explode(_half_keys(F.col("fp"))).alias("key"))
-    met = keep(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "half-keys")
-    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= RADIUS
-    twos = met.where((F.col("n") == 2) & near(F.col("a"), F.col("b"))).select("a", "b")
-    held = keep(keyed.join(small(met.where("n > 2").select("key", "n"), KEYS), "key").select("key", "n", "fp"), "met")
-    few = held.where(F.col("n") <= COMPARED).groupBy("key").agg(F.collect_set("fp").alias("fps"))
-    compared = with_computed(few, _compared, "links array<struct<a:bigint,b:bigint>>", drop=["key", "fps"]).select(F.inline("links"))
-    dense = keep(held.where(F.col("n") > COMPARED).select("fp").distinct(), "dense")
-    dense = dense.repartition(size_bins(dense.count(), 200, 1), "fp")  # a row becomes 2,081
+    found = candidates(distinct, distinct.count(), keep)
+    spread = found.repartition(size_bins(found.count(), 200, 1), "fp")  # a row becomes 2,081
     at = Window.partitionBy("variant")
-    stars = dense.select("fp", F.explode(_ball(F.col("fp"))).alias("variant")).select(F.min("fp").over(at).alias("a"), F.col("fp").alias("b")).where("a < b")
-    return twos.union(compared).union(stars).distinct()
+    met = spread.select("fp", F.explode(_ball(F.col("fp"))).alias("variant")).select(F.min("fp").over(at).alias("a"), F.col("fp").alias("b"))
+    return met.where("a < b").distinct().where(near(F.col("a"), F.col("b")))
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, fp and component_id for each of docs.
 
     A component's id is its smallest doc_id; rows without one don't count for that, and have a null id if alone. Null and
-    empty texts have fingerprint 0. Fingerprints are made of whole texts; repeated rows and ties have equal ones.
+    empty texts have fingerprint 0. Fingerprints are made of whole texts, however long; repeated rows and ties have equal
+    ones. An empty table gives an empty one. Other columns are not read, whatever their names.
     """
     found = fingerprints(docs)
+    rows = found.count()
     distinct = kept(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     with Scratch() as keep:
         labels = components(links(distinct.select("fp"), keep))
-    named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    named = kept(distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "named")
     first = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    return found.join(named.select("fp", "label").join(first, "label").drop("label"), "fp")
+    named = spread_join(named.select("fp", "label"), first, "label", ["fp"], rows).select("fp", "component_id")
+    return spread_join(found, named, "fp", [], rows)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id, then the smallest text_key.
+    """docs with one row of each component: that of the smallest doc_id, then the smallest text_key; rows without an id come last.
 
-    Only keys of documents are shuffled, and the text of rows repeated as they are.
+    Only keys of documents are shuffled, and the text of rows repeated as they are. An empty table gives an empty one. All
+    columns of docs may have any names.
     """
-    added = docs.drop("_key")
     found = kept(groups(docs), "groups")
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    per = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min(key).alias("best"))
-    rows = found.groupBy("doc_id", "text_key", "component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.count("*").alias("n"))
-    same = rows["component_id"].eqNullSafe(per["component_id"]) & rows["alone"].eqNullSafe(per["alone"])
-    best = rows["doc_id"].eqNullSafe(F.col("best.doc_id")) & (rows["text_key"] == F.col("best.text_key"))
-    odd = rows.join(per, same).where(~best | (F.col("n") > 1)).select(rows["doc_id"].alias("_id"), rows["text_key"].alias("_text"), best.alias("_stays"))
-    odd = small(kept(odd, "odd"), KEYS)
-    keyed = added.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    marked = keyed.join(odd, keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left")
-    usual = marked.where("_stays IS NULL").select(*added.columns)
-    repeated = marked.where("_stays").dropDuplicates(["_id", "_text"]).select(*added.columns)
+    row = F.concat_ws(":", F.hex("text_key"), key_of("doc_id")).alias("row")
+    component = F.coalesce(F.concat(F.lit("="), F.col("component_id").cast("string")), F.concat(F.lit("~"), F.hex("fp"))).alias("component")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    rows = kept(found.groupBy(component, row, order.alias("place")).agg(F.count("*").alias("n")), "rows")
+    per = rows.groupBy("component").agg(F.min("place").alias("best"))
+    judged = spread_join(rows, per, "component", ["row"], rows.count())
+    # null-safe, as a row without an id has a null in its place
+    stays = (F.col("place.none") == F.col("best.none")) & F.col("place.doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("place.text_key") == F.col("best.text_key"))
+    odd = small(kept(judged.where(~stays | (F.col("n") > 1)).select("row", stays.alias("stays")), "odd"), KEYS)
+    own, other, verdict = fresh(docs, "_row", "_other", "_stays")
+    keyed = docs.withColumn(own, F.concat_ws(":", F.hex(F.xxhash64(F.coalesce("text", F.lit("")))), key_of("doc_id")))
+    marked = keyed.join(odd.toDF(other, verdict), F.col(own) == F.col(other), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    usual = marked.where(F.col(verdict).isNull()).select(*columns)
+    repeated = marked.where(F.col(verdict)).dropDuplicates([own]).select(*columns)
     return usual.union(repeated)
 
 

@@ -5,6 +5,7 @@ import re
 
 import pytest
 import xxhash
+from prismlake import ordering
 from prismlake.llm import graph, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -46,9 +47,9 @@ def test_fingerprints_agree_with_brute_force():
         assert simhash.fingerprint(text) == brute_fingerprint(text)
 
 
-@pytest.mark.parametrize("compared", [2, 16])
-def test_links_connect_exactly_what_is_near(spark, monkeypatch, compared):
-    monkeypatch.setattr(simhash, "COMPARED", compared)
+@pytest.mark.parametrize("hot", [500, 3])
+def test_links_connect_exactly_what_is_near(spark, monkeypatch, hot):
+    monkeypatch.setattr(ordering, "LEAST", hot)
     rng = random.Random(7)
     fps = set()
     for _ in range(12):
@@ -64,6 +65,9 @@ def test_links_connect_exactly_what_is_near(spark, monkeypatch, compared):
     edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"))
     label = {r.node: r.label for r in graph.components(edges).collect()}
     want = brute_components(signed, fps)
+    linked = {x for i, x in enumerate(fps) for j, y in enumerate(fps) if i != j and (x ^ y).bit_count() <= 4}
+    emitting = {r.fp for r in simhash.candidates(spark.createDataFrame([(x,) for x in signed], "fp long"), len(fps)).collect()}
+    assert {x - (1 << 64) if x >> 63 else x for x in linked} <= emitting
     assert [label.get(s, s) for s in signed] == want
 
 
@@ -86,7 +90,7 @@ def documents(spark):
                 text[rng.randrange(200)] = "zzz"
             rows.append((len(rows) + 100, " ".join(text), "en", "s", g))
     rows += [(5, "", "en", "s", 0), (6, None, None, None, None), (7, "one", "en", "s", 0), (8, "ONE", "en", "s", 0), (7, "one", "en", "s", 0), (None, "solo row", "en", "s", 0), (None, "solo row", "en", "s", 0), (None, "one", "en", "s", 0)]
-    return spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' AS fp", "1 AS component_id", "2 AS text_key"), rows
+    return spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' AS fp", "1 AS component_id", "2 AS text_key", "3 AS _key", "4 AS _id", "5 AS _stays", "6 AS _row", "7 AS _other"), rows
 
 
 def test_groups_agree_with_brute_force_and_one_of_each_stays(spark):
