@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismlake.llm.common import Kept, documents, kept, running, size_bins
+from prismlake.llm.common import Kept, copies, documents, kept, running, size_bins, spread_join
 
 SHARDS, ROUNDS = 8, 8
 #: While documents move, a shard may hold more than its quota by this part of it; in the end its smallest groups go.
@@ -78,42 +78,53 @@ def propagate(groups: DataFrame, rows: int, shards: int = SHARDS, rounds: int =
     return kept(fits.select("group", "shard", "n"), "assigned")
 
 
+def _share(first: Column, n: Column, runs: Column, rest: bool) -> Column:
+    """Of the numbers first to first + n - 1 how many lie in each of runs (first, end, shard), and the rest, of shard null; shares of 0 are left out."""
+    inside = F.transform(runs, lambda r: F.struct(r["shard"].cast("int").alias("shard"), (F.least(r["end"], first + n) - F.greatest(r["first"], first)).alias("n")))
+    inside = F.coalesce(F.filter(inside, lambda x: x["n"] > 0), F.array().cast("array<struct<shard:int,n:bigint>>"))
+    if not rest:
+        return inside
+    left = n - F.aggregate(inside, F.lit(0).cast("long"), lambda held, x: held + x["n"])
+    return F.filter(F.concat(inside, F.array(F.struct(F.lit(None).cast("int").alias("shard"), left.alias("n")))), lambda x: x["n"] > 0)
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for each of docs; shards' counts differ by one at most.
 
-    Null texts count as empty, and all of these are linked. Repeated rows are linked like other equal texts. Rows of
-    equal doc_id and text are not told apart. Reruns agree, whatever the partitions. Texts are hashed where they are read
-    and never shuffled.
+    Null texts count as empty, and all of these are linked. Repeated rows are linked like other equal texts; rows of equal
+    doc_id and text are not told apart, and are one row with a count until the last step, however many there are. Reruns agree,
+    whatever the partitions. Texts of any length are hashed where they are read and never shuffled. An empty table gives an
+    empty one. Other columns are not read, whatever their names.
     """
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    base = kept(docs.select("doc_id", (F.length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.md5(raw).alias("group")), "sharding")
-    rows = base.count()
-    bins = size_bins(rows)
-    by_id = F.pmod(_mix("doc_id", "group", 3), F.lit(bins))
-    groups = kept(base.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"), "linked")
+    each = docs.select("doc_id", (F.length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.md5(raw).alias("group"))
+    base = kept(each.groupBy("doc_id", "size", "text_crc32", "group").agg(F.count("*").alias("n")), "sharding")
+    classes, rows = base.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bins = size_bins(classes)
+    binned = base.withColumn("_bin", F.pmod(_mix("doc_id", "group", 3), F.lit(bins)))
+    groups = kept(base.groupBy("group").agg(F.sum("n").alias("n")).where("n > 1"), "linked")
     cells = propagate(groups, rows, shards, rounds)
 
     # members of a group are numbered, and each shard takes a run of the numbers
-    numbered = running(base.withColumn("_bin", by_id), ["group"], "_bin", [F.col("doc_id"), F.col("group")], F.lit(1), "number")
+    numbered = kept(running(binned, ["group"], "_bin", [F.col("doc_id")], F.col("n"), "number"), "numbered")
     order = Window.partitionBy("group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     runs = cells.withColumn("first", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    runs = runs.groupBy("group").agg(F.collect_list(F.struct((F.col("first") + F.col("n")).alias("end"), "shard")).alias("runs"))  # one for each shard at most
-    taken = F.array_min(F.filter("runs", lambda r: r["end"] > F.col("number")))["shard"]
-    placed = kept(numbered.join(runs, "group", "left").select("doc_id", "size", "text_crc32", "group", "_bin", taken.alias("shard")), "placed")
+    runs = runs.groupBy("group").agg(F.collect_list(F.struct("first", (F.col("first") + F.col("n")).alias("end"), "shard")).alias("runs"))  # one for each shard at most
+    columns = ["doc_id", "size", "text_crc32", "group", "_bin"]
+    joined = spread_join(numbered, runs, "group", ["doc_id"], classes, "left")
+    placed = kept(joined.select(*columns, F.inline(_share(F.col("number"), F.col("n"), F.col("runs"), True))), "placed")
 
     gap = {s: rows // shards + (s < rows % shards) for s in range(shards)}
-    for r in placed.where("shard IS NOT NULL").groupBy("shard").agg(F.count("*").alias("n")).collect():  # a row for each shard
+    for r in placed.where("shard IS NOT NULL").groupBy("shard").agg(F.sum("n").alias("n")).collect():  # a row for each shard
         gap[r["shard"]] -= r["n"]
-    ends = [(sum(gap[x] for x in range(s + 1)), s) for s in range(shards) if gap[s]]
-    free = running(placed.where("shard IS NULL").withColumn("all", F.lit(0)), ["all"], "_bin", [F.col("doc_id"), F.col("group")], F.lit(1), "number")
-    to = F.lit(None).cast("int")
-    for end, s in reversed(ends):
-        to = F.when(F.col("number") < end, s).otherwise(to)
-    filled = free.withColumn("shard", to)
-    columns = ["doc_id", "size", "text_crc32", "group", "_bin", "shard"]
-    done = kept(placed.where("shard IS NOT NULL").select(columns).union(filled.select(columns)), "filled")
-    slotted = running(done, ["shard"], "_bin", [F.col("doc_id"), F.col("group")], F.lit(1), "slot")
-    return slotted.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
+    open_ = [F.struct(F.lit(sum(gap[x] for x in range(s))).cast("long").alias("first"), F.lit(sum(gap[x] for x in range(s + 1))).cast("long").alias("end"), F.lit(s).alias("shard")) for s in range(shards)]
+    free = running(placed.where("shard IS NULL").withColumn("all", F.lit(0)), ["all"], "_bin", [F.col("doc_id"), F.col("group")], F.col("n"), "number")
+    filled = free.select(*columns, F.inline(_share(F.col("number"), F.col("n"), F.array(*open_), False)))
+    done = kept(placed.where("shard IS NOT NULL").select(*columns, "shard", "n").union(filled.select(*columns, "shard", "n")), "filled")
+    # bins anew, as a shard's free places were filled from a few of the bins
+    again = done.withColumn("_bin", F.pmod(_mix("doc_id", "group", 4), F.lit(bins)))
+    slotted = kept(running(again, ["shard"], "_bin", [F.col("doc_id"), F.col("group")], F.col("n"), "slot"), "slotted")
+    return copies(slotted, "n", "copy", rows).select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("copy")).cast("long").alias("slot"))
 
 
 def op3_balanced_shards(spark, sf_dir: str) -> DataFrame:

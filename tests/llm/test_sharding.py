@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from prismlake import ordering
 from prismlake.llm import sharding
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -62,3 +63,12 @@ def test_empty_and_tiny_tables(spark):
     docs = spark.createDataFrame([(1, "a", "en", "s", 0), (2, "a", "en", "s", 0), (3, "b", "en", "s", 0)], SCHEMA)
     check(sharding.shard(docs).collect(), [(1, "a"), (2, "a"), (3, "b")], 8)
     assert sharding.shard(docs.where("false")).count() == 0
+
+
+def test_rows_repeated_as_they_are_are_dealt_like_others(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "COPIES", 50)
+    rows = [(None, "same")] * 2000 + [(5, "same")] * 7 + [(i, f"t{i % 900}") for i in range(1500)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    found = sharding.shard(docs).collect()
+    check(found, rows, 8)
+    assert sorted(map(str, sharding.shard(docs.repartition(5)).collect())) == sorted(map(str, found))
