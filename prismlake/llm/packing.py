@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from prismlake.llm.common import documents, kept, running, size_bins, with_computed
+from prismlake.llm.common import copies, documents, kept, running, size_bins, with_computed
 
 VOCABULARY = "byte_bpe_50k.json"
 TOKENS, END = 2048, 1
@@ -43,7 +43,8 @@ class Encoder:
     tests hold the two against each other. Others are encoded by the tokenizers library itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str | None):
+        path = path or str(public_tokenizers.path(VOCABULARY))
         ranks, self.special = _ranks(path)
         self.path, self.tokenizer = path, None
         self.fast = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -55,10 +56,10 @@ class Encoder:
         return self.fast.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str | None, Encoder] = {}
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
+def encode(texts: list[str], path: str | None = None) -> list[bytes]:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return [*map(_encoders[path], texts)]
@@ -141,10 +142,13 @@ def slots_of(patterns: list[tuple[int, list[list[int]]]]) -> dict[int, Slots]:
 def pack(docs: DataFrame, capacity: int = TOKENS, end: int = END, path: str | None = None) -> DataFrame:
     """A row for each piece of each of docs: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A null or empty text is the end token alone. Rows of equal doc_id are packed each on its own. Texts of any length are
-    cut into pieces that fill a sequence, and a rest. No text is shuffled. Columns other than doc_id and text are not read.
+    path: of the vocabulary's file where the executors see it; none: the public one that is installed there.
+
+    A null or empty text is the end token alone. Rows of equal doc_id are packed each on its own; equal pieces of them are
+    one row with a count until the last step, however many there are. Texts of any length are cut into pieces that fill a
+    sequence, and a rest. No text is shuffled. An empty table gives an empty one. Columns other than doc_id and text are not
+    read, whatever their names.
     """
-    path = path or str(public_tokenizers.path(VOCABULARY))
     last = int(end).to_bytes(4, "little")
 
     def cut(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -156,10 +160,13 @@ def pack(docs: DataFrame, capacity: int = TOKENS, end: int = END, path: str | No
         return [pa.array(pieces, pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens")])))]
 
     cuts = with_computed(docs.select("doc_id", "text"), cut, "pieces array<struct<start:bigint,length:bigint,ids_crc32:bigint,doc_tokens:bigint>>", drop=["text"])
-    pieces = kept(cuts.select("doc_id", F.inline("pieces")), "pieces")
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    bins = size_bins(sum(counts.values()))
-    ranked = running(pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(bins))), ["length"], "bin", [F.col("doc_id"), F.col("start"), F.col("ids_crc32")], F.lit(1), "rank")
+    every = cuts.select("doc_id", F.inline("pieces"))
+    pieces = kept(every.groupBy(*every.columns).agg(F.count("*").alias("n")), "pieces")
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
+    bins = size_bins(pieces.count())
+    binned = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(bins)))
+    ranked = kept(running(binned, ["length"], "bin", [F.col("doc_id"), F.col("start"), F.col("ids_crc32"), F.col("doc_tokens")], F.col("n"), "first"), "ranked")
+    each = copies(ranked, "n", "copy", sum(counts.values())).withColumn("rank", F.col("first") + F.col("copy"))
     table = {k: [np.array(x, np.int64) for x in (s.first, s.each, s.sequence, s.offset)] for k, s in slots_of(shortest_pack_first(counts, capacity)[0]).items()}
 
     def place(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -174,7 +181,7 @@ def pack(docs: DataFrame, capacity: int = TOKENS, end: int = END, path: str | No
             out[1, rows] = offset[at] + into % each[at] * k
         return [pa.array(out[0]), pa.array(out[1])]
 
-    return with_computed(ranked.drop("bin"), place, "sequence_id bigint, offset bigint", drop=["rank"])
+    return with_computed(each.drop("bin", "n", "first", "copy"), place, "sequence_id bigint, offset bigint", drop=["rank"])
 
 
 def op9_pack(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from prismlake import ordering
 from prismlake.llm import packing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -69,3 +70,13 @@ def test_each_id_lies_in_one_piece_and_sequences_have_no_gap(spark):
             at += r.length
         assert at <= 2048
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_repeated_as_they_are_are_packed_each(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "COPIES", 50)
+    docs = spark.createDataFrame([(None, "b c", "en", "a", 0)] * 3000 + [(1, "b c", "en", "a", 0)] * 9, SCHEMA)
+    found = packing.pack(docs).collect()
+    assert len(found) == 3009 and sum(r.doc_id is None for r in found) == 3000
+    length = found[0].length
+    assert len({(r.sequence_id, r.offset) for r in found}) == 3009 and all(r.length == length and r.offset % length == 0 and r.offset + length <= 2048 for r in found)
+    assert len({r.sequence_id for r in found}) == -(-3009 // (2048 // length))
