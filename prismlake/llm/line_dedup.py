@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismlake.llm.common import documents, kept, key_of, small
+from prismlake.llm.common import documents, fresh, kept, key_of, small, spread_join
 
 #: A line is dropped if more than this share of the host's pages has it, on at least so many pages.
 RATIO, PAGES = 0.08, 8
-#: Hosts whose lists are sent to all executors at most; with more, the join is shuffled.
+#: Hosts whose lists are sent to all executors at most; with more, or with more bytes than storage.SENT, pages are dealt by
+#: host, those of a large host over many tasks.
 HOSTS = 20_000
 SPACES = " \t\r\x0b\x0c"
 
@@ -31,28 +32,36 @@ def _hash(line: Column) -> Column:
 def boilerplate(docs: DataFrame, ratio: float = RATIO, pages: int = PAGES, site: str = "source") -> DataFrame:
     """(host, frequent: array<long>): at most (lines of a mean page / ratio) hashes for a host."""
     lines = docs.select(key_of(site).alias("host"), F.explode(F.array_distinct(F.transform(F.split("text", "\n"), _hash))).alias("line")).where("line IS NOT NULL")
-    counted = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= pages)
+    counted = kept(lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= pages), "site-counts")
     totals = docs.groupBy(key_of(site).alias("host")).agg(F.count("*").alias("total"))
-    return counted.join(totals, "host").where(F.col("n") > ratio * F.col("total")).groupBy("host").agg(F.collect_list("line").alias("frequent"))
+    shared = spread_join(counted, totals, "host", ["line"], counted.count())
+    return shared.where(F.col("n") > ratio * F.col("total")).groupBy("host").agg(F.collect_list("line").alias("frequent"))
 
 
 def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, pages: int = PAGES, site: str = "source") -> DataFrame:
     """docs, whose column `site` names their host, with `text` freed of its host's boilerplate lines, and n_lines and n_dropped added.
 
-    A null text stays null and has no lines; a null source is a host of its own; a repeated row is a page each time.
-    Lines without a word are neither counted nor dropped. Other columns pass through; n_lines and n_dropped are replaced.
+    A null text stays null and has no lines; a null source is a host of its own; a repeated row is a page each time; pages of
+    any length are taken whole; an empty table gives an empty one. Lines without a word are neither counted nor dropped.
+    Other columns pass through, whatever their names; n_lines and n_dropped are replaced.
     """
-    docs = docs.drop("n_lines", "n_dropped", "_host", "_frequent", "_lines", "_stay")
-    lists = small(kept(boilerplate(docs, ratio, pages, site), "site-lines"), HOSTS)
-    joined = docs.withColumn("_host", key_of(site)).join(lists.select(F.col("host").alias("_host"), F.col("frequent").alias("_frequent")), "_host", "left")
-    touched = F.col("_frequent").isNotNull()
-    out = joined.withColumn("_lines", F.split("text", "\n"))
-    out = out.withColumn("_stay", F.when(touched, F.filter("_lines", lambda x: ~F.coalesce(F.array_contains(F.col("_frequent"), _hash(x)), F.lit(False)))).otherwise(F.col("_lines")))
-    n_lines = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
-    n_lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines)
-    n_left = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.size("_stay").cast("long"))
-    out = out.withColumns({"n_lines": n_lines, "n_dropped": n_lines - n_left, "text": F.when(F.size("_stay") < F.size("_lines"), F.array_join("_stay", "\n")).otherwise(F.col("text"))})
-    return out.select(*docs.columns, "n_lines", "n_dropped")
+    docs = docs.drop("n_lines", "n_dropped")
+    host, frequent, lines, hashes, hits, stay = fresh(docs, "_host", "_frequent", "_lines", "_hashes", "_hits", "_stay")
+    found = kept(boilerplate(docs, ratio, pages, site), "site-lines")
+    hosted, few = docs.withColumn(host, key_of(site)), small(found, HOSTS)
+    named = few.toDF(host, frequent)
+    joined = spread_join(hosted, named, host, [], docs.count(), "left") if few is found else hosted.join(named, host, "left")
+    out = joined.withColumn(lines, F.split("text", "\n")).withColumn(hashes, F.when(F.col(frequent).isNotNull(), F.transform(lines, _hash)))
+    out = out.withColumn(hits, F.array_intersect(hashes, frequent))  # by a hash set, so that long lists cost no more
+    gone = lambda x: F.coalesce(F.array_contains(F.col(hits), x["hash"]), F.lit(False))
+    zipped = F.arrays_zip(F.col(lines).alias("line"), F.col(hashes).alias("hash"))
+    rest = F.transform(F.filter(zipped, lambda x: ~gone(x)), lambda x: x["line"])
+    out = out.withColumn(stay, F.when(F.size(hits) > 0, rest).otherwise(F.col(lines)))
+    none = F.lit(0).cast("long")
+    n_lines, n_left = (F.when(F.col("text").isNull(), none).otherwise(F.size(c).cast("long")) for c in (lines, stay))
+    text = F.when(F.size(stay) < F.size(lines), F.array_join(stay, "\n")).otherwise(F.col("text"))
+    columns = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*columns, n_lines.alias("n_lines"), (n_lines - n_left).alias("n_dropped"))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
