@@ -1,13 +1,18 @@
-"""Removal of repeated byte strings by hashes of strings around minimiser triggers, in place of prefix-free parsing.
+"""Removal of repeated byte strings by prefix-free parsing.
 
 A rolling hash picks triggers: of any run of WIDTH places the one with the least hash of its next bytes. Triggers depend on
 nothing but the bytes around them, so equal strings have them alike wherever they stand. A string of LENGTH bytes belongs to
-the trigger of its first WIDTH places. There is no dictionary of phrases, no parse as phrase ids and no suffix array of either.
+the trigger of its first WIDTH places: it is some of the bytes before that trigger and the rest from it on.
 
-What can't repeat is left out by hashes before anything is sorted: a trigger whose next CORE bytes stand nowhere else has no
-repeated string. And what repeats as a whole, all strings of a trigger together, is known from one hash. Only triggers at
-the ends of repeats are left, at most a few for each end of a repeated passage: of those that share a core the raw bytes
-before (reversed) and after them are sorted within one task's batch, and strings of equal bytes are neighbours there.
+Triggers cut texts into phrases. The distinct phrases before triggers, in order of their reversed bytes, are the dictionary:
+phrases that end alike are neighbours in it. The distinct suffixes of the parse from triggers on, cut where no string reaches,
+are in order of their bytes. Both orders are made by Spark, range by range, and hold for each entry how many bytes it has
+in common with the one before. From these each entry knows its class at any depth: the run of neighbours that agree in so
+many bytes. Two strings are equal if and only if they are equal far from their trigger, and their classes are, of the phrase
+at that depth and of the parse at the rest of LENGTH; so strings are combined by their two classes, and counted.
+
+What can't repeat is left out by hashes before: a trigger whose next CORE bytes stand nowhere else has no repeated string. And
+triggers all of whose strings repeat together, phrase and parse being equal as a whole, are one entry with a count.
 """
 
 from __future__ import annotations
@@ -21,15 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismlake.llm.common import Scratch, documents, kept, size_bins, small, with_computed
+from prismlake.llm.common import Scratch, documents, fresh, kept, size_bins, spread_join, with_computed
 
 #: Bytes of a string that is removed if it repeats, bytes that a trigger's hash is made of, and places of which one triggers.
 LENGTH, TRIGGER, WIDTH = 200, 16, 150
 #: Bytes after a trigger that all of its strings have.
 CORE = LENGTH - WIDTH + 1
-#: Triggers of one core that are sorted in one task; for more, their strings are counted by hash. And crowded cores that
-#: are sent to all executors at most.
-SORTED, SENT = 50_000, 1_000_000
+#: Entries of an order that one task holds.
+RANGE = 20_000
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 
@@ -125,92 +129,104 @@ def _parsed(batch: pa.RecordBatch) -> list[pa.Array]:
 
 
 def _contexts(batch: pa.RecordBatch) -> list[pa.Array]:
-    """For each open trigger of a text what stands before it, back to its first string, and the LENGTH bytes after it."""
+    """For each open trigger of a text its phrase, from its first string on and reversed, and the LENGTH bytes of the parse from it on."""
     rows = []
     for text, places in zip(batch["text"].to_pylist(), batch["places"].to_pylist(), strict=True):
         raw = (text or "").encode()
         at = _unpacked(np.array(sorted(places), np.int64))
-        rows.append([{"place": int(p), "before": raw[low:t], "after": raw[t : t + LENGTH]} for p, (t, low, _) in zip(sorted(places), at.tolist(), strict=True)])
-    return [pa.array(rows, pa.list_(pa.struct([("place", pa.int64()), ("before", pa.binary()), ("after", pa.binary())])))]
-
-
-def _order(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of byte strings, and for each rank how many bytes it has in common with the rank before."""
-    table = np.zeros((len(rows), width), np.uint8)
-    for i, row in enumerate(rows):
-        table[i, : len(row)] = np.frombuffer(row, np.uint8)
-    order = np.argsort(table.view(f"S{width}").ravel(), kind="stable")
-    rank = np.empty(len(rows), np.int64)
-    rank[order] = np.arange(len(rows))
-    common = np.zeros(len(rows), np.int64)
-    if len(rows) > 1:
-        same = table[order[1:]] == table[order[:-1]]
-        common[1:] = np.where(same.all(axis=1), width, np.argmin(same, axis=1))
-    return rank, common
-
-
-def repeats_in_order(places: np.ndarray, before: list[bytes], after: list[bytes]) -> list[list[tuple[int, int]]]:
-    """For each trigger the spans of its strings that another trigger has as well, in the order of the bytes before and after it."""
-    n = len(places)
-    at = _unpacked(places)
-    end_rank, end_common = _order([x[::-1] for x in before], WIDTH)
-    parse_rank, parse_common = _order(after, LENGTH)
-    shortest, longest = at[:, 0] - at[:, 2], at[:, 0] - at[:, 1]
-    found = np.zeros((n, WIDTH), bool)
-    for d in range(int(longest.max(initial=-1)) + 1):
-        rows = np.flatnonzero((shortest <= d) & (d <= longest))
-        if len(rows) < 2:
-            continue
-        ends = np.cumsum(end_common < d)[end_rank[rows]]  # equal for equal d bytes before
-        parse = np.cumsum(parse_common < LENGTH - d)[parse_rank[rows]]  # equal for equal LENGTH - d bytes after
-        key = ends * (n + 1) + parse
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        found[rows[order[1:][same]], d] = True
-        found[rows[order[:-1][same]], d] = True
-    spans: list[list[tuple[int, int]]] = []
-    for i in range(n):
-        own, t = np.flatnonzero(found[i]), int(at[i, 0])
-        cuts = np.flatnonzero(np.diff(own) > 1) if len(own) else []
-        lows, highs = np.append(own[:1], own[np.asarray(cuts, int) + 1]), np.append(own[np.asarray(cuts, int)], own[-1:])
-        spans.append([(t - int(b), t - int(a) + LENGTH) for a, b in zip(lows, highs, strict=True)])
-    return spans
-
-
-_SPANS = "uid bigint, span_start bigint, span_end bigint"
-
-
-def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by core; those of a core are handled together, and as many cores at once as SORTED rows hold."""
-    held = None
+        rows.append([{"place": int(p), "phrase": raw[low:t][::-1], "parse": raw[t : t + LENGTH]} for p, (t, low, _) in zip(sorted(places), at.tolist(), strict=True)])
+    return [pa.array(rows, pa.list_(pa.struct([("place", pa.int64()), ("phrase", pa.binary()), ("parse", pa.binary())])))]
+
+
+def common(strings: list[bytes]) -> np.ndarray:
+    """Bytes that each string has in common with the one before; 0 for the first."""
+    out = np.zeros(len(strings), np.int64)
+    if len(strings) < 2:
+        return out
+    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+    table = np.zeros((len(strings), int(lengths.max()) + 1), np.uint8)
+    for i, x in enumerate(strings):
+        table[i, : len(x)] = np.frombuffer(x, np.uint8)
+    other = table[1:] != table[:-1]
+    other[:, -1] = True
+    out[1:] = np.minimum(np.argmax(other, axis=1), np.minimum(lengths[1:], lengths[:-1]))
+    return out
+
+
+def pushed(stack: list[tuple[int, int]], depth: int, start: int) -> None:
+    """The stack of (depth, start) after an entry that has `depth` bytes in common with the one before: its class begins anew wherever more are asked for."""
+    while stack and stack[-1][0] >= depth:
+        stack.pop()
+    stack.append((depth, start))
+
+
+_STACK = pa.list_(pa.struct([("depth", pa.int64()), ("start", pa.int64())]))
+_STACK_SQL = "array<struct<depth:bigint,start:bigint>>"
+
+
+def _stack(entries: list[tuple[int, int]]) -> list[dict]:
+    return [{"depth": d, "start": s} for d, s in entries]
+
+
+def _ends(table: pa.Table) -> pa.Table:
+    """Of a range of an order: its first and last string, and where classes begin in it."""
+    strings, part = sorted(table["s"].to_pylist()), table["_range"][0].as_py()
+    stack: list[tuple[int, int]] = []
+    for i, depth in enumerate(common(strings).tolist()):
+        pushed(stack, depth if i else -1, part << 32 | i)
+    return pa.table({"_range": pa.array([part], pa.int32()), "first": pa.array([strings[0]], pa.binary()), "last": pa.array([strings[-1]], pa.binary()), "stack": pa.array([_stack(stack[1:])], _STACK)})
+
+
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each range inherits from those before: open classes, and the bytes its first string has in common with the last before it."""
+    stack: list[tuple[int, int]] = []
+    last = None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        if held.num_rows >= SORTED:
-            core = held["core"].to_numpy()
-            whole = int(np.searchsorted(core, core[-1], side="left"))
-            if whole:
-                yield from _resolve(held.slice(0, whole))
-                held = held.slice(whole)
-    if held is not None and held.num_rows:
-        yield from _resolve(held)
+        out = []
+        for row in batch.to_pylist():
+            depth = -1 if last is None else int(common([last, row["first"]])[1])
+            out.append((row["_range"], _stack(stack), depth))
+            pushed(stack, depth, row["_range"] << 32)
+            for x in row["stack"]:
+                pushed(stack, x["depth"], x["start"])
+            last = row["last"]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], _STACK), pa.array([x[2] for x in out], pa.int64())], names=["_range", "before", "depth"])
+
+
+def _classes(table: pa.Table) -> pa.Table:
+    """For each string of a range the stack of depths at which classes begin, and where."""
+    strings, part = sorted(table["s"].to_pylist()), table["_range"][0].as_py()
+    stack = [(x["depth"], x["start"]) for x in table["before"][0].as_py()]
+    rows = []
+    for i, depth in enumerate(common(strings).tolist()):
+        pushed(stack, depth if i else table["depth"][0].as_py(), part << 32 | i)
+        rows.append(_stack(stack))
+    return pa.table({"s": pa.array(strings, pa.binary()), "stack": pa.array(rows, _STACK)})
+
 
+def classes(strings: DataFrame, keep=kept) -> DataFrame:
+    """(s, stack) from distinct strings (s: binary): two strings agree in n bytes if and only if their stacks' last entries of a depth under n have the same start.
 
-def _resolve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    spans = repeats_in_order(table["place"].to_numpy(), table["before"].to_pylist(), table["after"].to_pylist())
-    uid = np.repeat(table["uid"].to_numpy(), [len(s) for s in spans])
-    flat = np.array([x for s in spans for x in s], np.int64).reshape(-1, 2)
-    yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["uid", "span_start", "span_end"])
+    Only the ends of ranges are seen in one place: two strings and LENGTH entries at most for each RANGE strings.
+    """
+    n = strings.count()
+    ranged = keep(strings.repartitionByRange(size_bins(n, RANGE, 1), "s").withColumn("_range", F.spark_partition_id()), "ranges")
+    ends = ranged.groupBy("_range").applyInArrow(_ends, f"_range int, first binary, last binary, stack {_STACK_SQL}")
+    carried = keep(ends.coalesce(1).sortWithinPartitions("_range").mapInArrow(_carried, f"_range int, before {_STACK_SQL}, depth bigint"), "carried")
+    return ranged.join(carried, "_range").groupBy("_range").applyInArrow(_classes, f"s binary, stack {_STACK_SQL}")
 
 
 def _strings(batch: pa.RecordBatch) -> list[pa.Array]:
-    """For each trigger of a core that too many have: a hash for each of its strings."""
+    """For each open trigger its strings: how far before the trigger they begin, and their classes in the dictionary and in the parse."""
     rows = []
-    for place, before, after in zip(*(batch[c].to_pylist() for c in ("place", "before", "after")), strict=True):
-        (t, low, high), raw = _unpacked(np.array([place]))[0].tolist(), before + after
-        starts = np.arange(0, high - low + 1)
-        rows.append([{"string": int(h), "at": low + int(i)} for i, h in zip(starts, Hashes(raw).of(starts, starts + LENGTH).view(np.int64), strict=True)])
-    return [pa.array(rows, pa.list_(pa.struct([("string", pa.int64()), ("at", pa.int64())])))]
+    stacks = (tuple(np.array([[x["depth"], x["start"]] for x in stack], np.int64).T for stack in batch[c].to_pylist()) for c in ("phrase_stack", "parse_stack"))
+    for place, (depths, starts), (rest_depths, rest_starts) in zip(batch["place"].to_pylist(), *stacks, strict=True):
+        t, low, high = _unpacked(np.array([place]))[0].tolist()
+        far = np.arange(t - high, t - low + 1)
+        phrase = starts[np.searchsorted(depths, far) - 1]
+        parse = rest_starts[np.searchsorted(rest_depths, LENGTH - far) - 1]
+        rows.append([{"far": f, "phrase": p, "parse": q} for f, p, q in zip(far.tolist(), phrase.tolist(), parse.tolist(), strict=True)])
+    return [pa.array(rows, pa.list_(pa.struct([("far", pa.int64()), ("phrase", pa.int64()), ("parse", pa.int64())])))]
 
 
 def uid():
@@ -238,20 +254,21 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         alone = split.where("all IS NULL").select("uid", "place", "core")
         one = whole.select("shown.*")
         left = keep(alone.union(one.join(alone.select("core").distinct(), "core", "left_semi").select("uid", "place", "core")), "open")
-        n_left = left.count()
         wanted = keep(left.groupBy("uid").agg(F.collect_set("place").alias("places")), "open-triggers")
-        shown = with_computed(texts.join(wanted, "uid").select("uid", "text", "places"), _contexts, "x array<struct<place:bigint,before:binary,after:binary>>", drop=["text", "places"])
-        shown = shown.select("uid", F.inline("x"))
-        core_of = F.xxhash64(F.substring("after", 1, CORE))
-        contexts = keep(shown.withColumn("core", core_of), "contexts")
-        crowded = small(keep(contexts.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > SORTED).select("core"), "crowded"), SENT)
-        few = contexts.join(crowded, "core", "left_anti").repartition(size_bins(n_left, 5_000, 1), "core").sortWithinPartitions("core")
-        ordered = few.select("core", "uid", "place", "before", "after").mapInArrow(_sorted_groups, _SPANS)
-        strings = with_computed(contexts.join(crowded, "core").select("uid", "place", "before", "after"), _strings, "x array<struct<string:bigint,at:bigint>>", drop=["place", "before", "after"]).select("uid", F.inline("x"))
+        shown = with_computed(texts.join(wanted, "uid").select("uid", "text", "places"), _contexts, "x array<struct<place:bigint,phrase:binary,parse:binary>>", drop=["text", "places"])
+        contexts = keep(shown.select("uid", F.inline("x")), "contexts")
+        n = contexts.count()
+        for part in ("phrase", "parse"):
+            order = keep(classes(keep(contexts.select(F.col(part).alias("s")).distinct(), f"{part}-strings"), keep), f"{part}-order")
+            contexts = keep(spread_join(contexts, order.toDF(part, f"{part}_stack"), part, ["uid", "place"], n).drop(part), f"{part}-classes")
+        spread = contexts.repartition(size_bins(n, 5_000, 1), "uid", "place")  # a row becomes up to WIDTH
+        strings = with_computed(spread, _strings, "x array<struct<far:bigint,phrase:bigint,parse:bigint>>", drop=["phrase_stack", "parse_stack"])
+        strings = keep(strings.select("uid", "place", F.explode("x").alias("string")), "strings")
         twice = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-        counted = strings.join(twice, "string").select("uid", F.col("at").alias("span_start"), (F.col("at") + LENGTH).alias("span_end"))
-        spans = sure.union(ordered).union(counted)
-        return kept(spans.groupBy("uid").agg(F.collect_set(F.struct(F.col("span_start").alias("s"), F.col("span_end").alias("e"))).alias("spans")), "spans")
+        found = spread_join(strings, twice, "string", ["uid", "place"], strings.count())
+        counted = found.select("uid", (F.shiftright("place", 16) - F.col("string.far")).alias("span_start")).withColumn("span_end", F.col("span_start") + LENGTH)
+        spans = sure.union(counted)
+        return kept(spans.groupBy("uid").agg(F.collect_list(F.struct(F.col("span_start").alias("s"), F.col("span_end").alias("e"))).alias("spans")), "spans")
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -269,23 +286,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with removed (array of byte spans) and kept_bytes added.
 
     A null text counts as empty. Texts under LENGTH bytes keep all. Equal texts, and repeated rows, repeat each other.
-    Texts of any length are parsed whole. Columns of the names added are replaced.
+    Texts of any length are parsed whole. An empty table gives an empty one. Columns of the names added are replaced; others
+    pass through, whatever their names.
     """
-    docs = docs.drop("removed", "kept_bytes", "_uid", "_spans")
-    found = repeated_spans(docs)
-    found = found.select(F.col("uid").alias("_uid"), F.col("spans").alias("_spans"))
-    joined = docs.join(found, uid() == F.col("_uid"), "left").drop("_uid")
+    docs = docs.drop("removed", "kept_bytes")
+    key, runs_of = fresh(docs, "_uid", "_spans")
+    joined = docs.join(repeated_spans(docs).toDF(key, runs_of), uid() == F.col(key), "left").drop(key)
 
     def cut(batch: pa.RecordBatch) -> list[pa.Array]:
         removed, rest = [], []
-        for text, spans in zip(batch["text"].to_pylist(), batch["_spans"].to_pylist(), strict=True):
+        for text, spans in zip(batch["text"].to_pylist(), batch[runs_of].to_pylist(), strict=True):
             raw, runs = (text or "").encode(), merged(spans)
             edges = [0, *(x for run in runs for x in run), len(raw)]
             removed.append([{"s": s, "e": e} for s, e in runs])
             rest.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
         return [pa.array(removed, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array(rest, pa.binary())]
 
-    return with_computed(joined, cut, "removed array<struct<s:bigint,e:bigint>>, kept_bytes binary", drop=["_spans"])
+    return with_computed(joined, cut, "removed array<struct<s:bigint,e:bigint>>, kept_bytes binary", drop=[runs_of])
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:

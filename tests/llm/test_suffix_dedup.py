@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from prismlake import ordering
 from prismlake.llm import suffix_dedup as sd
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -62,13 +63,27 @@ def test_triggers_partition_the_starts_and_depend_on_content_alone():
         assert sd._unpacked(sd._packed(rows)).tolist() == rows.tolist()
 
 
-@pytest.mark.parametrize("seed, crowd", [(1, None), (2, None), (3, 3)])
-def test_what_is_removed_agrees_with_brute_force(spark, tmp_path, monkeypatch, seed, crowd):
-    if crowd:
-        monkeypatch.setattr(sd, "SORTED", crowd)
+def test_classes_are_those_of_equal_beginnings(spark, monkeypatch):
+    monkeypatch.setattr(sd, "RANGE", 7)
+    rng = random.Random(6)
+    strings = sorted({bytes(rng.choice(b"\0ab") for _ in range(rng.randrange(9))) for _ in range(300)})
+    found = {bytes(r.s): r.stack for r in sd.classes(spark.createDataFrame([(bytearray(x),) for x in strings], "s binary")).collect()}
+    assert len(found) == len(strings)
+    for n in range(9):
+        of = lambda x: [e.start for e in found[x] if e.depth < n][-1]  # noqa: B023, E731
+        long = [x for x in strings if len(x) >= n]
+        starts = {}
+        assert all(starts.setdefault(x[:n], of(x)) == of(x) for x in long) and len(set(starts.values())) == len(starts)
+
+
+@pytest.mark.parametrize("seed, small", [(1, False), (2, False), (3, True)])
+def test_what_is_removed_agrees_with_brute_force(spark, tmp_path, monkeypatch, seed, small):
+    if small:
+        monkeypatch.setattr(sd, "RANGE", 50)
+        monkeypatch.setattr(ordering, "LEAST", 5)
     texts = corpus(seed)
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
-    spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' AS removed", "1 AS core").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' AS removed", "1 AS core", "2 AS _uid", "3 AS _spans").write.parquet(str(tmp_path / "documents.parquet"))
     found = {r.doc_id: r for r in sd.op5_suffix_dedup(spark, str(tmp_path)).collect()}
     assert len(found) == len(texts)
     for i, want in enumerate(brute(texts)):
