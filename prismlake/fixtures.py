@@ -57,15 +57,14 @@ SQL = {
         SELECT vec_id // 5 AS ord, list({_sign_sql(1, 16)} ORDER BY vec_id) AS frames, max(CASE WHEN vec_id % 5 = 2 AND vec_id % 15 <> 2 THEN {_sign_sql(1, 16)} END) AS thumb,
             CASE WHEN min(vec_id) % 4 = 0 THEN 0::DOUBLE ELSE (min(vec_id) % 60 + 1)::DOUBLE END AS duration
         FROM embeddings GROUP BY vec_id // 5""",
-    "person_asset": "SELECT DISTINCT l_suppkey AS person_id, l_orderkey AS asset_id FROM lineitem WHERE l_orderkey % 4 = 0",
-    "person_asset_all": "SELECT DISTINCT l_suppkey AS person_id, l_orderkey AS asset_id FROM lineitem",
+    "person_asset": "SELECT DISTINCT l_suppkey AS person_id, l_orderkey AS asset_id FROM lineitem",
     "people": "SELECT s_suppkey AS person_id, CASE WHEN s_suppkey % 10 = 9 THEN '' ELSE s_name END AS name, s_suppkey % 3 = 0 AS is_favorite, s_suppkey % 8 = 0 AS hidden FROM supplier",
     "faces": """
         SELECT l_orderkey AS asset_id, l_orderkey // 32 AS group_index, (l_quantity * 2)::BIGINT AS top, (l_quantity * 2)::BIGINT + l_linenumber * 7 AS bottom,
             floor(l_extendedprice / 100)::BIGINT AS lft, floor(l_extendedprice / 100)::BIGINT + (l_quantity)::BIGINT AS rgt, (l_discount * 100)::BIGINT AS smiles, l_linenumber::BIGINT AS eyes
         FROM lineitem WHERE l_orderkey % 5 <> 0""",
     "face_encoding": """
-        SELECT vec_id AS face_id, vec_id // 10 AS group_index, vec_id // 2 AS asset_id, embedding[1:8] AS enc, (abs(embedding[9]) * 2)::DOUBLE AS left_ear, (abs(embedding[10]) * 2)::DOUBLE AS right_ear FROM embeddings""",
+        SELECT vec_id AS face_id, vec_id // 10 AS group_index, vec_id // 2 AS asset_id, embedding AS enc, (abs(embedding[9]) * 2)::DOUBLE AS left_ear, (abs(embedding[10]) * 2)::DOUBLE AS right_ear FROM embeddings""",
     "native_dup": """
         SELECT doc_id AS photo_id, CASE WHEN count(*) OVER (PARTITION BY text) > 1 THEN md5(text) END AS duplicate_group FROM documents""",
     "assets": """
@@ -78,7 +77,8 @@ SQL = {
     "sync_snapshot": "SELECT o_orderkey AS asset_id, CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE o_orderkey % 4 < 2 END AS is_favorite, o_orderkey % 6 < 3 AS is_archived FROM orders",
     "exif": """
         SELECT event_id AS asset_id, CASE WHEN event_id % 5 = 0 THEN 'bad' WHEN event_id % 5 = 1 THEN NULL ELSE strftime(ts, '%Y:%m:%d %H:%M:%S') END AS dt1,
-            CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y:%m:%d %H:%M:%S') END AS dt2, CASE WHEN event_id % 4 <> 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS modified,
+            CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y:%m:%d %H:%M:%S') END AS dt2, CASE WHEN event_id % 7 = 0 THEN strftime(ts, '%Y:%m:%d %H:%M:%S') END AS dt3,
+            CASE WHEN event_id % 4 <> 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN event_id % 8 = 1 THEN '+02:00' ELSE '' END END AS modified,
             CASE event_id % 6 WHEN 0 THEN '1/' || (event_id % 9) WHEN 1 THEN '' || (event_id % 7) WHEN 2 THEN 'x' WHEN 3 THEN NULL WHEN 4 THEN '1/0' ELSE '0.5' END AS exposure,
             CASE WHEN event_id % 2 = 0 THEN '1/30' END AS exposure2, event_id // 4 AS group_index FROM events""",
 }
@@ -93,10 +93,6 @@ def video(spark: SparkSession, d: str) -> DataFrame:
 
 
 def person_asset(spark, d):
-    return table(spark, d, "lineitem").where("l_orderkey % 4 = 0").select(F.col("l_suppkey").alias("person_id"), F.col("l_orderkey").alias("asset_id")).distinct()
-
-
-def person_asset_all(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("person_id"), F.col("l_orderkey").alias("asset_id")).distinct()
 
 
@@ -116,7 +112,7 @@ def faces(spark, d):
 def face_encoding(spark, d):
     v = F.col("vec_id")
     ear = lambda i: (F.abs(F.col("embedding")[i]) * 2).cast("double")
-    return table(spark, d, "embeddings").select(v.alias("face_id"), F.floor(v / 10).cast("long").alias("group_index"), F.floor(v / 2).cast("long").alias("asset_id"), F.slice("embedding", 1, 8).alias("enc"), ear(8).alias("left_ear"), ear(9).alias("right_ear"))
+    return table(spark, d, "embeddings").select(v.alias("face_id"), F.floor(v / 10).cast("long").alias("group_index"), F.floor(v / 2).cast("long").alias("asset_id"), F.col("embedding").alias("enc"), ear(8).alias("left_ear"), ear(9).alias("right_ear"))
 
 
 def native_dup(spark, d):
@@ -164,8 +160,8 @@ def exif(spark, d):
     k, ts = F.col("event_id"), F.date_format("ts", "yyyy:MM:dd HH:mm:ss")
     exposure = F.when(k % 6 == 0, F.concat(F.lit("1/"), k % 9)).when(k % 6 == 1, (k % 7).cast("string")).when(k % 6 == 2, "x").when(k % 6 == 4, "1/0").when(k % 6 == 5, "0.5")
     return table(spark, d, "events").select(
-        k.alias("asset_id"), F.when(k % 5 == 0, "bad").when(k % 5 != 1, ts).alias("dt1"), F.when(k % 3 == 0, ts).alias("dt2"),
-        F.when(k % 4 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("modified"), exposure.alias("exposure"), F.when(k % 2 == 0, "1/30").alias("exposure2"),
+        k.alias("asset_id"), F.when(k % 5 == 0, "bad").when(k % 5 != 1, ts).alias("dt1"), F.when(k % 3 == 0, ts).alias("dt2"), F.when(k % 7 == 0, ts).alias("dt3"),
+        F.when(k % 4 != 0, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(k % 8 == 1, "+02:00").otherwise(""))).alias("modified"), exposure.alias("exposure"), F.when(k % 2 == 0, "1/30").alias("exposure2"),
         F.floor(k / 4).cast("long").alias("group_index"),
     )
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismlake import fixtures
+from prismlake.ordering import per_key
 from prismlake.registry import query
 
 SECOND = "interval 1 second"
@@ -31,15 +32,14 @@ def time_batches(rows: DataFrame, months: int = 6, overlap_days: int = 7, first_
     return cut.select("batch", start.alias("start_at"), end.alias("end_at"), "core_start", "core_end")
 
 
-def chunked(rows: DataFrame, order: Column, size: int, per: Column) -> DataFrame:
-    """Rows of each `per` in chunks of `size`, numbered from 0."""
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(per).orderBy(order)) - 1) / size).cast("long"))
+def chunked(rows: DataFrame, order: Column, size: int, per: str) -> DataFrame:
+    """Rows of each `per` in chunks of `size`, numbered from 0; places are made by ranges of the order, so that one `per` may have most rows."""
+    return per_key(rows, per, [order], F.lit(1), "_place", rows.count()).withColumn("chunk", F.floor(F.col("_place") / size).cast("long")).drop("_place")
 
 
 def evicted(files: DataFrame, need: Column) -> DataFrame:
     """(bucket, file_id) of the files (bucket, file_id, size, used_at) that go: the longest unused, until what is needed is free."""
-    before = Window.partitionBy("bucket").orderBy("used_at", "file_id").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("freed", F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("freed") < need)
+    return per_key(files, "bucket", [F.col("used_at"), F.col("file_id")], F.col("size"), "freed", files.count()).where(F.col("freed") < need)
 
 
 _BATCHES = """
@@ -69,7 +69,7 @@ def rows_per_batch(spark, d):
 
 @query("batch_chunks", "WITH r AS (SELECT c_mktsegment, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1) // 200 AS chunk, c_custkey FROM customer) SELECT c_mktsegment, chunk, count(*) AS n, min(c_custkey) AS first_id FROM r GROUP BY ALL")
 def batch_chunks(spark, d):
-    rows = chunked(fixtures.table(spark, d, "customer"), F.col("c_custkey"), 200, F.col("c_mktsegment"))
+    rows = chunked(fixtures.table(spark, d, "customer"), F.col("c_custkey"), 200, "c_mktsegment")
     return rows.groupBy("c_mktsegment", "chunk").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first_id"))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.udtf import UserDefinedTableFunction
@@ -24,48 +25,79 @@ def interval_frames(count: Column, fps: Column, seconds: float = 5.0, most: int
     return steps(count, F.when(step > 0, step).otherwise(1), most)
 
 
+def duration(count: Column, fps: Column) -> Column:
+    """Seconds; 0 without a rate."""
+    return F.when(fps > 0, count / fps).otherwise(0.0)
+
+
+def codec(code: Column) -> Column:
+    """The four characters of a codec's number, lowest byte first."""
+    return F.concat(*(F.char(F.shiftright(code, 8 * i).bitwiseAND(F.lit(255))) for i in range(4)))
+
+
+def thumbnail_frame(count: Column, part: float = 0.1) -> Column:
+    return F.floor(count * F.lit(part)).cast("long")
+
+
 def stride(count: Column) -> Column:
     """So that about 500 frames are sampled."""
     return F.greatest(F.lit(1), F.floor(count / 500)).cast("long")
 
 
-def scene_changes(frames: DataFrame, threshold: float = 30.0, most: int = 20, least: int = 3) -> DataFrame:
+def scene_changes(frames: DataFrame, probe: DataFrame, threshold: float = 30.0, most: int = 20, least: int = 3) -> DataFrame:
     """(video_id, position) of sampled frames (video_id, position, histogram) that differ from the last one kept.
 
-    What is kept depends on what was kept before, so each video is walked in order; a video has about 500 frames. With
-    fewer than `least` changes, every fifth of the video's sampled frames is taken instead.
+    What is kept depends on what was kept before, so each video's frames, about 500, are folded in order. A video with fewer
+    than `least` changes is taken at intervals of 5 seconds instead, by its probe (video_id, frames, fps); one without frames
+    or rate gives none.
     """
+    readable = probe.where("frames > 0 AND fps <> 0")
+    far = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x != 0, (x - y) * (x - y) / x).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+    start = F.struct(F.lit(None).cast("array<double>").alias("last"), F.array().cast("array<long>").alias("kept"))
+
+    def step(state: Column, frame: Column) -> Column:
+        full = (F.size(state["kept"]) >= most) & (F.size(state["kept"]) > 1)
+        new = state["last"].isNull() | (~full & (far(state["last"], frame["histogram"]) > threshold))
+        return F.when(new, F.struct(frame["histogram"].alias("last"), F.concat(state["kept"], F.array(frame["position"])).alias("kept"))).otherwise(state)
+
+    ordered = frames.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("position", "histogram"))).alias("all"))
+    walked = ordered.select("video_id", F.aggregate("all", start, step, lambda s: s["kept"]).alias("kept"))
+    chosen = readable.join(walked, "video_id", "left")
+    enough = F.coalesce(F.size("kept"), F.lit(0)) >= least
+    return chosen.select("video_id", F.explode(F.when(enough, F.col("kept")).otherwise(interval_frames(F.col("frames"), F.col("fps"), 5.0, most))).alias("position"))
+
 
-    def walk(video: pd.DataFrame) -> pd.DataFrame:
-        kept, last = [], None
-        for position, histogram in video.sort_values("position")[["position", "histogram"]].itertuples(index=False):
-            far = last is None or sum((a - b) ** 2 / a for a, b in zip(last, histogram, strict=True) if a) > threshold
-            if far:
-                kept.append(position)
-                last = histogram
-                if len(kept) >= most and len(kept) > 1:
-                    break
-        if len(kept) < least:
-            kept = sorted(video["position"])[::5][:most]
-        return pd.DataFrame({"video_id": video["video_id"].iloc[0], "position": kept})
+#: Strategies by name.
+STRATEGIES = ("fixed_interval", "scene_change", "iframe")
 
-    ship(frames.sparkSession)
-    return frames.groupBy("video_id").applyInPandas(walk, "video_id long, position long")
+
+def key_frames(probe: DataFrame, strategy: str, frames: DataFrame | None = None, most: int = 10, seconds: float = 5.0, threshold: float = 30.0) -> DataFrame:
+    """(video_id, position) of each video of probe (video_id, frames, fps) by a strategy; 'scene_change' looks at sampled frames.
+
+    Videos without frames or rate have none.
+    """
+    if strategy == "scene_change":
+        if frames is None:
+            raise ValueError("scene changes are found in sampled frames")
+        return scene_changes(frames, probe, threshold, most)
+    if strategy not in STRATEGIES:
+        raise ValueError(f"no strategy {strategy}")
+    every = seconds if strategy == "fixed_interval" else 1.0
+    return probe.where("frames > 0 AND fps <> 0").select("video_id", F.explode(interval_frames(F.col("frames"), F.col("fps"), every, most)).alias("position"))
 
 
 class KeyFrames:
-    """Table function: positions of a video's frames by strategy, 'fixed_interval' or 'iframe'."""
+    """Table function for SQL: positions of a video's frames by strategy, 'fixed_interval' or 'iframe'; it sees no frames, so no scene changes."""
 
     def eval(self, count: int, fps: float, strategy: str):
         seconds = {"fixed_interval": 5.0, "iframe": 1.0}[strategy]
-        step = int(fps * seconds) or 1
-        for i, position in enumerate(range(0, count, max(1, step))):
+        for i, position in enumerate(range(0, count, max(1, int(fps * seconds)))):
             if i >= 20:
                 break
             yield strategy, position
 
 
-def key_frames(spark) -> UserDefinedTableFunction:
+def key_frames_function(spark) -> UserDefinedTableFunction:
     return F.udtf(KeyFrames, returnType="strategy string, position bigint")
 
 
@@ -79,7 +111,7 @@ def _probe(spark, d) -> DataFrame:
 
 @query("video_duration", f"WITH {_PROBE} SELECT video_id, CASE WHEN fps > 0 THEN round(frames / fps, 6) ELSE 0 END AS seconds FROM probe")
 def video_duration(spark, d):
-    return _probe(spark, d).select("video_id", F.when(F.col("fps") > 0, F.round(F.col("frames") / F.col("fps"), 6)).otherwise(0.0).alias("seconds"))
+    return _probe(spark, d).select("video_id", F.round(duration(F.col("frames"), F.col("fps")), 6).alias("seconds"))
 
 
 @query("frame_positions", f"""WITH {_PROBE}, s AS (SELECT video_id, 'fixed_interval' AS strategy, frames, greatest(1, floor(fps * 5)::BIGINT) AS step FROM probe
@@ -97,18 +129,68 @@ def frame_stride(spark, d):
     return _probe(spark, d).select("video_id", stride(F.col("frames")).alias("stride"))
 
 
-@query("key_frames_udtf", f"WITH {_PROBE} SELECT 'fixed_interval' AS strategy, unnest(range(0, frames::BIGINT, greatest(1, floor(fps * 5)::BIGINT))[1:20]) AS position FROM probe WHERE video_id = 7")
+@query("key_frames_udtf", f"""WITH {_PROBE}, s AS (SELECT video_id, frames, 'fixed_interval' AS strategy, greatest(1, floor(fps * 5)::BIGINT) AS step FROM probe UNION ALL SELECT video_id, frames, 'iframe', greatest(1, floor(fps)::BIGINT) FROM probe)
+    SELECT video_id, strategy, unnest(range(0, frames::BIGINT, step)[1:20]) AS position FROM s""")
 def key_frames_udtf(spark, d):
+    """The table function over all videos and both of its strategies."""
     ship(spark)
-    row = _probe(spark, d).where("video_id = 7").first()
-    return key_frames(spark)(F.lit(row["frames"]), F.lit(row["fps"]), F.lit("fixed_interval"))
+    both = _probe(spark, d).withColumn("strategy", F.explode(F.array(F.lit("fixed_interval"), F.lit("iframe"))))
+    name = "key_frames_of"
+    spark.udtf.register(name, key_frames_function(spark))
+    view = f"probe_{uuid.uuid4().hex}"
+    both.createOrReplaceTempView(view)
+    return spark.sql(f"SELECT p.video_id, k.strategy, k.position FROM {view} p, LATERAL {name}(p.frames, p.fps, p.strategy) k")
+
+
+#: A video of 25 frames, each with a histogram of 64 bins; a seventh of them have no rate.
+_FRAMES = """frames AS (SELECT vec_id // 25 AS video_id, vec_id % 25 AS position, list_transform(embedding, lambda x: round(abs(x::DOUBLE) * 1000)) AS h FROM embeddings),
+videos AS (SELECT video_id, count(*) AS frames, (video_id % 7) / 2.0::DOUBLE AS fps FROM frames GROUP BY video_id)"""
+#: With the fixture's histograms about half of the frames that are compared differ by more.
+_SCENE = 22_000.0
+
+
+def _frames(spark, d) -> tuple[DataFrame, DataFrame]:
+    v = F.floor(F.col("vec_id") / 25).cast("long")
+    histogram = F.transform("embedding", lambda x: F.round(F.abs(x.cast("double")) * 1000))
+    frames = fixtures.table(spark, d, "embeddings").select(v.alias("video_id"), (F.col("vec_id") % 25).alias("position"), histogram.alias("histogram"))
+    return frames, frames.groupBy("video_id").agg(F.count("*").alias("frames")).withColumn("fps", F.col("video_id") % 7 / 2.0)
+
+
+@query("scene_changes", f"""WITH RECURSIVE {_FRAMES},
+walk(video_id, position, h, n, taken) AS (
+    SELECT video_id, position, h, 1, true FROM frames WHERE position = 0
+    UNION ALL
+    SELECT video_id, position, CASE WHEN new THEN next ELSE h END, n + new::INT, new FROM (
+        SELECT w.video_id, f.position, w.h, f.h AS next, w.n,
+            w.n < 20 AND list_sum(list_transform(range(1, 65), lambda i: CASE WHEN w.h[i] <> 0 THEN pow(w.h[i] - f.h[i], 2) / w.h[i] ELSE 0 END)) > {_SCENE} AS new
+        FROM walk w JOIN frames f ON f.video_id = w.video_id AND f.position = w.position + 1)
+),
+kept AS (SELECT video_id, position FROM walk WHERE taken QUALIFY count(*) OVER (PARTITION BY video_id) >= 3)
+SELECT video_id, position FROM kept JOIN videos USING (video_id) WHERE fps <> 0
+UNION ALL SELECT video_id, unnest(range(0, frames, greatest(1, floor(fps * 5)::BIGINT))[1:20]) FROM videos WHERE fps <> 0 AND video_id NOT IN (SELECT video_id FROM kept)""")
+def scene_changes_query(spark, d):
+    frames, probe = _frames(spark, d)
+    return scene_changes(frames, probe, threshold=_SCENE)
 
 
-@query("scene_changes")
-def scene_changes_query(spark, d):
-    histogram = F.transform(F.slice("embedding", 1, 8), lambda x: (F.abs(x) * 100).cast("double"))
-    frames = fixtures.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 25).cast("long").alias("video_id"), (F.col("vec_id") % 25).alias("position"), histogram.alias("histogram"))
-    return scene_changes(frames, threshold=400.0)
+@query("key_frames", f"WITH {_PROBE}, s AS (SELECT video_id, frames, 'fixed_interval' AS strategy, greatest(1, floor(fps * 2)::BIGINT) AS step FROM probe WHERE fps <> 0 AND frames > 0 UNION ALL SELECT video_id, frames, 'iframe', greatest(1, floor(fps)::BIGINT) FROM probe WHERE fps <> 0 AND frames > 0) SELECT video_id, strategy, unnest(range(0, frames::BIGINT, step)[1:10]) AS position FROM s")
+def key_frames_query(spark, d):
+    """Both strategies that need no frames, of which readable videos have at most ten."""
+    found = [key_frames(_probe(spark, d), s, seconds=2.0).withColumn("strategy", F.lit(s)) for s in ("fixed_interval", "iframe")]
+    return found[0].union(found[1])
+
+
+@query("thumbnail_position", f"WITH {_PROBE} SELECT video_id, floor(frames * 0.1::DOUBLE)::BIGINT AS position FROM probe")
+def thumbnail_position(spark, d):
+    return _probe(spark, d).select("video_id", thumbnail_frame(F.col("frames")).alias("position"))
+
+
+@query("video_probe", f"""WITH {_PROBE}, c AS (SELECT *, [828601953, 1145656920, 875967048]::BIGINT[] AS codes FROM probe), f AS (SELECT *, codes[video_id % 3 + 1] AS code FROM c)
+    SELECT video_id, chr((code & 255)::INT) || chr(((code >> 8) & 255)::INT) || chr(((code >> 16) & 255)::INT) || chr(((code >> 24) & 255)::INT) AS codec, CASE WHEN fps > 0 THEN round(frames / fps, 6) ELSE 0 END AS duration FROM f""")
+def video_probe(spark, d):
+    """Codec and duration, of a container's numbers."""
+    code = F.element_at(F.array(*(F.lit(c).cast("long") for c in (828601953, 1145656920, 875967048))), (F.col("video_id") % 3 + 1).cast("int"))
+    return _probe(spark, d).select("video_id", codec(code).alias("codec"), F.round(duration(F.col("frames"), F.col("fps")), 6).alias("duration"))
 
 
 @query("video_hash", with_views("video") + "SELECT ord, len(frames) AS n_frames, frames[len(frames) // 2 + 1] AS middle, thumb FROM video")

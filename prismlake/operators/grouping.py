@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismlake import fixtures
 from prismlake.config import GroupingConfig
 from prismlake.fixtures import with_views
-from prismlake.operators.similarity import MICROS, WIDE, greedy_groups, leader_sql, similar_pairs
+from prismlake.operators.similarity import MICROS, WIDE, leader_sql, near_groups
+from prismlake.ordering import in_order
 from prismlake.registry import query
 from prismlake.storage import kept
 
@@ -23,12 +24,11 @@ def combination_cap(limit: int | None = None) -> int:
 
 def groups_by_key(rows: DataFrame, key: str, config=WIDE) -> DataFrame:
     """(key, leader, ord, ordinal, size): greedy groups among rows of equal key; an asset may be in groups of several keys."""
-    keys = kept(rows.select(key).distinct().withColumn("_k", F.row_number().over(Window.orderBy(key)) - 1), "keys")
-    n = keys.count()
-    numbered = kept(rows.join(F.broadcast(keys) if n <= 100_000 else keys, key).withColumn("_ord", F.col("ord")).withColumn("ord", F.col("ord") * n + F.col("_k")), "keyed")
-    found = greedy_groups(similar_pairs(numbered, config, key), config.least)
-    named = found.join(numbered.select("ord", key, "_ord"), "ord")
-    return named.select(key, (F.col("leader") / max(n, 1)).cast("long").alias("leader"), F.col("_ord").alias("ord"), "ordinal", "size")
+    placed = kept(in_order(rows, [F.col(key), F.col("ord")], {"_place": F.lit(1)}, rows.count()), "keyed")
+    found = near_groups(placed.drop("ord").withColumnRenamed("_place", "ord"), config, key)
+    of = lambda name: placed.select(F.col("_place").alias(name), F.col("ord").alias(f"_{name}"), *([key] if name == "ord" else []))
+    named = found.join(of("ord"), "ord").join(of("leader"), "leader")
+    return named.select(key, F.col("_leader").alias("leader"), F.col("_ord").alias("ord"), "ordinal", "size")
 
 
 def people_sets(bridge: DataFrame, people: DataFrame, least: int, cap: int) -> DataFrame:
@@ -57,20 +57,19 @@ _PERSON = "pm AS (SELECT * FROM media UNION ALL SELECT * REPLACE ('everyone' AS
 
 
 def _keyed_sql(rows: str, key: str, config=WIDE) -> str:
-    """Greedy groups among rows of equal key: keys are numbered, and numbers keep the rows of a key in order."""
+    """CTEs up to `found`: greedy groups among rows of equal key, whose places are numbered by key and order."""
     return f"""
-ks AS (SELECT {key}, row_number() OVER (ORDER BY {key}) - 1 AS k, count(*) OVER () AS nk FROM (SELECT DISTINCT {key} FROM {rows})),
-kr AS (SELECT r.* REPLACE (r.ord * nk + k AS ord), r.ord AS old, nk FROM {rows} r JOIN ks USING ({key})),
+kr AS (SELECT r.* REPLACE (row_number() OVER (ORDER BY {key}, ord) AS ord), r.ord AS old FROM {rows} r),
 kp AS (
     SELECT a.ord AS i, b.ord AS j FROM kr a JOIN kr b ON a.ord < b.ord AND a.{key} = b.{key}
     WHERE bit_count(xor(a.hash_hi, b.hash_hi))::INT + bit_count(xor(a.hash_lo, b.hash_lo))::INT <= {config.threshold} AND {f'coalesce(abs(a.taken_us - b.taken_us) <= {config.window_s * MICROS}, true)' if config.window_s else 'true'}
 ),
 kn AS (SELECT ord, row_number() OVER (ORDER BY ord) AS rn FROM kr),
-{leader_sql('kn', 'kp', config.least)}
-SELECT kr.{key}, g.leader // nk AS leader, kr.old AS ord, g.ordinal, g.size FROM groups g JOIN kr USING (ord)"""
+{leader_sql('kn', 'kp', config.least)},
+found AS (SELECT kr.{key}, lr.old AS leader, kr.old AS ord, g.ordinal, g.size FROM groups g JOIN kr USING (ord) JOIN kr lr ON lr.ord = g.leader)"""
 
 
-@query("groups_by_person", with_views("media").replace("WITH ", "WITH RECURSIVE ", 1) + f", {_PERSON}, {_keyed_sql('pm', 'person')}")
+@query("groups_by_person", with_views("media").replace("WITH ", "WITH RECURSIVE ", 1) + f", {_PERSON}, {_keyed_sql('pm', 'person')} SELECT * FROM found")
 def groups_by_person(spark, d):
     return groups_by_key(_person_rows(spark, d), "person")
 
@@ -92,40 +91,18 @@ def people_combos(spark, d):
 @query(
     "groups_by_combo",
     with_views("media", "people", "person_asset").replace("WITH ", "WITH RECURSIVE ", 1)
-    + f""", {_SETS}, cl AS (SELECT DISTINCT label, asset_id // 4 % 100 AS o FROM labelled JOIN sets USING (names)), cm AS (SELECT label, m.* FROM cl JOIN media m ON m.ord = cl.o), {_keyed_sql('cm', 'label', LOOSE)}""",
+    + f""", {_SETS}, cl AS (SELECT names, asset_id FROM combos JOIN sets USING (names)),
+    cm AS (SELECT names, m.* REPLACE (asset_id AS ord) FROM cl JOIN media m ON m.ord = asset_id % (SELECT count(*) FROM media)), {_keyed_sql('cm', 'names', LOOSE)}
+    SELECT label, leader, ord, ordinal, size FROM found JOIN labelled USING (names)""",
 )
 def groups_by_combo(spark, d):
+    """Every asset of every combination, each with the features of a media row; combinations are sets of people, not their labels."""
     favourites = fixtures.people(spark, d).where("is_favorite AND name <> ''")
     sets = people_sets(fixtures.person_asset(spark, d), favourites, 2, combination_cap())
-    labelled = sets.select(combination_label(F.col("names")).alias("label"), (F.col("asset_id") / 4).cast("long").alias("ord")).withColumn("ord", F.col("ord") % 100).distinct()
-    return groups_by_key(fixtures.media(spark, d).join(labelled, "ord"), "label", LOOSE)
-
-
-_SETS_ALL = _SETS.replace("person_asset", "person_asset_all")
-
-
-@query("people_combos_all", with_views("people", "person_asset_all") + f", {_SETS_ALL} SELECT label, n FROM labelled")
-def people_combos_all(spark, d):
-    """Over all of lineitem; people_combos takes every fourth order only."""
-    favourites = fixtures.people(spark, d).where("is_favorite AND name <> ''")
-    sets = people_sets(fixtures.person_asset_all(spark, d), favourites, 2, combination_cap())
-    return sets.groupBy("names").agg(F.count("*").alias("n")).select(combination_label(F.col("names")).alias("label"), "n")
-
-
-@query(
-    "groups_by_combo_all",
-    with_views("media", "people", "person_asset_all").replace("WITH ", "WITH RECURSIVE ", 1)
-    + f""", {_SETS_ALL}, cl AS (SELECT label, asset_id FROM labelled JOIN sets USING (names)),
-    cm AS (SELECT label, m.* REPLACE (asset_id AS ord) FROM cl JOIN media m ON m.ord = asset_id % (SELECT count(*) FROM media)), {_keyed_sql('cm', 'label', LOOSE)}""",
-)
-def groups_by_combo_all(spark, d):
-    """Every asset of every combination, each with the features of a media row; groups_by_combo takes the first 100 media only."""
-    favourites = fixtures.people(spark, d).where("is_favorite AND name <> ''")
-    sets = people_sets(fixtures.person_asset_all(spark, d), favourites, 2, combination_cap())
     n = fixtures.table(spark, d, "embeddings").count()
-    labelled = sets.select(combination_label(F.col("names")).alias("label"), "asset_id", (F.col("asset_id") % n).alias("ord"))
-    rows = fixtures.media(spark, d).join(labelled, "ord")
-    return groups_by_key(rows.withColumn("ord", F.col("asset_id")).drop("asset_id"), "label", LOOSE)
+    placed = sets.select("names", "asset_id", (F.col("asset_id") % n).alias("ord"))
+    rows = fixtures.media(spark, d).join(placed, "ord").withColumn("ord", F.col("asset_id")).drop("asset_id")
+    return groups_by_key(rows, "names", LOOSE).withColumn("label", combination_label(F.col("names"))).drop("names")
 
 
 @query(

@@ -77,13 +77,6 @@ def photos_by_person(spark, d):
     return rows.groupBy("name").agg(F.count("*").alias("n"), F.min("asset_id").alias("first_asset"))
 
 
-@query("photos_by_person_all", with_views("people", "person_asset_all") + "SELECT name, count(*) AS n, min(asset_id) AS first_asset FROM people JOIN person_asset_all USING (person_id) WHERE name <> '' GROUP BY name")
-def photos_by_person_all(spark, d):
-    """Over all of lineitem; photos_by_person takes every fourth order only."""
-    rows = fixtures.people(spark, d).where("name <> ''").join(fixtures.person_asset_all(spark, d), "person_id")
-    return rows.groupBy("name").agg(F.count("*").alias("n"), F.min("asset_id").alias("first_asset"))
-
-
 _COUNTED = """counted AS (
     SELECT CASE c_custkey % 3 WHEN 0 THEN ' ' || c_mktsegment WHEN 1 THEN c_mktsegment || '  ' ELSE c_name END AS name, c_custkey % 4 AS photo_count, c_custkey % 50 = 0 AS is_favorite,
         CASE WHEN c_custkey % 7 = 0 THEN 'k' || c_custkey END AS key_photo, c_custkey AS ord FROM customer)"""
@@ -125,7 +118,8 @@ def people_counts(spark, d):
 #: Who is in a photo: a list of names from its metadata, some empty, and the name of the run that found it.
 _PERSONS = """pics AS (
     SELECT ord // 6 + 1 AS group_index, ord, [CASE WHEN ord % 4 = 0 THEN '' ELSE person END, 'Zoé ' || (ord % 3), CASE WHEN ord % 5 = 0 THEN 'Hidden One' END] AS persons,
-        CASE WHEN (ord // 6) % 4 <> 0 THEN 'person' || (ord // 6 % 10) END AS person_name, taken_us FROM media),
+        CASE WHEN (ord // 6) % 4 <> 0 THEN 'person' || (ord // 6 % 10) END AS person_name, CASE WHEN ord % 2 = 0 AND ord // 6 % 3 = 0 THEN taken_us END AS taken_us,
+        CASE ord % 4 WHEN 0 THEN '' WHEN 1 THEN '2022-03-1' || (ord % 9) || 'T10:00:00' END AS date, CASE WHEN ord % 5 = 0 THEN '2021-0' || (ord % 8 + 1) || '-02' END AS file_created_at FROM media),
 seen AS (SELECT DISTINCT group_index, ord, name FROM (SELECT group_index, ord, unnest(list_append(persons, person_name)) AS name FROM pics) WHERE name <> ''),
 freq AS (SELECT group_index, name, count(*) AS n FROM seen GROUP BY ALL)"""
 FAVOURITES = ["Zoé 1", "person3"]
@@ -137,7 +131,12 @@ def pictures(spark, d) -> DataFrame:
     o = F.col("ord")
     persons = F.array(F.when(o % 4 == 0, "").otherwise(F.col("person")), F.concat(F.lit("Zoé "), o % 3), F.when(o % 5 == 0, "Hidden One"))
     run = F.when(F.floor(o / 6) % 4 != 0, F.concat(F.lit("person"), F.floor(o / 6) % 10))
-    return fixtures.media(spark, d).select((F.floor(o / 6) + 1).cast("long").alias("group_index"), "ord", persons.alias("persons"), run.alias("person_name"), "taken_us")
+    taken = F.when((o % 2 == 0) & (F.floor(o / 6) % 3 == 0), F.col("taken_us"))
+    date = F.when(o % 4 == 0, "").when(o % 4 == 1, F.concat(F.lit("2022-03-1"), o % 9, F.lit("T10:00:00")))
+    created = F.when(o % 5 == 0, F.concat(F.lit("2021-0"), o % 8 + 1, F.lit("-02")))
+    return fixtures.media(spark, d).select(
+        (F.floor(o / 6) + 1).cast("long").alias("group_index"), "ord", persons.alias("persons"), run.alias("person_name"), taken.alias("taken_us"), date.alias("date"), created.alias("file_created_at")
+    )
 
 
 def people_of_groups(pictures: DataFrame) -> DataFrame:
@@ -183,19 +182,33 @@ def label_people_query(spark, d):
     return label_people(people_of_groups(pictures(spark, d)), ["HIDDEN ONE"])
 
 
-@query("album_names", with_views("media") + f""", {_PERSONS}, {_PEOPLE_OF_ALBUM},
-    days AS (SELECT group_index, coalesce(strftime(make_timestamp(arg_min(taken_us, ord) FILTER (taken_us IS NOT NULL)), '%Y-%m-%d'), 'unknown') AS day FROM pics GROUP BY 1),
-    parts AS (SELECT group_index, string_agg(trim(regexp_replace(name, '[^\\p{{L}}\\p{{N}}_ ]', '', 'g')), '+' ORDER BY r) AS who FROM top GROUP BY 1)
-    SELECT group_index, 'Organized-' || day || coalesce('-' || who, '') || '-' || printf('%04d', group_index) AS album FROM days LEFT JOIN parts USING (group_index)""")
-def album_names(spark, d):
-    pics = kept(pictures(spark, d), "pictures")
-    first = F.min_by("taken_us", F.when(F.col("taken_us").isNotNull(), F.col("ord")))
-    day = F.coalesce(F.date_format(F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("us") / 1_000_000).cast("decimal(18,6)")), "yyyy-MM-dd"), F.lit("unknown"))
-    days = pics.groupBy("group_index").agg(first.alias("us")).select("group_index", day.alias("day"))
-    top = album_people(people_of_groups(pics), FAVOURITES, ["hidden one"])
+def group_days(pictures: DataFrame) -> DataFrame:
+    """(group_index, day): that of the first photo with a capture time, else the first ten characters of the first date that metadata has, else unknown."""
+    taken = F.min_by("taken_us", F.when(F.col("taken_us").isNotNull(), F.col("ord"))).alias("us")
+    raw = F.coalesce(F.nullif("date", F.lit("")), F.nullif("file_created_at", F.lit("")))
+    day = F.date_format(F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("us") / 1_000_000).cast("decimal(18,6)")), "yyyy-MM-dd")
+    found = pictures.groupBy("group_index").agg(taken, F.min_by(raw, F.when(raw.isNotNull(), F.col("ord"))).alias("raw"))
+    return found.select("group_index", F.coalesce(day, F.substring("raw", 1, 10), F.lit("unknown")).alias("day"))
+
+
+def group_albums(pictures: DataFrame, favourites: list[str], excluded: list[str], prefix: str = "Organized") -> DataFrame:
+    """(group_index, album): each group's album name."""
+    top = album_people(people_of_groups(pictures), favourites, excluded)
     who = top.groupBy("group_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("who"))
-    named_ = days.join(who, "group_index", "left")
-    return named_.select("group_index", album_name(F.col("day"), F.coalesce("who", F.array().cast("array<string>")), F.col("group_index")).alias("album"))
+    rows = group_days(pictures).join(who, "group_index", "left")
+    return rows.select("group_index", album_name(F.col("day"), F.coalesce("who", F.array().cast("array<string>")), F.col("group_index"), prefix).alias("album"))
+
+
+ALBUMS_SQL = f"""{_PERSONS}, {_PEOPLE_OF_ALBUM},
+    days AS (SELECT group_index, coalesce(strftime(make_timestamp(arg_min(taken_us, ord) FILTER (taken_us IS NOT NULL)), '%Y-%m-%d'),
+        arg_min(coalesce(nullif(date, ''), nullif(file_created_at, ''))[1:10], ord) FILTER (coalesce(nullif(date, ''), nullif(file_created_at, '')) IS NOT NULL), 'unknown') AS day FROM pics GROUP BY 1),
+    parts AS (SELECT group_index, string_agg(trim(regexp_replace(name, '[^\\p{{L}}\\p{{N}}_ ]', '', 'g')), '+' ORDER BY r) AS who FROM top GROUP BY 1),
+    named AS (SELECT group_index, 'Organized-' || day || coalesce('-' || who, '') || '-' || printf('%04d', group_index) AS album FROM days LEFT JOIN parts USING (group_index))"""
+
+
+@query("album_names", with_views("media") + f", {ALBUMS_SQL} SELECT group_index, album FROM named")
+def album_names(spark, d):
+    return group_albums(kept(pictures(spark, d), "pictures"), FAVOURITES, ["hidden one"])
 
 
 @query("parse_name_list", """WITH lines AS (SELECT CASE p_partkey % 4 WHEN 0 THEN '# ' || p_name WHEN 1 THEN ' ' || p_brand || ' # note' WHEN 2 THEN '' ELSE upper(p_brand) END AS value FROM part)

@@ -54,11 +54,16 @@ def best_by_face(spark, d):
     return first_of(scored_photos(spark, d), "group_index", F.col("score").desc(), F.col("asset_id")).select("group_index", "asset_id", F.round("score", 6).alias("score"))
 
 
+def by_area(area: Column, score: Column) -> list[Column]:
+    """Order of a group's photos by the area of their faces, null for those without one, which go by their score."""
+    return [area.desc_nulls_last(), F.when(area.isNull(), score).desc_nulls_last()]
+
+
 @query("best_by_area", with_views("faces") + f""", {_BY_PHOTO} SELECT group_index, asset_id, area FROM scored
-    QUALIFY row_number() OVER (PARTITION BY group_index ORDER BY area DESC NULLS LAST, score DESC, asset_id) = 1""")
+    QUALIFY row_number() OVER (PARTITION BY group_index ORDER BY area DESC NULLS LAST, CASE WHEN area IS NULL THEN score END DESC NULLS LAST, asset_id) = 1""")
 def best_by_area(spark, d):
-    """Photos without faces come last; a group without any face falls back on scores."""
-    return first_of(scored_photos(spark, d), "group_index", F.col("area").desc_nulls_last(), F.col("score").desc(), F.col("asset_id")).select("group_index", "asset_id", "area")
+    """Photos without faces come last, the first of equal areas wins; only a group without any face falls back on scores."""
+    return first_of(scored_photos(spark, d), "group_index", *by_area(F.col("area"), F.col("score")), F.col("asset_id")).select("group_index", "asset_id", "area")
 
 
 @query("quality_gate", with_views("media") + "SELECT ord, CASE WHEN ord % 4 = 0 THEN NULL ELSE score * 10 END AS brisque FROM media WHERE coalesce(CASE WHEN ord % 4 = 0 THEN NULL ELSE score * 10 END, 0) <= 50")
@@ -94,24 +99,27 @@ def closed_eyes(spark, d):
 
 def best_replacement(faces: DataFrame, same: float, least_ear: float = 0.2) -> DataFrame:
     """For each face that looks closed the open face of the same person in another photo of its group with the best score."""
-    a, b = faces.where((F.col("left_ear") + F.col("right_ear")) / 2 < least_ear).alias("a"), faces.alias("b")
+    look = (F.col("left_ear") + F.col("right_ear")) / 2
+    a, b = faces.where(look < least_ear).alias("a"), faces.where(look > least_ear).alias("b")
     pairs = a.join(b, (F.col("a.group_index") == F.col("b.group_index")) & (F.col("a.asset_id") != F.col("b.asset_id")))
     ear = (F.col("b.left_ear") + F.col("b.right_ear")) / 2
     pairs = pairs.select(F.col("a.face_id").alias("face_id"), F.col("b.face_id").alias("replacement"), l2(F.col("a.enc"), F.col("b.enc")).alias("distance"), ear.alias("ear"))
-    open_ = pairs.where((F.col("distance") < same) & (F.col("ear") > least_ear)).withColumn("score", F.col("ear") * (1 - F.col("distance")))
+    open_ = pairs.where(F.col("distance") < same).withColumn("score", F.col("ear") * (1 - F.col("distance")))
     return first_of(open_.where("score > -1"), "face_id", F.round("score", 9).desc(), F.col("replacement"))
 
 
-_DIST = "sqrt(list_sum(list_transform(range(1, 9), lambda i: pow(a.enc[i]::DOUBLE - b.enc[i]::DOUBLE, 2))))"
+#: Encodings of the fixture are unit vectors whose nearest pairs are about this far apart.
+SAME = 1.35
+_DIST = "sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(a.enc[i]::DOUBLE - b.enc[i]::DOUBLE, 2))))"
 
 
 @query("best_replacement_face", with_views("face_encoding") + f""", p AS (
     SELECT a.face_id, b.face_id AS replacement, {_DIST} AS distance, (b.left_ear + b.right_ear) / 2 AS ear FROM face_encoding a JOIN face_encoding b
         ON a.group_index = b.group_index AND a.asset_id <> b.asset_id WHERE (a.left_ear + a.right_ear) / 2 < 0.2)
-    SELECT face_id, replacement, round(ear * (1 - distance), 6) AS score FROM p WHERE distance < 0.6 AND ear > 0.2 AND ear * (1 - distance) > -1
+    SELECT face_id, replacement, round(ear * (1 - distance), 6) AS score FROM p WHERE distance < {SAME} AND ear > 0.2 AND ear * (1 - distance) > -1
     QUALIFY row_number() OVER (PARTITION BY face_id ORDER BY round(ear * (1 - distance), 9) DESC, replacement) = 1""")
 def best_replacement_face(spark, d):
-    return best_replacement(fixtures.face_encoding(spark, d), 0.6).select("face_id", "replacement", F.round("score", 6).alias("score"))
+    return best_replacement(fixtures.face_encoding(spark, d), SAME).select("face_id", "replacement", F.round("score", 6).alias("score"))
 
 
 #: A report's rows: six assets a group, texts as a report has them, some malformed or missing.

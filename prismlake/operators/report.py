@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismlake import fixtures
@@ -10,6 +10,7 @@ from prismlake.fixtures import with_views
 from prismlake.operators.ranking import REPORT, report_rows
 from prismlake.operators.similarity import ALL_GROUPS, groups_of_media
 from prismlake.registry import query
+from prismlake.storage import new_path
 
 #: Names that a report keeps of an asset's metadata, beside those that begin with exif_; and values that say nothing.
 KEPT_NAMES, EMPTY = ["dimensions", "filesize", "filepath", "local_path"], ["", "None", "0"]
@@ -76,6 +77,49 @@ def write_report(groups: DataFrame, path: str, settings: dict[str, str]) -> None
     groups.withColumn("settings", F.create_map(*(F.lit(x) for pair in settings.items() for x in pair))).write.mode("overwrite").json(path)
 
 
+#: A report's group as JSON.
+GROUP = (
+    "group_index bigint, photo_count bigint, settings map<string,string>, generated_at string, "
+    "photos array<struct<ordinal:bigint,asset_id:string,filename:string,filepath:string,local_path:string>>"
+)
+
+
+def save_report(groups: DataFrame, folder: str, name: str, settings: dict[str, str], generated_at: str) -> None:
+    """Groups (group_index, photo_count, photos) as JSON lines in folder/report_<name>, each with the run's settings and time."""
+    stamped = groups.withColumn("generated_at", F.lit(generated_at))
+    write_report(stamped, f"{folder}/report_{name}", settings)
+
+
+def read_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """(report, and a group's fields) of all reports of a folder; lines that aren't JSON have only `broken`."""
+    read = spark.read.schema(f"{GROUP}, broken string").option("columnNameOfCorruptRecord", "broken").option("recursiveFileLookup", True)
+    return read.json(folder).withColumn("report", F.regexp_extract(F.input_file_name(), r"/(report_[^/]*)/", 1))
+
+
+def list_reports(reports: DataFrame, wanted: tuple[str, ...] = ("source_type", "threshold", "limit")) -> DataFrame:
+    """(report, generated_at, total_groups, total_photos, one column for each setting, error), newest first; names sort by time."""
+    setting = [F.max(F.col("settings")[k]).alias(k) for k in wanted]
+    broken = F.when(F.count("broken") > 0, F.lit("Could not parse")).alias("error")
+    found = reports.groupBy("report").agg(F.max("generated_at").alias("generated_at"), F.count("group_index").alias("total_groups"), F.coalesce(F.sum("photo_count"), F.lit(0)).alias("total_photos"), *setting, broken)
+    return found.orderBy(F.col("report").desc())
+
+
+def report_paths(reports: DataFrame) -> DataFrame:
+    """(asset_id, path): where a report says that an asset's file is; the last group that names one counts."""
+    photos = reports.select("report", "group_index", F.inline("photos"))
+    path = F.coalesce(F.nullif("filepath", F.lit("")), F.nullif("local_path", F.lit("")))
+    named = photos.select("asset_id", path.alias("path"), F.struct("report", "group_index", "ordinal").alias("at")).where("asset_id <> '' AND path IS NOT NULL")
+    return named.groupBy("asset_id").agg(F.max_by("path", "at").alias("path"))
+
+
+def reprocessed(photos: DataFrame, group: int, scores: DataFrame) -> DataFrame:
+    """Photos with the group's best chosen anew by scores (asset_id, score): the first of the highest; without any score it stays."""
+    own = photos.where(F.col("group_index") == group).join(scores.where("score IS NOT NULL"), "asset_id")
+    best = own.agg(F.max_by("asset_id", F.struct("score", (-F.col("ordinal")).alias("o"))).alias("_best"))
+    with_best = photos.crossJoin(F.broadcast(best))  # one row
+    return with_best.withColumn("is_best", F.when((F.col("group_index") == group) & F.col("_best").isNotNull(), F.col("asset_id") == F.col("_best")).otherwise(F.col("is_best"))).drop("_best")
+
+
 _P = "p AS (SELECT group_index, ordinal, asset_id, is_best FROM report)"
 
 
@@ -168,3 +212,38 @@ def meta_columns(spark, d):
     names = F.array(F.lit("exif_n"), F.lit("dimensions"), F.when(F.col("event_id") % 2 == 0, "filesize"))
     found = fixtures.table(spark, d, "events").select(F.explode(names).alias("name")).where("name IS NOT NULL").distinct()
     return found.select("name", F.when(F.startswith("name", F.lit("exif_")), 0).otherwise(1).alias("rank")).orderBy("rank", "name")
+
+
+#: Three reports of the fixture's groups, by the rest of their number; paths are of one kind, of the other, or of neither.
+_REPORTS = """x AS (SELECT *, 'report_2024010' || (group_index % 3 + 1) AS report, CASE WHEN ordinal % 3 = 1 THEN '/a/' || filename WHEN ordinal % 3 = 0 THEN '' END AS filepath, CASE WHEN ordinal % 2 = 0 THEN '/b/' || filename END AS local_path FROM report)"""
+
+
+def _reports(spark, d) -> DataFrame:
+    folder = new_path(spark, "reports")
+    k = F.col("ordinal")
+    path, other = F.when(k % 3 == 1, F.concat(F.lit("/a/"), "filename")).when(k % 3 == 0, ""), F.when(k % 2 == 0, F.concat(F.lit("/b/"), "filename"))
+    rows = report_rows(spark, d).select("group_index", F.struct("ordinal", "asset_id", "filename", path.alias("filepath"), other.alias("local_path")).alias("photo"))
+    groups = rows.groupBy("group_index").agg(F.count("*").alias("photo_count"), F.array_sort(F.collect_list("photo")).alias("photos"))
+    for i in range(3):
+        save_report(groups.where(F.col("group_index") % 3 == i), folder, f"2024010{i + 1}", {"source_type": "server", "threshold": str(5 + i)}, f"2024-01-0{i + 1}T00:00:00")
+    return read_reports(spark, folder)
+
+
+@query("report_list", with_views("media") + f""", {REPORT}, {_REPORTS} SELECT report, '2024-01-0' || right(report, 1) || 'T00:00:00' AS generated_at, count(DISTINCT group_index) AS total_groups, count(*) AS total_photos,
+    'server' AS source_type, '' || (4 + right(report, 1)::INT) AS threshold, NULL::VARCHAR AS "limit", NULL::VARCHAR AS error FROM x GROUP BY report""")
+def report_list(spark, d):
+    return list_reports(_reports(spark, d))
+
+
+@query("report_paths", with_views("media") + f", {REPORT}, {_REPORTS} SELECT asset_id, coalesce(nullif(filepath, ''), nullif(local_path, '')) AS path FROM x WHERE coalesce(nullif(filepath, ''), nullif(local_path, '')) IS NOT NULL")
+def report_paths_query(spark, d):
+    return report_paths(_reports(spark, d))
+
+
+@query("reprocess_group", with_views("media") + f""", {REPORT}, {_P}, s AS (SELECT 'p' || vec_id AS asset_id, CASE WHEN vec_id % 4 <> 1 THEN vec_id * 7 % 5 END AS score FROM embeddings),
+    b AS (SELECT asset_id FROM p JOIN s USING (asset_id) WHERE group_index = 6 AND score IS NOT NULL ORDER BY score DESC, ordinal LIMIT 1)
+    SELECT group_index, ordinal, asset_id, CASE WHEN group_index = 6 THEN asset_id = (SELECT asset_id FROM b) ELSE is_best END AS is_best FROM p""")
+def reprocess_group(spark, d):
+    v = F.col("vec_id")
+    scores = fixtures.table(spark, d, "embeddings").select(F.concat(F.lit("p"), v).alias("asset_id"), F.when(v % 4 != 1, v * 7 % 5).alias("score"))
+    return reprocessed(_photos(spark, d), 6, scores)

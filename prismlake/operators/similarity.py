@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismlake import fixtures
 from prismlake.config import GroupingConfig
 from prismlake.fixtures import with_views
 from prismlake.functions.media import hamming, video_distance
-from prismlake.ordering import numbered
+from prismlake.ordering import key_of, numbered, per_key, spread_join
 from prismlake.registry import query
 from prismlake.shipping import ship
 from prismlake.storage import Kept, kept, small
@@ -30,11 +30,10 @@ def _within(a: str, b: str, window_s: int) -> Column:
     return F.lit(True) if not window_s else F.coalesce(F.abs(x - y) <= window_s * MICROS, F.lit(True))
 
 
-def _bands(threshold: int) -> list[Column]:
+def _bands(threshold: int, hash_: Column) -> list[Column]:
     """threshold + 1 parts of 64 bits, of which one is equal in hashes that differ in no more bits."""
     n = threshold + 1
     edges = [round(64 * i / n) for i in range(n + 1)]
-    hash_ = F.shiftleft("hash_hi", 32).bitwiseOR(F.col("hash_lo"))
     return [F.concat_ws(":", F.lit(i), F.shiftrightunsigned(hash_, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1))) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
 
 
@@ -42,7 +41,8 @@ def similar_pairs(media: DataFrame, config: GroupingConfig, key: str | None = No
     """(i, j, bits[, key]) for i < j that differ in no more bits than the threshold and, if both are dated, are within the window.
 
     Small thresholds join on equal bands of bits. Larger ones join dated rows on buckets of time; undated rows, which are
-    near all others in time, are compared with all and so should be few. Within a key, only rows of equal key are compared.
+    near all others in time, are compared with all: up to UNDATED rows and storage.SENT bytes of them are sent to all, and
+    more make as many comparisons as the semantics ask for. Within a key, only rows of equal key are compared.
     """
     keys = [key] if key else []
     own = media.select("ord", "hash_hi", "hash_lo", "taken_us", *keys)
@@ -52,7 +52,7 @@ def similar_pairs(media: DataFrame, config: GroupingConfig, key: str | None = No
     out = [F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), bits.alias("bits"), *(F.col(f"a.{k}").alias(k) for k in keys)]
     before = F.col("a.ord") < F.col("b.ord")
     if config.threshold <= BANDED:
-        banded = own.withColumn("band", F.explode(F.array(*_bands(config.threshold))))
+        banded = own.withColumn("band", F.explode(F.array(*_bands(config.threshold, F.shiftleft("hash_hi", 32).bitwiseOR(F.col("hash_lo"))))))
         return banded.alias("a").join(banded.alias("b"), (F.col("a.band") == F.col("b.band")) & before & near).select(*out).distinct()
     if not config.window_s:
         return own.alias("a").join(own.alias("b"), before & near).select(*out)
@@ -68,15 +68,24 @@ def similar_pairs(media: DataFrame, config: GroupingConfig, key: str | None = No
 def similar_videos(video: DataFrame, threshold: float) -> DataFrame:
     """(i, j, distance) for i < j within the threshold from i to j.
 
-    Thumbnails alone, where both have one, rule most pairs out before any frame is looked at. No pair is left out by keys,
-    as the distance has no bound for any of its parts, so this is for libraries of videos, not of frames.
+    Frames weigh 0.6, so in a pair within the threshold some frame of i is within threshold / 0.6 bits of one of j. Where
+    that is BANDED or less, only videos with frames that have an equal band of bits are compared; no pair is lost, as that many
+    bits can't touch all bands. Wider thresholds bound nothing, and compare each video with each; those are for libraries
+    of videos, not of frames. Videos without frames are near none.
     """
     side = lambda s: {c: F.col(f"{s}.{c}") for c in ("frames", "thumb", "duration")}
     distance = video_distance(side("a"), side("b"))
     thumbs = F.bit_count(F.col("a.thumb").bitwiseXOR(F.col("b.thumb"))) * 0.3
-    possible = F.coalesce(thumbs <= threshold, F.lit(True)) | (F.size("a.frames") < 1) | (F.size("b.frames") < 1)
-    pairs = video.alias("a").join(video.alias("b"), (F.col("a.ord") < F.col("b.ord")) & possible).select(F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), distance.alias("distance"))
-    return pairs.where(F.col("distance") <= threshold)
+    possible = F.coalesce(thumbs <= threshold, F.lit(True))
+    rows = video.where(F.size("frames") > 0)
+    reach = int(threshold / 0.6)
+    if reach <= BANDED:
+        keyed = rows.select("ord", F.explode("frames").alias("frame")).select("ord", F.explode(F.array(*_bands(reach, F.col("frame")))).alias("band")).distinct()
+        met = keyed.alias("x").join(keyed.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.ord") < F.col("y.ord"))).select(F.col("x.ord").alias("i"), F.col("y.ord").alias("j")).distinct()
+        pairs = met.join(rows.alias("a"), F.col("i") == F.col("a.ord")).join(rows.alias("b"), F.col("j") == F.col("b.ord")).where(possible)
+    else:
+        pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.ord") < F.col("b.ord")) & possible)
+    return pairs.select(F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), distance.alias("distance")).where(F.col("distance") <= threshold)
 
 
 def leaders(edges: DataFrame) -> DataFrame:
@@ -123,12 +132,35 @@ def greedy_groups(pairs: DataFrame, least: int) -> DataFrame:
 
     Members of groups that are too small are spent all the same.
     """
-    members = kept(leaders(pairs), "members")
+    return _numbered_groups(leaders(pairs), least)
+
+
+def _numbered_groups(members: DataFrame, least: int) -> DataFrame:
+    """greedy_groups of (node, leader)."""
+    members = kept(members, "members")
     sizes = kept(members.groupBy("leader").agg(F.count("*").alias("size")).where(F.col("size") >= max(least, 2)), "sizes")
-    index = numbered(sizes, "leader", "group_index", sizes.count())
-    sized = members.join(index, "leader")
-    ordinal = F.row_number().over(Window.partitionBy("leader").orderBy("node")).cast("long")
-    return sized.select("group_index", "leader", F.col("node").alias("ord"), ordinal.alias("ordinal"), "size")
+    n = members.count()
+    index = numbered(sizes, "leader", "group_index", n)
+    sized = kept(spread_join(members, index, "leader", ["node"], n), "grouped")
+    placed = per_key(sized, "leader", [F.col("node")], F.lit(1), "_before", n)
+    return placed.select("group_index", "leader", F.col("node").alias("ord"), (F.col("_before") + 1).cast("long").alias("ordinal"), "size")
+
+
+def near_groups(media: DataFrame, config: GroupingConfig, key: str | None = None) -> DataFrame:
+    """greedy_groups of the similar pairs of media, without making the pairs of rows that are alike.
+
+    Rows of equal hash, time and key are near the same rows, and near each other; so only the first of them can lead, and
+    the others have its leader. Pairs are made of the first ones alone, and a burst of m equal shots is m rows, not m * m.
+    """
+    alike = ["hash_hi", "hash_lo", "taken_us", *([key] if key else [])]
+    own = kept(media.select("ord", *alike, F.concat_ws(":", *(key_of(F.to_json(F.struct(c))) for c in alike)).alias("_alike")), "media")
+    n = own.count()
+    firsts = kept(own.groupBy("_alike").agg(F.min("ord").alias("ord"), *(F.first(c).alias(c) for c in alike), F.count("*").alias("_n")), "firsts")
+    found = leaders(similar_pairs(firsts.drop("_alike", "_n"), config, key)).withColumnRenamed("node", "ord")
+    # a burst that is near no other leads itself
+    led = firsts.join(found, "ord", "left").where("leader IS NOT NULL OR _n > 1").select("_alike", F.coalesce("leader", "ord").alias("leader"))
+    members = spread_join(own.select(F.col("ord").alias("node"), "_alike"), led, "_alike", ["node"], n).select("node", "leader")
+    return _numbered_groups(members, config.least)
 
 
 def leader_sql(nodes: str, adjacent: str, least: int = 3, group: str = "") -> str:
@@ -181,7 +213,7 @@ def similar_videos_query(spark, d):
 
 
 def groups_of_media(spark, d) -> DataFrame:
-    return greedy_groups(similar_pairs(kept(fixtures.media(spark, d), "media"), WIDE), WIDE.least)
+    return near_groups(fixtures.media(spark, d), WIDE)
 
 
 @query("greedy_groups", ALL_GROUPS + "SELECT * FROM groups")

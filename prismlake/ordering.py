@@ -69,14 +69,18 @@ def in_order(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], ro
     """Adds for each entry of `sums` the sum of its value over all rows before, in an order of any columns; rows: about how many there are.
 
     Rows are dealt by ranges of the order and written, so that each keeps its place; then only sums of ranges are ordered in one
-    place. Ties may stand in any order.
+    place. Rows of a single range are ordered as they are. Ties may stand in any order.
     """
+    ranges = size_bins(rows, least=1)
+    if ranges == 1:
+        all_before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({c: F.coalesce(F.sum(v).over(all_before), F.lit(0)) for c, v in sums.items()})
     values = {f"_value_{c}": v for c, v in sums.items()}
-    dealt = Kept(df.withColumns(values).repartitionByRange(size_bins(rows, least=1), *order).withColumn("_range", F.spark_partition_id()), "ranges").df
+    dealt = Kept(df.withColumns(values).repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges").df
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ranges = dealt.groupBy("_range").agg(*(F.sum(f"_value_{c}").alias(f"_sum_{c}") for c in sums))
-    starts = ranges.select("_range", *(F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_start_{c}") for c in sums))
+    by_range = dealt.groupBy("_range").agg(*(F.sum(f"_value_{c}").alias(f"_sum_{c}") for c in sums))
+    starts = by_range.select("_range", *(F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_start_{c}") for c in sums))
     own = dealt.withColumns({f"_inside_{c}": F.coalesce(F.sum(f"_value_{c}").over(inside), F.lit(0)) for c in sums})
     joined = own.join(F.broadcast(starts), "_range")  # a row for each range
     return joined.withColumns({c: F.col(f"_start_{c}") + F.col(f"_inside_{c}") for c in sums}).select(*df.columns, *sums)
@@ -100,6 +104,16 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, by: Sequence[str], ro
     return dealt.join(copied, [key, salt], how).drop(salt)
 
 
+def per_key(df: DataFrame, key: str, order: Sequence[Column], value: Column, out: str, rows: int) -> DataFrame:
+    """Adds `out`: the sum of `value` over the rows of equal key before each one, however many the key has; rows: about how many there are."""
+    if size_bins(rows, least=1) == 1:
+        return df.withColumn(out, F.coalesce(F.sum(value).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    held, first = fresh(df, "_held", "_first")
+    summed = Kept(in_order(df, [F.col(key), *order], {held: value}, rows), "per-key").df
+    starts = summed.groupBy(key).agg(F.min(held).alias(first))
+    return spread_join(summed, starts, key, [], rows).withColumn(out, F.col(held) - F.col(first)).select(*df.columns, out)
+
+
 def copies(df: DataFrame, n: str, number: str, rows: int) -> DataFrame:
     """Each row of df n times, numbered from 0 in `number`; rows: about how many come out. n is a long and not null.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prismlake import fixtures
 from prismlake.fixtures import with_views
+from prismlake.operators.people import ALBUMS_SQL, album_names
 from prismlake.operators.ranking import REPORT, report_rows
 from prismlake.registry import query
 
@@ -26,26 +27,36 @@ def tag_plan(photos: DataFrame, modifications: list[str], prefix: str = TAGS) ->
     return reduce(DataFrame.unionByName, parts)
 
 
-def album_plan(photos: DataFrame) -> DataFrame:
-    """(album, asset_id): an album for each group, named by its person and number."""
-    name = F.concat_ws("-", F.lit("Organized"), "person", F.format_string("%04d", "group_index"))
-    return photos.select(name.alias("album"), "asset_id")
+def album_plan(photos: DataFrame, albums: DataFrame) -> DataFrame:
+    """(album, asset_id): all photos of a group into the album (group_index, album) that it is to have."""
+    return photos.join(albums, "group_index").select("album", "asset_id")
 
 
 def flag_plan(photos: DataFrame) -> DataFrame:
-    """(asset_id, favorite, archived): the best is a favourite, the others are archived; null leaves a flag as it is."""
+    """(asset_id, favorite, archived): the best is a favourite, the others are archived; null leaves a flag as it is.
+
+    An update is a row of the fields that change: with_description adds a text to it.
+    """
     return photos.select("asset_id", F.when(F.col("is_best"), True).alias("favorite"), F.when(~F.col("is_best"), True).alias("archived"))
 
 
+def with_description(plan: DataFrame, texts: DataFrame) -> DataFrame:
+    """A plan of updates (asset_id, …) with `description`, where texts (asset_id, description) have one; assets that only have a text are added."""
+    return plan.join(texts.select("asset_id", "description"), "asset_id", "full")
+
+
 def destinations(photos: DataFrame) -> DataFrame:
-    """(group_index, ordinal, target): file names in a group's folder; the second of a name gets _1, the third _2.
+    """(group_index, ordinal, target): paths in a group's folder. All photos go to originals/, the best beside it once more as best_….
 
-    A name that a file has of itself, such as a_1.jpg, is not looked for among those given.
+    In originals/ the second of a name gets _1, the third _2; a name that a file has of itself, such as a_1.jpg, is not
+    looked for among those given. The best's copy keeps its name, as it is the only one.
     """
     again = F.row_number().over(Window.partitionBy("group_index", "filename").orderBy("ordinal")) - 1
     stem, end = F.regexp_replace("filename", r"(\.[^.]*)$", ""), F.regexp_extract("filename", r"(\.[^.]*)$", 1)
     target = F.when(again > 0, F.concat(stem, F.lit("_"), again, end)).otherwise(F.col("filename"))
-    return photos.withColumn("target", F.concat(F.when(F.col("is_best"), "best_").otherwise(""), target)).select("group_index", "ordinal", "target")
+    placed = photos.withColumn("_target", target)
+    paths = F.array(F.concat(F.lit("originals/"), "_target"), F.when(F.col("is_best"), F.concat(F.lit("best_"), "filename")))
+    return placed.select("group_index", "ordinal", F.explode(F.filter(paths, lambda p: p.isNotNull())).alias("target"))
 
 
 def with_prefix(names: DataFrame, prefix: str) -> DataFrame:
@@ -78,9 +89,9 @@ def tag_plan_query(spark, d):
     return tag_plan(report_rows(spark, d), ["hdr"])
 
 
-@query("album_plan", _VIEWS + " SELECT concat_ws('-', 'Organized', person, printf('%04d', group_index)) AS album, asset_id FROM report")
+@query("album_plan", _VIEWS + f", {ALBUMS_SQL} SELECT album, asset_id FROM report JOIN named USING (group_index)")
 def album_plan_query(spark, d):
-    return album_plan(report_rows(spark, d))
+    return album_plan(report_rows(spark, d), album_names(spark, d))
 
 
 @query("favorite_archive_plan", _VIEWS + " SELECT asset_id, CASE WHEN is_best THEN true END AS favorite, CASE WHEN NOT is_best THEN true END AS archived FROM report")
@@ -89,7 +100,8 @@ def favorite_archive_plan(spark, d):
 
 
 @query("dest_filenames", _VIEWS + """, f AS (SELECT group_index, ordinal, is_best, 'IMG_' || (ordinal % 2) || '.jpg' AS filename FROM report), r AS (SELECT *, row_number() OVER (PARTITION BY group_index, filename ORDER BY ordinal) - 1 AS k FROM f)
-    SELECT group_index, ordinal, CASE WHEN is_best THEN 'best_' ELSE '' END || CASE WHEN k > 0 THEN regexp_replace(filename, '\\.[^.]*$', '') || '_' || k || '.jpg' ELSE filename END AS target FROM r""")
+    SELECT group_index, ordinal, 'originals/' || CASE WHEN k > 0 THEN regexp_replace(filename, '\\.[^.]*$', '') || '_' || k || '.jpg' ELSE filename END AS target FROM r
+    UNION ALL SELECT group_index, ordinal, 'best_' || filename FROM f WHERE is_best""")
 def dest_filenames(spark, d):
     return destinations(report_rows(spark, d).withColumn("filename", F.concat(F.lit("IMG_"), F.col("ordinal") % 2, F.lit(".jpg"))))
 

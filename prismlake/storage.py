@@ -48,6 +48,11 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all that this session has written so far, for sessions that live long; results that are still to be read from it are lost."""
     for owner, path in [x for x in _written if x[0] is spark]:

@@ -10,15 +10,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from prismlake import fixtures
 from prismlake.config import GroupingConfig
-from prismlake.operators.similarity import greedy_groups, similar_pairs
+from prismlake.operators.similarity import near_groups
 from prismlake.registry import query
-from prismlake.storage import kept, new_path
+from prismlake.storage import new_path
 
 
 def grouped_batch(media: DataFrame, batch_id: int, config: GroupingConfig) -> DataFrame:
     """Groups among a batch's own assets; earlier ones are not looked at."""
-    found = greedy_groups(similar_pairs(kept(media, "batch"), config), config.least)
-    return found.withColumn("batch_id", F.lit(batch_id).cast("long"))
+    return near_groups(media, config).withColumn("batch_id", F.lit(batch_id).cast("long"))
 
 
 def poll(stream: DataFrame, out: str, checkpoint: str, config: GroupingConfig, every: str | None = None, also: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:

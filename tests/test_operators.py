@@ -50,14 +50,17 @@ def test_batches_overlap_but_at_the_ends(spark):
 
 def test_scene_changes_compare_with_the_last_kept_frame(spark):
     rows = [(1, i, [100.0 + 8 * i]) for i in range(30)] + [(2, i, [100.0]) for i in range(12)]
-    got = frames.scene_changes(spark.createDataFrame(rows, "video_id long, position long, histogram array<double>"), 3.0).collect()
+    probe = spark.createDataFrame([(1, 30, 1.0), (2, 12, 1.0), (3, 9, 0.0), (4, 0, 1.0)], "video_id long, frames long, fps double")
+    sampled = spark.createDataFrame(rows, "video_id long, position long, histogram array<double>")
+    got = frames.key_frames(probe, "scene_change", sampled, most=20, threshold=3.0).collect()
     kept, last = [0], 100.0
     for i in range(1, 30):
         if (last - (100 + 8 * i)) ** 2 / last > 3:
             kept.append(i)
             last = 100 + 8 * i
     assert sorted(r.position for r in got if r.video_id == 1) == kept[:20]
-    assert sorted(r.position for r in got if r.video_id == 2) == [0, 5, 10]
+    assert sorted(r.position for r in got if r.video_id == 2) == [0, 5, 10] and {r.video_id for r in got} == {1, 2}
+    assert [r.position for r in frames.key_frames(probe, "iframe", most=4).where("video_id = 2").orderBy("position").collect()] == [0, 1, 2, 3]
 
 
 def test_cascade_prefers_sure_matches(spark):
@@ -96,7 +99,7 @@ def test_conflicts_are_decided_for_the_whole_asset(spark):
 
 def test_file_names_do_not_collide(spark):
     df = spark.createDataFrame([(1, 1, "a.jpg", True), (1, 2, "a.jpg", False), (1, 3, "a.jpg", False), (1, 4, "b", False), (1, 5, "b", False)], "group_index long, ordinal long, filename string, is_best boolean")
-    assert [r.target for r in actions.destinations(df).orderBy("ordinal").collect()] == ["best_a.jpg", "a_1.jpg", "a_2.jpg", "b", "b_1"]
+    assert [r.target for r in actions.destinations(df).orderBy("ordinal", "target").collect()] == ["best_a.jpg", *(f"originals/{x}" for x in ("a.jpg", "a_1.jpg", "a_2.jpg", "b", "b_1"))]
 
 
 def test_malformed_texts_have_defined_values(spark):
