@@ -56,7 +56,7 @@ def _person_rows(spark, d):
 _PERSON = "pm AS (SELECT * FROM media UNION ALL SELECT * REPLACE ('everyone' AS person) FROM media WHERE ord % 3 = 0)"
 
 
-def _keyed_sql(rows: str, key: str, config=WIDE) -> str:
+def keyed_sql(rows: str, key: str, config=WIDE) -> str:
     """CTEs up to `found`: greedy groups among rows of equal key, whose places are numbered by key and order."""
     return f"""
 kr AS (SELECT r.* REPLACE (row_number() OVER (ORDER BY {key}, ord) AS ord), r.ord AS old FROM {rows} r),
@@ -69,7 +69,7 @@ kn AS (SELECT ord, row_number() OVER (ORDER BY ord) AS rn FROM kr),
 found AS (SELECT kr.{key}, lr.old AS leader, kr.old AS ord, g.ordinal, g.size FROM groups g JOIN kr USING (ord) JOIN kr lr ON lr.ord = g.leader)"""
 
 
-@query("groups_by_person", with_views("media").replace("WITH ", "WITH RECURSIVE ", 1) + f", {_PERSON}, {_keyed_sql('pm', 'person')} SELECT * FROM found")
+@query("groups_by_person", with_views("media").replace("WITH ", "WITH RECURSIVE ", 1) + f", {_PERSON}, {keyed_sql('pm', 'person')} SELECT * FROM found")
 def groups_by_person(spark, d):
     return groups_by_key(_person_rows(spark, d), "person")
 
@@ -92,7 +92,7 @@ def people_combos(spark, d):
     "groups_by_combo",
     with_views("media", "people", "person_asset").replace("WITH ", "WITH RECURSIVE ", 1)
     + f""", {_SETS}, cl AS (SELECT names, asset_id FROM combos JOIN sets USING (names)),
-    cm AS (SELECT names, m.* REPLACE (asset_id AS ord) FROM cl JOIN media m ON m.ord = asset_id % (SELECT count(*) FROM media)), {_keyed_sql('cm', 'names', LOOSE)}
+    cm AS (SELECT names, m.* REPLACE (asset_id AS ord) FROM cl JOIN media m ON m.ord = asset_id % (SELECT count(*) FROM media)), {keyed_sql('cm', 'names', LOOSE)}
     SELECT label, leader, ord, ordinal, size FROM found JOIN labelled USING (names)""",
 )
 def groups_by_combo(spark, d):

@@ -71,13 +71,13 @@ def similar_videos(video: DataFrame, threshold: float) -> DataFrame:
     Frames weigh 0.6, so in a pair within the threshold some frame of i is within threshold / 0.6 bits of one of j. Where
     that is BANDED or less, only videos with frames that have an equal band of bits are compared; no pair is lost, as that many
     bits can't touch all bands. Wider thresholds bound nothing, and compare each video with each; those are for libraries
-    of videos, not of frames. Videos without frames are near none.
+    of videos, not of frames. Videos without frames are 64 from all.
     """
     side = lambda s: {c: F.col(f"{s}.{c}") for c in ("frames", "thumb", "duration")}
     distance = video_distance(side("a"), side("b"))
     thumbs = F.bit_count(F.col("a.thumb").bitwiseXOR(F.col("b.thumb"))) * 0.3
     possible = F.coalesce(thumbs <= threshold, F.lit(True))
-    rows = video.where(F.size("frames") > 0)
+    rows = video.where(F.size("frames") > 0) if threshold < 64 else video
     reach = int(threshold / 0.6)
     if reach <= BANDED:
         keyed = rows.select("ord", F.explode("frames").alias("frame")).select("ord", F.explode(F.array(*_bands(reach, F.col("frame")))).alias("band")).distinct()

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,11 +37,14 @@ def _own_folder() -> str:
 
 
 _written: list[tuple[SparkSession, str]] = []
+#: What this thread writes while a table is made by settled(), of which only the table itself stays.
+_open = threading.local()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark).rstrip('/')}/prismlake-{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
+    getattr(_open, "paths", []).append(path)
     return path
 
 
@@ -80,13 +85,32 @@ class Kept:
 
     def drop(self) -> None:
         delete(self.spark, self.path)
-        _written.remove((self.spark, self.path))
+        if (self.spark, self.path) in _written:
+            _written.remove((self.spark, self.path))
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     return Kept(df, name).df
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Kept:
+    """The table that `make` gives, kept; all that was written on the way to it is deleted then, as nothing reads it any more."""
+    outer = getattr(_open, "paths", None)
+    _open.paths = []
+    try:
+        table = Kept(make(), name)
+        for path in [p for p in _open.paths if p != table.path]:
+            delete(spark, path)
+            if (spark, path) in _written:
+                _written.remove((spark, path))
+    finally:
+        if outer is None:
+            del _open.paths
+        else:
+            _open.paths = outer
+    return table
+
+
 def _width(column: Column, kind: T.DataType) -> Column:
     """About the bytes of a value in memory."""
     if isinstance(kind, T.StringType | T.BinaryType):

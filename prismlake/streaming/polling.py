@@ -10,6 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from prismlake import fixtures
 from prismlake.config import GroupingConfig
+from prismlake.fixtures import with_views
+from prismlake.operators.grouping import keyed_sql
 from prismlake.operators.similarity import near_groups
 from prismlake.registry import query
 from prismlake.storage import new_path
@@ -20,14 +22,19 @@ def grouped_batch(media: DataFrame, batch_id: int, config: GroupingConfig) -> Da
     return near_groups(media, config).withColumn("batch_id", F.lit(batch_id).cast("long"))
 
 
-def poll(stream: DataFrame, out: str, checkpoint: str, config: GroupingConfig, every: str | None = None, also: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+def poll(
+    stream: DataFrame, out: str, checkpoint: str, config: GroupingConfig, every: str | None = None, also: Callable[[DataFrame, int], None] | None = None, from_latest: bool = False
+) -> StreamingQuery:
     """Groups a stream of assets batch by batch into out/batch_id=…; the cursor moves when a batch's groups are written.
 
     A batch that fails is tried again, and overwrites what it has written. `every` polls on; without it what is there now
-    is taken and the query ends. `also` sees each batch as well, such as to reconcile the state of its assets.
+    is taken and the query ends. `also` sees each batch as well, such as to reconcile the state of its assets. from_latest:
+    the first cycle of a new cursor only records where the stream stands, and takes nothing of what is there already.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        if from_latest and batch_id == 0:
+            return
         grouped_batch(batch, batch_id, config).drop("batch_id").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         if also:
             also(batch, batch_id)
@@ -36,39 +43,47 @@ def poll(stream: DataFrame, out: str, checkpoint: str, config: GroupingConfig, e
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def landed(spark: SparkSession, media: DataFrame, files: int) -> tuple[str, DataFrame]:
-    """Assets written as so many files in order, and the stream that reads them one by one."""
+def landed(spark: SparkSession, parts: list[DataFrame]) -> tuple[str, DataFrame]:
+    """Assets written part by part, each as one file, and the stream that reads them in that order."""
     path = new_path(spark, "landing")
-    media.repartitionByRange(files, "ord").write.parquet(path)
-    return path, spark.readStream.schema(media.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path, spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@query("stream_batches")
+_STREAMED = GroupingConfig(threshold=22, window_s=0, min_size=2)
+
+
+@query(
+    "stream_batches",
+    with_views("media").replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", bm AS (SELECT *, ord // (SELECT (count(*) + 2) // 3 FROM media) AS batch_id FROM media), {keyed_sql('bm', 'batch_id', _STREAMED)}
+    SELECT batch_id, count(*) AS members, count(DISTINCT leader) AS groups FROM found GROUP BY batch_id""",
+)
 def stream_batches(spark, d):
-    _, stream = landed(spark, fixtures.media(spark, d), 3)
+    """The library in thirds, one a micro-batch."""
+    media = fixtures.media(spark, d)
+    third = (fixtures.table(spark, d, "embeddings").count() + 2) // 3
+    _, stream = landed(spark, [media.where(F.col("ord").between(i * third, (i + 1) * third - 1)) for i in range(3)])
     out = new_path(spark, "stream-groups")
-    running = poll(stream, out, new_path(spark, "cursor"), GroupingConfig(threshold=22, window_s=0, min_size=2))
-    running.awaitTermination()
-    return spark.read.parquet(out).groupBy("batch_id").agg(F.count("*").alias("members"), F.count_distinct("leader").alias("groups"))
+    poll(stream, out, new_path(spark, "cursor"), _STREAMED).awaitTermination()
+    found = spark.read.parquet(out).groupBy("batch_id").agg(F.count("*").alias("members"), F.count_distinct("leader").alias("groups"))
+    return found.withColumn("batch_id", F.col("batch_id").cast("long"))
 
 
-@query("stream_from_latest")
+@query("stream_from_latest", "SELECT vec_id AS ord, 1::BIGINT AS batch_id FROM embeddings WHERE vec_id >= (SELECT min(vec_id) + (max(vec_id) - min(vec_id)) // 2 FROM embeddings)")
 def stream_from_latest(spark, d):
     """The first cycle records where it stands and takes nothing; the second takes what has come since: the upper half of the ids."""
     media = fixtures.media(spark, d)
     cut = fixtures.table(spark, d, "embeddings").agg(F.min("vec_id") + F.floor((F.max("vec_id") - F.min("vec_id")) / 2)).first()[0]
-    path = new_path(spark, "landing")
-    media.where(F.col("ord") < cut).write.parquet(path)
-    stream = spark.readStream.schema(media.schema).parquet(path)
-    out, cursor, seen = new_path(spark, "stream-latest"), new_path(spark, "cursor"), []
+    path, stream = landed(spark, [media.where(F.col("ord") < cut)])
+    out, groups, cursor = new_path(spark, "stream-latest"), new_path(spark, "stream-groups"), new_path(spark, "cursor")
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        seen.append(batch_id)
-        if batch_id:
-            batch.select("ord", F.lit(batch_id).alias("batch_id")).write.mode("overwrite").parquet(f"{out}/part={batch_id}")
+    def also(batch: DataFrame, batch_id: int) -> None:
+        batch.select("ord", F.lit(batch_id).cast("long").alias("batch_id")).write.mode("overwrite").parquet(f"{out}/part={batch_id}")
 
-    start = lambda: stream.writeStream.foreachBatch(each).option("checkpointLocation", cursor).trigger(availableNow=True).start().awaitTermination()
+    start = lambda: poll(stream, groups, cursor, _STREAMED, also=also, from_latest=True).awaitTermination()
     start()
-    media.where(F.col("ord") >= cut).write.mode("append").parquet(path)
+    media.where(F.col("ord") >= cut).coalesce(1).write.mode("append").parquet(path)
     start()
     return spark.read.parquet(out).select("ord", "batch_id")

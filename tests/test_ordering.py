@@ -4,7 +4,7 @@ import random
 
 import pytest
 from prismlake import ordering, storage
-from prismlake.ordering import copies, fresh, in_order, key_of, numbered, running, size_bins, spread_join
+from prismlake.ordering import copies, fresh, in_order, key_of, numbered, per_key, running, size_bins, spread_join
 from prismlake.storage import Kept, Scratch, small
 from pyspark.sql import functions as F
 
@@ -44,6 +44,23 @@ def test_kept_tables_are_read_back_and_small_ones_marked(spark):
     kept.drop()
 
 
+def test_what_a_settled_table_was_made_of_is_deleted(spark):
+    import os
+
+    seen = []
+
+    def make():
+        seen.append(Kept(spark.range(5), "inner"))
+        return seen[0].df.selectExpr("id + 1 AS id")
+
+    outer = Kept(spark.range(3), "outer")
+    table = storage.settled(spark, make, "settled")
+    there = lambda t: os.path.exists(t.path.removeprefix("file://"))
+    assert sorted(r.id for r in table.df.collect()) == [1, 2, 3, 4, 5] and there(table) and there(outer) and not there(seen[0])
+    outer.drop()
+    assert not there(outer)
+
+
 def test_scratch_tables_go_with_their_block(spark):
     import os
 
@@ -106,3 +123,15 @@ def test_copies_are_numbered_and_many_are_dealt(spark, monkeypatch):
 
 def test_working_names_are_new(spark):
     assert fresh(spark.range(1).selectExpr("id AS _A", "id AS _a_"), "_a", "_b", "_b") == ["_a__", "_b", "_b_"]
+
+
+@pytest.mark.parametrize("rows", [500, 100_000])
+def test_sums_within_keys(spark, monkeypatch, rows):
+    monkeypatch.setattr(ordering, "LEAST", 50)
+    rng = random.Random(3)
+    data = [(rng.choice("aaaab"), i, rng.randrange(9)) for i in range(500)]
+    found = {r.i: r.held for r in per_key(spark.createDataFrame(data, "k string, i long, v long"), "k", [F.col("i").desc()], F.col("v"), "held", rows).collect()}
+    held = {"a": 0, "b": 0}
+    for k, i, v in reversed(data):
+        assert found[i] == held[k]
+        held[k] += v
