@@ -1,7 +1,8 @@
 """From raw documents to packed sequences: quality rules, line dedup, near-dedup, mixing and packing.
 
 Each stage is a function of the session, the documents that the stage before it kept, and the folder of the input tables.
-run() writes what each returns and reads it again for the next, so a lost executor costs a part of one stage.
+run() writes what each returns and reads it again for the next, so a lost executor costs a part of one stage; what a stage
+has written on the way, and what the stage before it has, is deleted once its own result is there.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.llm import line_dedup, mixing, packing, quality_rules, simhash
-from prismlake.llm.common import documents, kept
+from prismlake.llm.common import documents
+from prismlake.storage import settled
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -53,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = kept(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        table = settled(spark, lambda: stage(spark, docs, sf_dir), name.replace(" ", "-"))  # noqa: B023  called at once
+        if before:
+            before.drop()
+        docs, before = table.df, table
     return docs
