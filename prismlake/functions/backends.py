@@ -52,11 +52,14 @@ def register(backend: type[FaceBackend]) -> type[FaceBackend]:
     return backend
 
 
+def _there(backend) -> bool:
+    return all(importlib.util.find_spec(m.partition(".")[0]) for m in backend.needs)
+
+
 def choose(wanted: str = "auto", order: tuple[str, ...] | None = None) -> type[FaceBackend] | None:
     """The backend of this name, or the first in order whose modules are installed; None if there is none."""
-    there = lambda b: all(importlib.util.find_spec(m.partition(".")[0]) for m in b.needs)
     names = (order or tuple(BACKENDS)) if wanted == "auto" else (wanted,)
-    return next((BACKENDS[n] for n in names if n in BACKENDS and there(BACKENDS[n])), None)
+    return next((BACKENDS[n] for n in names if n in BACKENDS and _there(BACKENDS[n])), None)
 
 
 @cache
@@ -85,6 +88,49 @@ def with_faces(images: DataFrame, backend: type[FaceBackend] | None) -> DataFram
     return images.select("photo_id", "content").mapInPandas(run, f"photo_id string, {FACES}")
 
 
+class Scorer(ABC):
+    """Quality of an image's bytes, from 0 to 1."""
+
+    name: str
+    needs: tuple[str, ...] = ()
+
+    @abstractmethod
+    def score(self, content: bytes) -> float | None: ...
+
+
+SCORERS: dict[str, type[Scorer]] = {}
+
+
+def register_scorer(scorer: type[Scorer]) -> type[Scorer]:
+    SCORERS[scorer.name] = scorer
+    return scorer
+
+
+def scorer_chain(order: tuple[str, ...]) -> type[Scorer] | None:
+    """The first scorer in order that is registered and whose modules are installed; None if there is none."""
+    return next((SCORERS[n] for n in order if n in SCORERS and _there(SCORERS[n])), None)
+
+
+def with_scores(images: DataFrame, scorer: type[Scorer] | None) -> DataFrame:
+    """images (photo_id, content) with `score`; null without a scorer, and for images that it can't read."""
+    if scorer is None:
+        return images.select("photo_id", F.lit(None).cast("double").alias("score"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = _instance(scorer)
+        for batch in batches:
+            scores = []
+            for content in batch["content"]:
+                try:
+                    scores.append(own.score(content))
+                except Exception:  # noqa: BLE001  one bad image must not end the scan
+                    scores.append(None)
+            yield pd.DataFrame({"photo_id": batch["photo_id"], "score": pd.array(scores, "Float64")})
+
+    ship(images.sparkSession)
+    return images.select("photo_id", "content").mapInPandas(run, "photo_id string, score double")
+
+
 def quality(mean: Column, deviation: Column) -> Column:
     """Of an image's mean and deviation, without a model: 0.4 and 0.6 of both, each cut to its range."""
     clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
@@ -96,3 +142,32 @@ def difference_hash(pixels: Column, width: int = 9, height: int = 8) -> Column:
     at = F.sequence(F.lit(0), F.lit((width - 1) * height - 1))
     place = lambda i: F.floor(i / (width - 1)).cast("int") * width + i % (width - 1)
     return F.aggregate(at, F.lit(0).cast("long"), lambda acc, i: F.shiftleft(acc, 1).bitwiseOR(F.when(F.get(pixels, place(i) + 1) > F.get(pixels, place(i)), 1).otherwise(0)))
+
+
+def perceptual_hash(pixels: Column, side: int = 32, kept: int = 8) -> Column:
+    """kept * kept bits of side * side grey pixels, row by row: whether each of the lowest waves of their cosine transform is above the median of these."""
+    at = np.arange(side)
+    waves = np.cos(np.pi * np.outer(np.arange(kept), 2 * at + 1) / (2 * side))
+
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for row in batch:
+                if row is None or len(row) != side * side:
+                    out.append(None)
+                    continue
+                low = waves @ np.asarray(row, float).reshape(side, side) @ waves.T
+                bits = np.packbits((low > np.median(low)).ravel())
+                out.append(int.from_bytes(bits.tobytes().rjust(8, b"\0"), "big", signed=True))
+            yield pd.Series(out, dtype="Int64")
+
+    return F.pandas_udf(hashes, "long")(pixels)
+
+
+def video_hashes(frames: DataFrame, side: int = 32, kept: int = 8) -> DataFrame:
+    """(video_id, frames, thumb) of chosen frames (video_id, position, pixels): their hashes in order, and that of the middle one; frames that can't be hashed are left out."""
+    ship(frames.sparkSession)
+    hashed = frames.select("video_id", "position", perceptual_hash(F.col("pixels"), side, kept).alias("hash")).where("hash IS NOT NULL")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("position", "hash"))), lambda x: x["hash"])
+    found = hashed.groupBy("video_id").agg(ordered.alias("frames"))
+    return found.withColumn("thumb", F.get("frames", F.floor(F.size("frames") / 2).cast("int")))

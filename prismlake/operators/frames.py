@@ -10,6 +10,7 @@ from pyspark.sql.udtf import UserDefinedTableFunction
 
 from prismlake import fixtures
 from prismlake.fixtures import with_views
+from prismlake.functions.backends import video_hashes
 from prismlake.functions.media import video_distance
 from prismlake.registry import query
 from prismlake.shipping import ship
@@ -207,3 +208,18 @@ def video_distance_query(spark, d):
     sides = [{c: F.col(f"{s}.{c}") for c in ("frames", "thumb", "duration")} for s in "ab"]
     next_to = v.withColumn("near", F.explode(F.array(F.col("ord") - 1, F.col("ord") + 1)))
     return next_to.alias("a").join(v.alias("b"), F.col("a.near") == F.col("b.ord")).select(F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), F.round(video_distance(*sides), 6).alias("distance"))
+
+
+#: An 8 x 8 grid of pixels a frame, of which 4 x 4 waves are kept.
+_PHASH = """g AS (SELECT vec_id, embedding AS p FROM embeddings),
+low AS (SELECT vec_id, u, v, list_sum(list_transform(range(0, 64), lambda i: p[i + 1]::DOUBLE * cos(pi() * u * (2 * (i // 8) + 1) / 16) * cos(pi() * v * (2 * (i % 8) + 1) / 16))) AS c FROM g, range(4) a(u), range(4) b(v)),
+h AS (SELECT vec_id, sum(CASE WHEN c > m THEN 1::BIGINT << (15 - u * 4 - v)::INT ELSE 0 END)::BIGINT AS hash FROM (SELECT *, median(c) OVER (PARTITION BY vec_id) AS m FROM low) GROUP BY vec_id),
+v AS (SELECT vec_id // 9 AS video_id, list(hash ORDER BY vec_id % 9) AS frames FROM h GROUP BY 1)"""
+
+
+@query("video_frame_hashes", f"WITH {_PHASH} SELECT video_id, array_to_string(frames, ',') AS frames, frames[len(frames) // 2 + 1] AS thumb FROM v")
+def video_frame_hashes(spark, d):
+    """Perceptual hashes of the frames of videos, and of the middle one."""
+    frames = fixtures.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 9).cast("long").alias("video_id"), (F.col("vec_id") % 9).alias("position"), F.col("embedding").alias("pixels"))
+    found = video_hashes(frames, 8, 4)
+    return found.select("video_id", F.array_join(F.transform("frames", lambda x: x.cast("string")), ",").alias("frames"), "thumb")

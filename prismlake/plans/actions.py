@@ -59,6 +59,14 @@ def destinations(photos: DataFrame) -> DataFrame:
     return placed.select("group_index", "ordinal", F.explode(F.filter(paths, lambda p: p.isNotNull())).alias("target"))
 
 
+def import_plan(outputs: DataFrame, wanted: tuple[str, ...], album: str) -> DataFrame:
+    """(group_index, path, album): of each group's files (group_index, path) the first of the wanted names, to be taken into the library."""
+    name = F.substring_index("path", "/", -1)
+    place = F.array_position(F.array(*map(F.lit, wanted)), name)
+    found = outputs.where(name.isin(*wanted)).groupBy("group_index").agg(F.min_by("path", place).alias("path"))
+    return found.withColumn("album", F.lit(album))
+
+
 def with_prefix(names: DataFrame, prefix: str) -> DataFrame:
     return names.where(F.startswith("name", F.lit(prefix)))
 
@@ -106,6 +114,23 @@ def dest_filenames(spark, d):
     return destinations(report_rows(spark, d).withColumn("filename", F.concat(F.lit("IMG_"), F.col("ordinal") % 2, F.lit(".jpg"))))
 
 
+@query("import_plan", """SELECT p_partkey AS group_index, 'group_' || printf('%04d', p_partkey) || CASE WHEN p_partkey % 3 = 0 THEN '/face_swapped.jpg' ELSE '/face_swapped_reprocessed.jpg' END AS path, 'Face Swapped' AS album FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0""")
+def import_plan_query(spark, d):
+    k = F.col("p_partkey")
+    folder = F.format_string("group_%04d", k)
+    names = F.array(F.lit("best_a.jpg"), F.when(k % 2 == 0, "face_swapped_reprocessed.jpg"), F.when(k % 3 == 0, "face_swapped.jpg"))
+    files = fixtures.table(spark, d, "part").select(k.alias("group_index"), folder.alias("folder"), F.explode(names).alias("name")).where("name IS NOT NULL")
+    return import_plan(files.select("group_index", F.concat_ws("/", "folder", "name").alias("path")), ("face_swapped.jpg", "face_swapped_reprocessed.jpg"), "Face Swapped")
+
+
+@query("update_plan", _VIEWS + """ SELECT r.asset_id, CASE WHEN is_best THEN true END AS favorite, CASE WHEN NOT is_best THEN true END AS archived, CASE WHEN group_index % 5 = 0 THEN 'group ' || group_index END AS description FROM report r""")
+def update_plan(spark, d):
+    """Flags with the descriptions of some groups' photos."""
+    rows = report_rows(spark, d)
+    texts = rows.where("group_index % 5 = 0").select("asset_id", F.concat(F.lit("group "), "group_index").alias("description"))
+    return with_description(flag_plan(rows), texts)
+
+
 @query("tags_by_prefix", "SELECT n_name AS name FROM nation WHERE starts_with(n_name, 'NATION_1')")
 def tags_by_prefix(spark, d):
     return with_prefix(fixtures.table(spark, d, "nation").select(F.col("n_name").alias("name")), "NATION_1")

@@ -178,3 +178,44 @@ def test_fingerprints_and_documents(spark, tmp_path):
     assert found.best_photo.photo_id == "p2" and found.photo_count == 2 and found.settings.threshold == "5"
     local.write_state(spark.createDataFrame([({"a": "ff"},)], "processed_hashes map<string,string>"), str(tmp_path / "state"))
     assert local.state(spark, str(tmp_path / "state")).first().processed_hashes == {"a": "ff"}
+
+
+def test_the_first_scorer_that_is_there_scores_what_it_can(spark):
+    from prismlake.functions import backends
+
+    @backends.register_scorer
+    class Gone(backends.Scorer):
+        name, needs = "gone", ("no_such_module",)
+
+        def score(self, content):
+            return 1.0
+
+    @backends.register_scorer
+    class Length(backends.Scorer):
+        name = "length"
+
+        def score(self, content):
+            return 1 / len(content)
+
+    images = spark.createDataFrame([("a", bytearray(b"xx")), ("b", bytearray()), ("c", None)], "photo_id string, content binary")
+    assert backends.scorer_chain(("gone",)) is None and backends.scorer_chain(("gone", "length")) is Length
+    assert {r.photo_id: r.score for r in backends.with_scores(images, Length).collect()} == {"a": 0.5, "b": None, "c": None}
+    assert backends.with_scores(images, None).where("score IS NULL").count() == 3
+    del backends.SCORERS["gone"], backends.SCORERS["length"]
+
+
+def test_perceptual_hashes_are_those_of_a_plain_transform(spark):
+    import math
+    import random
+
+    from prismlake.functions import backends
+
+    rng = random.Random(4)
+    rows = [(v, p, [float(rng.randrange(256)) for _ in range(1024)]) for v in range(3) for p in range(2 + v)] + [(9, 0, [1.0])]
+    found = {r.video_id: r for r in backends.video_hashes(spark.createDataFrame(rows, "video_id long, position long, pixels array<double>")).collect()}
+    assert set(found) == {0, 1, 2} and [len(found[v].frames) for v in range(3)] == [2, 3, 4] and found[2].thumb == found[2].frames[2]
+    _, _, pixels = rows[0]
+    low = [sum(pixels[32 * y + x] * math.cos(math.pi * u * (2 * y + 1) / 64) * math.cos(math.pi * v * (2 * x + 1) / 64) for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+    middle = sorted(low)
+    want = sum(1 << (63 - i) for i, c in enumerate(low) if c > (middle[31] + middle[32]) / 2)
+    assert found[0].frames[0] & ((1 << 64) - 1) == want
