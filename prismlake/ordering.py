@@ -122,7 +122,7 @@ def copies(df: DataFrame, n: str, number: str, rows: int) -> DataFrame:
     at = fresh(df, "_at")[0]
     first = F.lit(0).cast("long")
     few = df.where(F.col(n).between(1, COPIES)).withColumn(number, F.explode(F.sequence(first, F.col(n) - 1)))
-    if rows <= COPIES or df.where(F.col(n) > COPIES).limit(1).count() == 0:
+    if df.where(F.col(n) > COPIES).limit(1).count() == 0:
         return few
     many = df.where(F.col(n) > COPIES).withColumn(at, F.explode(F.sequence(first, F.col(n) - 1, F.lit(COPIES).cast("long"))))
     many = many.repartition(size_bins(rows, 10 * COPIES, 1), at)
