@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+from prismlake import ordering
 from prismlake.llm import line_dedup, quality_rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -65,7 +67,12 @@ def test_line_dedup_drops_what_a_site_repeats(spark):
     assert line_dedup.drop_boilerplate(docs.where("false")).count() == 0
 
 
-def test_pages_are_grouped_by_the_host_of_their_url(spark):
+@pytest.mark.parametrize("hosts", [20_000, 0])
+def test_pages_are_grouped_by_the_host_of_their_url(spark, monkeypatch, hosts):
+    """Also where lists are too many to be sent, and documents are dealt by host."""
+    monkeypatch.setattr(quality_rules, "HOSTS", hosts)
+    monkeypatch.setattr(line_dedup, "HOSTS", hosts)
+    monkeypatch.setattr(ordering, "LEAST", 7)
     rows = [(i, f"http://{'ab'[i % 2]}.org/x/{i}", f"menu\n{body(i)}" if i % 2 else body(i)) for i in range(40)]
     pages = spark.createDataFrame(rows, "page_id long, url string, text string").selectExpr("*", "parse_url(url, 'HOST') AS host")
     found = line_dedup.drop_boilerplate(pages, site="host").collect()
