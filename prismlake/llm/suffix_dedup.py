@@ -8,8 +8,9 @@ Triggers cut texts into phrases. The distinct phrases before triggers, in order
 phrases that end alike are neighbours in it. The distinct suffixes of the parse from triggers on, cut where no string reaches,
 are in order of their bytes. Both orders are made by Spark, range by range, and hold for each entry how many bytes it has
 in common with the one before. From these each entry knows its class at any depth: the run of neighbours that agree in so
-many bytes. Two strings are equal if and only if they are equal far from their trigger, and their classes are, of the phrase
-at that depth and of the parse at the rest of LENGTH; so strings are combined by their two classes, and counted.
+many bytes. Two strings are equal if and only if they begin equally far before their trigger, and their classes are equal, of the
+phrase at that depth and of the parse at the rest of LENGTH. A class holds for runs of depths, so a trigger's strings are a few
+runs; those of equal classes are combined, and where two overlap, their strings repeat.
 
 What can't repeat is left out by hashes before: a trigger whose next CORE bytes stand nowhere else has no repeated string. And
 triggers all of whose strings repeat together, phrase and parse being equal as a whole, are one entry with a count.
@@ -23,7 +24,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismlake.llm.common import Scratch, documents, fresh, kept, size_bins, spread_join, with_computed
@@ -216,17 +217,30 @@ def classes(strings: DataFrame, keep=kept) -> DataFrame:
     return ranged.join(carried, "_range").groupBy("_range").applyInArrow(_classes, f"s binary, stack {_STACK_SQL}")
 
 
-def _strings(batch: pa.RecordBatch) -> list[pa.Array]:
-    """For each open trigger its strings: how far before the trigger they begin, and their classes in the dictionary and in the parse."""
-    rows = []
-    stacks = (tuple(np.array([[x["depth"], x["start"]] for x in stack], np.int64).T for stack in batch[c].to_pylist()) for c in ("phrase_stack", "parse_stack"))
-    for place, (depths, starts), (rest_depths, rest_starts) in zip(batch["place"].to_pylist(), *stacks, strict=True):
-        t, low, high = _unpacked(np.array([place]))[0].tolist()
-        far = np.arange(t - high, t - low + 1)
-        phrase = starts[np.searchsorted(depths, far) - 1]
-        parse = rest_starts[np.searchsorted(rest_depths, LENGTH - far) - 1]
-        rows.append([{"far": f, "phrase": p, "parse": q} for f, p, q in zip(far.tolist(), phrase.tolist(), parse.tolist(), strict=True)])
-    return [pa.array(rows, pa.list_(pa.struct([("far", pa.int64()), ("phrase", pa.int64()), ("parse", pa.int64())])))]
+def _pieces(batch: pa.RecordBatch) -> list[pa.Array]:
+    """For each open trigger its strings, in runs of one class in the dictionary and one in the parse: from `first` to `last` bytes before the trigger."""
+    columns: list[list] = [[], [], [], []]
+    offsets = [0]
+    stacks = []
+    for c in ("phrase_stack", "parse_stack"):
+        held = batch[c]
+        flat, ends = held.values, held.offsets.to_numpy()
+        stacks.append((flat.field("depth").to_numpy(), flat.field("start").to_numpy(), ends))
+    (depth, start, at), (rest_depth, rest_start, rest_at) = stacks
+    for i, (t, low, high) in enumerate(_unpacked(batch["place"].to_numpy()).tolist()):
+        d, s = depth[at[i] : at[i + 1]], start[at[i] : at[i + 1]]
+        r, q = rest_depth[rest_at[i] : rest_at[i + 1]], rest_start[rest_at[i] : rest_at[i + 1]]
+        near, far = t - high, t - low
+        cuts = np.concatenate([d + 1, LENGTH - r])
+        first = np.unique(np.append(cuts[(cuts > near) & (cuts <= far)], near))
+        columns[0].append(s[np.searchsorted(d, first) - 1])
+        columns[1].append(q[np.searchsorted(r, LENGTH - first) - 1])
+        columns[2].append(first)
+        columns[3].append(np.append(first[1:] - 1, far))
+        offsets.append(offsets[-1] + len(first))
+    names = ("phrase", "parse", "first", "last")
+    rows = pa.StructArray.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in columns], names=[*names])
+    return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)]
 
 
 def uid():
@@ -261,12 +275,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         for part in ("phrase", "parse"):
             order = keep(classes(keep(contexts.select(F.col(part).alias("s")).distinct(), f"{part}-strings"), keep), f"{part}-order")
             contexts = keep(spread_join(contexts, order.toDF(part, f"{part}_stack"), part, ["uid", "place"], n).drop(part), f"{part}-classes")
-        spread = contexts.repartition(size_bins(n, 5_000, 1), "uid", "place")  # a row becomes up to WIDTH
-        strings = with_computed(spread, _strings, "x array<struct<far:bigint,phrase:bigint,parse:bigint>>", drop=["phrase_stack", "parse_stack"])
-        strings = keep(strings.select("uid", "place", F.explode("x").alias("string")), "strings")
-        twice = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-        found = spread_join(strings, twice, "string", ["uid", "place"], strings.count())
-        counted = found.select("uid", (F.shiftright("place", 16) - F.col("string.far")).alias("span_start")).withColumn("span_end", F.col("span_start") + LENGTH)
+        spread = contexts.repartition(size_bins(n, 5_000, 1), "uid", "place")
+        pieces = with_computed(spread, _pieces, "x array<struct<phrase:bigint,parse:bigint,first:bigint,last:bigint>>", drop=["phrase_stack", "parse_stack"])
+        pieces = pieces.select("uid", "place", F.inline("x")).withColumn("classes", F.struct("phrase", "parse")).drop("phrase", "parse")
+        pieces = keep(pieces, "pieces")
+        # where two runs of the same classes overlap, both have the same strings; a pair of classes has WIDTH + 1 ends at most
+        ends = pieces.select("classes", F.inline(F.array(F.struct(F.col("first").alias("far"), F.lit(1).alias("step")), F.struct((F.col("last") + 1).alias("far"), F.lit(-1).alias("step")))))
+        ends = ends.groupBy("classes", "far").agg(F.sum("step").alias("step"))
+        along = Window.partitionBy("classes").orderBy("far")
+        runs = ends.select("classes", "far", F.sum("step").over(along).alias("n"), F.lead("far").over(along).alias("next")).where("n > 1")
+        twice = runs.groupBy("classes").agg(F.collect_list(F.struct("far", "next")).alias("twice"))
+        met = spread_join(pieces, twice, "classes", ["uid", "place"], pieces.count())
+        both = met.select("uid", "place", "first", "last", F.inline("twice")).withColumns({"first": F.greatest("first", "far"), "last": F.least("last", F.col("next") - 1)}).where("first <= last")
+        t = F.shiftright("place", 16)
+        counted = both.select("uid", (t - F.col("last")).alias("span_start"), (t - F.col("first") + LENGTH).alias("span_end"))
         spans = sure.union(counted)
         return kept(spans.groupBy("uid").agg(F.collect_list(F.struct(F.col("span_start").alias("s"), F.col("span_end").alias("e"))).alias("spans")), "spans")
 
