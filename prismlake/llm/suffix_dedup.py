@@ -213,7 +213,7 @@ def classes(strings: DataFrame, keep=kept) -> DataFrame:
     n = strings.count()
     ranged = keep(strings.repartitionByRange(size_bins(n, RANGE, 1), "s").withColumn("_range", F.spark_partition_id()), "ranges")
     ends = ranged.groupBy("_range").applyInArrow(_ends, f"_range int, first binary, last binary, stack {_STACK_SQL}")
-    carried = keep(ends.coalesce(1).sortWithinPartitions("_range").mapInArrow(_carried, f"_range int, before {_STACK_SQL}, depth bigint"), "carried")
+    carried = keep(ends.repartition(1).sortWithinPartitions("_range").mapInArrow(_carried, f"_range int, before {_STACK_SQL}, depth bigint"), "carried")
     return ranged.join(carried, "_range").groupBy("_range").applyInArrow(_classes, f"s binary, stack {_STACK_SQL}")
 
 
