@@ -18,6 +18,7 @@ _QUERIES = [
     ("op8_secret_scan", "secrets", "OP8_SQL"),
     ("op9_pack", "packing", None),
     ("op10_media_columns", "media", None),
+    ("op11_vector_codes", "vector_codes", "OP11_SQL"),
     ("op13_filter_audit", "filter_audit", "OP13_SQL"),
 ]
 
