@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismlake.storage import Kept
+from prismlake.storage import Kept, small
 
 #: Stands for null where a key is needed.
 NO_KEY = "~"
@@ -15,6 +15,8 @@ NO_KEY = "~"
 SHARE, LEAST = 2_000, 500
 #: Copies that one task makes of a row.
 COPIES = 10_000
+#: Ranges whose sums are ordered in one task, and ranges whose starts are sent to all executors at most.
+BLOCK, STARTS = 1_000, 1_000_000
 
 
 def key_of(column: str | Column) -> Column:
@@ -68,8 +70,8 @@ def numbered(df: DataFrame, column: str, out: str, rows: int) -> DataFrame:
 def in_order(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], rows: int) -> DataFrame:
     """Adds for each entry of `sums` the sum of its value over all rows before, in an order of any columns; rows: about how many there are.
 
-    Rows are dealt by ranges of the order and written, so that each keeps its place; then only sums of ranges are ordered in one
-    place. Rows of a single range are ordered as they are. Ties may stand in any order.
+    Rows are dealt by ranges of the order and written, so that each keeps its place; then only sums of ranges are ordered, see
+    range_starts(). Rows of a single range are ordered as they are. Ties may stand in any order.
     """
     ranges = size_bins(rows, least=1)
     if ranges == 1:
@@ -77,15 +79,37 @@ def in_order(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], ro
         return df.withColumns({c: F.coalesce(F.sum(v).over(all_before), F.lit(0)) for c, v in sums.items()})
     values = {f"_value_{c}": v for c, v in sums.items()}
     dealt = Kept(df.withColumns(values).repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges").df
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    by_range = dealt.groupBy("_range").agg(*(F.sum(f"_value_{c}").alias(f"_sum_{c}") for c in sums))
-    starts = by_range.select("_range", *(F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_start_{c}") for c in sums))
+    starts = range_starts(dealt.groupBy("_range").agg(*(F.sum(f"_value_{c}").alias(c) for c in sums)), list(sums))
     own = dealt.withColumns({f"_inside_{c}": F.coalesce(F.sum(f"_value_{c}").over(inside), F.lit(0)) for c in sums})
-    joined = own.join(F.broadcast(starts), "_range")  # a row for each range
+    joined = own.join(small(starts, STARTS), "_range")
     return joined.withColumns({c: F.col(f"_start_{c}") + F.col(f"_inside_{c}") for c in sums}).select(*df.columns, *sums)
 
 
+def range_starts(by_range: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(_range, _start_<column>…), kept: for each of the ranges of by_range (_range: from 0, and the columns) the sums over all ranges before.
+
+    In two levels: a task adds up BLOCK ranges, and only the sums of blocks are ordered in one place.
+    """
+    sums = Kept(by_range.withColumn("_block", F.floor(F.col("_range") / BLOCK)), "range-sums").df
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sums.groupBy("_block").agg(*(F.sum(c).alias(f"_sum_{c}") for c in columns))
+    blocks = blocks.select("_block", *(F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in columns))
+    inside = Window.partitionBy("_block").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    found = sums.join(blocks, "_block").select("_range", *((F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_before_{c}")).alias(f"_start_{c}") for c in columns))
+    return Kept(found, "range-starts").df
+
+
+def placed(df: DataFrame, out: str) -> DataFrame:
+    """df, whose partitions and rows stand in order, with `out`: 1, 2, 3 … in that order; kept."""
+    at = fresh(df, "_at")[0]
+    rows = Kept(df.withColumn(at, F.monotonically_increasing_id()), "placed").df  # the partition's number in the upper bits, the row's in the lower 33
+    rows = rows.withColumn("_range", F.shiftrightunsigned(at, 33))
+    starts = range_starts(rows.groupBy("_range").agg(F.count("*").alias("n")), ["n"])
+    joined = rows.join(small(starts, STARTS), "_range")
+    return Kept(joined.withColumn(out, F.col("_start_n") + F.col(at).bitwiseAND((1 << 33) - 1) + 1).drop(at, "_range", "_start_n"), "in-order").df
+
+
 def spread_join(many: DataFrame, one: DataFrame, key: str, by: Sequence[str], rows: int, how: str = "inner") -> DataFrame:
     """many joined with `one`, which has one row for a key, on `key`; how: inner, left or left_semi. rows: about how many `many` has.
 

@@ -135,3 +135,13 @@ def test_sums_within_keys(spark, monkeypatch, rows):
     for k, i, v in reversed(data):
         assert found[i] == held[k]
         held[k] += v
+
+
+def test_starts_of_ranges_in_two_levels(spark, monkeypatch):
+    """Also where starts are too many to be sent."""
+    monkeypatch.setattr(ordering, "BLOCK", 3)
+    monkeypatch.setattr(ordering, "STARTS", 0)
+    df = spark.createDataFrame([(i * 37 % 500, i) for i in range(500)], "s long, v long")
+    dealt = df.repartitionByRange(11, "s").sortWithinPartitions("s")
+    assert all(r.s + 1 == r.n for r in ordering.placed(dealt, "n").collect())
+    assert {r.s: r.held for r in in_order(df, [F.col("s")], {"held": F.lit(2)}, 250_000).collect()} == {i: 2 * i for i in range(500)}
