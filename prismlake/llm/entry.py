@@ -19,6 +19,7 @@ _QUERIES = [
     ("op9_pack", "packing", None),
     ("op10_media_columns", "media", None),
     ("op11_vector_codes", "vector_codes", "OP11_SQL"),
+    ("op12_warc_index", "warc", "OP12_SQL"),
     ("op13_filter_audit", "filter_audit", "OP13_SQL"),
 ]
 

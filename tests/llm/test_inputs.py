@@ -77,6 +77,8 @@ def test_queries_and_stages_take_empty_tables_and_other_columns(spark, tmp_path)
 
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     for name, run in entry.queries().items():
         assert run(spark, str(tmp_path)).count() == 0, name
     docs = with_names(spark.createDataFrame(rows(), SCHEMA))
