@@ -57,6 +57,11 @@ SQL = {
         SELECT vec_id // 5 AS ord, list({_sign_sql(1, 16)} ORDER BY vec_id) AS frames, max(CASE WHEN vec_id % 5 = 2 AND vec_id % 15 <> 2 THEN {_sign_sql(1, 16)} END) AS thumb,
             CASE WHEN min(vec_id) % 4 = 0 THEN 0::DOUBLE ELSE (min(vec_id) % 60 + 1)::DOUBLE END AS duration
         FROM embeddings GROUP BY vec_id // 5""",
+    "clips": f"""
+        SELECT vec_id // 5 * 3 + c AS ord, list(xor(({_sign_sql(33)} % 2147483648) * 4294967296 + {_sign_sql(1)}, c * (vec_id * 7919 % 4096)) ORDER BY vec_id) AS frames,
+            max(CASE WHEN vec_id % 5 = 2 AND (vec_id + c) % 4 <> 0 THEN xor(({_sign_sql(33)} % 2147483648) * 4294967296 + {_sign_sql(1)}, c * 21) END) AS thumb,
+            CASE WHEN min(vec_id) % 4 = 0 THEN 0::DOUBLE ELSE (min(vec_id) % 60 + 1 + c)::DOUBLE END AS duration
+        FROM embeddings, range(3) t(c) GROUP BY vec_id // 5, c""",
     "person_asset": "SELECT DISTINCT l_suppkey AS person_id, l_orderkey AS asset_id FROM lineitem",
     "people": "SELECT s_suppkey AS person_id, CASE WHEN s_suppkey % 10 = 9 THEN '' ELSE s_name END AS name, s_suppkey % 3 = 0 AS is_favorite, s_suppkey % 8 = 0 AS hidden FROM supplier",
     "faces": """
@@ -92,6 +97,17 @@ def video(spark: SparkSession, d: str) -> DataFrame:
     return grouped.select("ord", "frames", "thumb", F.when(F.col("lo") % 4 == 0, F.lit(0.0)).otherwise((F.col("lo") % 60 + 1).cast("double")).alias("duration"))
 
 
+def clips(spark, d):
+    """Three cuts of each video, whose frames differ in some of 63 bits."""
+    v, c = F.col("vec_id"), F.col("c")
+    bits = sign_bits("embedding", 33) % (1 << 31) * (1 << 32) + sign_bits("embedding", 1)
+    rows = table(spark, d, "embeddings").select("vec_id", bits.alias("bits")).withColumn("c", F.explode(F.array(*(F.lit(i).cast("long") for i in range(3)))))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(v, F.col("bits").bitwiseXOR(c * (v * 7919 % 4096)).alias("h")))), lambda x: x["h"])
+    thumb = F.max(F.when((v % 5 == 2) & ((v + c) % 4 != 0), F.col("bits").bitwiseXOR(c * 21)))
+    grouped = rows.groupBy(F.floor(v / 5).cast("long").alias("g"), "c").agg(ordered.alias("frames"), thumb.alias("thumb"), F.min(v).alias("lo"))
+    return grouped.select((F.col("g") * 3 + c).alias("ord"), "frames", "thumb", F.when(F.col("lo") % 4 == 0, F.lit(0.0)).otherwise((F.col("lo") % 60 + 1 + c).cast("double")).alias("duration"))
+
+
 def person_asset(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("person_id"), F.col("l_orderkey").alias("asset_id")).distinct()
 

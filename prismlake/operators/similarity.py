@@ -5,87 +5,80 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismlake import fixtures
 from prismlake.config import GroupingConfig
 from prismlake.fixtures import with_views
-from prismlake.functions.media import hamming, video_distance
+from prismlake.functions.media import video_distance
+from prismlake.operators.near_bits import layout, near
 from prismlake.ordering import key_of, numbered, per_key, spread_join
 from prismlake.registry import query
 from prismlake.shipping import ship
-from prismlake.storage import Kept, kept, small
+from prismlake.storage import Kept, kept
 
 #: With the fixtures' hashes the nearest pairs differ in 14 bits, so queries use a wide threshold and window.
 WIDE = GroupingConfig(threshold=20, window_s=10 * 86_400, min_size=3)
-#: Thresholds up to which equal bands of bits are looked for, undated rows that are sent to all executors, and edges that one task walks.
-BANDED, UNDATED, WALKED = 8, 200_000, 500_000
+#: Edges that one task walks.
+WALKED = 500_000
 MICROS = 1_000_000
-
-
-def _within(a: str, b: str, window_s: int) -> Column:
-    """True if a window is off or a time is missing."""
-    x, y = F.col(f"{a}.taken_us"), F.col(f"{b}.taken_us")
-    return F.lit(True) if not window_s else F.coalesce(F.abs(x - y) <= window_s * MICROS, F.lit(True))
-
-
-def _bands(threshold: int, hash_: Column) -> list[Column]:
-    """threshold + 1 parts of 64 bits, of which one is equal in hashes that differ in no more bits."""
-    n = threshold + 1
-    edges = [round(64 * i / n) for i in range(n + 1)]
-    return [F.concat_ws(":", F.lit(i), F.shiftrightunsigned(hash_, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1))) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
+#: What rounding may add to a sum of parts of a distance.
+SLACK = 1e-9
 
 
 def similar_pairs(media: DataFrame, config: GroupingConfig, key: str | None = None) -> DataFrame:
     """(i, j, bits[, key]) for i < j that differ in no more bits than the threshold and, if both are dated, are within the window.
 
-    Small thresholds join on equal bands of bits. Larger ones join dated rows on buckets of time; undated rows, which are
-    near all others in time, are compared with all: up to UNDATED rows and storage.SENT bytes of them are sent to all, and
-    more make as many comparisons as the semantics ask for. Within a key, only rows of equal key are compared.
+    Pairs come from an index of bands, see near_bits: with a window, of dated rows in the same or a neighbouring bucket of time,
+    and of undated rows with all, as they are near all in time. Within a key, only rows of equal key are compared.
     """
     keys = [key] if key else []
-    own = media.select("ord", "hash_hi", "hash_lo", "taken_us", *keys)
-    bits = hamming([F.col("a.hash_hi"), F.col("a.hash_lo")], [F.col("b.hash_hi"), F.col("b.hash_lo")])
-    same_key = F.col(f"a.{key}") == F.col(f"b.{key}") if key else F.lit(True)
-    near = (bits <= config.threshold) & _within("a", "b", config.window_s) & same_key
-    out = [F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), bits.alias("bits"), *(F.col(f"a.{k}").alias(k) for k in keys)]
-    before = F.col("a.ord") < F.col("b.ord")
-    if config.threshold <= BANDED:
-        banded = own.withColumn("band", F.explode(F.array(*_bands(config.threshold, F.shiftleft("hash_hi", 32).bitwiseOR(F.col("hash_lo"))))))
-        return banded.alias("a").join(banded.alias("b"), (F.col("a.band") == F.col("b.band")) & before & near).select(*out).distinct()
+    own = kept(media.select("ord", F.shiftleft("hash_hi", 32).bitwiseOR(F.col("hash_lo")).alias("bits"), "taken_us", *keys), "hashes")
+    n, undated = own.agg(F.count("*"), F.count_if(F.col("taken_us").isNull())).first()
+    i, j = F.col("a.ord"), F.col("b.ord")
+    out = lambda met: met.select(
+        F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))).cast("long").alias("bits"), *(F.col(f"a.{k}").alias(k) for k in keys)
+    )
     if not config.window_s:
-        return own.alias("a").join(own.alias("b"), before & near).select(*out)
-    dated, undated = own.where("taken_us IS NOT NULL").withColumn("bucket", F.floor(F.col("taken_us") / (config.window_s * MICROS))), own.where("taken_us IS NULL")
-    around = dated.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
-    timed = dated.alias("a").join(around.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & before & near).select(*out)
-    few = small(kept(undated, "undated"), UNDATED)
-    first = few.alias("a").join(own.alias("b"), before & near).select(*out)
-    second = few.alias("b").join(dated.alias("a"), before & near).select(*out)
-    return timed.union(first).union(second)
+        return out(near(own, own, config.threshold, layout(config.threshold, n, n), keys).where(i < j))
+    bucket = F.floor(F.col("taken_us") / (config.window_s * MICROS))
+    dated, around = own.where("taken_us IS NOT NULL").withColumn("bucket", bucket), F.explode(F.array(bucket - 1, bucket, bucket + 1))
+    beside = own.where("taken_us IS NOT NULL").withColumn("bucket", around)
+    held = lambda df: df.groupBy("bucket", *keys).agg(F.count("*").alias("n"))
+    pairs = held(dated).alias("x").join(held(beside).alias("y"), ["bucket", *keys]).agg(F.coalesce(F.sum(F.col("x.n") * F.col("y.n")), F.lit(0))).first()[0]
+    timely = F.abs(F.col("a.taken_us") - F.col("b.taken_us")) <= config.window_s * MICROS
+    found = out(near(dated, beside, config.threshold, layout(config.threshold, n - undated, 3 * (n - undated), pairs), ["bucket", *keys]).where((i < j) & timely))
+    if not undated:
+        return found
+    # undated rows with dated ones in either order, and with each other once
+    once = (i != j) & (F.col("b.taken_us").isNotNull() | (i < j))
+    return found.union(out(near(own.where("taken_us IS NULL"), own, config.threshold, layout(config.threshold, undated, n), keys).where(once)))
 
 
 def similar_videos(video: DataFrame, threshold: float) -> DataFrame:
     """(i, j, distance) for i < j within the threshold from i to j.
 
-    Frames weigh 0.6, so in a pair within the threshold some frame of i is within threshold / 0.6 bits of one of j. Where
-    that is BANDED or less, only videos with frames that have an equal band of bits are compared; no pair is lost, as that many
-    bits can't touch all bands. Wider thresholds bound nothing, and compare each video with each; those are for libraries
-    of videos, not of frames. Videos without frames are 64 from all.
+    Frames weigh 0.6 and thumbnails 0.3; where one is missing, the mean of frames stands for it. In a pair within the threshold some
+    frame of i is as near one of j as the mean or nearer, so this frame and the thumbnails are within the threshold together. Such
+    frames are found by an index of bands, and what meets is compared as a whole. Videos without frames are 64 from all.
     """
     side = lambda s: {c: F.col(f"{s}.{c}") for c in ("frames", "thumb", "duration")}
     distance = video_distance(side("a"), side("b"))
-    thumbs = F.bit_count(F.col("a.thumb").bitwiseXOR(F.col("b.thumb"))) * 0.3
-    possible = F.coalesce(thumbs <= threshold, F.lit(True))
-    rows = video.where(F.size("frames") > 0) if threshold < 64 else video
-    reach = int(threshold / 0.6)
-    if reach <= BANDED:
-        keyed = rows.select("ord", F.explode("frames").alias("frame")).select("ord", F.explode(F.array(*_bands(reach, F.col("frame")))).alias("band")).distinct()
-        met = keyed.alias("x").join(keyed.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.ord") < F.col("y.ord"))).select(F.col("x.ord").alias("i"), F.col("y.ord").alias("j")).distinct()
-        pairs = met.join(rows.alias("a"), F.col("i") == F.col("a.ord")).join(rows.alias("b"), F.col("j") == F.col("b.ord")).where(possible)
-    else:
-        pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.ord") < F.col("b.ord")) & possible)
-    return pairs.select(F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), distance.alias("distance")).where(F.col("distance") <= threshold)
+    if threshold >= 64:  # all pairs
+        alike = video.withColumn("bits", F.lit(0).cast("long"))
+        n = video.count()
+        met = near(alike, alike, 0, layout(0, n, n)).where("a.ord < b.ord")
+        return met.select(F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), distance.alias("distance"))
+    rows = kept(video.where(F.size("frames") > 0).select("ord", "frames", "thumb", "duration"), "videos")
+    frames = kept(rows.select("ord", "thumb", F.explode(F.array_distinct("frames")).alias("bits")), "frames")
+    n, reach = frames.count(), int(threshold / 0.6 + SLACK)
+    bits = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
+    bound = bits * 0.6 + F.coalesce(F.bit_count(F.col("a.thumb").bitwiseXOR(F.col("b.thumb"))), bits) * 0.3
+    met = near(frames, frames, reach, layout(reach, n, n)).where((F.col("a.ord") < F.col("b.ord")) & (bound <= threshold + SLACK))
+    met = met.select(F.col("a.ord").alias("i"), F.col("b.ord").alias("j")).distinct()
+    pairs = met.join(rows.alias("a"), F.col("i") == F.col("a.ord")).join(rows.alias("b"), F.col("j") == F.col("b.ord"))
+    return pairs.select("i", "j", distance.alias("distance")).where(F.col("distance") <= threshold)
 
 
 def leaders(edges: DataFrame) -> DataFrame:
@@ -207,11 +200,27 @@ def similar_pairs_query(spark, d):
     return similar_pairs(fixtures.media(spark, d), WIDE)
 
 
+#: Without a window all pairs are near in time, dated or not.
+ANY_TIME = GroupingConfig(threshold=20, window_s=0, min_size=3)
+
+
+@query("similar_pairs_any_time", with_views("media") + """SELECT * FROM (
+    SELECT a.ord AS i, b.ord AS j, bit_count(xor(a.hash_hi, b.hash_hi))::BIGINT + bit_count(xor(a.hash_lo, b.hash_lo))::BIGINT AS bits FROM media a JOIN media b ON a.ord < b.ord) WHERE bits <= 20""")
+def similar_pairs_any_time(spark, d):
+    return similar_pairs(fixtures.media(spark, d), ANY_TIME)
+
+
 @query("similar_videos", with_views("video") + f", {VIDEO_PAIRS} SELECT i, j, round(distance, 6) AS distance FROM vpairs")
 def similar_videos_query(spark, d):
     return similar_videos(fixtures.video(spark, d), 4.2).withColumn("distance", F.round("distance", 6))
 
 
+@query("similar_clips", with_views("clips") + f", {VIDEO_PAIRS.replace('FROM video a JOIN video b', 'FROM clips a JOIN clips b').replace('<= 4.2', '<= 10.0::DOUBLE')} SELECT i, j, round(distance, 6) AS distance FROM vpairs")
+def similar_clips(spark, d):
+    """At the default distance of videos, over frames of 63 bits."""
+    return similar_videos(fixtures.clips(spark, d), GroupingConfig().video_threshold).withColumn("distance", F.round("distance", 6))
+
+
 def groups_of_media(spark, d) -> DataFrame:
     return near_groups(fixtures.media(spark, d), WIDE)
 
