@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = [
-    "prismlake.operators.similarity", "prismlake.operators.grouping", "prismlake.operators.strategies", "prismlake.operators.ranking", "prismlake.operators.people", "prismlake.operators.matching",
+    "prismlake.operators.similarity", "prismlake.operators.vector_index", "prismlake.operators.grouping", "prismlake.operators.strategies", "prismlake.operators.ranking", "prismlake.operators.people", "prismlake.operators.matching",
     "prismlake.operators.batches", "prismlake.operators.frames", "prismlake.operators.sync", "prismlake.operators.report", "prismlake.functions.scalars", "prismlake.functions.requests",
     "prismlake.sources.catalogue", "prismlake.sources.server", "prismlake.sources.library", "prismlake.sources.local", "prismlake.plans.actions", "prismlake.streaming.polling",
 ]
