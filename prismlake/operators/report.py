@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prismlake import fixtures
+from prismlake import fixtures, versions
 from prismlake.fixtures import with_views
 from prismlake.operators.ranking import REPORT, report_rows
 from prismlake.operators.similarity import ALL_GROUPS, groups_of_media
@@ -72,9 +72,12 @@ def report_groups(members: DataFrame) -> DataFrame:
     return members.groupBy("group_index").agg(F.count("*").alias("photo_count"), best, F.array_sort(F.collect_list(photo)).alias("photos"))
 
 
-def write_report(groups: DataFrame, path: str, settings: dict[str, str]) -> None:
-    """One JSON document for each group, with the run's settings; written once, for all groups."""
-    groups.withColumn("settings", F.create_map(*(F.lit(x) for pair in settings.items() for x in pair))).write.mode("overwrite").json(path)
+def write_report(groups: DataFrame, path: str, settings: dict[str, str]) -> int:
+    """One JSON document for each group, with the run's settings, as the next version of the report at path; its number.
+
+    A report may be written again after every group: readers see the version before until the new one is whole.
+    """
+    return versions.replace(groups.withColumn("settings", F.create_map(*(F.lit(x) for pair in settings.items() for x in pair))), path)
 
 
 #: A report's group as JSON.
@@ -85,15 +88,29 @@ GROUP = (
 
 
 def save_report(groups: DataFrame, folder: str, name: str, settings: dict[str, str], generated_at: str) -> None:
-    """Groups (group_index, photo_count, photos) as JSON lines in folder/report_<name>, each with the run's settings and time."""
-    stamped = groups.withColumn("generated_at", F.lit(generated_at))
-    write_report(stamped, f"{folder}/report_{name}", settings)
+    """Groups (group_index, photo_count, photos) as JSON lines in folder/report_<name>, each with the run's settings and time; then the folder's latest report is this one."""
+    spark = groups.sparkSession
+    write_report(groups.withColumn("generated_at", F.lit(generated_at)), f"{folder}/report_{name}", settings)
+    versions.commit(spark, folder, (versions.current(spark, folder) or {"number": 0})["number"] + 1, report=f"report_{name}")
 
 
-def read_reports(spark: SparkSession, folder: str) -> DataFrame:
-    """(report, and a group's fields) of all reports of a folder; lines that aren't JSON have only `broken`."""
+def _read_reports(spark: SparkSession, paths: list[str]) -> DataFrame:
     read = spark.read.schema(f"{GROUP}, broken string").option("columnNameOfCorruptRecord", "broken").option("recursiveFileLookup", True)
-    return read.json(folder).withColumn("report", F.regexp_extract(F.input_file_name(), r"/(report_[^/]*)/", 1))
+    found = read.json(paths) if paths else spark.createDataFrame([], f"{GROUP}, broken string")
+    return found.withColumn("report", F.regexp_extract(F.input_file_name(), r"/(report_[^/]*)/", 1))
+
+
+def read_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """(report, and a group's fields) of the last versions of all reports of a folder; lines that aren't JSON have only `broken`."""
+    paths = versions.listed(spark, f"{folder}/report_*")
+    return _read_reports(spark, [versions.folder(spark, p) or p for p in paths])
+
+
+def latest_report(spark: SparkSession, folder: str) -> DataFrame:
+    """read_reports of the report that was saved last."""
+    found = versions.current(spark, folder)
+    path = f"{folder}/{found['report']}" if found else None
+    return _read_reports(spark, [versions.folder(spark, path) or path] if path else [])
 
 
 def list_reports(reports: DataFrame, wanted: tuple[str, ...] = ("source_type", "threshold", "limit")) -> DataFrame:
@@ -218,7 +235,7 @@ def meta_columns(spark, d):
 _REPORTS = """x AS (SELECT *, 'report_2024010' || (group_index % 3 + 1) AS report, CASE WHEN ordinal % 3 = 1 THEN '/a/' || filename WHEN ordinal % 3 = 0 THEN '' END AS filepath, CASE WHEN ordinal % 2 = 0 THEN '/b/' || filename END AS local_path FROM report)"""
 
 
-def _reports(spark, d) -> DataFrame:
+def _saved(spark, d) -> str:
     folder = new_path(spark, "reports")
     k = F.col("ordinal")
     path, other = F.when(k % 3 == 1, F.concat(F.lit("/a/"), "filename")).when(k % 3 == 0, ""), F.when(k % 2 == 0, F.concat(F.lit("/b/"), "filename"))
@@ -226,7 +243,17 @@ def _reports(spark, d) -> DataFrame:
     groups = rows.groupBy("group_index").agg(F.count("*").alias("photo_count"), F.array_sort(F.collect_list("photo")).alias("photos"))
     for i in range(3):
         save_report(groups.where(F.col("group_index") % 3 == i), folder, f"2024010{i + 1}", {"source_type": "server", "threshold": str(5 + i)}, f"2024-01-0{i + 1}T00:00:00")
-    return read_reports(spark, folder)
+    return folder
+
+
+def _reports(spark, d) -> DataFrame:
+    return read_reports(spark, _saved(spark, d))
+
+
+@query("report_latest", with_views("media") + f", {REPORT} SELECT 'report_20240103' AS report, group_index, count(*) AS photo_count FROM report WHERE group_index % 3 = 2 GROUP BY group_index")
+def report_latest(spark, d):
+    """The groups of the report that was saved last."""
+    return latest_report(spark, _saved(spark, d)).select("report", "group_index", "photo_count")
 
 
 @query("report_list", with_views("media") + f""", {REPORT}, {_REPORTS} SELECT report, '2024-01-0' || right(report, 1) || 'T00:00:00' AS generated_at, count(DISTINCT group_index) AS total_groups, count(*) AS total_photos,

@@ -1,7 +1,7 @@
 """What a source of assets offers, whatever store it is; each kind of source by name.
 
 A source gives tables; what a run does to it is planned in prismlake.plans as tables of intended actions, which a source
-that can write takes. What a source can't do gives an empty table, so that callers need not ask.
+with a store takes. What a source can't do gives an empty table, so that callers need not ask.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismlake.sources import library, local, server
+from prismlake.sources import library, local, server, sink
 
 PEOPLE, FACES, MEMBERS = "person_id string, name string", "photo_id string, top int, right int, bottom int, left int", "person_id string, photo_id string"
 
@@ -21,6 +21,8 @@ class Source(ABC):
     """list_photos gives at least photo_id, filename and filepath; photo_data (photo_id, content); metadata (photo_id, metadata)."""
 
     spark: SparkSession
+    #: Where actions are logged, for sources that take any.
+    store: str | None = None
 
     @abstractmethod
     def list_photos(self, kind: str = "image", limit: int | None = None) -> DataFrame: ...
@@ -31,9 +33,19 @@ class Source(ABC):
     @abstractmethod
     def metadata(self, ids: DataFrame) -> DataFrame: ...
 
-    def apply(self, plan: DataFrame) -> DataFrame:
-        """The part of a plan of actions that this source can't take; all of it, where nothing can be written."""
-        return plan
+    def apply(self, actions: DataFrame, run: str) -> DataFrame:
+        """Applies a run's actions (step, action, value, target) to the source's store, see sink.apply(); those that failed, with `error`: all of them, where there is no store."""
+        if self.store is None:
+            return actions.withColumn("error", F.lit("this source takes no actions"))
+        return sink.apply(actions, self.store, run, self.ids().withColumnRenamed("photo_id", "asset_id"))
+
+    def ids(self) -> DataFrame:
+        """(photo_id) of all assets, of any kind."""
+        return self.list_photos(kind=None).select("photo_id")
+
+    def done(self) -> DataFrame:
+        """What the source's store says of assets, see sink.state()."""
+        return sink.state(sink.log(self.spark, self.store)) if self.store else sink.state(self.spark.createDataFrame([], sink.LOG))
 
     def people(self) -> DataFrame:
         return self.spark.createDataFrame([], PEOPLE)
@@ -73,9 +85,19 @@ class ServerSource(Source):
 
     spark: SparkSession
     path: str
-
-    def list_photos(self, kind: str = "image", limit: int | None = None) -> DataFrame:
-        return server.scan(server.read_pages(self.spark, self.path), kind=kind.upper(), limit=limit)
+    store: str | None = None
+
+    def list_photos(self, kind: str | None = "image", limit: int | None = None) -> DataFrame:
+        """As the server listed them, with what has been done to them since."""
+        found = server.scan(server.read_pages(self.spark, self.path), kind=kind and kind.upper(), limit=limit)
+        if self.store is None:
+            return found
+        done = self.done().select(F.col("asset_id").alias("photo_id"), "favorite", "archived", "tags")
+        flags = {"is_favorite": F.coalesce("favorite", "is_favorite"), "is_archived": F.coalesce("archived", "is_archived"), "keywords": F.array_union(F.coalesce("keywords", F.array().cast("array<string>")), F.coalesce("tags", F.array().cast("array<string>")))}
+        return found.join(done, "photo_id", "left").withColumns(flags).select(found.columns)
+
+    def ids(self) -> DataFrame:
+        return server.items(server.read_pages(self.spark, self.path)).select(F.col("id").alias("photo_id"))
 
     def photo_data(self, ids: DataFrame) -> DataFrame:
         """Landed pages hold no bytes."""

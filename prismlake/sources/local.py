@@ -6,16 +6,18 @@ import hashlib
 import json
 from dataclasses import asdict
 
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.config import GroupingConfig
-from prismlake import fixtures
+from prismlake import fixtures, versions
+from prismlake.fixtures import with_views
 from prismlake.functions.headers import header_of
 from prismlake.functions.media import extension, media_type
 from prismlake.registry import query
 from prismlake.shipping import ship
-from prismlake.storage import exists
+from prismlake.storage import exists, new_path
 
 
 def scan(spark: SparkSession, root: str, types: list[str] | None = None, kind: str | None = None, folder: str = "", limit: int | None = None) -> DataFrame:
@@ -61,8 +63,8 @@ STATE = "version int, processed_hashes map<string,string>, completed_groups arra
 
 
 def state(spark: SparkSession, path: str) -> DataFrame:
-    """A state document with fields of older versions filled in."""
-    found = spark.read.schema(STATE).option("multiLine", True).json(path)
+    """A state document with fields of older versions filled in: the last that was committed, or what is at path where nothing was."""
+    found = spark.read.schema(STATE).option("multiLine", True).json(versions.folder(spark, path) or path)
     empty = {"version": F.lit(1), "processed_hashes": F.create_map().cast("map<string,string>"), "completed_groups": F.array().cast("array<bigint>"), "discovered": F.lit(0), "hashed": F.lit(0)}
     return found.withColumns({c: F.coalesce(c, v) for c, v in empty.items()})
 
@@ -74,8 +76,8 @@ def fingerprint(source: str, path: str, config: GroupingConfig) -> str:
 
 def resume(spark: SparkSession, path: str, wanted: str) -> DataFrame | None:
     """The state at path if a run of the fingerprint `wanted` wrote it; None if there is none, ValueError if another run's is there."""
-    if not exists(spark, path):
-        return None
+    if versions.folder(spark, path) is None and (not exists(spark, path) or versions.listed(spark, f"{path.rstrip('/')}/v*")):
+        return None  # also where the first write died
     found = state(spark, path)
     others = {r["fingerprint"] for r in found.select("fingerprint").distinct().limit(2).collect()} - {wanted}
     if others:
@@ -83,9 +85,26 @@ def resume(spark: SparkSession, path: str, wanted: str) -> DataFrame | None:
     return found
 
 
-def write_state(df: DataFrame, path: str) -> None:
-    """The document in one file; Spark's committer puts it in place when it is whole."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+def write_state(df: DataFrame, path: str) -> int:
+    """Commits the document as the next version of the state at path; until then readers see the one before, and after a crash as well."""
+    return versions.replace(df.coalesce(1), path)
+
+
+@query("state_committed", with_views("media") + "SELECT photo_id, printf('%08x%08x', hash_hi, hash_lo) AS hash, 2::BIGINT AS version FROM media")
+def state_committed(spark, d):
+    """Hashes of the library from its state: half of them were committed first, then all; a third write dies on the way, and changes nothing."""
+    word = lambda c: F.lpad(F.lower(F.hex(c)), 8, "0")
+    found = fixtures.media(spark, d).select("photo_id", F.concat(word("hash_hi"), word("hash_lo")).alias("hash"), "ord")
+    path = new_path(spark, "state")
+    saved = lambda rows: rows.select(F.col("photo_id").alias("id"), "hash")
+    for rows in (found.where("ord % 2 = 0"), found):
+        versions.replace(saved(rows), path, "parquet")
+    try:
+        versions.replace(saved(found).withColumn("hash", F.when(F.col("id") != "", F.raise_error(F.lit("dies")))), path, "parquet")
+    except SparkRuntimeException:
+        pass
+    number = versions.current(spark, path)["number"]
+    return spark.read.parquet(versions.folder(spark, path)).select(F.col("id").alias("photo_id"), "hash", F.lit(number).cast("long").alias("version"))
 
 
 @query("content_fallback", """WITH p AS (SELECT page_id, ['o' || page_id || '.jpg', CASE WHEN page_id % 4 = 0 THEN '' ELSE 'd1_' || page_id END, 'd2_' || page_id] AS c FROM pages),

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from prismlake import versions
 from prismlake.functions import media
 from prismlake.operators import batches, frames, matching, people, report, sync
 from prismlake.plans import actions
@@ -174,7 +175,7 @@ def test_fingerprints_and_documents(spark, tmp_path):
     assert local.fingerprint("local", "/a", config) != local.fingerprint("local", "/a", GroupingConfig(window_s=10)) and config.least == 3
     groups = report.report_groups(spark.createDataFrame([(1, 1, "p1", "a.jpg", 0.5), (1, 2, "p2", "b.jpg", 0.9)], "group_index long, ordinal long, photo_id string, filename string, score double"))
     report.write_report(groups, str(tmp_path / "report"), {"threshold": "5"})
-    found = spark.read.json(str(tmp_path / "report")).first()
+    found = spark.read.json(versions.folder(spark, str(tmp_path / "report"))).first()
     assert found.best_photo.photo_id == "p2" and found.photo_count == 2 and found.settings.threshold == "5"
     local.write_state(spark.createDataFrame([({"a": "ff"},)], "processed_hashes map<string,string>"), str(tmp_path / "state"))
     assert local.state(spark, str(tmp_path / "state")).first().processed_hashes == {"a": "ff"}
