@@ -110,15 +110,17 @@ def placed(df: DataFrame, out: str) -> DataFrame:
     return Kept(joined.withColumn(out, F.col("_start_n") + F.col(at).bitwiseAND((1 << 33) - 1) + 1).drop(at, "_range", "_start_n"), "in-order").df
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, by: Sequence[str], rows: int, how: str = "inner") -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, key: str, by: Sequence[str], rows: int, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """many joined with `one`, which has one row for a key, on `key`; how: inner, left or left_semi. rows: about how many `many` has.
 
     Where a key holds more than a share of the rows, its rows are dealt by a hash of the columns `by` (none: by their place in
-    the table, for rows that may be equal), and its row of `one` is copied as often. Keys above the share are fewer than SHARE, so their list is sent to all. many should be kept, as it is read twice.
+    the table, for rows that may be equal), and its row of `one` is copied as often. Keys above the share are fewer than SHARE, so their list is sent to all. many should be kept, as it is read twice, unless
+    counts (the key and `n`) are known.
     """
     salt, salts, hot = fresh(many, "_salt", "_salts", "_hot")
     limit = max(LEAST, rows // SHARE)
-    held = many.groupBy(F.col(f"`{key}`").alias(hot)).agg(F.count("*").alias(salts)).where(F.col(salts) > limit)
+    held = many.groupBy(F.col(f"`{key}`").alias(hot)).agg(F.count("*").alias(salts)) if counts is None else counts.select(F.col(f"`{key}`").alias(hot), F.col("n").alias(salts))
+    held = held.where(F.col(salts) > limit)
     held = F.broadcast(held.select(hot, F.ceil(F.col(salts) / limit).cast("int").alias(salts)))  # fewer than SHARE rows
     at = F.xxhash64(*(F.col(f"`{c}`") for c in by)) if by else F.monotonically_increasing_id()
     deal = F.coalesce(F.pmod(at, F.col(salts)), F.lit(0)).cast("int")

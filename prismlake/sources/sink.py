@@ -169,7 +169,7 @@ def apply(actions: DataFrame, path: str, run: str, known: DataFrame | None = Non
     """
     spark = ship(actions.sparkSession)
     spark.dataSource.register(source)
-    failed = []
+    actions, failed = kept(actions, "wanted-actions"), []
     if known is not None:
         ids = known.select(F.col("asset_id").cast("string").alias("target")).distinct()
         lost = kept(actions.where("target IS NOT NULL").join(ids, "target", "left_anti"), "unknown")
