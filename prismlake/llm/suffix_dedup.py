@@ -13,7 +13,9 @@ phrase at that depth and of the parse at the rest of LENGTH. A class holds for r
 runs; those of equal classes are combined, and where two overlap, their strings repeat.
 
 What can't repeat is left out by hashes before: a trigger whose next CORE bytes stand nowhere else has no repeated string. And
-triggers all of whose strings repeat together, phrase and parse being equal as a whole, are one entry with a count.
+triggers all of whose strings repeat together, phrase and parse being equal as a whole by 128 bits of hashes, are one entry with a
+count; in one text, such as one of a few bytes over and over, they are so before they leave it. Rows equal in doc_id and text are
+one text, all of which repeats.
 """
 
 from __future__ import annotations
@@ -27,45 +29,47 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismlake.llm.common import Scratch, documents, fresh, kept, size_bins, spread_join, with_computed
+from prismlake.llm.common import Scratch, documents, fresh, kept, size_bins, small, spread_join, with_computed
 
 #: Bytes of a string that is removed if it repeats, bytes that a trigger's hash is made of, and places of which one triggers.
 LENGTH, TRIGGER, WIDTH = 200, 16, 150
 #: Bytes after a trigger that all of its strings have.
 CORE = LENGTH - WIDTH + 1
-#: Entries of an order that one task holds.
-RANGE = 20_000
+#: Entries of an order that one task holds, and ranges whose ends one task sees.
+RANGE, BLOCK = 20_000, 500
+#: Keys of texts that are sent to all executors at most.
+KEYS = 1_000_000
 
-_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
+#: Odd, so that they have inverses modulo 2**64; one for each of two hashes.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
 @cache
-def _byte_values() -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(bytes([b]), 1) for b in range(256)], np.uint64)
+def _byte_values(which: int) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(bytes([b]), 1 + which) for b in range(256)], np.uint64)
 
 
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
-def _power(n: int, which: str) -> np.ndarray:
-    """Powers 0 to n of the base, or of its inverse, modulo 2**64."""
-    if which not in _powers or len(_powers[which]) <= n:
-        base = _BASE if which == "base" else pow(_BASE, -1, 1 << 64)
-        steps = np.full(max(n, 1 << 16) + 1, base, np.uint64)
+def _power(n: int, which: int, inverse: bool) -> np.ndarray:
+    """Powers 0 to n of a base, or of its inverse, modulo 2**64."""
+    if (which, inverse) not in _powers or len(_powers[which, inverse]) <= n:
+        steps = np.full(max(n, 1 << 16) + 1, pow(_BASES[which], -1, 1 << 64) if inverse else _BASES[which], np.uint64)
         steps[0] = 1
-        _powers[which] = np.cumprod(steps)
-    return _powers[which]
+        _powers[which, inverse] = np.cumprod(steps)
+    return _powers[which, inverse]
 
 
 class Hashes:
     """Hashes of any parts of a text, from sums over it."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, which: int = 0):
         n = len(raw)
-        terms = _byte_values()[np.frombuffer(raw, np.uint8)] * _power(n, "inverse")[:n]
+        terms = _byte_values(which)[np.frombuffer(raw, np.uint8)] * _power(n, which, True)[:n]
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(terms, out=self.sums[1:])
-        self.powers = _power(n, "base")
+        self.powers = _power(n, which, False)
 
     def of(self, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
         h = (self.sums[end] - self.sums[start]) * self.powers[start]
@@ -115,18 +119,44 @@ def _unpacked(place: np.ndarray) -> np.ndarray:
 
 
 def _parsed(batch: pa.RecordBatch) -> list[pa.Array]:
-    """For each text its triggers' places, and hashes of their cores and of all their strings together."""
-    out: list[list[np.ndarray]] = [[], [], []]
+    """For each text its triggers' places, hashes of their cores and two of all their strings together, and how often it has the same;
+    one of each kind alone. And the spans of those that it has several times, as maximal runs."""
+    out: list[list[np.ndarray]] = [[] for _ in range(5)]
+    inside: list[list[dict]] = []
     for text in batch["text"].to_pylist():
         raw = (text or "").encode()
-        hashes = Hashes(raw) if len(raw) >= LENGTH else None
-        rows = triggers(raw, hashes) if hashes else np.zeros((0, 3), np.int64)
-        out[0].append(_packed(rows))
+        if len(raw) < LENGTH:
+            for x in out:
+                x.append(np.zeros(0, np.int64))
+            inside.append([])
+            continue
+        hashes = Hashes(raw)
+        rows = triggers(raw, hashes)
         t, low, high = rows.T
-        out[1].append(hashes.of(t, t + CORE).view(np.int64) if len(rows) else t)
-        out[2].append((hashes.of(low, high + LENGTH) + (high - low).astype(np.uint64) * np.uint64(_BASE)).view(np.int64) if len(rows) else t)
+        width = (high - low).astype(np.uint64)
+        whole = [(h.of(low, high + LENGTH) + width * np.uint64(base)).view(np.int64) for h, base in zip((hashes, Hashes(raw, 1)), _BASES, strict=True)]
+        _, first, kind, times = np.unique(np.stack([*whole, t - low], axis=1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+        for x, found in zip(out, (_packed(rows), hashes.of(t, t + CORE).view(np.int64), *whole), strict=False):
+            x.append(found[first])
+        out[4].append(times)
+        again = times[kind.ravel()] > 1
+        inside.append([{"s": s, "e": e} for s, e in _runs(low[again], high[again] + LENGTH)])
     offsets = np.cumsum([0, *map(len, out[0])]).astype(np.int32)
-    return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x in out]
+    lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x in out]
+    return [*lists, pa.array(inside, SPANS)]
+
+
+SPANS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+
+
+def _runs(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of spans."""
+    if not len(start):
+        return []
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+    return list(zip(start[new].tolist(), end[np.append(new[1:], len(start)) - 1].tolist(), strict=True))
 
 
 def _contexts(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -175,23 +205,50 @@ def _ends(table: pa.Table) -> pa.Table:
     stack: list[tuple[int, int]] = []
     for i, depth in enumerate(common(strings).tolist()):
         pushed(stack, depth if i else -1, part << 32 | i)
-    return pa.table({"_range": pa.array([part], pa.int32()), "first": pa.array([strings[0]], pa.binary()), "last": pa.array([strings[-1]], pa.binary()), "stack": pa.array([_stack(stack[1:])], _STACK)})
+    return _end(part, strings[0], strings[-1], stack)
+
 
+def _end(part: int, first: bytes, last: bytes, stack: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"_range": pa.array([part], pa.int32()), "first": pa.array([first], pa.binary()), "last": pa.array([last], pa.binary()), "stack": pa.array([_stack(stack[1:])], _STACK)})
 
-def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each range inherits from those before: open classes, and the bytes its first string has in common with the last before it."""
+
+def _after(stack: list[tuple[int, int]], depth: int, row: dict) -> None:
+    """The stack after a range, or a block of them, whose first string has `depth` bytes in common with the last before it."""
+    pushed(stack, depth, row["_range"] << 32)
+    for x in row["stack"]:
+        pushed(stack, x["depth"], x["start"])
+
+
+def _joined(table: pa.Table) -> pa.Table:
+    """The ends of a block of ranges, as if it were one; its number is that of its first range."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["_range"])
     stack: list[tuple[int, int]] = []
     last = None
-    for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            depth = -1 if last is None else int(common([last, row["first"]])[1])
-            out.append((row["_range"], _stack(stack), depth))
-            pushed(stack, depth, row["_range"] << 32)
-            for x in row["stack"]:
-                pushed(stack, x["depth"], x["start"])
-            last = row["last"]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], _STACK), pa.array([x[2] for x in out], pa.int64())], names=["_range", "before", "depth"])
+    for row in rows:
+        _after(stack, -1 if last is None else int(common([last, row["first"]])[1]), row)
+        last = row["last"]
+    return _end(rows[0]["_range"], rows[0]["first"], rows[-1]["last"], stack)
+
+
+def _carried(rows: list[dict], stack: list[tuple[int, int]], depth: int) -> pa.Table:
+    """What each of some ranges in order inherits from those before: open classes, and the bytes its first string has in common with the last before it."""
+    out, last = [], None
+    for row in rows:
+        depth = depth if last is None else int(common([last, row["first"]])[1])
+        out.append((row["_range"], _stack(stack), depth))
+        _after(stack, depth, row)
+        last = row["last"]
+    return pa.table({"_range": pa.array([x[0] for x in out], pa.int32()), "before": pa.array([x[1] for x in out], _STACK), "depth": pa.array([x[2] for x in out], pa.int64())})
+
+
+def _over_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["_range"])
+    yield from _carried(rows, [], -1).to_batches()
+
+
+def _in_block(table: pa.Table) -> pa.Table:
+    rows = sorted(table.to_pylist(), key=lambda r: r["_range"])
+    return _carried(rows, [(x["depth"], x["start"]) for x in rows[0]["before"]], rows[0]["depth"])
 
 
 def _classes(table: pa.Table) -> pa.Table:
@@ -208,13 +265,17 @@ def _classes(table: pa.Table) -> pa.Table:
 def classes(strings: DataFrame, keep=kept) -> DataFrame:
     """(s, stack) from distinct strings (s: binary): two strings agree in n bytes if and only if their stacks' last entries of a depth under n have the same start.
 
-    Only the ends of ranges are seen in one place: two strings and LENGTH entries at most for each RANGE strings.
+    Ends of ranges are seen block by block, and those of blocks in one place: two strings and LENGTH entries at most for each
+    RANGE * BLOCK strings.
     """
     n = strings.count()
     ranged = keep(strings.repartitionByRange(size_bins(n, RANGE, 1), "s").withColumn("_range", F.spark_partition_id()), "ranges")
-    ends = ranged.groupBy("_range").applyInArrow(_ends, f"_range int, first binary, last binary, stack {_STACK_SQL}")
-    carried = keep(ends.repartition(1).sortWithinPartitions("_range").mapInArrow(_carried, f"_range int, before {_STACK_SQL}, depth bigint"), "carried")
-    return ranged.join(carried, "_range").groupBy("_range").applyInArrow(_classes, f"s binary, stack {_STACK_SQL}")
+    end, carried = f"_range int, first binary, last binary, stack {_STACK_SQL}", f"_range int, before {_STACK_SQL}, depth bigint"
+    ends = keep(ranged.groupBy("_range").applyInArrow(_ends, end).withColumn("block", F.floor(F.col("_range") / BLOCK).cast("int")), "ends")
+    blocks = ends.groupBy("block").applyInArrow(_joined, end)
+    begun = keep(blocks.repartition(1).mapInArrow(_over_blocks, carried), "blocks").select(F.floor(F.col("_range") / BLOCK).cast("int").alias("block"), "before", "depth")
+    inherited = keep(ends.join(begun, "block").groupBy("block").applyInArrow(_in_block, carried), "carried")
+    return ranged.join(inherited, "_range").groupBy("_range").applyInArrow(_classes, f"s binary, stack {_STACK_SQL}")
 
 
 def _pieces(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -243,26 +304,53 @@ def _pieces(batch: pa.RecordBatch) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)]
 
 
-def uid():
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+def uid(seed: int):
+    return F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit("")))
+
+
+def seed_of(docs: DataFrame) -> tuple[int, DataFrame]:
+    """A seed with which uid() differs for rows that differ in doc_id or text, by 64 bits more, and (uid, n) of the rows that are repeated, kept."""
+    seed = 0
+    while True:
+        other = F.xxhash64(F.lit("other"), F.lit(seed), "doc_id", F.coalesce("text", F.lit("")))
+        found = docs.select(uid(seed).alias("uid"), other.alias("other")).groupBy("uid").agg(F.count("*").alias("n"), F.min("other").alias("lo"), F.max("other").alias("hi"))
+        found = kept(found.where("n > 1"), "repeated-rows")
+        if found.where("lo <> hi").limit(1).count() == 0:
+            return seed, found.select("uid", "n")
+        seed += 1
+
 
+def once_each(docs: DataFrame, seed: int, repeated: DataFrame) -> DataFrame:
+    """(uid, text, again) of docs, a row for each uid; again: it is that of several rows. Only the texts of those are shuffled."""
+    own = docs.select(uid(seed).alias("uid"), "text")
+    few = small(repeated, KEYS)
+    mark = few.select("uid", F.lit(True).alias("again"))
+    marked = spread_join(own, mark, "uid", [], docs.count(), "left", repeated) if few is repeated else own.join(mark, "uid", "left")
+    return marked.where("again IS NULL").union(marked.where("again").dropDuplicates(["uid"]))
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(uid, spans: array<struct<s, e>>): byte spans of repeated strings, which may overlap, for texts that have any."""
+
+def repeated_spans(docs: DataFrame, seed: int, repeated: DataFrame) -> DataFrame:
+    """(uid, spans: array<struct<s, e>>): byte spans of repeated strings as maximal runs in order, for texts that have any."""
     with Scratch() as keep:
-        texts = docs.select("doc_id", "text").withColumn("uid", uid())
-        parsed = with_computed(texts.select("uid", "text"), _parsed, "place array<bigint>, core array<bigint>, whole array<bigint>", drop=["text"])
-        zipped = F.explode(F.arrays_zip("place", "core", "whole")).alias("x")
-        parse = keep(parsed.select("uid", zipped).select("uid", "x.place", "x.core", "x.whole"), "parse")
-        # written on its own, so that the join can split a core that very many triggers have
-        again = keep(parse.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores-twice")
-        cand = keep(parse.join(again, "core"), "repeated-cores")
-        shown = F.min(F.struct("uid", "place", "core")).alias("shown")
-        whole = keep(cand.groupBy("whole").agg(F.count("*").alias("n"), shown).where("n > 1").select("whole", "shown"), "whole-twice")
-        split = keep(cand.join(whole.select("whole", F.lit(True).alias("all")), "whole", "left").select("uid", "place", "core", "all"), "repeats")
+        texts = once_each(docs, seed, repeated)
+        names = ["place", "core", "whole", "check", "times"]
+        parsed = with_computed(texts.select("uid", "text"), _parsed, ", ".join([*(f"{c} array<bigint>" for c in names), "inside array<struct<s:bigint,e:bigint>>"]), drop=["text"])
+        parsed = keep(parsed, "parsed")
+        rows = parsed.agg(F.coalesce(F.sum(F.size("place")), F.lit(0))).first()[0]
+        parse = parsed.select("uid", F.explode(F.arrays_zip(*names)).alias("x")).select("uid", "x.place", "x.core", F.struct("x.whole", "x.check").alias("kind"), "x.times")
+        twice = lambda df, key, *more: df.groupBy(key).agg(F.count("*").alias("n"), F.sum("times").alias("all"), *more).where("all > 1")
+        # written on its own, so that a core that very many triggers have is known
+        again = keep(twice(parse, "core").select("core", "n"), "cores-twice")
+        cand = keep(spread_join(parse, again.select("core"), "core", ["uid", "place"], rows, "left_semi", again), "repeated-cores")
+        whole = keep(twice(cand, "kind", F.min(F.struct("uid", "place", "core")).alias("shown")).select("kind", "n", "shown"), "whole-twice")
+        split = spread_join(cand, whole.select("kind", F.lit(True).alias("all")), "kind", ["uid", "place"], cand.count(), "left", whole)
+        split = keep(split.select("uid", "place", "core", "all"), "repeats")
         t = F.shiftright("place", 16)
         low, high = t - F.shiftright("place", 8).bitwiseAND(F.lit(255)), t - F.col("place").bitwiseAND(F.lit(255))
         sure = split.where("all").select("uid", low.alias("span_start"), (high + LENGTH).alias("span_end"))
+        sure = sure.union(parsed.select("uid", F.inline("inside")))
+        length = F.octet_length("text").cast("long")
+        sure = sure.union(texts.where("again").select("uid", F.lit(0).cast("long"), length).where(length >= LENGTH))
 
         # an open trigger may have strings of one that repeats as a whole; of these one of each kind is shown as well
         alone = split.where("all IS NULL").select("uid", "place", "core")
@@ -289,42 +377,39 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         both = met.select("uid", "place", "first", "last", F.inline("twice")).withColumns({"first": F.greatest("first", "far"), "last": F.least("last", F.col("next") - 1)}).where("first <= last")
         t = F.shiftright("place", 16)
         counted = both.select("uid", (t - F.col("last")).alias("span_start"), (t - F.col("first") + LENGTH).alias("span_end"))
-        spans = sure.union(counted)
-        return kept(spans.groupBy("uid").agg(F.collect_list(F.struct(F.col("span_start").alias("s"), F.col("span_end").alias("e"))).alias("spans")), "spans")
-
-
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal runs of spans."""
-    out: list[tuple[int, int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
-        if out and s <= out[-1][1]:
-            out[-1] = out[-1][0], max(e, out[-1][1])
-        else:
-            out.append((s, e))
-    return out
+        # spans of a text as maximal runs, before they stand in one cell
+        order = Window.partitionBy("uid").orderBy("span_start", "span_end")
+        before = F.max("span_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        begins = sure.union(counted).withColumn("begins", F.when(F.coalesce(before, F.lit(-1)) < F.col("span_start"), F.col("span_start")))
+        run = F.max("begins").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        runs = begins.withColumn("s", run).groupBy("uid", "s").agg(F.max("span_end").alias("e"))
+        return kept(runs.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans")), "spans")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with removed (array of byte spans) and kept_bytes added.
 
-    A null text counts as empty. Texts under LENGTH bytes keep all. Equal texts, and repeated rows, repeat each other.
-    Texts of any length are parsed whole. An empty table gives an empty one. Columns of the names added are replaced; others
-    pass through, whatever their names.
+    A null text counts as empty. Texts under LENGTH bytes keep all. Equal texts, and repeated rows, repeat each other; rows equal in
+    doc_id and text are parsed once, however many. Texts of any length are parsed whole. An empty table gives an empty one. Columns
+    of the names added are replaced; others pass through, whatever their names.
     """
     docs = docs.drop("removed", "kept_bytes")
     key, runs_of = fresh(docs, "_uid", "_spans")
-    joined = docs.join(repeated_spans(docs).toDF(key, runs_of), uid() == F.col(key), "left").drop(key)
+    seed, repeated = seed_of(docs)
+    spans = repeated_spans(docs, seed, repeated)
+    few = small(spans, KEYS)
+    named, keyed = few.toDF(key, runs_of), docs.withColumn(key, uid(seed))
+    joined = spread_join(keyed, named, key, [], docs.count(), "left", repeated.toDF(key, "n")) if few is spans else keyed.join(named, key, "left")
 
     def cut(batch: pa.RecordBatch) -> list[pa.Array]:
-        removed, rest = [], []
-        for text, spans in zip(batch["text"].to_pylist(), batch[runs_of].to_pylist(), strict=True):
-            raw, runs = (text or "").encode(), merged(spans)
-            edges = [0, *(x for run in runs for x in run), len(raw)]
-            removed.append([{"s": s, "e": e} for s, e in runs])
+        rest = []
+        for text, runs in zip(batch["text"].to_pylist(), batch[runs_of].to_pylist(), strict=True):
+            raw = (text or "").encode()
+            edges = [0, *(x for run in runs or () for x in (run["s"], run["e"])), len(raw)]
             rest.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-        return [pa.array(removed, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array(rest, pa.binary())]
+        return [pa.array([x or [] for x in batch[runs_of].to_pylist()], SPANS), pa.array(rest, pa.binary())]
 
-    return with_computed(joined, cut, "removed array<struct<s:bigint,e:bigint>>, kept_bytes binary", drop=[runs_of])
+    return with_computed(joined.drop(key), cut, "removed array<struct<s:bigint,e:bigint>>, kept_bytes binary", drop=[runs_of])
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:

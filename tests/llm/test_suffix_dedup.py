@@ -63,8 +63,10 @@ def test_triggers_partition_the_starts_and_depend_on_content_alone():
         assert sd._unpacked(sd._packed(rows)).tolist() == rows.tolist()
 
 
-def test_classes_are_those_of_equal_beginnings(spark, monkeypatch):
+@pytest.mark.parametrize("block", [500, 4, 1])
+def test_classes_are_those_of_equal_beginnings(spark, monkeypatch, block):
     monkeypatch.setattr(sd, "RANGE", 7)
+    monkeypatch.setattr(sd, "BLOCK", block)
     rng = random.Random(6)
     strings = sorted({bytes(rng.choice(b"\0ab") for _ in range(rng.randrange(9))) for _ in range(300)})
     found = {bytes(r.s): r.stack for r in sd.classes(spark.createDataFrame([(bytearray(x),) for x in strings], "s binary")).collect()}
@@ -80,6 +82,8 @@ def test_classes_are_those_of_equal_beginnings(spark, monkeypatch):
 def test_what_is_removed_agrees_with_brute_force(spark, tmp_path, monkeypatch, seed, small):
     if small:
         monkeypatch.setattr(sd, "RANGE", 50)
+        monkeypatch.setattr(sd, "BLOCK", 3)
+        monkeypatch.setattr(sd, "KEYS", 0)
         monkeypatch.setattr(ordering, "LEAST", 5)
     texts = corpus(seed)
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
@@ -96,3 +100,45 @@ def test_repeated_rows_repeat_each_other_and_empty_tables_pass(spark):
     found = sd.remove_repeats(docs).collect()
     assert sorted(bytes(r.kept_bytes) for r in found) == [b"", b"", b"", b"short"]
     assert sd.remove_repeats(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(("keys", "least"), [(1_000_000, 500), (0, 5)])
+def test_mixed_repeats_agree_with_brute_force(spark, tmp_path, monkeypatch, keys, least):
+    """Rows equal in id and text, also of a null id, beside equal texts of other ids and texts that have parts of them."""
+    monkeypatch.setattr(sd, "KEYS", keys)
+    monkeypatch.setattr(ordering, "LEAST", least)
+    texts = corpus(2)
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(20)]), rng.choice(texts)) for _ in range(60)]
+    rows += rows[:20] + [(None, texts[20])] * 9 + [(None, None)] * 3 + [(5, "short")] * 4
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    found = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.op5_suffix_dedup(spark, str(tmp_path)).collect())
+    assert found == Counter((i, *want) for (i, _), want in zip(rows, brute([t for _, t in rows]), strict=True))
+
+
+def test_long_texts_agree_with_brute_force(spark, tmp_path):
+    """Of half a megabyte: a few bytes over and over, and text with a part of another."""
+    rng = random.Random(3)
+    letters = "".join(rng.choice("abcdefgh \n") for _ in range(400_000))
+    texts = ["abcdef" * 60_000, "x" * 300_000, letters, letters[1_000:1_500] + "y" * 250 + letters[300_000:300_199], "abcdef" * 40]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.op5_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [found[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_a_text_leaves_its_task_as_one_row_of_each_kind():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["abcdef" * 10_000, "x" * 5_000, None, "short"])], names=["text"])
+    place, _, _, _, times, inside = sd._parsed(batch)
+    assert [len(x) for x in place.to_pylist()] <= [40, 20, 0, 0] and sum(times.to_pylist()[0]) > 5_000
+    spans = inside.to_pylist()
+    assert [len(x) for x in spans] == [1, 1, 0, 0] and spans[0][0]["s"] == spans[1][0]["s"] == 0 and spans[0][0]["e"] > 59_900 and spans[1][0]["e"] > 4_900
+
+
+def test_very_many_equal_rows_are_one_text(spark):
+    """200,000 of one id, and of none: spans stay one run, and rows are joined in parts."""
+    text = "".join(random.Random(1).choice("abcdefgh ") for _ in range(400))
+    docs = spark.range(200_000).selectExpr("CASE WHEN id % 2 = 0 THEN 7 END AS doc_id", f"'{text}' AS text").union(spark.range(3).selectExpr("id + 100 AS doc_id", f"concat('other ', id, substr('{text}', 1, 150)) AS text"))
+    found = sd.remove_repeats(docs).selectExpr("doc_id", "size(removed) AS spans", "octet_length(kept_bytes) AS n").groupBy("doc_id", "spans", "n").count().collect()
+    assert {(r.doc_id, r.spans, r.n, r["count"]) for r in found} >= {(7, 1, 0, 100_000), (None, 1, 0, 100_000), (100, 0, 157, 1)}
