@@ -136,7 +136,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 
 def op2_pareto_mix(spark, sf_dir: str) -> DataFrame:
     found = mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
-    return found.select("doc_id", "source", "size", "source_size", "target", (F.col("taken_copies") * F.col("size")).alias("taken"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("taken_copies") * F.col("size")).alias("taken"), "source")
 
 
 OP2_SQL = f"""
@@ -174,7 +174,7 @@ q AS (SELECT *, CASE WHEN inc > 0 THEN (u / (1.0::DOUBLE - u)) / (inc / (1.0::DO
 p AS (SELECT *, q / (1.0::DOUBLE + q) AS p FROM q),
 s AS (SELECT source, p, open, sum(size)::BIGINT AS s FROM p WHERE p IS NOT NULL GROUP BY ALL),
 c AS (SELECT source, p, coalesce(sum(s) OVER (PARTITION BY source ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + s / 2.0::DOUBLE <= open AS yes FROM s)
-SELECT d.doc_id, d.source, d.size, t.source_size, t.target, (coalesce(p.whole, 0) + coalesce(c.yes, false)::INT)::BIGINT * d.size AS taken
+SELECT d.doc_id, d.size, t.source_size, t.target, (coalesce(p.whole, 0) + coalesce(c.yes, false)::INT)::BIGINT * d.size AS taken, d.source
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 LEFT JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.draw = p.draw
 LEFT JOIN c ON p.source IS NOT DISTINCT FROM c.source AND p.p = c.p

@@ -83,11 +83,12 @@ def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
     many = lambda which: F.size(F.filter("spans", which)).cast("long")
     return found.withColumn("spans", spans).select(
         F.col("repository").alias("doc_id"),
-        *(many(_is(k[0])).alias(f"n_{k[0]}") for k in KINDS),
-        many(lambda s: s["live"]).alias("n_live"),
-        many(lambda s: ~s["live"]).alias("n_example"),
+        *(many(_is(k)).alias(f"n_{k}") for k in ("assign", "access", "hex")),
         F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "vendor")), 256).alias("base_sha256"),
         joined("spans").alias("spans"),
+        many(_is("vendor")).alias("n_vendor"),
+        many(lambda s: s["live"]).alias("n_live"),
+        many(lambda s: ~s["live"]).alias("n_example"),
     )
 
 
@@ -114,8 +115,8 @@ per AS (
            string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, rank) AS spans
     FROM s JOIN c USING (secret) GROUP BY rid
 )
-SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(h, 0) AS n_hex, coalesce(v, 0) AS n_vendor,
-       coalesce(live, 0) AS n_live, coalesce(example, 0) AS n_example, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(v, 0) AS n_vendor, coalesce(live, 0) AS n_live, coalesce(example, 0) AS n_example
 FROM d LEFT JOIN per USING (rid)
 """
 

@@ -36,7 +36,7 @@ OPERATORS = {
     "op1": lambda docs, tmp: classifier.score(docs, model()),
     "op2": lambda docs, tmp: mixing.mix(docs),
     "op3": lambda docs, tmp: sharding.shard(docs),
-    "op4": lambda docs, tmp: quality_rules.apply_rules(docs, least=5),
+    "op4": lambda docs, tmp: quality_rules.apply_rules(docs, least=3),
     "op5": lambda docs, tmp: suffix_dedup.remove_repeats(docs),
     "op6 groups": lambda docs, tmp: simhash.groups(docs),
     "op6 one of each": lambda docs, tmp: simhash.one_of_each(docs),

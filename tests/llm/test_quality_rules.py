@@ -8,6 +8,8 @@ import pytest
 from prismlake import ordering
 from prismlake.llm import line_dedup, quality_rules
 
+from ..oracle import compare
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -38,8 +40,76 @@ def body(i):
     return " ".join(f"w{i}x{k}" for k in range(60))
 
 
+def normal(line):
+    return line.strip(" \t\r\x0b\x0c").lower()
+
+
+def often(rows, least=quality_rules.LEAST, sites=quality_rules.SITES):
+    """(source, line) and (all, line) above their limits, of rows (doc_id, text, source), by sets of distinct texts."""
+    docs, totals = {}, Counter()
+    for source, text in {(s, t or "") for _, t, s in rows}:
+        totals[source] += 1
+        for line in {normal(x) for x in text.split("\n") if 0 < len(x.encode().split()) <= quality_rules.LONG} - {""}:
+            docs[source, line] = docs.get((source, line), 0) + 1
+    every, hosts = Counter(), Counter()
+    for (_, line), n in docs.items():
+        every[line] += n
+        hosts[line] += 1
+    found = {(s, x) for (s, x), n in docs.items() if n > least and n * n > totals[s]}
+    return found, {x for x, n in every.items() if hosts[x] >= sites and n > least and n * n > sum(totals.values())}
+
+
+def removed(text, source, found):
+    """The words of a text's frequent lines."""
+    own, every = found
+    lines = [x for x in (text or "").split("\n") if len(x.encode().split()) <= quality_rules.LONG]
+    return sum(len(x.encode().split()) for x in lines if (source, normal(x)) in own or normal(x) in every)
+
+
+def planted(rng):
+    """Documents of several hosts: lines of one host and of all, copies of a text in their number, near copies with long lines, and depleted ones."""
+    short = lambda tag, n: " ".join(f"{tag}{rng.randrange(n)}" for _ in range(12))
+    menu, licence = [f"menu line {k} of host a with words" for k in range(12)], "licensed as everything here is"
+    rows = []
+    for i in range(120):
+        host = rng.choice(["a", "a", "b", "c", None])
+        lines = [short(f"x{i}y", 10**6) for _ in range(8)]
+        if host == "a" and i % 2:
+            lines += menu[:3]
+        if i % 3 == 0:
+            lines.insert(rng.randrange(4), licence.upper() + " ")
+        rows.append((i, "\n".join(lines), host))
+    rows += [(200 + i, "\n".join([*menu, short(f"d{i}z", 10**6)]), "a") for i in range(12)]  # little of their own
+    copied = "\n".join(short("copy", 10**6) for _ in range(7))
+    long = " ".join(f"long{rng.randrange(10**6)}" for _ in range(60))
+    rows += [(300 + i, copied, "b") for i in range(40)] + [(400 + i, f"{long}\nedit {i}", "c") for i in range(40)]
+    return [*rows, (500, "", "a"), (501, None, None), (None, rows[1][1], "a"), rows[1]]
+
+
+@pytest.mark.parametrize("lines", [2_000_000, 0])
+def test_the_query_rejects_what_is_depleted_and_agrees_with_brute_force_and_sql(spark, monkeypatch, tmp_path, lines):
+    """Also where lists are too long to be sent."""
+    monkeypatch.setattr(quality_rules, "LINES", lines)
+    monkeypatch.setattr(ordering, "LEAST", 7)
+    rows = planted(random.Random(2))
+    spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert compare(spark, quality_rules.op4_quality_rules, quality_rules.OP4_SQL, str(tmp_path)) == len(rows)
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    found = often(rows)
+    assert found[0] and found[1]
+    by = Counter((r.doc_id, r.kept, r.base_failed, r.removed_words) for r in quality_rules.apply_rules(table).collect())
+    want = Counter()
+    for i, text, source in rows:
+        n, _, _, _, again = brute(text)
+        failed, gone = n < 50 or 100 * again > 50 * n, removed(text, source, found)
+        want[i, not failed and n - gone >= quality_rules.LEFT * n, failed, gone] += 1
+    assert by == want
+    verdict = {i: kept for i, kept, _, _ in by}
+    assert not any(verdict[200 + i] for i in range(12)) and all(verdict[300 + i] and verdict[400 + i] for i in range(40)) and all(verdict[i] for i in range(120))
+
+
 def test_lines_above_a_limit_go_and_depleted_documents_are_rejected(spark):
-    banner = " ".join(f"banner{k}" for k in range(100))
+    banner = "\n".join(" ".join(f"banner{k}" for k in range(i, i + 25)) for i in range(0, 100, 25))
     rows = [(i, f"Shared {chr(32) * (i % 3)}\n{body(i)}", "en", "a", 0) for i in range(40)]
     rows += [(100 + i, f"{body(i + 100)}\n{banner}\n{banner.upper()} ", "en", "b", 0) for i in range(30)]
     rows += [(200, "", "en", "a", 0), (201, None, None, None, None), (202, body(202), "en", "c", 0), (202, body(202), "en", "c", 0)]
@@ -70,7 +140,7 @@ def test_line_dedup_drops_what_a_site_repeats(spark):
 @pytest.mark.parametrize("hosts", [20_000, 0])
 def test_pages_are_grouped_by_the_host_of_their_url(spark, monkeypatch, hosts):
     """Also where lists are too many to be sent, and documents are dealt by host."""
-    monkeypatch.setattr(quality_rules, "HOSTS", hosts)
+    monkeypatch.setattr(quality_rules, "LINES", hosts)
     monkeypatch.setattr(line_dedup, "HOSTS", hosts)
     monkeypatch.setattr(ordering, "LEAST", 7)
     rows = [(i, f"http://{'ab'[i % 2]}.org/x/{i}", f"menu\n{body(i)}" if i % 2 else body(i)) for i in range(40)]
