@@ -15,6 +15,7 @@ from prismlake.operators.grouping import keyed_sql
 from prismlake.operators.similarity import near_groups
 from prismlake.registry import query
 from prismlake.storage import new_path
+from prismlake.streaming.changes import changes
 
 
 def grouped_batch(media: DataFrame, batch_id: int, config: GroupingConfig) -> DataFrame:
@@ -43,12 +44,9 @@ def poll(
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def landed(spark: SparkSession, parts: list[DataFrame]) -> tuple[str, DataFrame]:
-    """Assets written part by part, each as one file, and the stream that reads them in that order."""
-    path = new_path(spark, "landing")
-    for part in parts:
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path, spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+def land(media: DataFrame, path: str) -> None:
+    """Adds assets to a landing, with their ord as the time of their update, in as many files as there are partitions."""
+    media.withColumn("updated", F.col("ord")).write.mode("append").parquet(path)
 
 
 _STREAMED = GroupingConfig(threshold=22, window_s=0, min_size=2)
@@ -61,12 +59,13 @@ _STREAMED = GroupingConfig(threshold=22, window_s=0, min_size=2)
     SELECT batch_id, count(*) AS members, count(DISTINCT leader) AS groups FROM found GROUP BY batch_id""",
 )
 def stream_batches(spark, d):
-    """The library in thirds, one a micro-batch."""
+    """The library in thirds, which come one after another; each is a micro-batch."""
     media = fixtures.media(spark, d)
     third = (fixtures.table(spark, d, "embeddings").count() + 2) // 3
-    _, stream = landed(spark, [media.where(F.col("ord").between(i * third, (i + 1) * third - 1)) for i in range(3)])
-    out = new_path(spark, "stream-groups")
-    poll(stream, out, new_path(spark, "cursor"), _STREAMED).awaitTermination()
+    path, out, cursor = (new_path(spark, x) for x in ("landing", "stream-groups", "cursor"))
+    for i in range(3):
+        land(media.where(F.col("ord").between(i * third, (i + 1) * third - 1)), path)
+        poll(changes(spark, path, media.schema), out, cursor, _STREAMED).awaitTermination()
     found = spark.read.parquet(out).groupBy("batch_id").agg(F.count("*").alias("members"), F.count_distinct("leader").alias("groups"))
     return found.withColumn("batch_id", F.col("batch_id").cast("long"))
 
@@ -76,14 +75,12 @@ def stream_from_latest(spark, d):
     """The first cycle records where it stands and takes nothing; the second takes what has come since: the upper half of the ids."""
     media = fixtures.media(spark, d)
     cut = fixtures.table(spark, d, "embeddings").agg(F.min("vec_id") + F.floor((F.max("vec_id") - F.min("vec_id")) / 2)).first()[0]
-    path, stream = landed(spark, [media.where(F.col("ord") < cut)])
-    out, groups, cursor = new_path(spark, "stream-latest"), new_path(spark, "stream-groups"), new_path(spark, "cursor")
+    path, out, groups, cursor = (new_path(spark, x) for x in ("landing", "stream-latest", "stream-groups", "cursor"))
 
     def also(batch: DataFrame, batch_id: int) -> None:
         batch.select("ord", F.lit(batch_id).cast("long").alias("batch_id")).write.mode("overwrite").parquet(f"{out}/part={batch_id}")
 
-    start = lambda: poll(stream, groups, cursor, _STREAMED, also=also, from_latest=True).awaitTermination()
-    start()
-    media.where(F.col("ord") >= cut).coalesce(1).write.mode("append").parquet(path)
-    start()
+    for part in (F.col("ord") < cut, F.col("ord") >= cut):
+        land(media.where(part), path)
+        poll(changes(spark, path, media.schema), groups, cursor, _STREAMED, also=also, from_latest=True).awaitTermination()
     return spark.read.parquet(out).select("ord", "batch_id")

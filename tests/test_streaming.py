@@ -4,6 +4,7 @@ import pytest
 from prismlake.config import GroupingConfig
 from prismlake.operators import sync
 from prismlake.streaming import polling
+from prismlake.streaming.changes import changes
 from pyspark.errors import StreamingQueryException
 
 SCHEMA = "ord long, hash_hi long, hash_lo long, taken_us long"
@@ -65,3 +66,42 @@ def test_all_that_came_since_the_first_cycle_is_taken(spark):
     cut = min(ids) + (max(ids) - min(ids)) // 2
     found = [tuple(r) for r in polling.stream_from_latest(spark, folder).collect()]
     assert sorted(found) == [(i, 1) for i in sorted(ids) if i >= cut]
+
+
+def land_changes(spark, path, rows, files=3):
+    spark.createDataFrame(rows, "ord long, updated long").repartition(files).write.mode("append").parquet(path)
+
+
+def test_the_cursor_is_a_time_and_a_batch_has_many_tasks(spark, tmp_path):
+    """Restarts go on from the checkpoint; files before the cursor aren't read, and rows after it come once."""
+    path, cursor, seen = str(tmp_path / "in"), str(tmp_path / "cursor"), []
+
+    def take():
+        stream = changes(spark, path, spark.createDataFrame([], "ord long").schema)
+
+        def each(batch, batch_id):
+            rows = batch.selectExpr("ord", "spark_partition_id() AS p").collect()
+            seen.append((batch_id, sorted(r.ord for r in rows), len({r.p for r in rows})))
+
+        stream.writeStream.foreachBatch(each).option("checkpointLocation", cursor).trigger(availableNow=True).start().awaitTermination()
+
+    land_changes(spark, path, [(i, 100 + i) for i in range(30)])
+    take()
+    assert seen == [(0, [*range(30)], 3)]
+    take()
+    assert len(seen) == 1
+    land_changes(spark, path, [(50, 5), (51, 129), (52, 130), (53, 200), (54, None)], 2)
+    take()
+    assert seen[1:] == [(1, [52, 53], 2)] or seen[1:] == [(1, [52, 53], 1)]
+    assert len(changes_reader(path).partitions({"until": 129}, {"until": 200})) <= 2 and changes_reader(path).latestOffset() == {"until": 200}
+
+
+def changes_reader(path):
+    from prismlake.streaming.changes import ChangesReader
+
+    return ChangesReader(path, "updated", ["ord"])
+
+
+def test_a_landing_that_is_not_there_yet(tmp_path):
+    reader = changes_reader(str(tmp_path / "none"))
+    assert reader.latestOffset() == reader.initialOffset()
