@@ -38,8 +38,12 @@ def items(pages: DataFrame) -> DataFrame:
 
 
 def scan(pages: DataFrame, kind: str | None = "IMAGE", skip_archived: bool = True, limit: int | None = None) -> DataFrame:
+    """scan_items() of landed pages."""
+    return scan_items(items(pages), kind, skip_archived, limit)
+
+
+def scan_items(found: DataFrame, kind: str | None = "IMAGE", skip_archived: bool = True, limit: int | None = None) -> DataFrame:
     """The canonical columns of the items of a kind; with a limit the first in the server's order."""
-    found = items(pages)
     found = found.where(F.col("type") == kind) if kind else found
     found = found.where(~F.coalesce("isArchived", F.lit(False))) if skip_archived else found
     found = found.orderBy("page", "place").limit(limit) if limit is not None else found
