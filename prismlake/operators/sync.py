@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismlake import fixtures
@@ -19,12 +19,18 @@ def changes(local: DataFrame, remote: DataFrame, snapshot: DataFrame) -> DataFra
     A new value that is null is no change. Assets that are missing on a side are left out.
     """
     sides = local.alias("l").join(remote.alias("r"), "asset_id").join(snapshot.alias("s"), "asset_id")
-    values = [F.struct(F.lit(f).alias("field"), *(F.col(f"{s}.{f}").alias(n) for s, n in (("s", "old"), ("l", "mine"), ("r", "theirs")))) for f in FIELDS]
-    long = sides.select("asset_id", F.inline(F.array(*values)))
-    new = lambda c: F.when(~F.col(c).eqNullSafe(F.col("old")), F.col(c))
-    found = long.select("asset_id", "field", "old", new("mine").alias("local_new"), new("theirs").alias("remote_new"))
-    found = found.where("local_new IS NOT NULL OR remote_new IS NOT NULL")
-    return found.withColumn("conflict", F.coalesce(F.col("local_new") != F.col("remote_new"), F.lit(False)))
+    return sides.select("asset_id", F.inline(field_changes("l", "r", "s")))
+
+
+def field_changes(local: str, remote: str, snapshot: str) -> Column:
+    """An array of a struct for each field that has changed, of three structs or tables: field, old, local_new, remote_new and conflict."""
+    found = []
+    for f in FIELDS:
+        old = F.col(f"{snapshot}.{f}")
+        mine, theirs = (F.when(~F.col(f"{side}.{f}").eqNullSafe(old), F.col(f"{side}.{f}")) for side in (local, remote))
+        conflict = F.coalesce(mine != theirs, F.lit(False))
+        found.append(F.struct(F.lit(f).alias("field"), old.alias("old"), mine.alias("local_new"), theirs.alias("remote_new"), conflict.alias("conflict")))
+    return F.filter(F.array(*found), lambda x: x["local_new"].isNotNull() | x["remote_new"].isNotNull())
 
 
 def resolve(changed: DataFrame, strategy: str) -> DataFrame:
