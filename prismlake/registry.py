@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = [
     "prismlake.operators.similarity", "prismlake.operators.vector_index", "prismlake.operators.grouping", "prismlake.operators.strategies", "prismlake.operators.ranking", "prismlake.operators.people", "prismlake.operators.matching",
-    "prismlake.operators.batches", "prismlake.operators.frames", "prismlake.operators.sync", "prismlake.operators.report", "prismlake.functions.scalars", "prismlake.functions.requests",
+    "prismlake.operators.batches", "prismlake.operators.frames", "prismlake.operators.sync", "prismlake.operators.report", "prismlake.functions.scalars", "prismlake.functions.requests", "prismlake.functions.containers", "prismlake.functions.cascade",
     "prismlake.sources.catalogue", "prismlake.sources.server", "prismlake.sources.paged", "prismlake.sources.library", "prismlake.sources.local", "prismlake.sources.sink", "prismlake.plans.actions", "prismlake.streaming.polling", "prismlake.streaming.reconcile",
 ]
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
