@@ -134,8 +134,9 @@ def face_encoding(spark, d):
 def native_dup(spark, d):
     from pyspark.sql import Window
 
-    many = F.count("*").over(Window.partitionBy("text")) > 1
-    return table(spark, d, "documents").select(F.col("doc_id").alias("photo_id"), F.when(many, F.md5("text")).alias("duplicate_group"))
+    own = table(spark, d, "documents").select(F.col("doc_id").alias("photo_id"), F.sha2("text", 256).alias("digest"), F.md5("text").alias("md5"))
+    many = F.count("*").over(Window.partitionBy("digest")) > 1  # texts are not shuffled
+    return own.select("photo_id", F.when(many, F.col("md5")).alias("duplicate_group"))
 
 
 def _path(k: Column, folders: int, files: int) -> Column:

@@ -17,13 +17,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismlake.storage import kept, small
+from prismlake.ordering import dealt_pairs
 
 BITS = 64
 #: Values that a row emits at most, and what emitting one costs, in comparisons.
 VALUES, EMITTED = 20_000, 10
-#: Left rows with a value beyond which they are dealt over several tasks, and such values that are sent to all executors at most.
-HOT, SENT = 20_000, 1_000_000
+#: Left rows with a value beyond which they are dealt over several tasks.
+HOT = 20_000
 
 
 @dataclass(frozen=True)
@@ -116,12 +116,6 @@ def near(left: DataFrame, right: DataFrame, threshold: int, found: Sequence[Band
     )
     own, other = emitted(left, "left", "a"), emitted(right, "right", "b")
     keys = ["_key", *(f"_on{i}" for i in range(len(on)))]
-    hot = kept(own.groupBy(*keys).agg(F.count("*").alias("_salts")).where(F.col("_salts") > HOT), "hot-values")
-    if hot.limit(1).count():
-        hot = small(hot.withColumn("_salts", F.ceil(F.col("_salts") / HOT).cast("int")), SENT)
-        deal = F.coalesce(F.pmod(F.xxhash64("a"), F.col("_salts")), F.lit(0)).cast("int")
-        own = own.join(hot, keys, "left").withColumn("_salt", deal).drop("_salts")
-        other = other.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-        keys = [*keys, "_salt"]
+    own, other, keys = dealt_pairs(own, other, keys, HOT, ["a"])
     a, b = F.col("a.bits"), F.col("b.bits")
     return own.join(other, keys).where((F.bit_count(a.bitwiseXOR(b)) <= threshold) & (F.col("_key") == _first_key(a, b, found))).select("a", "b")

@@ -9,6 +9,7 @@ from prismlake import fixtures
 from prismlake.fixtures import with_views
 from prismlake.functions.media import exposure, l2, pixels, size_number
 from prismlake.operators.similarity import ALL_GROUPS, groups_of_media
+from prismlake.ordering import dealt_pairs
 from prismlake.registry import query
 
 
@@ -97,11 +98,20 @@ def closed_eyes(spark, d):
     return fixtures.face_encoding(spark, d).where(ear < 0.2).select("face_id", F.round(ear, 6).alias("ear"))
 
 
+#: Closed eyes of a group that one task looks at.
+FACES = 5_000
+
+
 def best_replacement(faces: DataFrame, same: float, least_ear: float = 0.2) -> DataFrame:
-    """For each face that looks closed the open face of the same person in another photo of its group with the best score."""
+    """For each face that looks closed the open face of the same person in another photo of its group with the best score.
+
+    The closed faces of a group with over FACES of them are dealt over several tasks.
+    """
     look = (F.col("left_ear") + F.col("right_ear")) / 2
-    a, b = faces.where(look < least_ear).alias("a"), faces.where(look > least_ear).alias("b")
-    pairs = a.join(b, (F.col("a.group_index") == F.col("b.group_index")) & (F.col("a.asset_id") != F.col("b.asset_id")))
+    face = F.struct("face_id", "asset_id", "enc", "left_ear", "right_ear")
+    closed, open_ = faces.where(look < least_ear).select("group_index", face.alias("a")), faces.where(look > least_ear).select("group_index", face.alias("b"))
+    closed, open_, keys = dealt_pairs(closed, open_, ["group_index"], FACES, ["a.face_id"])
+    pairs = closed.join(open_, keys).where(F.col("a.asset_id") != F.col("b.asset_id"))
     ear = (F.col("b.left_ear") + F.col("b.right_ear")) / 2
     pairs = pairs.select(F.col("a.face_id").alias("face_id"), F.col("b.face_id").alias("replacement"), l2(F.col("a.enc"), F.col("b.enc")).alias("distance"), ear.alias("ear"))
     open_ = pairs.where(F.col("distance") < same).withColumn("score", F.col("ear") * (1 - F.col("distance")))

@@ -15,6 +15,8 @@ NO_KEY = "~"
 SHARE, LEAST = 2_000, 500
 #: Copies that one task makes of a row.
 COPIES = 10_000
+#: Rows of small tables, of which a key may have all in one task.
+A_KEY = 200_000
 #: Ranges whose sums are ordered in one task, and ranges whose starts are sent to all executors at most.
 BLOCK, STARTS = 1_000, 1_000_000
 
@@ -130,9 +132,22 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, by: Sequence[str], ro
     return dealt.join(copied, [key, salt], how).drop(salt)
 
 
+def dealt_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], most: int, by: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """left and right with the keys to join them by, for joins of many rows with many: left rows of a key that has more than `most` are
+    dealt over several tasks by a hash of the columns `by`, and right rows of it are copied as often."""
+    salt, salts = fresh(left, "_salt", "_salts")
+    hot = Kept(left.groupBy(*keys).agg(F.count("*").alias(salts)).where(F.col(salts) > most), "hot-keys").df
+    if hot.limit(1).count() == 0:
+        return left, right, list(keys)
+    hot = small(hot.withColumn(salts, F.ceil(F.col(salts) / most).cast("int")), STARTS)
+    own = left.join(hot, list(keys), "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*by), F.col(salts)), F.lit(0)).cast("int")).drop(salts)
+    other = right.join(hot, list(keys), "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1))).drop(salts)
+    return own, other, [*keys, salt]
+
+
 def per_key(df: DataFrame, key: str, order: Sequence[Column], value: Column, out: str, rows: int) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows of equal key before each one, however many the key has; rows: about how many there are."""
-    if size_bins(rows, least=1) == 1:
+    if rows <= A_KEY:
         return df.withColumn(out, F.coalesce(F.sum(value).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     held, first = fresh(df, "_held", "_first")
     summed = Kept(in_order(df, [F.col(key), *order], {held: value}, rows), "per-key").df

@@ -220,3 +220,25 @@ def test_perceptual_hashes_are_those_of_a_plain_transform(spark):
     middle = sorted(low)
     want = sum(1 << (63 - i) for i, c in enumerate(low) if c > (middle[31] + middle[32]) / 2)
     assert found[0].frames[0] & ((1 << 64) - 1) == want
+
+
+def test_replacements_of_a_large_group_are_those_of_brute_force(spark, monkeypatch):
+    import random
+
+    from prismlake.operators import ranking
+
+    monkeypatch.setattr(ranking, "FACES", 4)
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(2) if i % 5 else 7, rng.randrange(20), [rng.choice([0.0, 0.5]) for _ in range(3)], rng.random() * 0.5, rng.random() * 0.5) for i in range(80)]
+    faces = spark.createDataFrame(rows, "face_id long, group_index long, asset_id long, enc array<double>, left_ear double, right_ear double")
+    found = {r.face_id: (r.replacement, round(r.score, 9)) for r in ranking.best_replacement(faces, 0.6).collect()}
+    want = {}
+    for a in rows:
+        near = []
+        for b in rows:
+            distance, ear = sum((x - y) ** 2 for x, y in zip(a[3], b[3], strict=True)) ** 0.5, (b[4] + b[5]) / 2
+            if a[1] == b[1] and a[2] != b[2] and (a[4] + a[5]) / 2 < 0.2 < ear and distance < 0.6:
+                near.append((-round(ear * (1 - distance), 9), b[0]))
+        if near:
+            want[a[0]] = (min(near)[1], -min(near)[0])
+    assert found == want and len(want) > 10

@@ -127,6 +127,7 @@ def test_working_names_are_new(spark):
 
 @pytest.mark.parametrize("rows", [500, 100_000])
 def test_sums_within_keys(spark, monkeypatch, rows):
+    monkeypatch.setattr(ordering, "A_KEY", 1_000)
     monkeypatch.setattr(ordering, "LEAST", 50)
     rng = random.Random(3)
     data = [(rng.choice("aaaab"), i, rng.randrange(9)) for i in range(500)]
@@ -145,3 +146,13 @@ def test_starts_of_ranges_in_two_levels(spark, monkeypatch):
     dealt = df.repartitionByRange(11, "s").sortWithinPartitions("s")
     assert all(r.s + 1 == r.n for r in ordering.placed(dealt, "n").collect())
     assert {r.s: r.held for r in in_order(df, [F.col("s")], {"held": F.lit(2)}, 250_000).collect()} == {i: 2 * i for i in range(500)}
+
+
+def test_pairs_of_hot_keys_are_dealt_and_whole(spark):
+    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)], "i long, k string")
+    right = spark.createDataFrame([(j, "hot" if j % 2 else f"k{j}") for j in range(60)], "j long, k string")
+    want = sorted((r.i, r.j) for r in left.join(right, "k").collect())
+    for most in (10, 1_000):
+        a, b, keys = ordering.dealt_pairs(left, right, ["k"], most, ["i"])
+        found = a.join(b, keys)
+        assert sorted((r.i, r.j) for r in found.collect()) == want and (len(keys) == 2) == (most == 10)
