@@ -103,3 +103,24 @@ def test_groups_agree_with_brute_force_and_one_of_each_stays(spark):
     ids = [r.doc_id for r in stay.collect()]
     assert sorted(x for x in ids if x is not None) == sorted({w for w in want if w is not None}) and ids.count(None) == 1
     assert simhash.groups(docs.where("false")).count() == 0 and simhash.one_of_each(docs.where("false")).count() == 0
+
+
+def test_the_filter_of_fingerprints_loses_no_link(spark, monkeypatch):
+    """Components are the same if every fingerprint emits its ball."""
+    rng = random.Random(11)
+    bases = [rng.getrandbits(64) for _ in range(12)]
+    prints = {b for b in bases} | {rng.getrandbits(64) for _ in range(40)}
+    for b in bases:
+        for n in (1, 2, 3, 4, 4, 5, 6):
+            x = b
+            for k in rng.sample(range(64), n):
+                x ^= 1 << k
+            prints.add(x)
+    distinct = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in sorted(prints)], "fp long")
+    found = []
+    for every in (False, True):
+        if every:
+            monkeypatch.setattr(simhash, "candidates", lambda distinct, n, keep=None: distinct)
+        labels = {r.node: r.label for r in simhash.components(simhash.links(distinct)).collect()}
+        found.append(labels)
+    assert found[0] == found[1] and len(found[0]) > 50
