@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismlake.functions import containers
 from prismlake.sources import library, local, server, sink
 
 PEOPLE, FACES, MEMBERS = "person_id string, name string", "photo_id string, top int, right int, bottom int, left int", "person_id string, photo_id string"
@@ -63,12 +64,13 @@ class LocalSource(Source):
 
     spark: SparkSession
     path: str
+    store: str | None = None
 
     def _files(self) -> DataFrame:
         return self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.path)
 
-    def list_photos(self, kind: str = "image", limit: int | None = None) -> DataFrame:
-        return local.scan(self.spark, self.path, kind=kind.upper(), limit=limit).withColumn("filepath", F.concat(F.lit(self.path.rstrip("/") + "/"), "photo_id"))
+    def list_photos(self, kind: str | None = "image", limit: int | None = None) -> DataFrame:
+        return local.scan(self.spark, self.path, kind=kind and kind.upper(), limit=limit).withColumn("filepath", F.concat(F.lit(self.path.rstrip("/") + "/"), "photo_id"))
 
     def photo_data(self, ids: DataFrame) -> DataFrame:
         return local.contents(self.spark, self.path, ids.select("photo_id"))
@@ -78,6 +80,12 @@ class LocalSource(Source):
         wanted = self._files().withColumn("photo_id", place).join(ids.select("photo_id"), "photo_id", "left_semi").drop("photo_id")
         return local.file_metadata(wanted).select(place.alias("photo_id"), "metadata")
 
+    def video_info(self, ids: DataFrame) -> DataFrame:
+        """photo_id and what the containers of videos say, see containers.INFO; of each file only the boxes that are asked for are read."""
+        root = self.path.rstrip("/") + "/"
+        found = containers.probed_files(ids.select(F.concat(F.lit(root), "photo_id").alias("path")))
+        return found.select(F.substring("path", len(root) + 1, 1 << 20).alias("photo_id"), *(x.split()[0] for x in containers.INFO.split(", ")))
+
 
 @dataclass
 class ServerSource(Source):
@@ -124,6 +132,7 @@ class LibrarySource(Source):
     spark: SparkSession
     path: str
     root: str | None = None
+    store: str | None = None
 
     def list_photos(self, kind: str = "image", limit: int | None = None) -> DataFrame:
         found = library.scan(self.spark.read.parquet(self.path), kind=kind, local_only=False, limit=limit)
@@ -142,6 +151,9 @@ class LibrarySource(Source):
         kept = library.scan(self.spark.read.parquet(self.path), local_only=False).join(ids.select("photo_id"), "photo_id", "left_semi")
         return kept.select("photo_id", F.from_json(F.to_json("metadata"), "map<string,string>").alias("metadata"))
 
+    def ids(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).select(F.col("uuid").alias("photo_id"))
+
     def people(self) -> DataFrame:
         names = self.spark.read.parquet(self.path).select(F.explode("persons").alias("name")).where("name IS NOT NULL AND name <> '_UNKNOWN_'")
         return names.distinct().select(F.col("name").alias("person_id"), "name")

@@ -4,6 +4,7 @@ import struct
 
 import pytest
 from prismlake.functions import containers
+from prismlake.sources import contract
 
 
 def box(kind, *parts):
@@ -54,3 +55,13 @@ def test_files_of_a_folder(spark, tmp_path):
     assert found[paths[0]].frames == 90 and found[paths[0]].error is None and found[paths[1]].error and found[paths[2]].error
     none = containers.probed(spark.createDataFrame([(1, None), (2, bytearray(video(media=9)))], "i long, content binary"), "i")
     assert {r.i: r.frames for r in none.collect()} == {1: None, 2: 90}
+
+
+def test_a_folder_as_a_source_of_videos(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.mp4").write_bytes(video(frames=60))
+    source = contract.open_source(spark, "local", str(tmp_path), store=str(tmp_path) + "-store")
+    found = source.video_info(source.list_photos("video")).collect()
+    assert [(r.photo_id, r.frames, r.error) for r in found] == [("x/a.mp4", 60, None)]
+    plan = spark.createDataFrame([(1, "add_tag", "t", "x/a.mp4"), (1, "add_tag", "t", "gone")], "step int, action string, value string, target string")
+    assert [r.target for r in source.apply(plan, "r").collect()] == ["gone"] and [(r.asset_id, r.tags) for r in source.done().collect()] == [("x/a.mp4", ["t"])]
