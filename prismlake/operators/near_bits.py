@@ -1,9 +1,10 @@
 """Joins of 64-bit hashes that differ in few bits, for thresholds of any width, by an index of bands.
 
 Bits are cut into bands. Hashes that differ in no more bits than the threshold differ little in some band: if band i allows r_i bits, and
-the r_i + 1 add up to more than the threshold, not all bands can be exceeded. Within a band the two sides meet half way: one emits
-its bits with up to half of r_i of them changed, the other with up to the rest changed, and an equal value joins them. A pair
-may meet in several bands and at several values; it is taken at one of them only, which both hashes decide.
+the r_i + 1 add up to more than the threshold, not all bands can be exceeded. Within a band one side emits its bits with up to r_i of
+them changed, or both meet half way, and an equal value joins them. A pair may meet in several bands and at several values; it is
+taken at one of them only, which both hashes decide. How many bands, and whether they meet half way, is what costs least: half way
+emits far fewer values, but brings nearby pairs together at several of them.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from prismlake.ordering import dealt_pairs
 
 BITS = 64
 #: Values that a row emits at most, and what emitting one costs, in comparisons.
-VALUES, EMITTED = 20_000, 10
+VALUES, EMITTED = 20_000, 25
 #: Left rows with a value beyond which they are dealt over several tasks.
 HOT = 20_000
+#: Pairs that one task compares where all are compared.
+AT_ONCE = 50_000_000
 
 
 @dataclass(frozen=True)
@@ -49,11 +52,11 @@ def ball(width: int, radius: int) -> int:
     return sum(comb(width, i) for i in range(radius + 1))
 
 
-def bands(threshold: int, n: int) -> list[Band]:
-    """n bands, whose radii are as small as they may be without losing a pair; n is threshold + 1 at most."""
+def bands(threshold: int, n: int, half: bool = True) -> list[Band]:
+    """n bands, whose radii are as small as they may be without losing a pair; n is threshold + 1 at most. half: both sides change bits."""
     edges = [round(BITS * i / n) for i in range(n + 1)]
     radii = [(threshold + 1) // n - 1 + (i < (threshold + 1) % n) for i in range(n)]
-    return [Band(i, lo, hi - lo, (r + 1) // 2, r // 2) for i, (lo, hi, r) in enumerate(zip(edges, edges[1:], radii, strict=False))]
+    return [Band(i, lo, hi - lo, (r + 1) // 2 if half else r, r // 2 if half else 0) for i, (lo, hi, r) in enumerate(zip(edges, edges[1:], radii, strict=False))]
 
 
 def layout(threshold: int, left: int, right: int, pairs: int | None = None) -> list[Band]:
@@ -62,15 +65,20 @@ def layout(threshold: int, left: int, right: int, pairs: int | None = None) -> l
     No bands, if comparing all is cheapest, as with few rows or a threshold that most pairs are within.
     """
     pairs = left * right if pairs is None else pairs
-    costs = [(EMITTED * (left + right) + pairs, 0)]
+    costs = [(EMITTED * (left + right) + pairs, 0, False)]
     for n in range(1, min(threshold, BITS - 1) + 2):
-        found = bands(threshold, n)
-        emitted = [sum(ball(b.width, getattr(b, side)) for b in found) for side in ("left", "right")]
-        by_chance = sum(ball(b.width, b.radius) / 2**b.width for b in found)
-        if max(emitted) <= VALUES:
-            costs.append((EMITTED * (left * emitted[0] + right * emitted[1]) + pairs * by_chance, n))
-    n = min(costs)[1]
-    return bands(threshold, n) if n else []
+        for half in (True, False):
+            found = bands(threshold, n, half)
+            emitted = [sum(ball(b.width, getattr(b, side)) for b in found) for side in ("left", "right")]
+            if max(emitted) <= VALUES:
+                costs.append((EMITTED * (left * emitted[0] + right * emitted[1]) + pairs * chance(found), n, half))
+    _, n, half = min(costs)
+    return bands(threshold, n, half) if n else []
+
+
+def chance(found: Sequence[Band]) -> float:
+    """How often a pair of random hashes meets."""
+    return sum(ball(b.width, b.left) * ball(b.width, b.right) / 2**b.width for b in found) if found else 1.0
 
 
 def _changes(width: int, radius: int) -> Column:
@@ -105,17 +113,18 @@ def _first_key(left: Column, right: Column, found: Sequence[Band]) -> Column:
     return out
 
 
-def near(left: DataFrame, right: DataFrame, threshold: int, found: Sequence[Band], on: Sequence[str] = ()) -> DataFrame:
+def near(left: DataFrame, right: DataFrame, threshold: int, found: Sequence[Band], on: Sequence[str] = (), rows: int = 0) -> DataFrame:
     """(a, b): structs of the rows of left and right whose `bits` (long) differ in no more bits than the threshold, and that agree in the columns `on`; each pair once.
 
     found: a layout() for the threshold. Rows without bits, or without a value in `on`, are near none. A value that over HOT left rows
-    emit is dealt over several tasks, and the right rows that emit it are copied as often.
+    emit is dealt over several tasks, and the right rows that emit it are copied as often; without bands, where all values are one,
+    so that a task compares about AT_ONCE pairs, for so many right rows.
     """
     emitted = lambda df, side, name: df.where("bits IS NOT NULL").select(
         F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(name), *(F.col(f"`{c}`").alias(f"_on{i}") for i, c in enumerate(on)), F.explode(_keys(F.col("bits"), found, side)).alias("_key")
     )
     own, other = emitted(left, "left", "a"), emitted(right, "right", "b")
     keys = ["_key", *(f"_on{i}" for i in range(len(on)))]
-    own, other, keys = dealt_pairs(own, other, keys, HOT, ["a"])
+    own, other, keys = dealt_pairs(own, other, keys, HOT if found or not rows else max(1, min(HOT, AT_ONCE // rows)), ["a"])
     a, b = F.col("a.bits"), F.col("b.bits")
     return own.join(other, keys).where((F.bit_count(a.bitwiseXOR(b)) <= threshold) & (F.col("_key") == _first_key(a, b, found))).select("a", "b")

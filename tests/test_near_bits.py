@@ -27,7 +27,7 @@ def hashes(seed, n=120):
 def test_radii_cannot_all_be_exceeded():
     for t in range(64):
         for n in range(1, t + 2):
-            found = near_bits.bands(t, n)
+            found = near_bits.bands(t, n, n % 2 == 0)
             assert sum(b.radius + 1 for b in found) == t + 1 and sum(b.width for b in found) == 64 and all(b.radius >= 0 for b in found)
             assert [b.low for b in found] == [0, *(b.low + b.width for b in found[:-1])]
 
@@ -35,20 +35,21 @@ def test_radii_cannot_all_be_exceeded():
 def test_more_rows_make_wider_bands():
     rows = [10, 1_000, 100_000, 10_000_000, 1_000_000_000]
     assert near_bits.layout(5, 10, 10) == [] and len(near_bits.layout(5, rows[-1], rows[-1])) == 2
-    found = [near_bits.layout(12, n, n) for n in rows[2:]]
-    by_chance = [sum(near_bits.ball(b.width, b.radius) / 2**b.width for b in f) for f in found]
+    found = [near_bits.layout(10, n, n) for n in rows[2:]]
+    by_chance = [near_bits.chance(f) for f in found]
     assert by_chance == sorted(by_chance, reverse=True) and by_chance[-1] < 1e-3
     assert near_bits.layout(63, 500, 500) == []
 
 
-@pytest.mark.parametrize(("threshold", "n"), [(0, 1), (1, 2), (3, 2), (5, 3), (8, 3), (10, 4), (13, 4), (20, 5), (20, 7), (25, 9), (33, 12), (20, 0), (64, 0)])
-def test_every_near_pair_is_found_once(spark, monkeypatch, threshold, n):
+@pytest.mark.parametrize("half", [True, False])
+@pytest.mark.parametrize(("threshold", "n"), [(0, 1), (1, 2), (3, 2), (5, 3), (8, 3), (10, 4), (13, 4), (20, 7), (33, 12), (20, 0), (64, 0)])
+def test_every_near_pair_is_found_once(spark, monkeypatch, threshold, n, half):
     """Whatever the bands; also where values are hot."""
     if n % 2:
         monkeypatch.setattr(near_bits, "HOT", 3)
     values = hashes(threshold)
     rows = spark.createDataFrame([(i, signed(x), "ab"[i % 2]) for i, x in enumerate(values)] + [(1000, None, "a")], "ord long, bits long, k string")
-    found = near_bits.near(rows, rows, threshold, near_bits.bands(threshold, n) if n else [], ["k"] if threshold == 13 else [])
+    found = near_bits.near(rows, rows, threshold, near_bits.bands(threshold, n, half) if n else [], ["k"] if threshold == 13 else [])
     got = [(r.i, r.j) for r in found.where("a.ord < b.ord").select(F.col("a.ord").alias("i"), F.col("b.ord").alias("j")).collect()]
     same = lambda i, j: threshold != 13 or i % 2 == j % 2
     want = [(i, j) for i, x in enumerate(values) for j, y in enumerate(values) if i < j and (x ^ y).bit_count() <= threshold and same(i, j)]
