@@ -25,8 +25,8 @@ BITS = 64
 VALUES, EMITTED = 20_000, 25
 #: Left rows with a value beyond which they are dealt over several tasks.
 HOT = 20_000
-#: Pairs that one task compares where all are compared.
-AT_ONCE = 50_000_000
+#: Pairs that one task compares, about.
+AT_ONCE = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -113,12 +113,13 @@ def _first_key(left: Column, right: Column, found: Sequence[Band]) -> Column:
     return out
 
 
-def near(left: DataFrame, right: DataFrame, threshold: int, found: Sequence[Band], on: Sequence[str] = (), rows: int = 0) -> DataFrame:
+def near(left: DataFrame, right: DataFrame, threshold: int, found: Sequence[Band], on: Sequence[str] = (), rows: int = 0, pairs: int = 0) -> DataFrame:
     """(a, b): structs of the rows of left and right whose `bits` (long) differ in no more bits than the threshold, and that agree in the columns `on`; each pair once.
 
     found: a layout() for the threshold. Rows without bits, or without a value in `on`, are near none. A value that over HOT left rows
     emit is dealt over several tasks, and the right rows that emit it are copied as often; without bands, where all values are one,
-    so that a task compares about AT_ONCE pairs, for so many right rows.
+    so that a task compares about AT_ONCE pairs, for so many right rows. pairs: how many there are in all, of which tasks are made;
+    by bytes alone they would be too few, as pairs cost more than rows.
     """
     emitted = lambda df, side, name: df.where("bits IS NOT NULL").select(
         F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(name), *(F.col(f"`{c}`").alias(f"_on{i}") for i, c in enumerate(on)), F.explode(_keys(F.col("bits"), found, side)).alias("_key")
@@ -126,5 +127,8 @@ def near(left: DataFrame, right: DataFrame, threshold: int, found: Sequence[Band
     own, other = emitted(left, "left", "a"), emitted(right, "right", "b")
     keys = ["_key", *(f"_on{i}" for i in range(len(on)))]
     own, other, keys = dealt_pairs(own, other, keys, HOT if found or not rows else max(1, min(HOT, AT_ONCE // rows)), ["a"])
+    tasks = min(4_000, int(pairs * chance(found)) // AT_ONCE)
+    if tasks > 1:
+        own, other = own.repartition(tasks, *keys), other.repartition(tasks, *keys)
     a, b = F.col("a.bits"), F.col("b.bits")
     return own.join(other, keys).where((F.bit_count(a.bitwiseXOR(b)) <= threshold) & (F.col("_key") == _first_key(a, b, found))).select("a", "b")

@@ -41,19 +41,19 @@ def similar_pairs(media: DataFrame, config: GroupingConfig, key: str | None = No
         F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))).cast("long").alias("bits"), *(F.col(f"a.{k}").alias(k) for k in keys)
     )
     if not config.window_s:
-        return out(near(own, own, config.threshold, layout(config.threshold, n, n), keys, n).where(i < j))
+        return out(near(own, own, config.threshold, layout(config.threshold, n, n), keys, n, n * n).where(i < j))
     bucket = F.floor(F.col("taken_us") / (config.window_s * MICROS))
     dated, around = own.where("taken_us IS NOT NULL").withColumn("bucket", bucket), F.explode(F.array(bucket - 1, bucket, bucket + 1))
     beside = own.where("taken_us IS NOT NULL").withColumn("bucket", around)
     held = lambda df: df.groupBy("bucket", *keys).agg(F.count("*").alias("n"))
     pairs = held(dated).alias("x").join(held(beside).alias("y"), ["bucket", *keys]).agg(F.coalesce(F.sum(F.col("x.n") * F.col("y.n")), F.lit(0))).first()[0]
     timely = F.abs(F.col("a.taken_us") - F.col("b.taken_us")) <= config.window_s * MICROS
-    found = out(near(dated, beside, config.threshold, layout(config.threshold, n - undated, 3 * (n - undated), pairs), ["bucket", *keys], pairs // max(1, n - undated)).where((i < j) & timely))
+    found = out(near(dated, beside, config.threshold, layout(config.threshold, n - undated, 3 * (n - undated), pairs), ["bucket", *keys], pairs // max(1, n - undated), pairs).where((i < j) & timely))
     if not undated:
         return found
     # undated rows with dated ones in either order, and with each other once
     once = (i != j) & (F.col("b.taken_us").isNotNull() | (i < j))
-    return found.union(out(near(own.where("taken_us IS NULL"), own, config.threshold, layout(config.threshold, undated, n), keys, n).where(once)))
+    return found.union(out(near(own.where("taken_us IS NULL"), own, config.threshold, layout(config.threshold, undated, n), keys, n, undated * n).where(once)))
 
 
 def similar_videos(video: DataFrame, threshold: float) -> DataFrame:
@@ -68,14 +68,14 @@ def similar_videos(video: DataFrame, threshold: float) -> DataFrame:
     if threshold >= 64:  # all pairs
         alike = video.withColumn("bits", F.lit(0).cast("long"))
         n = video.count()
-        met = near(alike, alike, 0, layout(0, n, n), rows=n).where("a.ord < b.ord")
+        met = near(alike, alike, 0, layout(0, n, n), rows=n, pairs=n * n).where("a.ord < b.ord")
         return met.select(F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), distance.alias("distance"))
     rows = kept(video.where(F.size("frames") > 0).select("ord", "frames", "thumb", "duration"), "videos")
     frames = kept(rows.select("ord", "thumb", F.explode(F.array_distinct("frames")).alias("bits")), "frames")
     n, reach = frames.count(), int(threshold / 0.6 + SLACK)
     bits = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
     bound = bits * 0.6 + F.coalesce(F.bit_count(F.col("a.thumb").bitwiseXOR(F.col("b.thumb"))), bits) * 0.3
-    met = near(frames, frames, reach, layout(reach, n, n), rows=n).where((F.col("a.ord") < F.col("b.ord")) & (bound <= threshold + SLACK))
+    met = near(frames, frames, reach, layout(reach, n, n), rows=n, pairs=n * n).where((F.col("a.ord") < F.col("b.ord")) & (bound <= threshold + SLACK))
     met = met.select(F.col("a.ord").alias("i"), F.col("b.ord").alias("j")).distinct()
     pairs = met.join(rows.alias("a"), F.col("i") == F.col("a.ord")).join(rows.alias("b"), F.col("j") == F.col("b.ord"))
     return pairs.select("i", "j", distance.alias("distance")).where(F.col("distance") <= threshold)
