@@ -76,6 +76,12 @@ def layout(threshold: int, left: int, right: int, pairs: int | None = None) -> l
     return bands(threshold, n, half) if n else []
 
 
+def cost(found: Sequence[Band], left: int, right: int, pairs: int) -> float:
+    """What bands cost, in comparisons: values emitted, and pairs that meet by chance."""
+    emitted = [sum(ball(b.width, getattr(b, side)) for b in found) if found else 1 for side in ("left", "right")]
+    return EMITTED * (left * emitted[0] + right * emitted[1]) + pairs * chance(found)
+
+
 def chance(found: Sequence[Band]) -> float:
     """How often a pair of random hashes meets."""
     return sum(ball(b.width, b.left) * ball(b.width, b.right) / 2**b.width for b in found) if found else 1.0
