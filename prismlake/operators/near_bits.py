@@ -76,15 +76,18 @@ def layout(threshold: int, left: int, right: int, pairs: int | None = None) -> l
     return bands(threshold, n, half) if n else []
 
 
-def cost(found: Sequence[Band], left: int, right: int, pairs: int) -> float:
-    """What bands cost, in comparisons: values emitted, and pairs that meet by chance."""
+def cost(found: Sequence[Band], left: int, right: int, pairs: int, used: int | None = -1) -> float:
+    """What bands cost, in comparisons: values emitted, and pairs that meet by chance; used: see chance()."""
     emitted = [sum(ball(b.width, getattr(b, side)) for b in found) if found else 1 for side in ("left", "right")]
-    return EMITTED * (left * emitted[0] + right * emitted[1]) + pairs * chance(found)
+    return EMITTED * (left * emitted[0] + right * emitted[1]) + pairs * chance(found, used)
 
 
-def chance(found: Sequence[Band]) -> float:
-    """How often a pair of random hashes meets."""
-    return sum(ball(b.width, b.left) * ball(b.width, b.right) / 2**b.width for b in found) if found else 1.0
+def chance(found: Sequence[Band], used: int | None = -1) -> float:
+    """How often a pair of random hashes meets, of which only the bits in `used` differ at all (None: none); in bands without such bits all meet."""
+    if not found:
+        return 1.0
+    bits = [(((used or 0) >> b.low) & ((1 << b.width) - 1)).bit_count() for b in found]
+    return sum(ball(n, b.left) * ball(n, b.right) / 2**n for b, n in zip(found, bits, strict=True))
 
 
 def _changes(width: int, radius: int) -> Column:
