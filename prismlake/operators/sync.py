@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismlake import fixtures
@@ -38,15 +38,13 @@ def resolve(changed: DataFrame, strategy: str) -> DataFrame:
 
     An asset with a conflict in any field is decided as a whole, by 'remote_wins', 'local_wins' or 'manual'.
     """
-    clash = changed.groupBy("asset_id").agg(F.max("conflict").alias("clash"))
-    rows = changed.join(clash, "asset_id")
+    rows = changed.where("asset_id IS NOT NULL").withColumn("clash", F.max("conflict").over(Window.partitionBy("asset_id")))
     pull = F.col("remote_new").isNotNull() & (~F.col("clash") | F.lit(strategy == "remote_wins"))
     push = F.col("local_new").isNotNull() & (~F.col("clash") | F.lit(strategy == "local_wins"))
-    acts = F.array(F.when(pull, F.struct(F.lit("pull").alias("action"), F.col("remote_new").alias("value"))), F.when(push, F.struct(F.lit("push").alias("action"), F.col("local_new").alias("value"))))
-    done = rows.select("asset_id", "field", F.inline(F.filter(acts, lambda x: x.isNotNull())))
-    if strategy != "manual":
-        return done
-    return done.union(rows.where("clash AND conflict").select("asset_id", "field", F.lit("queue").alias("action"), F.lit(None).cast("boolean").alias("value")))
+    queue = F.col("clash") & F.col("conflict") & F.lit(strategy == "manual")
+    found = ((pull, "pull", F.col("remote_new")), (push, "push", F.col("local_new")), (queue, "queue", F.lit(None).cast("boolean")))
+    acts = F.array(*(F.when(when, F.struct(F.lit(action).alias("action"), value.alias("value"))) for when, action, value in found))
+    return rows.select("asset_id", "field", F.inline(F.filter(acts, lambda x: x.isNotNull())))
 
 
 def new_snapshot(remote: DataFrame, snapshot: DataFrame) -> DataFrame:
