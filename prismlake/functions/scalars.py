@@ -105,11 +105,15 @@ def _next_to(spark, d):
     return e.alias("a").join(e.withColumn("vec_id", F.col("vec_id") - 1).alias("b"), F.col("a.vec_id") == F.col("b.vec_id"))
 
 
+#: Scores that a task holds at once, about.
+SCORES = 1_000_000
+
+
 def nearest(vectors: DataFrame, wanted: DataFrame, k: int = 20, block: int = 4_000) -> DataFrame:
     """(query_id, vec_id, score): for each row of wanted (vec_id, embedding) the k rows of vectors with the largest dot product, ties by vec_id.
 
-    Queries go to executors in blocks, so that no more than `block` vectors are held at once however many there are; each batch of
-    rows gives its own k best, and only these are ordered by query.
+    Queries go to executors in blocks, so that no more than `block` vectors are held at once however many there are; each task
+    keeps the k best of its rows, and only these are ordered by query.
     """
     ids = numbered(kept(wanted.select("vec_id").where("vec_id IS NOT NULL").distinct(), "queries"), "vec_id", "_n", wanted.count())
     placed = kept(wanted.join(ids, "vec_id").withColumn("_block", F.floor((F.col("_n") - 1) / block)), "blocks")
@@ -126,12 +130,37 @@ def nearest(vectors: DataFrame, wanted: DataFrame, k: int = 20, block: int = 4_0
 
 def _best_of_batches(vectors: DataFrame, ids: list[int], queries: np.ndarray, k: int) -> DataFrame:
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, step = len(ids), max(1, SCORES // len(ids))
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query, row and score of the best so far
+        least, waiting = np.full(n, -np.inf), 0
+        parts = [held]
+
+        def settle() -> None:
+            """Leaves the k best of each query."""
+            nonlocal held, parts, waiting
+            q, own, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort([own, -score, q])
+            q, own, score = q[order], own[order], score[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            held = [x[place < k] for x in (q, own, score)]
+            least[q[place == k - 1]] = score[place == k - 1]
+            parts, waiting = [held], 0
+
         for batch in batches:
-            own = batch["vec_id"].to_numpy()
-            scores = np.round(np.array(batch["embedding"].to_pylist(), float).reshape(len(own), -1) @ queries.T, 5) if len(own) else np.zeros((0, len(ids)))
-            for q, query_id in enumerate(ids):
-                order = np.lexsort([own, -scores[:, q]])[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), query_id, np.int64)), pa.array(own[order]), pa.array(scores[order, q])], names=["query_id", "vec_id", "score"])
+            for a in range(0, batch.num_rows, step):
+                rows = batch.slice(a, step)
+                own = rows["vec_id"].to_numpy()
+                scores = np.round(rows["embedding"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), -1) @ queries.T, 5)
+                r, q = np.nonzero(~(scores < least))
+                parts.append([q, own[r], scores[r, q]])
+                waiting += len(q)
+                if waiting > max(SCORES // 4, n * k):
+                    settle()
+        settle()
+        q, own, score = held
+        for a in range(0, len(q), 100_000):
+            at = slice(a, a + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[q[at]]), pa.array(own[at]), pa.array(score[at])], names=["query_id", "vec_id", "score"])
 
     ship(vectors.sparkSession)
     return vectors.select("vec_id", "embedding").mapInArrow(best, "query_id bigint, vec_id bigint, score double")
