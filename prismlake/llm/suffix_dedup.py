@@ -39,6 +39,8 @@ CORE = LENGTH - WIDTH + 1
 RANGE, BLOCK = 20_000, 500
 #: Keys of texts that are sent to all executors at most.
 KEYS = 1_000_000
+#: Bytes of texts that are hashed at once, as a call on few bytes costs more than the bytes; a longer text is on its own.
+TOGETHER = 1 << 15
 
 #: Odd, so that they have inverses modulo 2**64; one for each of two hashes.
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -78,8 +80,11 @@ class Hashes:
         return h ^ (h >> np.uint64(29))
 
 
-def triggers(raw: bytes, hashes: Hashes) -> np.ndarray:
-    """Rows (trigger, first, last): the strings that start at first to last belong to the trigger. First place wins a tie."""
+def triggers(raw: bytes, hashes: Hashes, ends: np.ndarray | None = None) -> np.ndarray:
+    """Rows (trigger, first, last): the strings that start at first to last belong to the trigger. First place wins a tie.
+
+    ends: where texts of LENGTH bytes or more, of which raw is made, end in it; strings keep to one of them. Without it raw is one text.
+    """
     starts = len(raw) - LENGTH + 1
     if starts < 1:
         return np.zeros((0, 3), np.int64)
@@ -90,9 +95,14 @@ def triggers(raw: bytes, hashes: Hashes) -> np.ndarray:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     least = np.minimum(least[: starts], least[WIDTH - width : WIDTH - width + starts])
-    new = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    end = np.append(new[1:], starts) - 1
+    begins = np.concatenate([[True], least[1:] != least[:-1]])
+    texts = np.array([len(raw)]) if ends is None else ends
+    for e in texts[:-1].tolist():
+        begins[e - LENGTH + 1 : e], begins[e] = False, True
+    new = np.flatnonzero(begins)
+    end = np.minimum(np.append(new[1:], starts) - 1, texts[np.searchsorted(texts, new, "right")] - LENGTH)
     fell = np.concatenate([[False], least[new[1:]] < least[new[1:] - 1]])
+    fell[np.searchsorted(new, texts[:-1])] = False
     first = new + WIDTH - 1  # what makes the least value fall is the place that has just come in
     unknown = np.flatnonzero(~fell)
     for some in np.array_split(unknown, max(1, len(unknown) >> 12)):
@@ -118,31 +128,56 @@ def _unpacked(place: np.ndarray) -> np.ndarray:
     return np.stack([t, t - (place >> 8 & 255), t - (place & 255)], axis=1)
 
 
+def _together(sizes: list[int]) -> Iterator[list[int]]:
+    """Places of texts of LENGTH bytes or more, in order, as many at once as have TOGETHER bytes, or a single one."""
+    some, held = [], 0
+    for k, n in enumerate(sizes):
+        if n < LENGTH:
+            continue
+        if some and held + n > TOGETHER:
+            yield some
+            some, held = [], 0
+        some.append(k)
+        held += n
+    if some:
+        yield some
+
+
 def _parsed(batch: pa.RecordBatch) -> list[pa.Array]:
     """For each text its triggers' places, hashes of their cores and two of all their strings together, and how often it has the same;
     one of each kind alone. And the spans of those that it has several times, as maximal runs."""
-    out: list[list[np.ndarray]] = [[] for _ in range(5)]
-    inside: list[list[dict]] = []
-    for text in batch["text"].to_pylist():
-        raw = (text or "").encode()
-        if len(raw) < LENGTH:
-            for x in out:
-                x.append(np.zeros(0, np.int64))
-            inside.append([])
-            continue
+    texts = batch["text"].cast(pa.binary()).to_pylist()
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+    counts, inside = np.zeros(len(texts), np.int64), [[] for _ in texts]
+    for rows_of in _together([len(x or b"") for x in texts]):
+        raw = b"".join(texts[k] for k in rows_of)
+        ends = np.cumsum([len(texts[k]) for k in rows_of])
         hashes = Hashes(raw)
-        rows = triggers(raw, hashes)
+        rows = triggers(raw, hashes, ends)
+        of = np.searchsorted(ends, rows[:, 0], "right")
+        order = np.argsort(of, kind="stable")
+        rows, of = rows[order], of[order]
         t, low, high = rows.T
         width = (high - low).astype(np.uint64)
         whole = [(h.of(low, high + LENGTH) + width * np.uint64(base)).view(np.int64) for h, base in zip((hashes, Hashes(raw, 1)), _BASES, strict=True)]
-        _, first, kind, times = np.unique(np.stack([*whole, t - low], axis=1), axis=0, return_index=True, return_inverse=True, return_counts=True)
-        for x, found in zip(out, (_packed(rows), hashes.of(t, t + CORE).view(np.int64), *whole), strict=False):
-            x.append(found[first])
-        out[4].append(times)
-        again = times[kind.ravel()] > 1
-        inside.append([{"s": s, "e": e} for s, e in _runs(low[again], high[again] + LENGTH)])
-    offsets = np.cumsum([0, *map(len, out[0])]).astype(np.int32)
-    lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x in out]
+        found = [_packed(rows - np.concatenate([[0], ends])[of][:, None]), hashes.of(t, t + CORE).view(np.int64), *whole, np.ones(len(rows), np.int64)]
+        # only texts that have some hash twice can have all of a trigger's strings twice
+        order = np.lexsort((whole[0], of))
+        alike = (of[order[1:]] == of[order[:-1]]) & (whole[0][order[1:]] == whole[0][order[:-1]])
+        shown = np.ones(len(rows), bool)
+        for k in np.unique(of[order[1:]][alike]).tolist():
+            own = slice(*np.searchsorted(of, [k, k + 1]))
+            _, first, kind, times = np.unique(np.stack([*(x[own] for x in whole), (t - low)[own]], axis=1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+            shown[own] = False
+            shown[own][first] = True
+            found[4][own][first] = times
+            again, start = times[kind.ravel()] > 1, int(ends[k - 1]) if k else 0
+            inside[rows_of[k]] = [{"s": s, "e": e} for s, e in _runs(low[own][again] - start, high[own][again] + LENGTH - start)]
+        for x, values in zip(out, found, strict=True):
+            x.append(values[shown])
+        counts[rows_of] = np.bincount(of[shown], minlength=len(rows_of))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in out]
     return [*lists, pa.array(inside, SPANS)]
 
 
@@ -255,11 +290,14 @@ def _classes(table: pa.Table) -> pa.Table:
     """For each string of a range the stack of depths at which classes begin, and where."""
     strings, part = sorted(table["s"].to_pylist()), table["_range"][0].as_py()
     stack = [(x["depth"], x["start"]) for x in table["before"][0].as_py()]
-    rows = []
+    entries: list[tuple[int, int]] = []
+    offsets = [0]
     for i, depth in enumerate(common(strings).tolist()):
         pushed(stack, depth if i else table["depth"][0].as_py(), part << 32 | i)
-        rows.append(_stack(stack))
-    return pa.table({"s": pa.array(strings, pa.binary()), "stack": pa.array(rows, _STACK)})
+        entries += stack
+        offsets.append(len(entries))
+    flat = pa.StructArray.from_arrays([*map(pa.array, np.array(entries, np.int64).reshape(-1, 2).T)], names=["depth", "start"])
+    return pa.table({"s": pa.array(strings, pa.binary()), "stack": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)})
 
 
 def classes(strings: DataFrame, keep=kept) -> DataFrame:
@@ -280,27 +318,26 @@ def classes(strings: DataFrame, keep=kept) -> DataFrame:
 
 def _pieces(batch: pa.RecordBatch) -> list[pa.Array]:
     """For each open trigger its strings, in runs of one class in the dictionary and one in the parse: from `first` to `last` bytes before the trigger."""
-    columns: list[list] = [[], [], [], []]
-    offsets = [0]
+    t, low, high = _unpacked(batch["place"].to_numpy()).T
+    near, far = t - high, t - low
+    rows = np.arange(len(t)) << 16  # a key: the row, and below it a depth + 1
     stacks = []
     for c in ("phrase_stack", "parse_stack"):
-        held = batch[c]
-        flat, ends = held.values, held.offsets.to_numpy()
-        stacks.append((flat.field("depth").to_numpy(), flat.field("start").to_numpy(), ends))
-    (depth, start, at), (rest_depth, rest_start, rest_at) = stacks
-    for i, (t, low, high) in enumerate(_unpacked(batch["place"].to_numpy()).tolist()):
-        d, s = depth[at[i] : at[i + 1]], start[at[i] : at[i + 1]]
-        r, q = rest_depth[rest_at[i] : rest_at[i + 1]], rest_start[rest_at[i] : rest_at[i + 1]]
-        near, far = t - high, t - low
-        cuts = np.concatenate([d + 1, LENGTH - r])
-        first = np.unique(np.append(cuts[(cuts > near) & (cuts <= far)], near))
-        columns[0].append(s[np.searchsorted(d, first) - 1])
-        columns[1].append(q[np.searchsorted(r, LENGTH - first) - 1])
-        columns[2].append(first)
-        columns[3].append(np.append(first[1:] - 1, far))
-        offsets.append(offsets[-1] + len(first))
-    names = ("phrase", "parse", "first", "last")
-    rows = pa.StructArray.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in columns], names=[*names])
+        held, ends = batch[c].values, batch[c].offsets.to_numpy()
+        flat = held.slice(ends[0], ends[-1] - ends[0])
+        stacks.append((np.repeat(rows, np.diff(ends)), flat.field("depth").to_numpy() + 1, flat.field("start").to_numpy()))
+    (row, depth, start), (rest_row, rest_depth, rest_start) = stacks
+    cuts = np.concatenate([row, rest_row]) | np.concatenate([depth, LENGTH + 1 - rest_depth])
+    at = cuts >> 16
+    first = np.unique(np.concatenate([cuts[(cuts & 0xFFFF > near[at]) & (cuts & 0xFFFF <= far[at])], rows | near]))
+    at, first = first >> 16, first & 0xFFFF
+    ends = np.flatnonzero(np.append(at[1:] != at[:-1], len(at) > 0))
+    last = np.append(first[1:] - 1, 0)[: len(first)]
+    last[ends] = far
+    phrase = start[np.searchsorted(row | depth, rows[at] | first, "right") - 1]
+    parse = rest_start[np.searchsorted(rest_row | rest_depth, rows[at] | LENGTH - first, "right") - 1]
+    offsets = np.concatenate([[0], ends + 1])
+    rows = pa.StructArray.from_arrays([pa.array(x) for x in (phrase, parse, first, last)], names=["phrase", "parse", "first", "last"])
     return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)]
 
 

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from prismlake import ordering
 from prismlake.llm import suffix_dedup as sd
@@ -142,3 +143,37 @@ def test_very_many_equal_rows_are_one_text(spark):
     docs = spark.range(200_000).selectExpr("CASE WHEN id % 2 = 0 THEN 7 END AS doc_id", f"'{text}' AS text").union(spark.range(3).selectExpr("id + 100 AS doc_id", f"concat('other ', id, substr('{text}', 1, 150)) AS text"))
     found = sd.remove_repeats(docs).selectExpr("doc_id", "size(removed) AS spans", "octet_length(kept_bytes) AS n").groupBy("doc_id", "spans", "n").count().collect()
     assert {(r.doc_id, r.spans, r.n, r["count"]) for r in found} >= {(7, 1, 0, 100_000), (None, 1, 0, 100_000), (100, 0, 157, 1)}
+
+
+def test_texts_that_are_hashed_together_are_parsed_as_each_alone(monkeypatch):
+    texts = [*corpus(1), *corpus(2)]
+    batch = lambda some: pa.RecordBatch.from_pydict({"text": pa.array(some, pa.string())})
+    rows = lambda found: [(sorted(zip(*row[:5], strict=True)), row[5]) for row in zip(*(x.to_pylist() for x in found), strict=True)]
+    alone = [rows(sd._parsed(batch([x])))[0] for x in texts]
+    made = []
+    hashes = sd.Hashes.__init__
+    monkeypatch.setattr(sd.Hashes, "__init__", lambda self, raw, which=0: (made.append(len(raw)), hashes(self, raw, which))[1])
+    for at_once in (1, 3_000, 1 << 15):
+        monkeypatch.setattr(sd, "TOGETHER", at_once)
+        assert rows(sd._parsed(batch(texts))) == alone
+    made.clear()
+    sd._parsed(batch(texts))
+    long = [len(x.encode()) for x in texts if x and len(x.encode()) >= 200]
+    assert len(made) < len(long) and sum(made) == 2 * sum(long)
+
+
+def test_pieces_are_those_of_a_loop_over_triggers():
+    rng = random.Random(8)
+    stack = lambda top: [{"depth": d, "start": rng.randrange(1 << 40)} for d in (-1, *sorted(rng.sample(range(top), rng.randrange(6))))]
+    kind = pa.list_(pa.struct([("depth", pa.int64()), ("start", pa.int64())]))
+    ends = [sorted((rng.randrange(150), rng.randrange(150))) for _ in range(400)]  # strings begin from near to far bytes before the trigger
+    stacks = [(stack(150), stack(200)) for _ in ends]
+    place = [(149 + k) << 16 | far << 8 | near for k, (near, far) in enumerate(ends)]
+    batch = pa.RecordBatch.from_pydict({"place": pa.array(place, pa.int64()), "phrase_stack": pa.array([p for p, _ in stacks], kind), "parse_stack": pa.array([p for _, p in stacks], kind)})
+    found = sd._pieces(batch.slice(3, 390))[0].to_pylist()
+    of = lambda entries, n: [x["start"] for x in entries if x["depth"] < n][-1]
+    for (near, far), (phrase, parse), pieces in zip(ends[3:393], stacks[3:393], found, strict=True):
+        classes = [(of(phrase, n), of(parse, 200 - n)) for n in range(near, far + 1)]
+        assert [(p["phrase"], p["parse"]) for p in pieces for _ in range(p["first"], p["last"] + 1)] == classes
+        assert (pieces[0]["first"], pieces[-1]["last"]) == (near, far) and len(pieces) == 1 + sum(a != b for a, b in zip(classes, classes[1:], strict=False))
+    assert sd._pieces(batch.slice(0, 0))[0].to_pylist() == []
